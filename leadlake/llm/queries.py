@@ -16,6 +16,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import neighbours
+
+    return neighbours(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -52,6 +58,7 @@ OP9_SQL = """
 
 def queries() -> dict:
     return {
+        "op6_fingerprints": op6_fingerprints,
         "op7_packing": op7_packing,
         "op8_token_counts": op8_token_counts,
         "op9_topk_search": op9_topk_search,
