@@ -16,6 +16,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import remainder
+    from .toxicity import score, train
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = train(docs, labels, remainder("doc_id", 5) == 0)
+    held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import neighbours
 
@@ -58,6 +68,7 @@ OP9_SQL = """
 
 def queries() -> dict:
     return {
+        "op2_toxicity": op2_toxicity,
         "op6_fingerprints": op6_fingerprints,
         "op7_packing": op7_packing,
         "op8_token_counts": op8_token_counts,
