@@ -26,6 +26,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+    from .sampling import remainder
+
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs, F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
+    held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import neighbours
 
@@ -69,6 +79,7 @@ OP9_SQL = """
 def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
+        "op4_language_id": op4_language_id,
         "op6_fingerprints": op6_fingerprints,
         "op7_packing": op7_packing,
         "op8_token_counts": op8_token_counts,
