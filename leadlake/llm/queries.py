@@ -26,6 +26,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled of good quality; background: all documents."""
+    from .lm import score, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    marked = docs.join(good.withColumn("good", F.lit(True)), "doc_id", "left")
+    return score(docs, train(marked, F.col("good")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, train
     from .sampling import remainder
@@ -79,6 +89,7 @@ OP9_SQL = """
 def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_language_id": op4_language_id,
         "op6_fingerprints": op6_fingerprints,
         "op7_packing": op7_packing,
