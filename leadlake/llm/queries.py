@@ -16,6 +16,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+    from .sampling import remainder
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = train(docs, labels, remainder("doc_id", 5) == 0)
+    held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sampling import remainder
     from .toxicity import score, train
@@ -88,6 +98,7 @@ OP9_SQL = """
 
 def queries() -> dict:
     return {
+        "op1_quality": op1_quality,
         "op2_toxicity": op2_toxicity,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_language_id": op4_language_id,
