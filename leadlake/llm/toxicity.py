@@ -37,7 +37,7 @@ Z, DRIFT, TOP, PRIOR = 3.3, -0.6, 8.0, 0.05
 #: No word may make up more than this share of a prefix's toxic documents.
 TYPES, PURE, SHARE = 3, 30, 0.7
 #: Bounds of the training sample and of the model.
-TOXIC_DOCS, CLEAN_DOCS, TOKENS = 3000, 5000, 50_000
+TOXIC_DOCS, CLEAN_DOCS, TOKENS, SAMPLE_CHARS = 1200, 2000, 50_000, 20_000
 _BITS = 1 << 18
 
 
@@ -200,9 +200,9 @@ def fit(texts: list[str], toxic: np.ndarray, alarm: float = 0.004) -> Model:
             rows = np.flatnonzero(h > 0)
             rows = rows[_distinct(h[rows], doc[rows] + first, kinds[0][rows])]
             keys.append(h[rows])
-            docs.append(doc[rows] + first)
+            docs.append((doc[rows] + first).astype(np.int32))
             word.append(kinds[0][rows])
-            kind.append(np.full(len(rows), i))
+            kind.append(np.full(len(rows), i, np.int8))
     use = np.zeros(len(texts), bool)
     use[_distinct(sketch, toxic)] = True
     if not keys or not (use & toxic).any() or not (use & ~toxic).any():
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, doc_id: str = "doc_
     ids = sampling.by_hash(own.where(F.col(label) == 1), doc_id, toxic_docs).withColumn("own_label", F.lit(1))
     ids = ids.unionByName(sampling.by_hash(own.where(F.col(label) == 0), doc_id, clean_docs).withColumn("own_label", F.lit(0)))
     known = ids.groupBy(doc_id).agg(F.max("own_label").alias("own_label"))
-    some = sampling.fetch(docs, known, doc_id, [text])
+    some = sampling.fetch(docs, known, doc_id, [text], SAMPLE_CHARS)
     marks = dict(known.toPandas().itertuples(index=False))
     return fit(some[text].tolist(), np.array([bool(marks[i]) for i in some[doc_id]], bool), alarm)
 
