@@ -56,6 +56,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import neighbours
 
@@ -102,6 +108,7 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_language_id": op4_language_id,
+        "op5_minhash_dedup": op5_minhash_dedup,
         "op6_fingerprints": op6_fingerprints,
         "op7_packing": op7_packing,
         "op8_token_counts": op8_token_counts,
