@@ -24,7 +24,7 @@ def found(d: Dialect, text: str) -> str:
 
 def cleaned(d: Dialect, email: str) -> str:
     """The address inside a raw value, lower case, cut after its last known top-level domain; null if there is none or it is junk."""
-    bare = d.rep(d.rep(email, "<[^>]+>"), "[<>\"'\\[\\](){}]")
+    bare = d.rep(d.rep(email, "<[^>]+>"), "[<>\\x22\\x27\\[\\](){}]")
     got = f"lower({d.extract(bare, '[a-zA-Z][a-zA-Z0-9._%+-]*@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,7}\\b')})"
     return f"CASE WHEN {got} = '' OR {d.holds(got, R.CLEAN_JUNK)} THEN NULL ELSE {got} END"
 

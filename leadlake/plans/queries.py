@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
-from ..operators import filters, joins  # noqa: F401
+from ..operators import filters, joins, merges, reports, sets, texts, windows  # noqa: F401
 from ..operators.core import OPERATORS, Operator
 from .views import VIEWS, with_views
 
