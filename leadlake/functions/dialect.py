@@ -146,13 +146,13 @@ class Duck(Dialect):
         return f"list_contains({a}, {x})"
 
     def intersect(self, a, b):
-        return f"list_distinct(list_filter({a}, lambda own_item: list_contains({b}, own_item)))"
+        return self.distinct(f"list_filter({a}, lambda own_item: list_contains({b}, own_item))")
 
     def distinct(self, a):
-        return f"list_distinct({a})"
+        return f"list_filter({a}, lambda own_item, own_place: list_position({a}, own_item) = own_place)"
 
     def minus(self, a, b):
-        return f"list_distinct(list_filter({a}, lambda own_item: NOT list_contains({b}, own_item)))"
+        return self.distinct(f"list_filter({a}, lambda own_item: NOT list_contains({b}, own_item))")
 
     def slice(self, a, start, length):
         return f"list_slice({a}, {start}, {start} + {length} - 1)"
