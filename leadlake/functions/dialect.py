@@ -94,6 +94,10 @@ class Dialect:
     def text_array(self) -> str:
         return "CAST(array() AS ARRAY<STRING>)"
 
+    def first(self, a: str, var: str, test: str) -> str:
+        """Place of the first element that passes; one past the end if none does."""
+        return f"coalesce(nullif(CAST(array_position({self.map(a, var, f'CASE WHEN {test} THEN 1 ELSE 0 END')}, 1) AS INT), 0), {self.size(a)} + 1)"
+
     def json(self, a: str, path: str) -> str:
         return f"get_json_object({a}, {self.lit('$.' + path)})"
 
@@ -178,6 +182,9 @@ class Duck(Dialect):
     def text_array(self):
         return "[]::VARCHAR[]"
 
+    def first(self, a, var, test):
+        return f"coalesce(nullif(list_position({self.map(a, var, f'CASE WHEN {test} THEN 1 ELSE 0 END')}, 1), 0), len({a}) + 1)"
+
     def json(self, a, path):
         return f"json_extract_string({a}, {self.lit('$.' + path)})"
 

@@ -25,7 +25,7 @@ def target_sector(d):
 @operator("F2", "leads")
 def target_area(d):
     """Leads whose location names an area; empty locations pass."""
-    return f"SELECT {IDS}, location FROM leads WHERE {blank('location')} IS NULL OR {d.holds('lower(location)', [t.lower() for t in R.TOWNS[:18]])}"
+    return f"SELECT {IDS}, location FROM leads WHERE {blank('location')} IS NULL OR {d.holds('lower(location)', R.TARGET_AREAS)}"
 
 
 @operator("F3", "leads")
@@ -35,29 +35,22 @@ def postcode_area(d):
     return f"SELECT {IDS}, {code} AS postcode FROM leads WHERE {d.match(code, '^(' + '|'.join(R.POSTCODE_PREFIXES) + ').')}"
 
 
-#: fixed values: place types that are not offices
-NOT_PROFESSIONAL = ["restaurant", "bar", "cafe", "store", "shop", "gym", "spa", "salon", "school", "church", "hospital", "doctor", "dentist", "pharmacy", "lodging", "food"]
-WELLNESS_TYPES = ["spa", "gym", "doctor", "dentist", "health", "physiotherapist", "beauty_salon", "yoga", "wellness"]
-WELLNESS_NAMES = ["clinic", "therapy", "physio", "yoga", "pilates", "massage", "wellness", "dental", "osteopath", "chiropractic"]
-CLINIC_TYPES = ["doctor", "dentist", "physiotherapist", "health"]
-
-
 @operator("F4", "places")
 def places_professional(d):
     """Open places without any type that contains an excluded token."""
-    return f"SELECT place_id, display_name FROM places WHERE NOT {d.some('types', 't', d.holds('t', NOT_PROFESSIONAL))} AND coalesce(status, 'OPERATIONAL') = 'OPERATIONAL'"
+    return f"SELECT place_id, display_name FROM places WHERE NOT {d.some('types', 't', d.holds('t', R.NOT_PROFESSIONAL))} AND coalesce(status, 'OPERATIONAL') = 'OPERATIONAL'"
 
 
 @operator("F5", "places")
 def places_wellness(d):
-    """Open places with a wellness type or name."""
-    return f"SELECT place_id, display_name FROM places WHERE coalesce(status, 'OPERATIONAL') = 'OPERATIONAL' AND ({d.some('types', 't', d.holds('t', WELLNESS_TYPES))} OR {d.holds('lower(display_name)', WELLNESS_NAMES)})"
+    """Places with a wellness type or name, whatever their status."""
+    return f"SELECT place_id, display_name FROM places WHERE ({d.some('types', 't', d.holds('t', R.WELLNESS_TYPES))} OR {d.holds('lower(display_name)', R.WELLNESS_NAMES)})"
 
 
 @operator("F6", "places")
 def tag_place_clinic(d):
     """`clinic-target|town` or `wellness|town`."""
-    return f"SELECT place_id, CASE WHEN {d.some('types', 't', d.holds('t', CLINIC_TYPES))} OR {d.holds('lower(display_name)', WELLNESS_NAMES)} THEN 'clinic-target' ELSE 'wellness' END || '|' || town AS tag FROM places"
+    return f"SELECT place_id, CASE WHEN {d.some('types', 't', d.holds('t', R.CLINIC_TYPES))} OR {d.holds('lower(display_name)', R.CLINIC_NAMES)} THEN 'clinic-target' ELSE 'wellness' END || '|' || town AS tag FROM places"
 
 
 @operator("F7", "officers")

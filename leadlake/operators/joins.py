@@ -49,25 +49,36 @@ def sector_from_sic(d):
 @operator("J5", "leads")
 def town_geo(d):
     """Coordinates of the lead's town, else of Guildford."""
-    towns = {"Godalming": (51.1858, -0.6146), "Guildford": (51.2362, -0.5704), "Farnham": (51.2148, -0.7984), "Woking": (51.3168, -0.5600), "Haslemere": (51.0881, -0.7122), "Cranleigh": (51.1420, -0.4909)}  # fixed values
-    dim = " UNION ALL ".join(f"SELECT '{t}' AS town, CAST({a} AS DOUBLE) AS lat, CAST({b} AS DOUBLE) AS lng" for t, (a, b) in towns.items())
+    dim = " UNION ALL ".join(f"SELECT '{t}' AS town, CAST({a} AS DOUBLE) AS lat, CAST({b} AS DOUBLE) AS lng" for t, (a, b) in R.TOWN_COORDINATES.items())
     return f"SELECT l.lead_id, coalesce(t.lat, CAST(51.2362 AS DOUBLE)) AS lat, coalesce(t.lng, CAST(-0.5704 AS DOUBLE)) AS lng FROM leads l LEFT JOIN ({dim}) t ON split_part(l.location, ',', 1) = t.town"
 
 
+def place_tokens(d, x: str) -> str:
+    """Distinct words of a name, punctuation dropped, without stop words."""
+    return d.distinct(d.filter(d.split(f"trim({d.rep(f'lower({x})', '[^a-z0-9 ]')})", " +"), "w", f"w <> '' AND NOT {d.word('w', R.PLACE_STOP)}"))
+
+
+#: Places that a word may name and still lead to candidates; commoner words identify no company.
+COMMON = 200
+
+
 @operator("J6", "leads", "places")
 def link_places(d):
-    """The best place of each lead: tier 1 half of the name's tokens, tier 2 a shared long token in the same town, tier 3 the director's surname; first position wins inside a tier."""
+    """The best place of each lead: tier 1 half of the name's words, tier 2 a shared word of four letters and a plausible address, tier 3 the contact's surname in the place's name and a plausible address; first position wins inside a tier."""
     both = d.size(d.intersect("l.cn", "p.pn"))
     long = d.some(d.intersect("l.cn", "p.pn"), "w", "length(w) >= 4")
-    tier = f"CASE WHEN {d.size('l.cn')} > 0 AND {both} >= 0.5 * {d.size('l.cn')} THEN 1 WHEN {long} AND l.town = p.town THEN 2 WHEN length(l.director) >= 4 AND contains(p.dn, l.director) AND l.town = p.town THEN 3 END"
-    lead, place = tokens(d, "company_name", LEGAL), tokens(d, "display_name", LEGAL)
+    near = f"({d.match('p.address', '(?i)\\bGU[0-9]{1,2}\\b')} OR coalesce(length(l.town) > 2 AND contains(lower(p.address), l.town), false))"
+    tier = f"CASE WHEN {d.size('l.cn')} > 0 AND {both} >= 0.5 * {d.size('l.cn')} THEN 1 WHEN {long} AND {near} THEN 2 WHEN length(l.surname) >= 4 AND contains(p.dn, l.surname) AND {near} THEN 3 END"
+    lead, place = place_tokens(d, "company_name"), place_tokens(d, "display_name")
+    w = d.split("lower(trim(contact_name))", "\\s+")
+    surname = d.at(w, d.size(w))
     return f"""SELECT lead_id, place_id, tier FROM (SELECT lead_id, place_id, tier, row_number() OVER (PARTITION BY lead_id ORDER BY tier, pos) AS n FROM (
         SELECT l.lead_id, p.place_id, p.pos, {tier} AS tier FROM
-        (SELECT DISTINCT lk.lead_id, pk.place_id FROM (SELECT lead_id, {d.explode(lead)} AS token FROM leads) lk
-            JOIN (SELECT token FROM (SELECT {d.explode(place)} AS token FROM places) a GROUP BY token HAVING count(*) <= 200) rare ON lk.token = rare.token
+        (SELECT DISTINCT lk.lead_id, pk.place_id FROM (SELECT lead_id, {d.explode(lead)} AS token FROM leads UNION ALL SELECT lead_id, {surname} AS token FROM leads WHERE contact_name IS NOT NULL) lk
+            JOIN (SELECT token FROM (SELECT {d.explode(place)} AS token FROM places) a GROUP BY token HAVING count(*) <= {COMMON}) rare ON lk.token = rare.token
             JOIN (SELECT place_id, {d.explode(place)} AS token FROM places) pk ON pk.token = lk.token) c
-        JOIN (SELECT lead_id, {lead} AS cn, split_part(location, ',', 1) AS town, lower(split_part(coalesce(principal_name, ''), ' ', 2)) AS director FROM leads) l ON l.lead_id = c.lead_id
-        JOIN (SELECT place_id, pos, town, {place} AS pn, lower(display_name) AS dn FROM places) p ON p.place_id = c.place_id) t WHERE tier IS NOT NULL) r WHERE n = 1"""
+        JOIN (SELECT lead_id, {lead} AS cn, lower(split_part(split_part(location, ',', 1), ' ', 1)) AS town, coalesce({surname}, '') AS surname FROM leads) l ON l.lead_id = c.lead_id
+        JOIN (SELECT place_id, pos, address, {place} AS pn, lower(display_name) AS dn FROM places) p ON p.place_id = c.place_id) t WHERE tier IS NOT NULL) r WHERE n = 1"""
 
 
 @operator("J7", "leads", "existing")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import emails as E
 from ..functions import names as N
 from ..functions import rules as R
-from ..functions.keys import blank, domain, host, lead_key, local, name_key, name_location_key, normal, social, tokens, website_key
+from ..functions.keys import blank, domain, host, lead_key, letters, local, name_key, name_location_key, normal, social, tokens, vowels, website_key
 from .core import operator
 
 
@@ -135,36 +135,57 @@ def strip_titles(d):
     return f"SELECT lead_id, {N.without_titles(d, 'contact_name')} AS name FROM leads WHERE contact_name IS NOT NULL"
 
 
-@operator("T20", "leads")
-def names_from_company(d):
-    """A practitioner's name at the front of a company's: two or three capitalised words, a known first name, a valid verdict."""
+def company_person(d) -> str:
+    """Name at the front of a practitioner's company (null: none): two or three capitalised words after titles and before service words, a known first name, a valid verdict."""
     seg = d.rep(d.rep(d.rep("company_name", "\\s+[-–|]\\s+.*$"), "\\s*\\([^)]*\\)\\s*$"), "\\s*&\\s+\\w+$")
-    # fixed values: service words at the end of a company's name
-    ends = "counselling|counsellor|therapy|therapies|therapist|clinic|clinical|psychologist|psychology|physiotherapy|physio|osteopath|osteopathy|chiropractic|yoga|pilates|massage|nutrition|hypnotherapy|acupuncture|holistic|health|wellness|coaching|studio|practice|services|fitness|associates|beauty|dental|and|&|ltd|limited|llp|group"
-    cut = f"trim({d.rep(seg, '(?i)(\\s+(' + ends + '|[0-9]+))+$')})"
-    name = f"trim({d.rep(cut, '(?i)^(dr|mr|mrs|ms|miss|prof)[.]?\\s+')})"
-    w = d.split("n", "\\s+")
-    ok = f"{d.size(w)} BETWEEN 2 AND 3 AND NOT {d.some(w, 'w', f'''NOT {d.match("w", "^[A-Z][a-zA-Z'-]*$")}''')} AND {d.word(f'lower({d.at(w, chr(49))})', R.FIRST_NAMES)} AND {N.verdict(d, 'n')} = 'valid:'"
-    return f"SELECT lead_id, n AS name FROM (SELECT lead_id, {name} AS n FROM leads) t WHERE {ok}"
+    name = f"trim({d.rep(d.rep(seg, '(?i)(\\s+(' + '|'.join([*R.COMPANY_SUFFIXES, 'and', '&']) + '))+$'), '(?i)^((' + '|'.join(R.TITLES) + ')[.]?\\s+)+')})"
+    w = d.split(name, "\\s+")
+    plain = d.match("w", "^[A-Z][a-zA-Z'-]*$")
+    ok = f"{d.size(w)} BETWEEN 2 AND 3 AND NOT {d.some(w, 'w', f'NOT {plain}')} AND NOT {d.some(w, 'w', d.word('lower(w)', R.BUSINESS_WORDS))} AND {d.word(letters(d, d.at(w, '1')), R.FIRST_NAMES)} AND {N.verdict(d, name)} = 'valid:'"
+    return f"CASE WHEN {ok} THEN {name} END"
+
+
+def sole_trader(d) -> str:
+    """Leading capitalised words of a sole trader's company up to a stop word (null: none); not for companies of many practitioners."""
+    cn = d.rep(d.rep(d.rep("trim(company_name)", "\\s*[-–—]\\s*.+$"), "\\s*\\(.+\\)$"), ",\\s*.+$")
+    w = d.split(cn, "\\s+")
+    low = d.rep("lower(w)", "[.,]+$")
+    stop = f"({d.word(low, R.TRADER_STOPS)} OR (NOT {d.match('w', '^[A-Z]')} AND NOT {d.word(low, ['de', 'la', 'le', 'von', 'van', 'mc', 'mac'])}))"
+    names = d.slice(w, "1", f"{d.first(w, 'w', stop)} - 1")
+    first, n = letters(d, d.at(names, "1")), d.size(names)
+    last = f"lower({d.at(names, n)})"
+    titled = d.word(first, ["dr", "mr", "mrs", "ms", "miss", "prof"])
+    core = d.filter(names, "w", f"NOT {d.word('lower(w)', ['de', 'la', 'le', 'von', 'van', 'do'])}")
+    fine = f"({N.contact_valid(d, d.join(names, ' '))} OR ({d.size(core)} >= 2 AND NOT {d.some(core, 'w', 'length(w) < 2')}) OR {d.size(d.filter(names, 'w', 'length(w) > 1'))} >= 2)"
+    ok = f"NOT {d.some(d.split('lower(trim(company_name))', ' +'), 'w', d.word('w', R.MANY_PRACTITIONERS))} AND NOT {d.some(names, 'w', d.word(low, [*R.TRADER_PLACES, *R.MANY_PRACTITIONERS]))} AND {n} BETWEEN 2 AND 4 AND ({titled} OR ({d.word(first, R.FIRST_NAMES)} AND NOT {d.word(last, [*R.TRADER_PLACES, *R.GARBAGE_WORDS])} AND {fine}))"
+    return f"CASE WHEN {ok} THEN {d.join(names, ' ')} END"
 
 
-#: fixed values: verbs and words that names do not hold
-GARBAGE_EXACT = ["book now", "read more", "contact us", "about us", "our team", "get in touch", "learn more", "click here"]
-GARBAGE_WORDS = ["now", "here", "more", "click", "page", "website", "online", "welcome", "menu", "cookies"]
+@operator("T20", "leads")
+def names_from_company(d):
+    """Names that companies' names give, by the practitioner rule and by the sole-trader rule."""
+    return f"SELECT lead_id, coalesce(a, b) AS name, a IS NOT NULL AS practitioner FROM (SELECT lead_id, {company_person(d)} AS a, {sole_trader(d)} AS b FROM leads) t WHERE a IS NOT NULL OR b IS NOT NULL"
 
 
 def garbage(d) -> str:
-    n = f"lower(trim({normal(d, 'contact_name')}))"
+    n = f"lower({normal(d, 'contact_name')})"
     w = d.split(n, "\\s+")
+    first = letters(d, d.at(w, "1"))
+    known = d.word(first, R.FIRST_NAMES)
+    alpha = letters(d, n)
+    bad = d.some(w, "w", d.word("w", R.GARBAGE_WORDS))
     return f"""CASE WHEN {n} IS NULL THEN NULL
-        WHEN {d.word(n, GARBAGE_EXACT)} THEN 'exact'
-        WHEN {d.match(n, '^(book|view|read|learn|click|find|get|join|see|discover|meet) ')} AND NOT {d.word(d.at(w, '1'), R.FIRST_NAMES)} THEN 'verb_prefix'
-        WHEN {d.some(w, 'w', d.word('w', GARBAGE_WORDS))} THEN 'garbage_word'
-        WHEN {d.size(d.distinct(w))} < {d.size(w)} THEN 'duplicate_word'
-        WHEN {d.some(w, 'w', f"length({N.letters(d, 'w')}) >= 4 AND {N.vowels(d, N.letters(d, 'w'))} < 0.15 * length({N.letters(d, 'w')})")} THEN 'gibberish'
-        WHEN {d.match(n, "'s ")} THEN 'possessive'
-        WHEN {d.match(n, '^(i|my|we|our) ')} THEN 'first_person'
-        WHEN NOT {N.contact_valid(d, 'contact_name')} THEN 'failed_validation' END"""
+        WHEN {d.word(n, R.GARBAGE_EXACT)} THEN 'exact_garbage'
+        WHEN {d.word(d.at(w, '1'), R.VERB_PREFIXES)} AND {d.size(w)} >= 2 AND NOT {known} THEN 'verb_prefix'
+        WHEN {bad} AND NOT {known} THEN 'garbage_word'
+        WHEN {known} AND {d.size(w)} = 2 AND {d.word(d.at(w, '2'), R.GARBAGE_WORDS)} THEN 'name_plus_garbage'
+        WHEN {d.size(w)} = 2 AND {d.at(w, '1')} = {d.at(w, '2')} THEN 'duplicate_word'
+        WHEN length({alpha}) >= 4 AND {vowels(d, alpha)} < 0.15 * length({alpha}) THEN 'gibberish'
+        WHEN {d.match('contact_name', "'s\\s")} AND {d.size(w)} > 2 THEN 'possessive_phrase'
+        WHEN {d.match('contact_name', "^(I'm |I am )")} THEN 'first_person'
+        WHEN {N.contact_valid(d, 'contact_name')} OR ({d.word(first, ['dr', 'mr', 'mrs', 'ms', 'miss', 'prof'])} AND {d.size(w)} = 2) THEN NULL
+        WHEN NOT {known} THEN 'failed_validation'
+        WHEN {d.size(w)} = 2 AND {d.word(d.at(w, '2'), R.SERVICE_SUFFIXES)} THEN 'name_plus_service' END"""
 
 
 @operator("T21", "leads")
@@ -214,7 +235,7 @@ def geo_relevance(d):
 @operator("T25", "leads", "page_text")
 def size_signal(d):
     """Known size, else no own site, a team page, or the year of creation."""
-    team = d.match("coalesce(p.html, '')", "(?i)href=\"[^\"]*(team|people|staff|our-story)[^\"]*\"|meet the team|our people")
+    team = d.match("coalesce(p.html, '')", "(?i)href=\"[^\"]*(/team|/people|/our-team|/about-us/team|/meet-the-team|/staff|/about/team)[^\"]*\"|our team|meet the team|our people")
     return f"SELECT l.lead_id, CASE WHEN l.size_signal IS NOT NULL AND l.website IS NOT NULL THEN l.size_signal WHEN l.website IS NULL OR {social(d, 'l.website')} THEN 'small_new' WHEN {team} THEN 'larger' WHEN l.date_of_creation < DATE '2021-03-01' THEN 'established_small' ELSE 'small_new' END AS size_signal FROM leads l LEFT JOIN (SELECT url, html FROM page_text) p ON p.url = l.website"
 
 
@@ -224,9 +245,10 @@ def status(d) -> str:
 
 
 def office_status(d) -> str:
-    named = f"({normal(d, 'contact_name')} IS NOT NULL AND lower(trim(contact_name)) <> lower(trim(company_name)))"
-    real = f"({E.has_at('email')} AND NOT coalesce(email_guessed, false))"
-    return f"CASE WHEN {named} AND {real} THEN 'complete' WHEN {named} AND ({E.has_at('email')} OR {E.has_at('generic_email')}) THEN 'guessed_email' WHEN {named} THEN 'missing_email' WHEN {E.has_at('email')} OR {E.has_at('generic_email')} THEN 'missing_name' ELSE 'incomplete' END"
+    named = "(contact_name IS NOT NULL AND contact_name <> company_name)"
+    some = "(email IS NOT NULL OR contact_email IS NOT NULL OR generic_email IS NOT NULL)"
+    real = "((email IS NOT NULL AND NOT coalesce(email_guessed, false)) OR contact_email IS NOT NULL OR generic_email IS NOT NULL)"
+    return f"CASE WHEN {real} AND {named} THEN 'complete' WHEN {some} AND {named} THEN 'guessed_email' WHEN {some} THEN 'missing_name' WHEN {named} THEN 'missing_email' ELSE 'incomplete' END"
 
 
 @operator("T26", "leads")
@@ -302,20 +324,25 @@ def notes(d):
 @operator("T32", "documents")
 def extract_facts(d):
     """Employee count, registry number, phone and company link of each text, first pattern that hits."""
-    count = f"coalesce({d.number(f'''nullif({d.extract('text', '(?i)team of ([0-9]{1,3})', 1)}, '')''', 'INT')}, {d.number(f'''nullif({d.extract('text', '(?i)([0-9]{1,3})[+]? (?:employees|staff|people)', 1)}, '')''', 'INT')})"
-    number = f"nullif({d.extract('text', '(?i)(?:company|registration|registered) (?:number|no)[.:]? ?([0-9]{6,8})', 1)}, '')"
-    phone = f"nullif({d.extract('text', '(?:[+]44 ?|0)[0-9]{2,4}[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}')}, '')"
+    part = lambda p: f"nullif({d.extract('text', p, 1)}, '')"
+    some = [d.number(part(p), "INT") for p in ("(?i)([0-9]{1,9})\\s*(?:[+]\\s*)?employees?", "(?i)team\\s*(?:of\\s*)?([0-9]{1,9})", "(?i)([0-9]{1,9})\\s*(?:member|staff|people)")]
+    count = "coalesce(" + ", ".join(f"CASE WHEN {n} BETWEEN 1 AND 500 THEN {n} END" for n in some) + ")"
+    codes = [part(p) for p in ("(?i)(?:company|co[.]?)\\s*(?:number|no[.]?|reg(?:istration)?[.]?)\\s*[:\\s]*([0-9]{6,8})", "(?i)(?:registered|registration)\\s*(?:number|no[.]?)\\s*[:\\s]*([0-9]{6,8})", "(?i)(?:companies?\\s+house)\\s*[:\\s]*(?:number|no[.]?)?\\s*[:\\s]*([0-9]{6,8})")]
+    phone = f"nullif(trim({d.extract('text', '(?i)(?:tel|phone|call)[:\\s]*([0-9][0-9\\s()+-]{9,17})', 1)}), '')"
     link = f"nullif({d.extract('text', '(?i)linkedin[.]com/(?:company|in)/[a-z0-9-]+')}, '')"
-    return f"SELECT doc_id, CASE WHEN {count} BETWEEN 1 AND 500 THEN {count} END AS employees, lpad({number}, 8, '0') AS number, {phone} AS phone, {link} AS link FROM documents"
+    return f"SELECT doc_id, {count} AS employees, lpad(coalesce({', '.join(codes)}), 8, '0') AS number, {phone} AS phone, {link} AS link FROM documents"
+
+
+def type_sector(d, mapping: dict, default: str) -> str:
+    one = "CASE " + " ".join(f"WHEN contains(t, '{k}') THEN '{v}'" for k, v in mapping.items()) + " END"
+    hits = d.filter(d.map("types", "t", f"coalesce({one}, '')"), "t", "t <> ''")
+    return f"coalesce({d.at(hits, '1')}, '{default}')"
 
 
 @operator("T33", "places")
 def sector_from_types(d):
-    """Sector of the first type that holds a mapped key, keys in order."""
-    mapping = [("lawyer", "Legal"), ("accounting", "Accounting"), ("real_estate", "Property"), ("spa", "Wellness"), ("gym", "Fitness"), ("doctor", "Medical"), ("health", "Health"), ("restaurant", "Food")]  # fixed values
-    one = "CASE " + " ".join(f"WHEN contains(t, '{k}') THEN '{v}'" for k, v in mapping) + " END"
-    hits = d.filter(d.map("types", "t", f"coalesce({one}, '')"), "t", "t <> ''")
-    return f"SELECT place_id, coalesce({d.at(hits, '1')}, 'Professional Services') AS sector FROM places"
+    """Sector of the first type that holds a mapped key, keys in order, by both mappings."""
+    return f"SELECT place_id, {type_sector(d, R.TYPE_SECTORS, 'Professional Services')} AS sector, {type_sector(d, R.WELLNESS_SECTORS, 'Health & Wellness')} AS wellness_sector FROM places"
 
 
 @operator("T34", "page_text")
@@ -336,29 +363,47 @@ def page_texts(d):
     return f"SELECT page_id, text, {d.size(d.split('text', '\\s+'))} AS words, title FROM page_text"
 
 
-#: fixed values: signs of a parked domain
-PARKED = ["domain for sale", "buy this domain", "parked", "coming soon", "under construction"]
+def slug_words(d, company: str) -> str:
+    """Words of a company's name without legal words and punctuation."""
+    bare = d.rep(f"lower({company})", "\\b(ltd|limited|llp|plc|& co[.]?|and co[.]?|group|uk|[(]uk[)])\\b[.]?")
+    return d.filter(d.split(f"trim({d.rep(bare, '[^a-z0-9 ]')})", " +"), "w", "w <> ''")
+
+
+def significant(d, words: str) -> str:
+    return d.filter(words, "w", f"length(w) > 2 AND NOT {d.word('w', R.SLUG_STOP)}")
 
 
-def validation(d) -> str:
-    """Confidence in a page as a company's site."""
-    geo = d.match("text", "(?i)\\bGU[0-9]{1,2}\\b|surrey|guildford|woking|godalming|farnham")
-    return f"CASE WHEN {d.holds('lower(text)', PARKED)} THEN 'reject' WHEN {d.size(d.split('text', '\\s+'))} < 100 THEN 'low' WHEN {geo} THEN 'high' ELSE 'medium' END"
+def validation(d, text: str, company: str, pattern: str) -> str:
+    """Confidence in a page as a company's site by a slug pattern."""
+    low = f"lower({text})"
+    named = d.some(significant(d, slug_words(d, company)), "w", f"contains({low}, w)")
+    geo = d.match(text, "(?i)\\bGU[0-9]|Surrey|Godalming|Guildford|Farnham|Woking|Haslemere\\b")
+    return f"CASE WHEN {d.holds(low, R.PARKED)} OR NOT {named} THEN 'reject' WHEN {d.size(d.split(text, '\\s+'))} < 100 OR {pattern} IN (6, 7) THEN 'low' WHEN {geo} THEN 'high' ELSE 'medium' END"
 
 
-@operator("T37", "page_text")
+@operator("T37", "page_text", "leads")
 def validate_site(d):
-    return f"SELECT page_id, {validation(d)} AS confidence FROM page_text"
+    """Each lead's landed page as its site."""
+    return f"SELECT l.lead_id, p.page_id, {validation(d, 'p.text', 'l.company_name', 'l.pattern')} AS confidence FROM (SELECT lead_id, website, company_name, ingest_seq % 7 + 1 AS pattern FROM leads) l JOIN page_text p ON p.url = l.website"
 
 
 def candidate_rows(d) -> str:
-    """Candidate sites of each lead by slug pattern; the lead's own host is the landed form of the first."""
-    clean = f"trim({d.rep(d.rep('lower(company_name)', '\\b(ltd|limited|llp|plc|group)\\b'), '[^a-z0-9 ]+', ' ')})"
-    w = d.filter(d.split(clean, " +"), "w", "w <> ''")
-    forms = [d.join(w, ""), d.join(w, "-"), f"{d.at(w, '1')} || coalesce({d.at(w, '2')}, '')", f"{d.at(w, '1')} || '-' || coalesce({d.at(w, '2')}, 'co')", f"{d.at(w, '1')} || 'uk'"]
-    own = f"SELECT lead_id, 0 AS pattern, 0 AS place, website AS url FROM leads WHERE website IS NOT NULL AND NOT {social(d, 'website')}"
-    rest = [f"SELECT lead_id, {i + 1} AS pattern, {2 * i + j + 1} AS place, 'https://www.' || {f} || '{tld}' AS url FROM leads WHERE {d.size(w)} > 1" for i, f in enumerate(forms) for j, tld in enumerate((".co.uk", ".com"))]
-    return " UNION ALL ".join([own, *rest])
+    """Candidate sites of each lead by slug pattern, ending and prefix, in order."""
+    s1 = d.at("s", "1")
+    forms = [
+        ("a", "a <> ''"),
+        ("b", "b <> a"),
+        ("c", f"{d.size('s')} > 0 AND c <> a AND c <> b"),
+        ("e", f"{d.size('s')} > 0 AND e <> a AND e <> b AND e <> {s1}"),
+        ("f", f"{d.size('s')} >= 2 AND f <> a AND f <> c"),
+        ("g", "length(g) >= 3"),
+        (s1, f"length({s1}) >= 6 AND {s1} <> a AND {s1} <> b AND {s1} <> c AND {s1} <> e"),
+    ]
+    base = f"""SELECT lead_id, s, {d.join('w', '-')} AS a, {d.join('w', '')} AS b, {d.join('s', '-')} AS c, {d.join('s', '')} AS e, {d.join(d.slice('s', '1', '2'), '-')} AS f, {d.join(d.map('s', 'x', 'left(x, 1)'), '')} AS g
+        FROM (SELECT lead_id, w, {significant(d, 'w')} AS s FROM (SELECT lead_id, {slug_words(d, 'company_name')} AS w FROM leads) x) y"""
+    each = [f"CASE WHEN {test} AND length({slug}) >= 2 THEN {d.tuple(pattern=str(i), place=str(10 * i + 2 * j + k), url=f'{d.lit(front)} || {slug} || {d.lit("." + tld)}')} END" for i, (slug, test) in enumerate(forms, 1) for j, tld in enumerate(["co.uk", "com", "uk"] if i == 1 else ["co.uk", "com"]) for k, front in enumerate(("https://www.", "https://"))]
+    made = ("[" if d.duck else "array(") + ", ".join(each) + ("]" if d.duck else ")")
+    return f"SELECT lead_id, x.pattern AS pattern, x.place AS place, x.url AS url FROM (SELECT lead_id, {d.explode(made)} AS x FROM ({base}) z) q WHERE x IS NOT NULL"
 
 
 @operator("T38", "leads")
@@ -404,7 +449,9 @@ def normalise_text(d):
 
 @operator("T44", "page_text")
 def team_page_signal(d):
-    return f"SELECT page_id, {d.match('html', '(?i)href=\"[^\"]*(team|people|staff|clinicians|practitioners|about|who)[^\"]*\"')} OR {d.match('text', '(?i)meet the team|our team|our people')} AS signal FROM page_text"
+    """Whether a page links to a team page or says so."""
+    paths = "(?i)href=\"[^\"]*(" + "|".join(R.TEAM_PATHS) + ")"
+    return f"SELECT page_id, {d.match('html', paths)} OR {d.match('text', '(?i)meet the team|our team|our people')} AS signal FROM page_text"
 
 
 @operator("T45", "leads", "page_text")

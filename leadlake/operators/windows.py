@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import rules as R
 from ..functions.emails import free_mail
-from ..functions.keys import domain, host, local, name_key, normal
+from ..functions.keys import domain, host, local, name_key, normal, social
 from ..functions.names import contact_valid, domain_name, suspicious, vanity
 from .core import operator
 
@@ -55,18 +55,22 @@ def contacts(d) -> str:
 
 @operator("W6", "leads")
 def rank_contacts(d):
-    """Contacts of each lead by role tier, stable."""
-    tier = f"CASE WHEN {d.match('lower(name)', 'founder|owner')} THEN 1 WHEN {d.match('lower(name)', 'director|principal')} THEN 2 WHEN {d.match('lower(name)', '^(dr|prof)[. ]')} THEN 3 WHEN {d.match('lower(name)', 'partner')} THEN 4 WHEN {d.match('lower(name)', 'manager|head')} THEN 5 WHEN {d.match('lower(name)', 'therap|consult')} THEN 6 ELSE 99 END"
+    """Contacts of each lead by the tier of the role in their text, titles next, stable."""
+    tier = "CASE " + " ".join(f"WHEN {d.holds('lower(name)', words)} THEN {i}" for i, words in enumerate(R.ROLE_TIERS, 1)) + f" WHEN {d.match('lower(name)', '^(dr[ .]|prof[ .]|professor )')} THEN 3 ELSE 99 END"
     return f"SELECT lead_id, name, tier, row_number() OVER (PARTITION BY lead_id ORDER BY tier, pos) AS place FROM (SELECT lead_id, name, pos, {tier} AS tier FROM {contacts(d)} c) t"
 
 
-@operator("W7", "site_links")
+@operator("W7", "site_links", "pages")
 def rank_site_links(d):
-    """The eight best navigation links of each page on its own host, stable."""
-    text = "lower(href || ' ' || anchor)"
-    score = f"CASE WHEN {d.match(text, 'team|people|staff|meet')} THEN 100 WHEN {d.match(text, 'about|who')} THEN 30 WHEN {d.match(text, 'contact')} THEN 20 WHEN {d.match(text, 'practi|therap|consult')} THEN 15 ELSE 5 END"
-    own = f"({d.match('href', '^/[^/]')} OR lower({host(d, 'href')}) = host) AND NOT {d.match('href', '^(mailto|tel):|#|[.](pdf|jpg|png|zip)$')} AND href <> '/'"
-    return f"SELECT page_id, href, score, place FROM (SELECT page_id, href, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS place FROM (SELECT page_id, href, min(pos) AS pos, max({score}) AS score FROM site_links WHERE {own} GROUP BY page_id, href) s) t WHERE place <= 8"
+    """The eight best navigation links of each page on its own host, stable; pages with under three are padded with usual paths."""
+    link, text = "lower(href)", "lower(anchor)"
+    score = f"CASE WHEN {d.match(link, R.HIGH_LINKS)} OR {d.match(text, R.HIGH_ANCHORS)} THEN 100 WHEN {d.match(link, R.JUNK_LINKS)} OR {d.match(text, R.JUNK_ANCHORS)} THEN 5 WHEN {d.match(link, R.LOW_LINKS)} OR {d.match(text, R.LOW_ANCHORS)} THEN 15 WHEN {d.match(link, 'our-|the-')} THEN 20 ELSE 30 END"
+    own = f"({d.match('href', '^/[^/]')} OR lower({host(d, 'href')}) = host) AND ({d.holds(link, R.NAV_WORDS)} OR {d.holds(text, R.NAV_WORDS)}) AND NOT {d.match(link, '#|javascript:|mailto:|tel:|[.]pdf|[.]jpg|[.]png')} AND href <> '/'"
+    found = f"SELECT page_id, href, min(pos) AS pos, max({score}) AS score FROM site_links WHERE {own} GROUP BY page_id, href"
+    path = d.array(R.FALLBACK_PATHS[:10])
+    few = f"SELECT p.page_id FROM pages p LEFT JOIN ({found}) f ON f.page_id = p.page_id GROUP BY p.page_id HAVING count(f.href) < 3"
+    padded = f"SELECT page_id, {d.at(path, 'i')} AS href, CAST(1000 + i AS BIGINT) AS pos, 0 AS score FROM (SELECT page_id, {d.explode(d.sequence('1', '10'))} AS i FROM ({few}) g) x"
+    return f"SELECT page_id, href, score, place FROM (SELECT page_id, href, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS place FROM (SELECT page_id, href, min(pos) AS pos, max(score) AS score FROM (SELECT * FROM ({found}) f UNION ALL SELECT * FROM ({padded}) q) u GROUP BY page_id, href) s) t WHERE place <= 8"
 
 
 @operator("W8", "doc_emails", "documents")
@@ -134,14 +138,14 @@ def best_sector(d):
 @operator("W14", "site_links")
 def cta_links(d):
     """First three distinct call-to-action links of each page on its own host."""
-    own = f"{d.match('lower(href || chr(32) || anchor)', 'book|contact|enquir|appointment|start|an')} AND NOT {d.match('href', '^(mailto|tel):|[.](pdf|jpg|png|zip)$')} AND ({d.match('href', '^/')} OR lower({host(d, 'href')}) = host)"
+    own = f"({d.holds('lower(anchor)', R.CTA_ANCHORS)} OR {d.holds('lower(href)', R.CTA_LINKS)}) AND NOT {d.match('lower(href)', '^#|^javascript:|mailto:|tel:|[.]pdf|[.]jpg|[.]png')} AND ({d.match('href', '^/')} OR lower({host(d, 'href')}) = host)"
     return f"SELECT page_id, href, place FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM (SELECT page_id, href, min(pos) AS pos FROM site_links WHERE {own} GROUP BY page_id, href) s) t WHERE place <= 3"
 
 
 @operator("W15", "site_links")
 def contact_links(d):
     """First six distinct links of each page whose target or text names a contact page."""
-    return f"SELECT page_id, href, place FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM (SELECT page_id, href, min(pos) AS pos FROM site_links WHERE {d.match('lower(href || chr(32) || anchor)', 'contact|about|team|touch|find|visit|reach|the')} GROUP BY page_id, href) s) t WHERE place <= 6"
+    return f"SELECT page_id, href, place FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM (SELECT page_id, href, min(pos) AS pos FROM site_links WHERE {d.holds('lower(href || chr(32) || anchor)', R.CONTACT_LINKS)} GROUP BY page_id, href) s) t WHERE place <= 6"
 
 
 @operator("U2", "leads")
@@ -157,9 +161,11 @@ def resolve_contact(d):
 
 @operator("J10", "leads", "page_text")
 def accept_domain(d):
-    """First candidate site of each lead, in pattern order, whose landed page validates."""
+    """First candidate site of each lead, its own one first, then in pattern order, whose landed page validates."""
     from .texts import candidate_rows, validation
 
-    return f"""SELECT lead_id, pattern, url, confidence FROM (SELECT c.lead_id, c.pattern, c.url, v.confidence, row_number() OVER (PARTITION BY c.lead_id ORDER BY c.place, v.page_id) AS n
-        FROM ({candidate_rows(d)}) c JOIN (SELECT page_id, host, {validation(d)} AS confidence FROM page_text) v ON v.host = lower({host(d, 'c.url')}) WHERE v.confidence <> 'reject') t WHERE n = 1"""
+    own = f"SELECT lead_id, 0 AS pattern, 0 AS place, website AS url FROM leads WHERE website IS NOT NULL AND NOT {social(d, 'website')}"
+    return f"""SELECT lead_id, pattern, url, confidence FROM (SELECT lead_id, pattern, url, confidence, row_number() OVER (PARTITION BY lead_id ORDER BY place, page_id) AS n FROM (
+        SELECT c.lead_id, c.pattern, c.place, c.url, p.page_id, {validation(d, 'p.text', 'l.company_name', 'c.pattern')} AS confidence
+        FROM ({own} UNION ALL {candidate_rows(d)}) c JOIN leads l ON l.lead_id = c.lead_id JOIN page_text p ON p.host = lower({host(d, 'c.url')})) v WHERE confidence <> 'reject') t WHERE n = 1"""
 

@@ -87,7 +87,8 @@ def places(d: Dialect) -> str:
         {d.split("lower(p_type) || CASE p_partkey % 6 WHEN 0 THEN ' barber_shop' WHEN 1 THEN ' spa health' WHEN 2 THEN ' lawyer' WHEN 3 THEN ' gym' WHEN 4 THEN ' restaurant' ELSE ' doctor' END", ' ')} AS types,
         CASE WHEN p_size % 5 = 0 THEN 'CLOSED_PERMANENTLY' WHEN p_size % 5 < 4 THEN 'OPERATIONAL' END AS status,
         CAST(p_size % 50 AS DOUBLE) / 10 AS rating, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS reviews,
-        {pick(d, SEARCH_TOWNS, f'p_partkey % {len(SEARCH_TOWNS)}')} AS town FROM part"""
+        {pick(d, SEARCH_TOWNS, f'p_partkey % {len(SEARCH_TOWNS)}')} AS town,
+        {pick(d, SEARCH_TOWNS, f'p_partkey % {len(SEARCH_TOWNS)}')} || CASE WHEN p_partkey % 4 = 0 THEN ', GU7 2AB' ELSE '' END AS address FROM part"""
 
 
 def usage(d: Dialect) -> str:
@@ -95,26 +96,27 @@ def usage(d: Dialect) -> str:
 
 
 def page_text(d: Dialect) -> str:
-    """Visible text of each page: scripts, styles and comments dropped, tags as blanks, common entities decoded."""
+    """Visible text of each page (every third with a line that names services and a person): scripts, styles and comments dropped, tags as blanks, common entities decoded."""
     x = "html"
     for tag in ("script", "style", "noscript"):
         x = d.rep(x, f"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
     x = d.rep(d.rep(x, "(?s)<!--.*?-->", " "), "<[^>]*>", " ")
     for a, b in (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = f"replace({x}, {d.lit(a)}, {d.lit(b)})"
-    return f"""SELECT page_id, url, {host(d, 'url')} AS host, html, trim({d.rep(x, '\\s+', ' ')}) AS text,
+    return f"""SELECT page_id, url, {host(d, 'url')} AS host, html, trim({d.rep(x, '\\s+', ' ')}) || CASE page_id % 3 WHEN 0 THEN ' Therapy, dental and yoga in Surrey. Meet the team: Helen Jones, Director.' ELSE '' END AS text,
         trim({d.rep(d.extract('html', '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ')}) AS title,
         trim({d.rep(d.extract('html', '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>|\\s+', ' ')}) AS h1 FROM pages"""
 
 
 def site_links(d: Dialect) -> str:
-    """Anchors of each page in order."""
+    """Anchors of each page in order; some targets are renamed to navigation pages by their place."""
+    own = lambda href, pos: f"CASE ({pos}) % 4 WHEN 1 THEN '/about-' || replace({href}, '/', '') WHEN 2 THEN '/contact' ELSE {href} END"
     hrefs = d.extract_all("html", '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>', 1)
     texts = d.extract_all("html", '(?is)<a\\s[^>]*href="[^"]*"[^>]*>(.*?)</a>', 1)
     if d.duck:
-        return f"""SELECT page_id, host, pos, list_extract(h, pos) AS href, trim({d.rep("coalesce(list_extract(t, pos), '')", '<[^>]*>|\\s+', ' ')}) AS anchor
+        return f"""SELECT page_id, host, pos, {own('list_extract(h, pos)', 'pos')} AS href, trim({d.rep("coalesce(list_extract(t, pos), '')", '<[^>]*>|\\s+', ' ')}) AS anchor
             FROM (SELECT page_id, {host(d, 'url')} AS host, h, t, unnest(range(1, len(h) + 1)) AS pos FROM (SELECT page_id, url, {hrefs} AS h, {texts} AS t FROM pages) a) b"""
-    return f"""SELECT page_id, host, CAST(i + 1 AS BIGINT) AS pos, href, trim({d.rep("coalesce(try_element_at(t, i + 1), '')", '<[^>]*>|\\s+', ' ')}) AS anchor
+    return f"""SELECT page_id, host, CAST(i + 1 AS BIGINT) AS pos, {own('href', 'i + 1')} AS href, trim({d.rep("coalesce(try_element_at(t, i + 1), '')", '<[^>]*>|\\s+', ' ')}) AS anchor
         FROM (SELECT page_id, {host(d, 'url')} AS host, t, posexplode(h) AS (i, href) FROM (SELECT page_id, url, {hrefs} AS h, {texts} AS t FROM pages) a) b"""
 
 
