@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Label ids up to which they are broadcast (about 30 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -41,8 +45,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score, train
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    marked = docs.join(good.withColumn("good", F.lit(True)), "doc_id", "left")
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
+    marked = docs.join(good, "doc_id", "left")
     return score(docs, train(marked, F.col("good")))
 
 
