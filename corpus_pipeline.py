@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one known language has at least half."""
+    """Documents of which one known language has at least two fifths."""
     model = langid.train(docs, F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
     return filters.in_a_language(docs, model)
 

@@ -26,7 +26,7 @@ def not_toxic(docs: DataFrame, model: toxicity.Model, most: float = 0.5, text: s
     return where_text(docs, lambda texts: np.array(toxicity.document_scores(texts, shared.value)[0]) < most, text)
 
 
-def in_a_language(docs: DataFrame, model: langid.Model, least: float = 0.5, text: str = "text") -> DataFrame:
+def in_a_language(docs: DataFrame, model: langid.Model, least: float = 0.4, text: str = "text") -> DataFrame:
     """Rows of which one known language has at least the share `least`; texts without a letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -18,19 +18,20 @@ in alphabetical order.  Repeated rows are labelled alike.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling
 from .text import LETTER, RunHasher, kinds_of, mix, slices, words
 
 SENTENCE, ROWS = 40, 1 << 16
-#: Bounds of the training sample: documents and lexicon words of a language, sequences in all.
-LANGUAGE_DOCS, LEXICON, SEQUENCES = 250, 300, 12_000
+#: Bounds of the training sample: documents and lexicon words of a language, sequences in all, languages (the commonest).
+LANGUAGE_DOCS, LEXICON, SEQUENCES, LANGUAGES = 250, 300, 12_000, 200
 EPOCHS, BATCH, RATE, SHRINK = 4, 128, 0.15, 1e-5
 
 
@@ -97,11 +98,11 @@ def emissions(w: Words, model: Model) -> np.ndarray:
     return out
 
 
-def forward_backward(score: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word marginals and summed expected transitions of padded sequences (sequences, words, languages)."""
+def forward_backward(score: np.ndarray, length: np.ndarray, moves: np.ndarray, transitions: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Word marginals and, if asked for, summed expected transitions of padded sequences (sequences, words, languages)."""
     b, t, k = score.shape
     e = np.exp(score - score.max(axis=2, keepdims=True))
-    a = np.exp(moves)
+    a = np.exp(moves).astype(score.dtype)
     alpha, beta = np.empty_like(e), np.ones_like(e)
     alpha[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
     for i in range(1, t):
@@ -113,17 +114,18 @@ def forward_backward(score: np.ndarray, length: np.ndarray, moves: np.ndarray) -
         x = ahead @ a.T
         live = (i + 1 < length)[:, None]
         beta[:, i] = np.where(live, x / x.sum(axis=1, keepdims=True), 1.0)
-        pair = alpha[:, i, :, None] * a * ahead[:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        expected += (pair * live[:, :, None]).sum(axis=0)
+        if transitions:
+            pair = alpha[:, i, :, None] * a * ahead[:, None, :]
+            pair /= pair.sum(axis=(1, 2), keepdims=True)
+            expected += (pair * live[:, :, None]).sum(axis=0)
     both = alpha * beta
     return both / both.sum(axis=2, keepdims=True), expected
 
 
 def marginals(w: Words, model: Model) -> np.ndarray:
     """Language probabilities of every word."""
-    score = emissions(w, model)
-    out = np.zeros((len(w.doc), len(model.languages)))
+    score = emissions(w, model).astype(np.float32)
+    out = np.zeros((len(w.doc), len(model.languages)), np.float32)
     length = np.bincount(w.sentence)
     first = np.cumsum(length) - length
     for low, high in ((0, 6), (6, 12), (12, 20), (20, SENTENCE)):
@@ -132,7 +134,7 @@ def marginals(w: Words, model: Model) -> np.ndarray:
             size = int(length[part].max())
             inside = np.arange(size) < length[part][:, None]
             at = np.where(inside, first[part][:, None] + np.arange(size), first[part][:, None])
-            found, _ = forward_backward(score[w.distinct[at]], length[part], model.moves)
+            found, _ = forward_backward(score[w.distinct[at]], length[part], model.moves, False)
             out[at[inside]] = found[inside]
     return out
 
@@ -231,9 +233,12 @@ def train(docs: DataFrame, held_out=None, doc_id: str = "doc_id", text: str = "t
     own = docs.select(doc_id, lang).where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     if held_out is not None:
         own = own.where(~held_out)
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id, F.lit(4)), doc_id)
-    ids = own.withColumn("own_rank", F.row_number().over(order)).where(F.col("own_rank") <= language_docs).select(doc_id)
-    some = sampling.fetch(docs.where(F.col(lang).isNotNull()), ids, doc_id, [text, lang], 20_000)
+    # one small ordered limit a language, so that no language's ids meet in one task
+    names = [r[0] for r in own.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()]
+    if not names:
+        return fit([], [])
+    ids = functools.reduce(DataFrame.unionByName, [sampling.by_hash(own.where(F.col(lang) == n), doc_id, language_docs, 4) for n in names])
+    some = sampling.fetch(docs.where(F.col(lang).isNotNull()), ids.distinct(), doc_id, [text, lang], 20_000)
     return fit(some[text].tolist(), some[lang].tolist())
 
 

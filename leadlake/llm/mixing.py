@@ -10,7 +10,8 @@ tables of the distribution stay short whatever the rate.
 
 Null source is a source of its own, null ids hash as the text `null`, repeated
 rows draw alike, null or empty texts are copied like others, an empty table
-gives an empty result; further columns are kept as they are.
+gives an empty result; further columns are kept as they are, but for ones named
+like the two that are added.
 """
 
 from __future__ import annotations
@@ -61,18 +62,16 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, size: f
     """
     by_source = rates(docs, targets, size, source).cache()
     small = by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    names = docs.columns
-    ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    with_rate = docs.withColumn("mix_key", _key(source)).join(F.broadcast(by_source) if small else by_source, "mix_key")
-    drawn = with_rate.withColumn("mix_draw", F.explode(F.sequence(F.lit(1), F.col("draws"))))
-    u = (hash48(ident, F.col("mix_draw"), F.lit(seed)) + F.lit(0.5)) / F.lit(float(2**48))
-    drawn = drawn.withColumn("mix_u", u)
-    copies = F.size(F.filter("cdf", lambda c: F.col("mix_u") > c))
-    drawn = drawn.withColumn("mix_n", copies).where("mix_n > 0")
-    each = drawn.withColumn("mix_part", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
-    each = each.withColumn("mix_copy", ((F.col("mix_draw") - 1).cast("long") * F.lit(1000) + F.col("mix_part")))
-    each = each.withColumn("mix_order", hash48(ident, F.col("mix_copy"), F.lit(seed), F.lit("order")))
-    return each.select(*names, "mix_copy", "mix_order").repartition("mix_order").sortWithinPartitions("mix_order")
+    kept = [c for c in docs.columns if c not in ("mix_copy", "mix_order")]
+    # the document travels as one column, so that its own columns may have any name
+    rows = docs.select(F.struct(*kept).alias("doc"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("ident"), _key(source).alias("mix_key"))
+    drawn = rows.join(F.broadcast(by_source) if small else by_source, "mix_key").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("draws"))))
+    u = (hash48(F.col("ident"), F.col("draw"), F.lit(seed)) + F.lit(0.5)) / F.lit(float(2**48))
+    drawn = drawn.withColumn("u", u).withColumn("n", F.size(F.filter("cdf", lambda c: F.col("u") > c))).where("n > 0")
+    each = drawn.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    each = each.withColumn("mix_copy", (F.col("draw") - 1).cast("long") * F.lit(1000) + F.col("part"))
+    each = each.withColumn("mix_order", hash48(F.col("ident"), F.col("mix_copy"), F.lit(seed), F.lit("order")))
+    return each.select("doc.*", "mix_copy", "mix_order").repartition("mix_order").sortWithinPartitions("mix_order")
 
 
 def sql(table: str = "documents", size: float = 1.0, seed: int = 0, columns: str = "doc_id, text, lang, source, n_chars") -> str:

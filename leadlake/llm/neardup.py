@@ -250,10 +250,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     first = own.where("content IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own_row")).alias("k"))
     kept = first.select(F.col("k.own_row").alias("own_row")).unionByName(own.where("content IS NULL").select("own_row").distinct())
     kept = written(kept.distinct(), "kept")
-    names = docs.columns
-    rows = docs.withColumn("own_row", row_hash(doc_id, text)).join(kept, "own_row", "left_semi")
+    # the document travels as one column, so that its own columns may have any name
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), row_hash(doc_id, text).alias("own_row")).join(kept, "own_row", "left_semi")
     twice = own.groupBy("own_row", (F.col("content").isNull()).alias("bare")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND NOT bare")
     if not twice.isEmpty():
         again = rows.join(twice.select("own_row"), "own_row", "left_semi").dropDuplicates(["own_row"])
         rows = rows.join(twice.select("own_row"), "own_row", "left_anti").unionByName(again)
-    return rows.select(*names)
+    return rows.select("doc.*")

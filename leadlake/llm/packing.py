@@ -146,7 +146,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, piece_tokens: int | N
     dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
     kind = dict(cut.dtypes)["doc_id"]
 
-    def one(key, own: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], ignore_index=True)
         seq, offset = first_fit_decreasing(own["length"].to_numpy(), capacity)
         own["sequence_id"] = int(key[0]) * 2**32 + seq

@@ -87,7 +87,7 @@ def test_large_loose_group_in_blocks(spark, monkeypatch):
 
 def test_nulls_repeated_rows_and_clashing_names(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "A b c d e f!"), (2, None), (3, ""), (None, None), (4, "z y x w v u")]
-    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, content long, band long, root long")
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, content long, own_row long, root long")
     got = Counter(map(tuple, nd.near_duplicates(df).collect()))
     assert got == Counter([(1, 1), (1, 1), (None, 1), (2, 2), (3, 3), (None, None), (4, 4)])
     kept = nd.keep_one(df)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 from leadlake.llm import mixing, topk
 
 
@@ -44,7 +45,7 @@ def test_mixing_equals_plain_inversion_and_sql(spark):
 
     rng = random.Random(2)
     rows = [(i, f"t{i}", rng.choice(["a"] * 30 + ["b"] * 5 + ["c", None]), i % 3, "keep") for i in range(900)] + [(1, "t1", "a", 0, "keep"), (None, None, "b", None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, mix_key string").withColumnRenamed("mix_key", "extra")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, mix_key string").withColumns({"draws": F.lit("x"), "doc": F.lit(1), "mix_copy": F.lit(5)})
     got = mixing.mix(df)
     counts = Counter(r[2] for r in rows)
     h = lambda s: (int(hashlib.md5(s.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
