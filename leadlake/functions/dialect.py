@@ -101,6 +101,16 @@ class Dialect:
     def json(self, a: str, path: str) -> str:
         return f"get_json_object({a}, {self.lit('$.' + path)})"
 
+    def xor(self, a: str, b: str) -> str:
+        return f"({a} ^ {b})"
+
+    def from_hex(self, a: str) -> str:
+        """Two hexadecimal digits as an integer."""
+        return f"CAST(conv({a}, 16, 10) AS INT)"
+
+    def to_hex(self, a: str) -> str:
+        return f"lpad(lower(hex({a})), 2, '0')"
+
     def some(self, a: str, var: str, test: str) -> str:
         return f"({self.size(self.filter(a, var, test))} > 0)"
 
@@ -185,6 +195,15 @@ class Duck(Dialect):
     def first(self, a, var, test):
         return f"coalesce(nullif(list_position({self.map(a, var, f'CASE WHEN {test} THEN 1 ELSE 0 END')}, 1), 0), len({a}) + 1)"
 
+    def xor(self, a, b):
+        return f"xor({a}, {b})"
+
+    def from_hex(self, a):
+        return f"('0x' || {a})::INT"
+
+    def to_hex(self, a):
+        return f"printf('%02x', {a})"
+
     def json(self, a, path):
         return f"json_extract_string({a}, {self.lit('$.' + path)})"
 

@@ -23,26 +23,36 @@ def clean_emails(d):
     return f"SELECT CASE WHEN {c} IS NULL THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS n, count(DISTINCT {c}) AS distinct_emails FROM doc_emails GROUP BY 1"
 
 
-@operator("T3", "pages")
+def decoded(d, code: str) -> str:
+    """A protected address: the first byte is the key of all others."""
+    key = d.from_hex(f"substr({code}, 1, 2)")
+    last = f"CAST(floor(length({code}) / 2) AS INT)"
+    return d.join(d.map(d.sequence("2", last), "i", f"chr({d.xor(d.from_hex(f'substr({code}, CAST(2 * i - 1 AS INT), 2)'), key)})"), "")
+
+
+@operator("T3", "rich_pages")
 def protected_emails(d):
-    """Protected addresses (first byte is the key of all others), as found in attributes or links of each page."""
+    """Protected addresses, as found in attributes or links of each page, decoded."""
     hexes = d.extract_all("html", "(?:data-cfemail=\"|email-protection#)([0-9a-f]{6,})", 1)
-    return f"SELECT page_id, {d.explode(hexes)} AS code FROM pages"
+    return f"SELECT page_id, email FROM (SELECT page_id, {decoded(d, 'code')} AS email FROM (SELECT page_id, {d.explode(hexes)} AS code FROM rich_pages) a) b WHERE contains(email, '@')"
 
 
-@operator("T4", "page_text")
+@operator("T4", "rich_pages")
 def page_emails(d):
-    """Addresses of each page by source rank: links, then raw text."""
+    """Addresses of each page by source rank: links, then protected ones, then raw text; junk and overlong ones dropped."""
     link = d.extract_all("html", "(?i)mailto:([a-z0-9._%+-]+@[a-z0-9.-]+)", 1)
-    return f"SELECT DISTINCT page_id, source_rank, lower(email) AS email FROM (SELECT page_id, 1 AS source_rank, {d.explode(link)} AS email FROM page_text UNION ALL SELECT page_id, 2 AS source_rank, {d.explode(E.found(d, 'text'))} AS email FROM page_text) t WHERE length(email) <= 254"
+    hexes = d.extract_all("html", "(?:data-cfemail=\"|email-protection#)([0-9a-f]{6,})", 1)
+    raw = d.extract_all("html", "(?i)([a-z0-9._%+-]+@[a-z0-9.-]+[.][a-z]{2,7})", 1)
+    rows = f"SELECT page_id, 1 AS source_rank, {d.explode(link)} AS email FROM rich_pages UNION ALL SELECT page_id, 2 AS source_rank, {decoded(d, 'code')} AS email FROM (SELECT page_id, {d.explode(hexes)} AS code FROM rich_pages) a UNION ALL SELECT page_id, 3 AS source_rank, {d.explode(raw)} AS email FROM rich_pages"
+    return f"SELECT page_id, lower(email) AS email, min(source_rank) AS source_rank FROM ({rows}) t WHERE contains(email, '@') AND length(email) <= 254 AND length({local('email')}) <= 64 AND NOT {d.holds('lower(email)', R.CLEAN_JUNK)} GROUP BY page_id, lower(email)"
 
 
-@operator("T5", "pages")
+@operator("T5", "rich_pages")
 def jsonld_emails(d):
     """Addresses inside the linked-data scripts of each page."""
     bodies = d.extract_all("html", "(?is)<script[^>]*ld\\+json[^>]*>(.*?)</script>", 1)
     mails = d.extract_all(d.join(bodies, " "), "\"email\"\\s*:\\s*\"(?:mailto:)?([^\"]+@[^\"]+)\"", 1)
-    return f"SELECT page_id, {d.size(bodies)} AS scripts, {d.size(mails)} AS emails FROM pages"
+    return f"SELECT page_id, {d.size(bodies)} AS scripts, {d.join(mails, ';')} AS emails FROM rich_pages"
 
 
 @operator("T6", "leads")
@@ -443,8 +453,8 @@ def company_from_title(d):
 
 @operator("T43", "documents")
 def normalise_text(d):
-    """White space collapsed, and the text's length."""
-    return f"SELECT doc_id, length(trim({d.rep('text', '\\s+', ' ')})) AS n, {name_key(d.rep('left(text, 40)', '\\s+', ' '))} AS head FROM documents"
+    """Texts with white space collapsed, as length and digest."""
+    return f"SELECT doc_id, length(trim({d.rep('text', '\\s+', ' ')})) AS n, md5(trim({d.rep('text', '\\s+', ' ')})) AS digest FROM documents"
 
 
 @operator("T44", "page_text")

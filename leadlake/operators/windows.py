@@ -80,15 +80,14 @@ def choose_site_email(d):
     return f"SELECT doc_id, kind, email FROM (SELECT doc_id, kind, email, row_number() OVER (PARTITION BY doc_id, kind ORDER BY CASE WHEN {free_mail(d, 'email')} THEN 1 ELSE 0 END, lower(email), email) AS n FROM (SELECT DISTINCT doc_id, email, {kind} AS kind FROM doc_emails) e) t WHERE n = 1"
 
 
-@operator("W9", "page_text")
+@operator("W9", "rich_pages")
 def choose_first_email(d):
-    """First address of each page by source: mailto links, attributes, raw text."""
-    from ..functions.emails import found
-
-    mailto = f"nullif(lower({d.extract('html', '(?i)mailto:([^\"?> ]+@[^\"?> ]+)', 1)}), '')"
-    attr = f"nullif(lower({d.extract('html', '(?i)(?:alt|title|content|data-[a-z]+)=\"[^\"]*?([a-z0-9._%+-]+@[a-z0-9.-]+[.][a-z]{2,7})', 1)}), '')"
-    text = d.at(found(d, "text"), "1")
-    return f"SELECT page_id, coalesce({mailto}, {attr}, lower({text})) AS email, CASE WHEN {mailto} IS NOT NULL THEN 1 WHEN {attr} IS NOT NULL THEN 2 WHEN {text} IS NOT NULL THEN 3 END AS source_rank FROM page_text"
+    """First address of each page by source: mail links, attributes, linked data, visible text."""
+    part = lambda p: f"nullif(lower({d.extract('html', p, 1)}), '')"
+    mail = "[a-z0-9._%+-]+@[a-z0-9.-]+[.][a-z]{2,7}"
+    sources = [part(f'(?i)mailto:({mail})'), part(f'(?i)(?:alt|title|content|data-[a-z]+)="[^"]*?({mail})'), part(f'(?is)ld[+]json.*?"email"\\s*:\\s*"(?:mailto:)?({mail})'), part(f"(?i)>[^<]*?({mail})[^<]*<")]
+    rank = " ".join(f"WHEN {s} IS NOT NULL THEN {i}" for i, s in enumerate(sources, 1))
+    return f"SELECT page_id, coalesce({', '.join(sources)}) AS email, CASE {rank} END AS source_rank FROM rich_pages"
 
 
 @operator("W10", "leads")

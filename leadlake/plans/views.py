@@ -108,6 +108,15 @@ def page_text(d: Dialect) -> str:
         trim({d.rep(d.extract('html', '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>|\\s+', ' ')}) AS h1 FROM pages"""
 
 
+def rich_pages(d: Dialect) -> str:
+    """Pages with a protected address, a mail link or linked data added by remainder of the page's number."""
+    mail = f"'office@' || {host(d, 'url')}"
+    key = "CAST(page_id % 200 + 11 AS INT)"
+    code = d.to_hex(key) + " || " + d.join(d.map(d.sequence("1", f"CAST(length({mail}) AS INT)"), "i", d.to_hex(d.xor(f"ascii(substr({mail}, i, 1))", key))), "")
+    return f"""SELECT page_id, url, {host(d, 'url')} AS host, html || CASE page_id % 4 WHEN 0 THEN '<a class="x" data-cfemail="' || {code} || '">[hidden]</a>' WHEN 1 THEN '<a href="mailto:' || {mail} || '?subject=x">write</a>'
+        WHEN 2 THEN '<script type="application/ld+json">{{"@type":"Organization","contactPoint":{{"email":"' || {mail} || '"}}}}</script>' ELSE '<img alt="mail ' || {mail} || '">' END AS html FROM pages"""
+
+
 def site_links(d: Dialect) -> str:
     """Anchors of each page in order; some targets are renamed to navigation pages by their place."""
     own = lambda href, pos: f"CASE ({pos}) % 4 WHEN 1 THEN '/about-' || replace({href}, '/', '') WHEN 2 THEN '/contact' ELSE {href} END"
@@ -136,6 +145,7 @@ VIEWS = {
     "places": (places, []),
     "usage": (usage, []),
     "page_text": (page_text, []),
+    "rich_pages": (rich_pages, []),
     "site_links": (site_links, []),
     "doc_emails": (doc_emails, []),
 }

@@ -106,3 +106,10 @@ def test_domain_match(spark):
 def test_keys(spark, url, key, host):
     assert both(spark, lambda d: K.website_key(d, "u"), ["u"], [(url,)]) == [key]
     assert both(spark, lambda d: K.host(d, "u"), ["u"], [(url,)]) == [host]
+
+
+def test_protected_addresses(spark):
+    from leadlake.operators.texts import decoded
+
+    rows = [("427b7a", "98"), ("11707f7051777e7e3f72", "ana@foo.c")]
+    assert both(spark, lambda d: decoded(d, "c"), ["c"], [r[:1] for r in rows]) == [r[1] for r in rows]
