@@ -18,11 +18,12 @@ COLUMNS = ["company_name", "website", "sector", "contact_name", "email", "locati
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
+    """A new folder under the shared checkpoint folder; where that is unset (local tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="leadlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

@@ -56,7 +56,7 @@ def leads(d: Dialect) -> str:
         CASE WHEN k % 7 = 3 THEN '01483 ' || lpad(CAST(k % 1000000 AS STRING), 6, '0') END AS phone,
         CASE WHEN k % 5 = 2 THEN 'pl' || CAST(k % 40 AS STRING) END AS place_id,
         k % 13 = 6 AS missing_name_final,
-        {f"DATE '2016-01-01' + CAST(k % 3000 AS INT)" if d.duck else "date_add(DATE '2016-01-01', CAST(k % 3000 AS INT))"} AS date_of_creation,
+        {f"DATE '2016-01-01' + CAST(k * 7 % 3000 AS INT)" if d.duck else "date_add(DATE '2016-01-01', CAST(k * 7 % 3000 AS INT))"} AS date_of_creation,
         {f"DATE '2024-06-01' + CAST(k % 30 AS INT)" if d.duck else "date_add(DATE '2024-06-01', CAST(k % 30 AS INT))"} AS last_enriched_date
       FROM (SELECT c.c_custkey AS k, c.c_mktsegment, p.url, n.n_name,
           {pick(d, COMPANY, f'c.c_custkey % {len(COMPANY)}')} || ' ' || {pick(d, SUFFIX, slot('c.c_custkey', 9, len(SUFFIX)))} || CASE WHEN c.c_custkey % 3 = 0 THEN '' ELSE ' ' || CAST(c.c_custkey AS STRING) END AS company_name,
