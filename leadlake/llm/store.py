@@ -8,14 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}  # folders of local applications that name none
+
+
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (local tests) a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset (local tests) a temporary one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        _own[spark.sparkContext.applicationId] = root
     return root
 
 
