@@ -217,14 +217,16 @@ def registry_names(d):
 
 
 def geo_flags(d) -> str:
-    """Signals of each lead and its landed page (joined as l and p)."""
+    """Signals of each lead and of its landed page; a page's signals are found once, before the join."""
     post, town = "(?i)\\bGU[0-9]{1,2}\\s?[0-9][A-Z]{2}\\b", "(?i)\\b(?:" + "|".join(R.GEO_TOWNS) + ")\\b"
     word = lambda words: "(?i)\\b(?:" + "|".join(words) + ")\\b"
-    text, loc, name = "coalesce(p.text, '')", "coalesce(l.location, '')", "lower(l.company_name)"
+    loc, name = "coalesce(l.location, '')", "lower(l.company_name)"
     site, mail = host(d, "l.website"), "lower(split_part(l.generic_email, '@', 2))"
-    return f"""SELECT l.lead_id, l.website IS NOT NULL AS has_site, {text} <> '' AS has_text, {d.match(loc, post)} AS loc_post, {d.match(loc, town)} AS loc_town, {d.match(text, post)} AS text_post, {d.match(text, town)} AS text_town,
-        {d.match(text, word(R.EXCLUDE_TEXT))} AS x_exclude, {d.match(text, word(R.SHELL_TEXT))} AS x_shell, {d.match(text, word(R.DORMANT_TEXT))} AS x_dormant, {d.match(text, word(R.REVIEW_TEXT))} AS x_scope, {d.size(d.split(text, '\\s+'))} < 50 AS thin,
-        coalesce({mail} <> {site} AND NOT {d.starts(mail, f"split_part({site}, '.', 1)")}, false) AS mismatch, {d.holds(name, R.SHELL_NAMES)} AS shell_name FROM leads l LEFT JOIN (SELECT url, text FROM page_text) p ON p.url = l.website"""
+    signs = {"has_text": "text <> ''", "text_post": d.match("text", post), "text_town": d.match("text", town), "x_exclude": d.match("text", word(R.EXCLUDE_TEXT)), "x_shell": d.match("text", word(R.SHELL_TEXT)), "x_dormant": d.match("text", word(R.DORMANT_TEXT)), "x_scope": d.match("text", word(R.REVIEW_TEXT))}
+    page = "SELECT url, " + ", ".join(f"{e} AS {n}" for n, e in signs.items()) + f", {d.size(d.split('text', '\\s+'))} < 50 AS thin FROM page_text"
+    flags = ", ".join(f"coalesce(p.{n}, false) AS {n}" for n in signs)
+    return f"""SELECT l.lead_id, l.website IS NOT NULL AS has_site, {flags}, {d.match(loc, post)} AS loc_post, {d.match(loc, town)} AS loc_town, coalesce(p.thin, true) AS thin,
+        coalesce({mail} <> {site} AND NOT {d.starts(mail, f"split_part({site}, '.', 1)")}, false) AS mismatch, {d.holds(name, R.SHELL_NAMES)} AS shell_name FROM leads l LEFT JOIN ({page}) p ON p.url = l.website"""
 
 
 @operator("T24", "leads", "page_text")
@@ -383,18 +385,22 @@ def significant(d, words: str) -> str:
     return d.filter(words, "w", f"length(w) > 2 AND NOT {d.word('w', R.SLUG_STOP)}")
 
 
-def validation(d, text: str, company: str, pattern: str) -> str:
-    """Confidence in a page as a company's site by a slug pattern."""
-    low = f"lower({text})"
-    named = d.some(significant(d, slug_words(d, company)), "w", f"contains({low}, w)")
-    geo = d.match(text, "(?i)\\bGU[0-9]|Surrey|Godalming|Guildford|Farnham|Woking|Haslemere\\b")
-    return f"CASE WHEN {d.holds(low, R.PARKED)} OR NOT {named} THEN 'reject' WHEN {d.size(d.split(text, '\\s+'))} < 100 OR {pattern} IN (6, 7) THEN 'low' WHEN {geo} THEN 'high' ELSE 'medium' END"
+def page_signs(d) -> str:
+    """What each page says for itself as a company's site; found once a page."""
+    geo = d.match("text", "(?i)\\bGU[0-9]|Surrey|Godalming|Guildford|Farnham|Woking|Haslemere\\b")
+    return f"SELECT page_id, url, low, {d.holds('low', R.PARKED)} AS parked, {d.size(d.split('low', '\\s+'))} < 100 AS thin, {geo} AS geo FROM (SELECT page_id, url, text, lower(text) AS low FROM page_text) own_pages"
+
+
+def validation(d, company: str, pattern: str) -> str:
+    """Confidence in a page p (with its signs) as a company's site by a slug pattern."""
+    named = d.some(significant(d, slug_words(d, company)), "w", "contains(p.low, w)")
+    return f"CASE WHEN p.parked OR NOT {named} THEN 'reject' WHEN p.thin OR {pattern} IN (6, 7) THEN 'low' WHEN p.geo THEN 'high' ELSE 'medium' END"
 
 
 @operator("T37", "page_text", "leads")
 def validate_site(d):
     """Each lead's landed page as its site."""
-    return f"SELECT l.lead_id, p.page_id, {validation(d, 'p.text', 'l.company_name', 'l.pattern')} AS confidence FROM (SELECT lead_id, website, company_name, ingest_seq % 7 + 1 AS pattern FROM leads) l JOIN page_text p ON p.url = l.website"
+    return f"SELECT l.lead_id, p.page_id, {validation(d, 'l.company_name', 'l.pattern')} AS confidence FROM (SELECT lead_id, website, company_name, ingest_seq % 7 + 1 AS pattern FROM leads) l JOIN ({page_signs(d)}) p ON p.url = l.website"
 
 
 def candidate_rows(d) -> str:

@@ -161,10 +161,13 @@ def resolve_contact(d):
 @operator("J10", "leads", "page_text")
 def accept_domain(d):
     """First candidate site of each lead, its own one first, then in pattern order, whose landed page validates."""
-    from .texts import candidate_rows, validation
+    from .texts import candidate_rows, page_signs, validation
 
-    own = f"SELECT lead_id, 0 AS pattern, 0 AS place, website AS url FROM leads WHERE website IS NOT NULL AND NOT {social(d, 'website')}"
+    own = f"SELECT lead_id, 0 AS pattern, 0 AS place, website AS url, website AS landed FROM leads WHERE website IS NOT NULL AND NOT {social(d, 'website')}"
+    slugs = f"SELECT lead_id, pattern, place, url, {host(d, 'url')} AS landed FROM ({candidate_rows(d)}) r"
+    # one page stands for a candidate: the lead's own, or the first of the host
+    first = "SELECT url AS landed, min(page_id) AS page_id FROM page_text GROUP BY url UNION ALL SELECT host AS landed, min(page_id) AS page_id FROM page_text GROUP BY host"
     return f"""SELECT lead_id, pattern, url, confidence FROM (SELECT lead_id, pattern, url, confidence, row_number() OVER (PARTITION BY lead_id ORDER BY place, page_id) AS n FROM (
-        SELECT c.lead_id, c.pattern, c.place, c.url, p.page_id, {validation(d, 'p.text', 'l.company_name', 'c.pattern')} AS confidence
-        FROM ({own} UNION ALL {candidate_rows(d)}) c JOIN leads l ON l.lead_id = c.lead_id JOIN page_text p ON p.host = lower({host(d, 'c.url')})) v WHERE confidence <> 'reject') t WHERE n = 1"""
+        SELECT c.lead_id, c.pattern, c.place, c.url, p.page_id, {validation(d, 'l.company_name', 'c.pattern')} AS confidence
+        FROM ({own} UNION ALL {slugs}) c JOIN ({first}) f ON f.landed = c.landed JOIN leads l ON l.lead_id = c.lead_id JOIN ({page_signs(d)}) p ON p.page_id = f.page_id) v WHERE confidence <> 'reject') t WHERE n = 1"""
 
