@@ -208,6 +208,7 @@ def fit(texts: list[str], toxic: np.ndarray, alarm: float = 0.004) -> Model:
     if not keys or not (use & toxic).any() or not (use & ~toxic).any():
         return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, alarm)
     rows = tuple(map(np.concatenate, (keys, docs, kind, word)))
+    del keys, docs, kind, word
     even = np.arange(len(texts)) % 2 == 0
     half = Model(*_tokens(*rows, toxic, use & even), 1.0, 1.0, alarm)
     half = _calibrate(half, [texts[i] for i in np.flatnonzero(use & ~even & ~toxic)])
