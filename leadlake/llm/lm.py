@@ -1,9 +1,9 @@
 """Cross-entropy difference of two matched bigram models.
 
-Both models share one vocabulary (the commonest words of all documents, all
-others being one unknown word), one order and one smoothing; the background
-model counts every document, the target model those of the target.  A token w
-after v (each document begins after a start mark) has the probability
+Both models share one vocabulary (every word of all documents), one order and
+one smoothing; the background model counts every document, the target model
+those of the target.  A token w after v (each document begins after a start
+mark) has the probability
 
     (c(v w) + M u(w)) / (c(v) + M),   u(w) = (c(w) + 1) / (n + V)
 
@@ -11,11 +11,17 @@ with M the mean count of the model's contexts, which matches models of different
 size.  A document's score is the mean over its tokens of the target's loss less
 the background's: the lower, the more like the target.
 
-Bigrams are counted in `BUCKETS` hash buckets, so what is broadcast is bounded
-whatever the corpus; counting itself is grouped on the cluster and grows with it.
-Null, empty and wordless documents have no tokens: losses and score are null.
-Repeated rows count and score each time; without target rows the target model is
-uniform.
+Counts are exact (words are told apart by 64-bit hashes) and stay on the
+cluster: words and bigrams are tables in the checkpoint folder that grow with the
+corpus, and each bigram's two losses are worked out once.  Scoring has two tiers.
+The commonest bigrams are broadcast and summed where the text is; they decide
+only speed.  A document's other bigrams, added up first, are joined to the table,
+where each is rare, so no key is skewed.  Lookups of words are split alike.
+
+A caller may bound the vocabulary; all words but the commonest are then one
+unknown word.  Null, empty and wordless documents have no tokens: losses and
+score are null.  Repeated rows count and score each time; bigrams that the model
+has not met are smoothed only.  Without target rows the target model is uniform.
 """
 
 from __future__ import annotations
@@ -27,126 +33,189 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .text import mix, slices, spans, words
 
-#: Bounds of the model: words, and hash buckets of bigrams (8 bytes each).
-VOCABULARY, BUCKETS = 16_384, 1 << 19
+#: Broadcast bigrams (24 bytes each) and words, the commonest; bounds of speed, not of the model.
+NEAR_PAIRS, NEAR_WORDS = 1 << 19, 1 << 16
+#: Code points of which a task adds up counts before it passes them on.
+COUNT_CHARS = 4_000_000
+UNKNOWN, START = np.uint64(0), np.uint64(1)
+SIDES = ("background", "target")
 
 
 @dataclass
 class Model:
-    vocabulary: np.ndarray  # sorted word hashes; word i has id i + 1, unknown 0, start len + 1
-    bigrams: np.ndarray  # (2, BUCKETS): background, target
-    contexts: np.ndarray  # (2, ids)
-    unigrams: np.ndarray  # (2, ids)
-
-
-def ids_of(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at + 1, 0)
-
-
-def pairs(texts: list[str], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context id, word id, text index) of every token."""
-    h, doc, *_ = words(texts)
-    word = ids_of(h, vocabulary)
+    words: DataFrame  # key, and the counts word_background, word_target, context_background, context_target
+    pairs: DataFrame  # context, word, background (count), target_loss, background_loss
+    known: np.ndarray | None  # sorted word hashes of a bounded vocabulary
+    ids: int  # V
+    total: dict[str, float]
+    mass: dict[str, float]
+
+    @property
+    def vocabulary(self) -> np.ndarray:
+        """The hashes of all words, collected."""
+        if self.known is not None:
+            return self.known
+        found = self.words.where(F.col("word_background") > 0).select("key").toPandas()["key"]
+        return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+    def loss(self, pair, context, word, side: str):
+        """Minus the logarithm of the probability, from three columns of counts."""
+        prior = (word + 1) / F.lit(self.total[side] + self.ids)
+        return -F.log((pair + F.lit(self.mass[side]) * prior) / (context + F.lit(self.mass[side])))
+
+
+def pairs(texts: list[str], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context hash, word hash, text index) of every token."""
+    word, doc, *_ = words(texts)
+    if known is not None:
+        at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+        word = np.where(known[at] == word, word, UNKNOWN) if len(known) else np.zeros(len(word), np.uint64)
     context = np.empty_like(word)
     context[1:] = word[:-1]
     at = spans(doc, len(texts))
     heads = at[:-1][np.diff(at) > 0]
-    context[heads] = len(vocabulary) + 1
+    context[heads] = START
     return context, word, doc
 
 
-def bucket(context: np.ndarray, word: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    return (mix(context.astype(np.uint64) * np.uint64(1 << 32) + word.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(context) + word)
 
 
 def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+    return pa.array(np.ascontiguousarray(h).view(np.int64))
 
 
-def _count(rows: DataFrame, expand, schema: str) -> DataFrame:
+def _count(rows: DataFrame, expand, names: list[str]) -> DataFrame:
     """Rows of `expand(texts, target)` summed by key; each task adds up its own slices' rows before the shuffle does."""
 
     def run(batches):
         for b in batches:
             target = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, part in slices(b.column(0).to_pylist(), 4_000_000):
-                keys, background, own = expand(part, target[first : first + len(part)])
-                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(background, pa.int64()), pa.array(own, pa.int64())], ["key", "background", "target"])
+            for first, part in slices(b.column(0).to_pylist(), COUNT_CHARS):
+                *keys, background, own = expand(part, target[first : first + len(part)])
+                yield pa.RecordBatch.from_arrays([*map(_signed, keys), pa.array(background, pa.int64()), pa.array(own, pa.int64())], [*names, *SIDES])
 
-    return rows.mapInArrow(run, schema).groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    schema = ", ".join(f"{c} long" for c in [*names, *SIDES])
+    return rows.mapInArrow(run, schema).groupBy(*names).agg(*(F.sum(s).alias(s) for s in SIDES))
 
 
 def _sums(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, minlength=len(distinct)), np.bincount(at, own, len(distinct)).astype(np.int64)
+    """Where each distinct key is first, and its counts in both models."""
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    return first, np.bincount(at, minlength=len(first)), np.bincount(at, own, len(first)).astype(np.int64)
+
+
+def _least(rows: DataFrame, count: str, most: int) -> int:
+    """The least count that at most `most` rows reach."""
+    held, least = 0, None
+    for r in sorted(rows.groupBy(count).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
+        held += r["rows"]
+        if held > most:
+            break
+        least = r[count]
+    return least if least is not None else (1 << 62)
 
 
-def train(docs: DataFrame, target, text: str = "text", vocabulary: int = VOCABULARY, buckets: int = BUCKETS) -> Model:
-    """Counts over all documents; `target` is a boolean column that tells the target's documents."""
+def _with(rows: DataFrame, table: DataFrame, near, key: str) -> DataFrame:
+    """`rows` with the table's counts (0 if it has none); keys where `near` holds are broadcast, so the shuffle has no frequent one."""
+    common, columns = table.where(near).drop("size"), [c for c in table.columns if c not in (key, "size")]
+    here = rows.join(F.broadcast(common), key)
+    away = rows.join(F.broadcast(common.select(key)), key, "left_anti").join(table.where(~near).drop("size"), key, "left")
+    return here.unionByName(away).fillna(0, columns)
+
+
+def _counted(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of context and word with the counts of both as context and word."""
+    size = F.col("word_background") + F.col("context_background")
+    least = _least(counts.select(size.alias("size")), "size", NEAR_WORDS)
+    near = F.col("size") >= least
+    for key in ("context", "word"):
+        rows = _with(rows, counts.select(F.col("key").alias(key), size.alias("size"), f"{key}_background", f"{key}_target"), near, key)
+    return rows
+
+
+def train(docs: DataFrame, target, text: str = "text", vocabulary: int | None = None, buckets: int | None = None) -> Model:
+    """Counts over all documents; `target` is a boolean column that tells the target's documents.
+
+    `vocabulary` bounds the words (the commonest; none: all words). `buckets` has no effect, as bigrams are counted exactly.
+    """
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    schema = "key long, background long, target long"
+    known = None
+    if vocabulary is not None:
 
-    def each_word(part, own):
-        h, doc, *_ = words(part)
-        return _sums(h, own[doc])
+        def each_word(part, own):
+            h, doc, *_ = words(part)
+            first, *n = _sums(h, own[doc])
+            return h[first], *n
 
-    counts = _count(rows, each_word, schema)
-    top = counts.orderBy(F.desc("background"), "key").limit(vocabulary).select("key").toPandas()["key"].to_numpy(np.int64)
-    known = np.sort(top.view(np.uint64))
+        counts = _count(rows, each_word, ["key"])
+        top = counts.orderBy(F.desc("background"), "key").limit(vocabulary).select("key").toPandas()["key"].to_numpy(np.int64)
+        known = np.sort(top.view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def each_pair(part, own):
         context, word, doc = pairs(part, shared.value)
-        # buckets of bigrams, then contexts, then words
-        keys = np.concatenate([bucket(context, word, buckets), buckets + context, buckets + len(shared.value) + 2 + word]).astype(np.uint64)
-        return _sums(keys, np.tile(own[doc], 3))
-
-    found = _count(rows, each_pair, schema).toArrow()
-    n = len(known) + 2
-    flat = np.zeros((2, buckets + 2 * n), np.float64)
-    flat[:, found.column("key").to_numpy()] = [found.column("background").to_numpy(), found.column("target").to_numpy()]
-    return Model(known, flat[:, :buckets].astype(np.float32), flat[:, buckets : buckets + n], flat[:, buckets + n :])
-
-
-def losses(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, target loss, background loss) of each text; losses are sums over its tokens, in nats."""
-    size, out = [], []
-    buckets = model.bigrams.shape[1]
-    prior = []
-    for side in (0, 1):
-        total = model.unigrams[side].sum()
-        prior.append((model.unigrams[side] + 1) / (total + model.unigrams.shape[1]))
-    mass = [max(1.0, model.contexts[s].sum() / max(1, (model.contexts[s] > 0).sum())) for s in (0, 1)]
-    for _, part in slices(texts):
-        context, word, doc = pairs(part, model.vocabulary)
-        at = bucket(context, word, buckets)
-        size.append(np.bincount(doc, minlength=len(part)))
-        both = []
-        for side in (1, 0):
-            p = (np.minimum(model.bigrams[side][at], model.contexts[side][context]) + mass[side] * prior[side][word]) / (model.contexts[side][context] + mass[side])
-            both.append(np.bincount(doc, -np.log(p), len(part)))
-        out.append(both)
-    if not size:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-    return np.concatenate(size), np.concatenate([b[0] for b in out]), np.concatenate([b[1] for b in out])
+        first, *n = _sums(pair_keys(context, word), own[doc])
+        return context[first], word[first], *n
+
+    found = written(_count(rows, each_pair, ["context", "word"]), "lm-bigrams")
+    sides = [F.col(s) for s in SIDES]
+    zero = F.lit(0).cast("long")
+    both = found.select(F.col("word").alias("key"), *(s.alias(f"word_{n}") for s, n in zip(sides, SIDES, strict=True)), *(zero.alias(f"context_{n}") for n in SIDES)).unionByName(
+        found.select(F.col("context").alias("key"), *(zero.alias(f"word_{n}") for n in SIDES), *(s.alias(f"context_{n}") for s, n in zip(sides, SIDES, strict=True)))
+    )
+    columns = both.columns[1:]
+    counts = written(both.groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)), "lm-words")
+    size = counts.agg(F.count_if(F.col("word_background") > 0).alias("words"), *(F.sum(c).alias(c) for c in columns), *(F.count_if(F.col(f"context_{s}") > 0).alias(f"n_{s}") for s in SIDES)).first()
+    total = {s: float(size[f"word_{s}"] or 0) for s in SIDES}
+    mass = {s: max(1.0, (size[f"context_{s}"] or 0) / max(1, size[f"n_{s}"])) for s in SIDES}
+    model = Model(counts, found, known, (size["words"] if known is None else len(known)) + 2, total, mass)
+    losses = (model.loss(F.col(s), F.col(f"context_{s}"), F.col(f"word_{s}"), s).alias(f"{s}_loss") for s in SIDES)
+    model.pairs = written(_counted(found, counts).select("context", "word", "background", *losses), "lm-losses")
+    return model
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and their difference, per token."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    common = model.pairs.where(F.col("background") >= _least(model.pairs, "background", NEAR_PAIRS)).toArrow()
+    keys = pair_keys(*(common.column(c).to_numpy().view(np.uint64) for c in ("context", "word")))
+    order = np.argsort(keys)
+    tier = keys[order], *(common.column(f"{s}_loss").to_numpy()[order] for s in SIDES)
+    shared = docs.sparkSession.sparkContext.broadcast((model.known, tier))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
+        known, (keys, *near) = shared.value
         for b in batches:
-            n, target, background = losses(b.column(1).to_pylist(), shared.value)
-            empty = n == 0
-            per = [pa.array(x / np.maximum(n, 1), pa.float64(), mask=empty) for x in (target, background, target - background)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *per], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+            for first, part in slices(b.column(2).to_pylist(), COUNT_CHARS):
+                context, word, doc = pairs(part, known)
+                own = pair_keys(context, word)
+                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                here = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+                sums = [np.bincount(doc[here], n[at[here]], len(part)) for n in near]
+                away = np.flatnonzero(~here)
+                away = away[np.lexsort((own[away], doc[away]))]
+                new = np.ones(len(away), bool)
+                new[1:] = (own[away][1:] != own[away][:-1]) | (doc[away][1:] != doc[away][:-1])
+                head = np.flatnonzero(new)
+                times = np.diff(np.append(head, len(away)))
+                head = away[head]
+                rest = pa.StructArray.from_arrays([_signed(context[head]), _signed(word[head]), pa.array(times, pa.int64())], ["context", "word", "times"])
+                rest = pa.ListArray.from_arrays(pa.array(spans(doc[head], len(part)), pa.int32()), rest)
+                n = pa.array(np.bincount(doc, minlength=len(part)), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), n, *(pa.array(x, pa.float64()) for x in sums), rest], ["doc_id", "row", "n_tokens", *SIDES, "rest"])
+
+    base = written(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, background double, target double, rest array<struct<context: long, word: long, times: long>>"), "lm-rows")
+    rest = base.select("row", F.inline("rest"))
+    table = model.pairs.select("context", "word", *(F.col(f"{s}_loss") for s in SIDES))
+    met = rest.join(table, ["context", "word"])
+    unmet = _counted(rest.join(table, ["context", "word"], "left_anti"), model.words)
+    unmet = unmet.select("row", "times", *(model.loss(F.lit(0), F.col(f"context_{s}"), F.col(f"word_{s}"), s).alias(f"{s}_loss") for s in SIDES))
+    further = met.select(*unmet.columns).unionByName(unmet).groupBy("row").agg(*(F.sum(F.col("times") * F.col(f"{s}_loss")).alias(f"far_{s}") for s in SIDES))
+    mean = {s: F.when(F.col("n_tokens") > 0, (F.col(s) + F.coalesce(F.col(f"far_{s}"), F.lit(0.0))) / F.col("n_tokens")) for s in SIDES}
+    return base.drop("rest").join(further, "row", "left").select("doc_id", "n_tokens", mean["target"].alias("target_loss"), mean["background"].alias("background_loss"), (mean["target"] - mean["background"]).alias("score"))

@@ -127,6 +127,33 @@ def test_losses_equal_a_plain_bigram_model(spark):
     assert lm.score(df.limit(0), lm.train(df.limit(0), df.good)).count() == 0
 
 
+def test_model_grows_with_the_corpus(spark, monkeypatch):
+    # 30,000 distinct words: each bigram of one document is met once, those of the common pair often
+    rows = [(i, " ".join(f"w{i * 60 + j} common pair" for j in range(60)), i % 2 == 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(4)
+    model = lm.train(df, df.good)
+    assert len(model.vocabulary) == 30_002
+    n, v = 90_000, 30_002 + 2
+    mass = n / (30_002 + 1)  # contexts: all words and the start
+    first = -math.log((1 + mass * 2 / (n + v)) / (500 + mass))  # a word after the start
+    new = -math.log((1 + mass * 2 / (n + v)) / (29_500 + mass))  # a word after "pair"
+    common = -math.log((1 + mass * 30_001 / (n + v)) / (1 + mass))
+    pair = -math.log((30_000 + mass * 30_001 / (n + v)) / (30_000 + mass))
+    want = (first + 59 * new + 60 * common + 60 * pair) / 180
+    got = {r.doc_id: r for r in lm.score(df, model).collect()}
+    assert len(got) == 500 and all(r.n_tokens == 180 and abs(r.background_loss - want) < 1e-9 for r in got.values())
+    assert max(r.score for r in got.values() if r.doc_id % 2 == 0) < min(r.score for r in got.values() if r.doc_id % 2)
+    # the tiers decide only speed, and texts with unmet bigrams and words are smoothed
+    monkeypatch.setattr(lm, "NEAR_PAIRS", 0)
+    monkeypatch.setattr(lm, "NEAR_WORDS", 1)
+    for r in lm.score(df, model).collect():
+        assert abs(r.background_loss - want) < 1e-9 and abs(r.target_loss - got[r.doc_id].target_loss) < 1e-9
+    other = spark.createDataFrame([(None, "pair unmet"), (None, "pair unmet")], "doc_id long, text string")
+    want = -(math.log(mass * 30_001 / (n + v) / (500 + mass)) + math.log(mass / (n + v) / (29_500 + mass))) / 2
+    found = lm.score(other, model).collect()
+    assert len(found) == 2 and all(abs(r.background_loss - want) < 1e-9 for r in found)
+
+
 # --- language identification ---------------------------------------------------
 
 
