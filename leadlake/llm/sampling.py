@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Excerpts by which a long text stands in a sample.
+EXCERPTS = 20
+
 
 def by_hash(rows: DataFrame, key: str, most: int, seed: int = 1) -> DataFrame:
     """At most `most` distinct non-null keys, those of the smallest seeded hash; a column `key` alone."""
@@ -12,11 +15,19 @@ def by_hash(rows: DataFrame, key: str, most: int, seed: int = 1) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most)
 
 
+def excerpts(text: str, doc_id: str, most_chars: int):
+    """The text; of one longer than `most_chars`, a piece of every `EXCERPTS`-th of it, at a place that a hash of the id picks, `most_chars` in all."""
+    size, stride = max(1, most_chars // EXCERPTS), F.floor(F.length(text) / EXCERPTS)
+    start = lambda i: i * stride + F.pmod(F.xxhash64(F.col(doc_id), i), F.greatest(stride - size, F.lit(0)) + 1) + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(EXCERPTS - 1)), lambda i: F.substr(F.col(text), start(i).cast("int"), F.lit(size)))
+    return F.when(F.length(text) <= most_chars, F.col(text)).otherwise(F.array_join(pieces, "\n"))
+
+
 def fetch(docs: DataFrame, ids: DataFrame, doc_id: str, columns: list[str], most_chars: int = 100_000):
-    """The sampled documents as pandas, ordered by id. `ids` is bounded by its limit; texts longer than `most_chars` are left out of the sample."""
+    """The sampled documents as pandas, ordered by id. `ids` is bounded by its limit; texts longer than `most_chars` are cut to excerpts."""
     text = columns[0]
-    wanted = docs.select(doc_id, *columns).where(F.col(text).isNotNull() & (F.length(text) <= most_chars))
-    out = wanted.join(F.broadcast(ids), doc_id, "left_semi").toPandas()
+    wanted = docs.select(doc_id, *columns).where(F.col(text).isNotNull()).join(F.broadcast(ids), doc_id, "left_semi")
+    out = wanted.withColumn(text, excerpts(text, doc_id, most_chars)).toPandas()
     return out.drop_duplicates(doc_id).sort_values(doc_id, ignore_index=True)
 
 

@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from leadlake.llm import filters, langid, lm, quality, toxicity
+from leadlake.llm import filters, langid, lm, quality, sampling, toxicity
 
 EN, DE = ["the", "and", "shore", "thing", "winter", "lake", "would"], ["der", "und", "schiff", "nicht", "weiter", "kirche", "über"]
 
@@ -243,3 +243,27 @@ def test_a_bad_part_anywhere_counts():
     junk = " ".join(" | ".join(rng.choice(EN) + "%%" for _ in range(9)) for _ in range(200))
     scores = quality.predict([fine, fine + junk, junk + fine], model)
     assert scores[0] > max(scores[1:])
+
+
+# --- training samples ------------------------------------------------------------
+
+
+def test_long_texts_stay_in_the_sample(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(sentence(rng, EN if i % 2 else DE) for _ in range(600)), "en" if i % 2 else "de") for i in range(24)]
+    assert min(len(t) for _, t, _ in rows) > 20_000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    some = sampling.fetch(df, df.select("doc_id"), "doc_id", ["text", "lang"], 20_000)
+    assert some["doc_id"].tolist() == list(range(24))
+    for i, text in zip(some["doc_id"], some["text"], strict=True):
+        whole, parts = rows[i][1], text.split("\n")
+        assert [len(p) for p in parts] == [1000] * 20
+        step = len(whole) // 20
+        assert all(p in whole[k * step : (k + 1) * step] for k, p in enumerate(parts))
+    model = langid.train(df)
+    assert langid.predict(["the winter lake and the shore", "der winter und das schiff nicht weiter"], model)[0] == ["en", "de"]
+    bad, marks = toxic_corpus(5, 120)
+    docs = spark.createDataFrame([(i, " ".join([t] * (1 + 24_000 // len(t)))) for i, t in enumerate(bad)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(m), int(not m)) for i, m in enumerate(marks)], "doc_id long, toxic int, quality int")
+    assert len(toxicity.train(docs, labels).keys)
+    assert quality.train(docs, labels).constant is None
