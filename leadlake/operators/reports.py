@@ -140,15 +140,23 @@ def usage_ledger(d):
     return f"SELECT api, CAST(ts AS DATE) AS usage_date, sum(calls) AS calls, sum(tokens) AS tokens, {d.even('CASE WHEN api = ' + d.lit('view') + ' THEN CAST(sum(tokens) AS DOUBLE) / 1000 * CAST(0.00015 AS DOUBLE) ELSE CAST(sum(calls) AS DOUBLE) * CAST(0.019 AS DOUBLE) END', 6)} AS cost FROM usage GROUP BY api, CAST(ts AS DATE)"
 
 
+#: Parts into which the pages of a host are dealt.
+HOST_PARTS = 64
+
+
 @operator("A18", "page_text")
 def page_contact_rollup(d):
     """Pages of one host as one record: number of pages, first address by page, first 5000 characters of the joined text."""
     from ..functions.emails import found
 
-    # texts are cut before they are gathered: no more than the wanted length of any page is needed
-    texts = "string_agg(left(text, 5000), ' ' ORDER BY page_id)" if d.duck else "array_join(transform(array_sort(collect_list(struct(page_id, left(text, 5000) AS t))), x -> x.t), ' ')"
     mail = d.at(found(d, "text"), "1")
-    return f"SELECT host, count(*) AS pages, min_by({mail}, CASE WHEN {mail} IS NOT NULL THEN page_id END) AS email, left({texts}, 5000) AS text FROM page_text GROUP BY host"
+    if d.duck:
+        return f"SELECT host, count(*) AS pages, min_by({mail}, CASE WHEN {mail} IS NOT NULL THEN page_id END) AS email, left(string_agg(left(text, 5000), ' ' ORDER BY page_id), 5000) AS text FROM page_text GROUP BY host"
+    # a host's pages are dealt into parts, of which only the leading pages that reach the wanted length are gathered: no array grows with the host
+    return f"""SELECT host, sum(pages) AS pages, min_by(email, first_mail) AS email, left(array_join(transform(array_sort(flatten(collect_list(texts))), x -> x.t), ' '), 5000) AS text FROM (
+        SELECT host, part, count(*) AS pages, min_by(mail, CASE WHEN mail IS NOT NULL THEN page_id END) AS email, min(CASE WHEN mail IS NOT NULL THEN page_id END) AS first_mail, collect_list(CASE WHEN t IS NOT NULL AND coalesce(before, 0) < 5000 THEN struct(page_id, t) END) AS texts FROM (
+        SELECT *, sum(length(t) + 1) OVER (PARTITION BY host, part ORDER BY page_id, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+        SELECT host, page_id, pmod(xxhash64(page_id), {HOST_PARTS}) AS part, left(text, 5000) AS t, {mail} AS mail FROM page_text) a) b GROUP BY host, part) c GROUP BY host"""
 
 
 @operator("K1", "leads")

@@ -83,10 +83,15 @@ def s7_ingest_registry_companies(spark, sf_dir):
     return landed.companies(raw).select("company_number", "company_name", "location", "date_of_creation")
 
 
+#: Positions that one payload of officers covers.
+PAYLOAD = 1000
+
+
 def s8_ingest_officers(spark, sf_dir):
     """Officer payloads of each company to rows."""
     item = F.struct("name", F.col("role").alias("officer_role"), F.col("appointed_on").cast("string").alias("appointed_on"), F.col("resigned_on").cast("string").alias("resigned_on"))
-    raw = view(spark, sf_dir, "officers").groupBy("company_number").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("items"))).alias("payload"))
+    # pages of a company's officers by ranges of their position (its orders' keys), so that no payload grows with the company
+    raw = view(spark, sf_dir, "officers").groupBy("company_number", F.floor(F.col("pos") / PAYLOAD).alias("page")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("items"))).alias("payload")).drop("page")
     return landed.officers(raw).select("company_number", "name", "role", "appointed_on", "resigned_on")
 
 

@@ -108,3 +108,21 @@ def test_entry_works_without_the_optional_part(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and set(e.oracle_sql()) <= set(q); assert not any(n.startswith('op') for n in q); print('fine')"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False).stdout.strip().endswith("fine")
+
+
+def test_a_large_host_is_gathered_in_bounded_parts(spark, duck):
+    pages = spark.range(1500).selectExpr("'big' AS host", "id AS page_id", "concat(repeat(concat(chr(97 + id % 26), ' '), 3000), if(id = 17, ' jo@acme.co.uk', '')) AS text")
+    few = spark.createDataFrame([("a", 2, "b"), ("a", 1, "x@y.org a"), ("a", 3, None), ("a", 4, ""), (None, 5, "n"), ("b", 6, None)], "host string, page_id long, text string")
+    got = {r.host: r for r in reports.page_contact_rollup(page_text=pages.unionByName(few)).collect()}
+    assert (got["big"].pages, got["big"].text, got["big"].email) == (1500, "a " * 2500, "jo@acme.co.uk")
+    assert (got["a"].pages, got["a"].text, got["a"].email) == (4, "x@y.org a b ", "x@y.org") and got[None].text == "n" and got["b"].pages == 1
+    # the gathered texts of a part stop where they reach the wanted length
+    inner = reports.page_contact_rollup.sql()
+    inner = inner[inner.index("FROM (") + 6 : inner.rindex(") c GROUP BY host")]
+    pages.createOrReplaceTempView("page_text")
+    assert max(r.n for r in spark.sql(f"SELECT size(texts) AS n FROM ({inner})").collect()) == 1
+    for name in ("a18_page_contact_rollup", "s8_ingest_officers"):
+        found = (queries.queries() | tables.queries())[name](spark, SF)
+        want = duck.sql((queries.oracle_sql() | tables.oracle_sql())[name])
+        order = [want.columns.index(c) for c in found.columns]
+        assert rows(map(tuple, found.collect())) == rows(tuple(r[i] for i in order) for r in want.fetchall())
