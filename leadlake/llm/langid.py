@@ -18,20 +18,19 @@ in alphabetical order.  Repeated rows are labelled alike.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sampling
 from .text import LETTER, RunHasher, kinds_of, mix, slices, words
 
 SENTENCE, ROWS = 40, 1 << 16
-#: Bounds of the training sample: documents and lexicon words of a language, sequences in all, languages (the commonest).
-LANGUAGE_DOCS, LEXICON, SEQUENCES, LANGUAGES = 250, 300, 12_000, 200
+#: Bounds of the training sample: documents, lexicon words and sequences of a language.
+LANGUAGE_DOCS, LEXICON, SEQUENCES = 250, 300, 3000
 EPOCHS, BATCH, RATE, SHRINK = 4, 128, 0.15, 1e-5
 
 
@@ -176,7 +175,9 @@ def fit(texts: list[str], language: list[str], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     length = np.bincount(w.sentence)
     first = np.cumsum(length) - length
-    order = rng.permutation(len(length))[:SEQUENCES]
+    order = rng.permutation(len(length))
+    spoken = label[first[order]]
+    order = order[np.sort(np.concatenate([np.flatnonzero(spoken == j)[:SEQUENCES] for j in range(k)]))]
     spans = [np.arange(first[i], first[i] + length[i]) for i in order]
     joined = [np.concatenate([spans[i], spans[j]])[:SENTENCE] for i, j in zip(rng.integers(len(spans), size=len(spans) // 2), rng.integers(len(spans), size=len(spans) // 2), strict=True)]
     spans += joined
@@ -233,11 +234,12 @@ def train(docs: DataFrame, held_out=None, doc_id: str = "doc_id", text: str = "t
     own = docs.select(doc_id, lang).where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     if held_out is not None:
         own = own.where(~held_out)
-    # one small ordered limit a language, so that no language's ids meet in one task
-    names = [r[0] for r in own.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()]
-    if not names:
-        return fit([], [])
-    ids = functools.reduce(DataFrame.unionByName, [sampling.by_hash(own.where(F.col(lang) == n), doc_id, language_docs, 4) for n in names])
+    # by language the least hashes: those that cannot be among them go first, so that no language's ids meet in one task
+    own = own.select(F.col(doc_id).alias("own_id"), F.col(lang).alias("own_lang")).distinct().withColumn("own_hash", F.xxhash64("own_id", F.lit(4)))
+    share = F.col("own_hash") / F.lit(2.0**64) + 0.5
+    near = own.join(F.broadcast(own.groupBy("own_lang").count()), "own_lang").where(share * F.col("count") < 2 * language_docs + 100)
+    place = F.row_number().over(Window.partitionBy("own_lang").orderBy("own_hash", "own_id"))
+    ids = near.withColumn("own_place", place).where(F.col("own_place") <= language_docs).select(F.col("own_id").alias(doc_id))
     some = sampling.fetch(docs.where(F.col(lang).isNotNull()), ids.distinct(), doc_id, [text, lang], 20_000)
     return fit(some[text].tolist(), some[lang].tolist())
 

@@ -267,3 +267,25 @@ def test_long_texts_stay_in_the_sample(spark):
     labels = spark.createDataFrame([(i, int(m), int(not m)) for i, m in enumerate(marks)], "doc_id long, toxic int, quality int")
     assert len(toxicity.train(docs, labels).keys)
     assert quality.train(docs, labels).constant is None
+
+
+def test_every_language_is_learned(spark):
+    # 201 languages, each of its own five words in three documents; the last one is the rarest
+    own = [[f"{chr(0x4E00 + 7 * k)}{chr(0x4E01 + 7 * k + j)}" for j in range(5)] for k in range(201)]
+    rows = [(4 * k + c, " ".join(own[k] * 2) + ".", f"l{k:03}") for k in range(201) for c in range(3 if k < 200 else 2)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 201
+    assert langid.predict([" ".join(own[200])], model)[0] == ["l200"]
+
+
+def test_language_samples_take_the_least_hashes(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'Der See.', 'The lake.') AS text", "if(id % 3 = 0, 'de', 'en') AS lang")
+    held = {}
+    fetch = sampling.fetch
+    try:
+        sampling.fetch = lambda docs, ids, *rest: held.setdefault("ids", {r.doc_id for r in ids.collect()}) and fetch(docs, ids, *rest)
+        langid.train(df)
+    finally:
+        sampling.fetch = fetch
+    want = {r.doc_id for n in ("de", "en") for r in sampling.by_hash(df.where(df.lang == n), "doc_id", langid.LANGUAGE_DOCS, 4).collect()}
+    assert held["ids"] == want and len(want) == 500
