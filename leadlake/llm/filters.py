@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import langid, toxicity
+from .text import parts
 
 
 def where_text(docs: DataFrame, keep, text: str = "text") -> DataFrame:
@@ -15,7 +16,8 @@ def where_text(docs: DataFrame, keep, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(np.asarray(keep(b.column(at).to_pylist()), bool)))
+            for part, texts in parts(b, at):
+                yield part.filter(pa.array(np.asarray(keep(texts), bool)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sampling
-from .text import LETTER, RunHasher, kinds_of, mix, slices, words
+from .text import LETTER, RunHasher, kinds_of, mix, parts, slices, words
 
 SENTENCE, ROWS = 40, 1 << 16
 #: Bounds of the training sample: documents, lexicon words and sequences of a language.
@@ -252,7 +252,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     def run(batches):
         for b in batches:
-            name, score = predict(b.column(1).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            for part, texts in parts(b, 1):
+                name, score = predict(texts, shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 #: Largest mean of one draw, and terms of its distribution function (the rest is below 2^-48).
 CHUNK_RATE, TERMS = 16.0, 80
 #: Sources up to which their rates are broadcast (about 1 kB each).
@@ -60,7 +62,7 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, size: f
     `size` is the wanted number of rows over that of the input. Partitions come
     in no order of their own; inside one, rows are ordered by mix_order.
     """
-    by_source = rates(docs, targets, size, source).cache()
+    by_source = written(rates(docs, targets, size, source), "rates")
     small = by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     kept = [c for c in docs.columns if c not in ("mix_copy", "mix_order")]
     # the document travels as one column, so that its own columns may have any name

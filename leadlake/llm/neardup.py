@@ -29,17 +29,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
-from .text import RunHasher, code_points, mix, shingles, slices, uniform, words
+from .store import erase, written
+from .text import RunHasher, code_points, mix, parts, shingles, uniform, words
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 BLOCK = 256
-_TURN, _SECOND = np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
+_TURN, _SECOND, _THIRD = np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 def bags(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,10 +104,17 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def contents(key: np.ndarray, weight: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each text's whole multiset."""
-    total = np.zeros(n, np.uint64)
-    np.add.at(total, doc, mix(key + weight.astype(np.uint64) * _SECOND))
-    return mix(total)
+    """128 bits that tell each text's whole multiset from others, as 16 bytes."""
+    out = np.zeros((n, 2), np.uint64)
+    for side, turn in enumerate((_SECOND, _THIRD)):
+        np.add.at(out[:, side], doc, mix(mix(key + turn) + weight.astype(np.uint64) * turn))
+    return out
+
+
+def _binary(rows: np.ndarray, some: np.ndarray | None = None) -> pa.Array:
+    """Rows of two 64-bit numbers as binary values; null where not `some`."""
+    values = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
+    return values if some is None else pc.if_else(pa.array(some), values, pa.scalar(None, pa.binary()))
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -115,16 +123,14 @@ def signed(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            content, bands = [], []
-            for _, part in slices(b.column(2).to_pylist(), 500_000):
-                key, weight, doc = bags(part)
-                some = np.bincount(doc, minlength=len(part)) > 0
-                content += [c if s else None for c, s in zip(contents(key, weight, doc, len(part)).view(np.int64).tolist(), some.tolist(), strict=True)]
-                keys = band_keys(signatures(key, weight, doc, len(part))).view(np.int64).tolist()
-                bands += [k if s else None for k, s in zip(keys, some.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["own_row", "doc_id", "content", "bands"])
+            for part, texts in parts(b, 2):
+                key, weight, doc = bags(texts)
+                some = np.bincount(doc, minlength=len(texts)) > 0
+                keys = band_keys(signatures(key, weight, doc, len(texts))).view(np.int64)
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), pa.array(keys[some].ravel()), mask=pa.array(~some))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binary(contents(key, weight, doc, len(texts)), some), bands], ["own_row", "doc_id", "content", "bands"])
 
-    return rows.mapInArrow(run, f"own_row long, doc_id {kind}, content long, bands array<bigint>")
+    return rows.mapInArrow(run, f"own_row binary, doc_id {kind}, content binary, bands array<bigint>")
 
 
 def expanded(rows: DataFrame) -> DataFrame:
@@ -132,29 +138,31 @@ def expanded(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for _, part in slices(b.column(0).to_pylist(), 500_000):
-                key, times, doc = bags(part)
-                content = contents(key, times, doc, len(part)).view(np.int64)
+            for _, texts in parts(b, 0):
+                key, times, doc = bags(texts)
                 nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 item = mix(np.repeat(key, times) + nth.astype(np.uint64) * _TURN).view(np.int64)
-                size = np.bincount(doc, times, len(part)).astype(np.int64)
+                size = np.bincount(doc, times, len(texts)).astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(item))], ["content", "weight", "items"])
+                yield pa.RecordBatch.from_arrays([_binary(contents(key, times, doc, len(texts))), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(item))], ["content", "weight", "items"])
 
-    return rows.mapInArrow(run, "content long, weight long, items array<bigint>")
+    return rows.mapInArrow(run, "content binary, weight long, items array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of the links (a, b); the root is the least node that can be reached."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
+    held = label
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         up = label.select(F.col("node").alias("root"), F.col("root").alias("above"))
         step = written(step.join(up, "root").select("node", "was", F.least("root", "above").alias("root")), "roots")
-        label = step.select("node", "root")
+        erase(held)
+        held, label = step, step.select("node", "root")
         if step.where("was <> root").isEmpty():
+            erase(both)
             return label
 
 
@@ -186,7 +194,7 @@ def _forest(rows: pd.DataFrame, similar: float) -> pd.DataFrame:
             if root[j] != root[i]:
                 root[root == root[j]] = root[i]
                 out.append((name[i], name[j]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
 
 def _similar(x: str, y: str, similar: float):
@@ -221,7 +229,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     dealt = named.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "content", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = dealt.join(items, "content").groupBy("band", "i", "j").applyInPandas(lambda pdf: _forest(pdf[["content", "comp", "items"]], similar), "a long, b long")
+    found = dealt.join(items, "content").groupBy("band", "i", "j").applyInPandas(lambda pdf: _forest(pdf[["content", "comp", "items"]], similar), "a binary, b binary")
     found = written(found.distinct(), "late_links")
     if not found.isEmpty():
         own = label.select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -230,8 +238,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
 
 def row_hash(doc_id: str, text: str):
-    """Identity of a row by its id and text."""
-    return F.xxhash64(F.col(doc_id).cast("string"), F.lit("|"), F.col(text))
+    """Identity of a row by its id and text, 128 bits."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:

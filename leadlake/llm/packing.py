@@ -17,14 +17,17 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretoken, sampling
-from .text import slices
+from .store import written
+from .text import parts
 
 #: Expected pieces of one group, and of documents behind the first-tier table.
 GROUP_PIECES, SAMPLE_DOCS, TABLE_ENTRIES = 4096, 1500, 65_536
+NUMBERS = ["start", "length", "ids_crc32", "doc_tokens"]
 
 
 class Rooms:
@@ -62,88 +65,59 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return seq, offset
 
 
-def id_table(texts: list[str], path: str, entries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, count, ids) of the most frequent pre-tokens of some texts."""
-    none = np.zeros(0, np.int64)
-    lookup = pretoken.Lookup(path, (none.astype(np.uint64), none, none))
-    keys = [none.astype(np.uint64)]
-    for _, part in slices(texts):
-        h, start, end, _, cp, _ = pretoken.hashes(part)
-        lookup(h, start, end, cp)
-        keys.append(h)
-    h, count = np.unique(np.concatenate(keys), return_counts=True)
-    top = np.sort(h[np.argsort(-count, kind="stable")[:entries]])
-    at = np.searchsorted(lookup.keys, top)
-    return top, lookup.at[at], lookup.size[at], lookup.ids[: lookup.used].copy()
-
-
-_lookups: dict[tuple[str, int], pretoken.Lookup] = {}
-
-
-def encode_batch(texts: list[str | None], path: str, table) -> list[np.ndarray]:
+def encode_batch(texts: list[str | None], path: str, table: pretoken.Table = pretoken.NO_TABLE) -> list[np.ndarray]:
     """Ids of each text as the library gives them."""
-    whole = pretoken.tokenizer(path)
     if not pretoken.is_plain_byte_bpe(path):
+        whole = pretoken.tokenizer(path)
         return [np.array(whole.encode(t or "", add_special_tokens=False).ids, np.uint32) for t in texts]
-    keys, at, size, ids = table
-    mark = (path, len(keys))
-    if mark not in _lookups:
-        _lookups.clear()
-        _lookups[mark] = pretoken.Lookup(path, (keys, at, size))
-    lookup = _lookups[mark]
-    lookup.table = (keys, at, size)
-    out: list[np.ndarray] = []
-    for _, part in slices(texts):
-        h, start, end, doc, cp, odd = pretoken.hashes(part)
-        odd = pretoken.must_go_whole(part, odd, path)
-        use = ~odd[doc]
-        n, where, tier = lookup(h[use], start[use], end[use], cp)
-        flat = lookup.gather(n, where, tier, ids)
-        stop = np.cumsum(np.bincount(doc[use], n, len(part)).astype(np.int64))
-        for i, t in enumerate(part):
-            out.append(np.array(whole.encode(t, add_special_tokens=False).ids, np.uint32) if odd[i] else flat[(stop[i - 1] if i else 0) : stop[i]])
-    return out
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for i, _, ids in pretoken.encoded(texts, path, table, True):
+        out[i].append(ids)
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
 
 def pieces(docs: DataFrame, path: str, piece_tokens: int, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece of every document."""
-    table = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece of every document, and deal: the piece's number in its task, mixed with the task's."""
+    table = pretoken.NO_TABLE
     if pretoken.is_plain_byte_bpe(path):
         some = sampling.fetch(docs, sampling.by_hash(docs, doc_id, SAMPLE_DOCS), doc_id, [text], 20_000)
-        table = id_table(some[text].tolist(), path, TABLE_ENTRIES)
+        table = pretoken.frequent(some[text].tolist(), path, TABLE_ENTRIES, True)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().alias("task"))
     kind = dict(rows.dtypes)["doc_id"]
     last = np.array([end_id], np.uint32)
 
     def cut(batches):
+        met = 0
         for b in batches:
-            row, start, length, crc, total = [], [], [], [], []
-            for i, ids in enumerate(encode_batch(b.column(1).to_pylist(), path, shared.value)):
-                ids = np.concatenate([ids, last]).astype("<u4")
-                for s in range(0, len(ids), piece_tokens):
-                    own = ids[s : s + piece_tokens]
-                    row.append(i)
-                    start.append(s)
-                    length.append(len(own))
-                    crc.append(zlib.crc32(own.tobytes()))
-                    total.append(len(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return rows.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+            for run, texts in parts(b, 1):
+                row, start, length, crc, total = [], [], [], [], []
+                for i, ids in enumerate(encode_batch(texts, path, shared.value)):
+                    ids = np.concatenate([ids, last]).astype("<u4")
+                    for s in range(0, len(ids), piece_tokens):
+                        own = ids[s : s + piece_tokens]
+                        row.append(i)
+                        start.append(s)
+                        length.append(len(own))
+                        crc.append(zlib.crc32(own.tobytes()))
+                        total.append(len(ids))
+                deal = pc.add(pc.multiply(run.column(2).cast(pa.int64()).take(pa.array(row, pa.int64())), 1 << 32), pa.array(range(met, met + len(row)), pa.int64()))
+                met += len(row)
+                yield pa.RecordBatch.from_arrays([run.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), deal], ["doc_id", *NUMBERS, "deal"])
+
+    return rows.mapInArrow(cut, f"doc_id {kind}, {', '.join(f'{c} long' for c in NUMBERS)}, deal long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, piece_tokens: int | None = None, end_id: int = 1, seed: int = 0, doc_id: str = "doc_id", text: str = "text", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Every piece of every document with its sequence_id and offset.
 
     sequence_id is group * 2^32 + place in the group.  The number of groups
-    follows the number of documents, so a group stays bounded at any size.
+    follows the number of pieces, and pieces are dealt by a hash of their place
+    in the input, so a group stays bounded at any size and however many rows are alike.
     """
-    cut = pieces(docs, path, piece_tokens or capacity, end_id, doc_id, text)
-    # a document gives about avg bytes / (4 * piece) further pieces; groups need only be about this large
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
-    groups = max(1, -(-int((size["n"] or 0) + (size["b"] or 0) / (3 * capacity)) // group_pieces))
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    cut = written(pieces(docs, path, piece_tokens or capacity, end_id, doc_id, text), "pieces")
+    groups = max(1, -(-cut.count() // group_pieces))
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("deal", F.lit(seed)), F.lit(groups))).drop("deal")
     kind = dict(cut.dtypes)["doc_id"]
 
     def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
@@ -153,4 +127,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, piece_tokens: int | N
         own["offset"] = offset
         return own.drop(columns="pack_group")
 
-    return dealt.groupBy("pack_group").applyInPandas(one, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.groupBy("pack_group").applyInPandas(one, f"doc_id {kind}, {', '.join(f'{c} long' for c in NUMBERS)}, sequence_id long, offset long")

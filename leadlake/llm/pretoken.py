@@ -3,25 +3,32 @@
 The pre-token rule is the one of the vocabulary file (contractions, an optional
 space before letters, numbers or other marks, runs of white space); BPE never
 crosses pre-tokens, so the ids of a text are the ids of its pre-tokens in order.
-A pre-token is known by a 64-bit hash.  Tier one is a table built once on the
-driver and broadcast; tier two is a cache in each Python worker that grows with
-what that worker has met.  Texts with rare code points, or that hold a special
-string, go to the library whole.
+Both tiers are hash tables keyed by a pre-token's characters.  Tier one is built
+once on the driver and broadcast; tier two is a cache in each Python worker that
+grows with what that worker has met.  Hashes only bring equal pre-tokens of a
+slice together: each is compared with the one that is looked up.  Texts with rare
+code points, a special string, or two pre-tokens of one hash go to the library
+whole; long texts go in pieces that end where a pre-token does.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
-from collections.abc import Sequence
+import zlib
+from codecs import utf_16_le_decode
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 
-from .text import LETTER, MARK, NUMBER, OTHER, SPACE, RunHasher, code_points, kinds_of
+from .text import LETTER, MARK, NUMBER, OTHER, SLICE_CHARS, SPACE, RunHasher, code_points, kinds_of, slices
 
 #: Entries of the cache of one worker before it begins anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 200_000
 
 
 @functools.lru_cache(2)
@@ -125,75 +132,178 @@ def split(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(at, start, side="right") - 1, cp, odd
 
 
+@dataclass
+class Table:
+    """Frequent pre-tokens, compact: their UTF-16 characters end to end, their lengths, id counts and (if wanted) ids."""
+
+    chars: bytes
+    lengths: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+
+    @property
+    def mark(self) -> tuple:
+        return len(self.lengths), len(self.ids), zlib.crc32(self.chars)
+
+
+NO_TABLE = Table(b"", np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32))
+
+
 class Lookup:
-    """Pre-token hash -> ids, in two tiers; both are arrays sorted by hash."""
-
-    def __init__(self, path: str, table: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.path, self.table = path, table
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _find(self, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, at, -1)
-
-    def __call__(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id count, position, tier) of each pre-token; ids(...) gathers them."""
-        distinct, inverse = np.unique(h, return_inverse=True)
-        t_keys, t_at, t_size = self.table
-        one = self._find(t_keys, distinct)
-        size = np.where(one >= 0, t_size[np.maximum(one, 0)] if len(t_keys) else 0, 0)
-        at = np.where(one >= 0, t_at[np.maximum(one, 0)] if len(t_keys) else 0, 0)
-        miss = np.flatnonzero(one < 0)
-        if len(miss):
-            if len(self.keys) > CACHE_ENTRIES:
-                self._clear()
-            new = miss[self._find(self.keys, distinct[miss]) < 0]
-            if len(new):
-                some = np.zeros(len(distinct), np.int64)
-                some[inverse] = np.arange(len(h))
-                self._learn(distinct[new], start[some[new]], end[some[new]], cp)
-            two = self._find(self.keys, distinct[miss])
-            size[miss], at[miss] = self.size[two], self.at[two]
-        return size[inverse], at[inverse], (one >= 0)[inverse]
-
-    def _learn(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, cp: np.ndarray) -> None:
-        piece = _encode_piece(self.path)
-        raw = cp.tobytes()
-        found = [piece(raw[4 * s : 4 * e].decode("utf-32-le").encode()) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size) - size
-        self.used += len(flat)
-        where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.at, self.size = np.insert(self.at, where, at), np.insert(self.size, where, size)
-
-    def gather(self, size: np.ndarray, at: np.ndarray, tier: np.ndarray, table_ids: np.ndarray) -> np.ndarray:
+    """Pre-token -> ids, in two tiers of hash tables that are keyed by the characters themselves.
+
+    A pre-token's value is the place of its first id (high half) and their count
+    (low half).  Ids of both tiers lie in one array, the table's first.
+    """
+
+    def __init__(self, path: str, table: Table = NO_TABLE, ids: bool = True):
+        self.path, self.keep = path, ids
+        stop = (2 * np.cumsum(table.lengths, dtype=np.int64)).tolist()
+        value = table.sizes.astype(np.int64)
+        if ids:
+            value = ((np.cumsum(value) - value) << 32) | value
+        self.first = {table.chars[a:b]: v for a, b, v in zip([0, *stop], stop, value.tolist(), strict=False)}
+        self.base = len(table.ids)
+        self.ids = np.concatenate([table.ids, np.zeros(1 << 16, np.uint32)])
+        self.clear()
+
+    def clear(self) -> None:
+        self.second: dict[bytes, int] = {}
+        self.used = self.base
+
+    def _learn(self, key: bytes) -> int:
+        found = _encode_piece(self.path)(utf_16_le_decode(key)[0].encode())
+        value = len(found)
+        if self.keep:
+            if self.used + value > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(value, len(self.ids)), np.uint32)])
+            self.ids[self.used : self.used + value] = found
+            value |= self.used << 32
+            self.used += len(found)
+        self.second[key] = value
+        return value
+
+    def __call__(self, start: np.ndarray, end: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id count, place of the first id, whether another pre-token has its hash) of each pre-token.
+
+        Pre-tokens of one hash are looked up once; each is compared with that one
+        character by character, and those that differ must not use the answer.
+        """
+        if len(self.second) > CACHE_ENTRIES:
+            self.clear()
+        _, first, inverse = np.unique(RunHasher(cp)(start, end), return_index=True, return_inverse=True)
+        raw = cp.astype("<u2").tobytes()
+        one, two, value = self.first.get, self.second.get, np.empty(len(first), np.int64)
+        for i, (a, b) in enumerate(zip((2 * start[first]).tolist(), (2 * end[first]).tolist(), strict=True)):
+            key = raw[a:b]
+            found = one(key)
+            if found is None:
+                found = two(key)
+                if found is None:
+                    found = self._learn(key)
+            value[i] = found
+        value = value[inverse]
+        return value & 0xFFFFFFFF, value >> 32, differing(cp, start, end, first[inverse])
+
+    def gather(self, size: np.ndarray, at: np.ndarray) -> np.ndarray:
         """All ids of the pre-tokens, in order."""
-        total = int(size.sum())
         head = np.cumsum(size) - size
-        index = np.arange(total) + np.repeat(at - head, size)
-        in_table = np.repeat(tier, size)
-        out = np.empty(total, np.uint32)
-        out[in_table] = table_ids[index[in_table]]
-        out[~in_table] = self.ids[index[~in_table]]
-        return out
-
-
-def hashes(texts: Sequence[str]):
-    """split() with the hash of each pre-token in front."""
-    start, end, doc, cp, odd = split(texts)
-    return RunHasher(cp)(start, end), start, end, doc, cp, odd
+        return self.ids[np.arange(int(size.sum())) + np.repeat(at - head, size)]
+
+
+def differing(cp: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Whether each run of code points differs from the run `like` (an index)."""
+    length = end - start
+    out = length != length[like]
+    head = np.cumsum(length) - length
+    at = np.arange(int(length.sum()))
+    other = np.minimum(at + np.repeat(start[like] - head, length), max(0, len(cp) - 1))
+    unlike = cp[at + np.repeat(start - head, length)] != cp[other]
+    if unlike.any():
+        out = out.copy()
+        out[np.repeat(np.arange(len(length)), length)[unlike]] = True
+    return out
+
+
+_CUT = re.compile(r"[A-Za-z0-9] ")
+
+
+def segments(texts: Sequence[str], limit: int = SLICE_CHARS) -> tuple[list[str], np.ndarray]:
+    """The texts in pieces of about `limit` characters at most, and the text of each piece.
+
+    A text is cut only between an ASCII letter or digit and a blank, where a
+    pre-token always ends, so that the pieces' ids are the text's ids in order.
+    """
+    out, owner = [], []
+    for i, t in enumerate(texts):
+        at = 0
+        while len(t) - at > limit:
+            cut = t.rfind(" ", at + 2, at + limit)
+            while cut > 0 and not _CUT.match(t, cut - 1):
+                cut = t.rfind(" ", at + 2, cut)
+            if cut < 0:
+                found = _CUT.search(t, at + limit)
+                if not found:
+                    break
+                cut = found.start() + 1
+            out.append(t[at:cut])
+            owner.append(i)
+            at = cut
+        out.append(t[at:])
+        owner.append(i)
+    return out, np.array(owner, np.int64)
+
+
+_lookups: dict[tuple, Lookup] = {}
+
+
+def worker_lookup(path: str, table: Table, ids: bool) -> Lookup:
+    """The worker's lookup; its second tier lives as long as the worker does."""
+    mark = (path, ids, *table.mark)
+    if mark not in _lookups:
+        _lookups.clear()
+        _lookups[mark] = Lookup(path, table, ids)
+    return _lookups[mark]
+
+
+def encoded(texts: Sequence[str | None], path: str, table: Table, ids: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text, its piece's id count, the piece's ids) of every piece of the texts, in order; without `ids` only counts."""
+    whole, lookup = tokenizer(path), worker_lookup(path, table, ids)
+    pieces, owner = segments([t or "" for t in texts])
+    none = np.zeros(0, np.uint32)
+    for at, part in slices(pieces):
+        start, end, doc, cp, odd = split(part)
+        odd = must_go_whole(part, odd, path)
+        use = ~odd[doc]
+        doc = doc[use]
+        size, place, other = lookup(start[use], end[use], cp)
+        if other.any():
+            odd[doc[other]] = True
+            use = ~odd[doc]
+            doc, size, place = doc[use], size[use], place[use]
+        flat = lookup.gather(size, place) if ids else none
+        count = np.bincount(doc, size, len(part)).astype(np.int64)
+        stop = np.cumsum(count)
+        for i, t in enumerate(part):
+            if odd[i]:
+                own = np.array(whole.encode(t, add_special_tokens=False).ids, np.uint32)
+                yield int(owner[at + i]), len(own), own
+            else:
+                yield int(owner[at + i]), int(count[i]), flat[stop[i] - count[i] : stop[i]] if ids else none
+
+
+def frequent(texts: Sequence[str], path: str, entries: int, ids: bool) -> Table:
+    """The most frequent pre-tokens of some texts."""
+    times: Counter[bytes] = Counter()
+    for _, part in slices(segments(texts)[0]):
+        start, end, doc, cp, odd = split(part)
+        use = ~odd[doc]
+        raw = cp.astype("<u2").tobytes()
+        times.update(raw[a:b] for a, b in zip((2 * start[use]).tolist(), (2 * end[use]).tolist(), strict=True))
+    top = [k for k, _ in times.most_common(entries)]
+    found = [_encode_piece(path)(k.decode("utf-16-le").encode()) for k in top]
+    flat = np.fromiter((i for f in found for i in f), np.uint32) if ids else np.zeros(0, np.uint32)
+    return Table(b"".join(top), np.array([len(k) // 2 for k in top], np.int32), np.array([len(f) for f in found], np.int32), flat)
 
 
 def must_go_whole(texts: Sequence[str], odd: np.ndarray, path: str) -> np.ndarray:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling
+from .text import parts
 
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 10, 2
 EMBED, FILTERS, HIDDEN = 8, 48, 24
@@ -193,6 +194,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(predict(b.column(1).to_pylist(), shared.value), pa.float64())], ["doc_id", "score"])
+            for part, texts in parts(b, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(predict(texts, shared.value), pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double")

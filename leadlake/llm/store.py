@@ -26,4 +26,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def erase(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more: all that came from them has been written itself."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

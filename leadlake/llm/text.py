@@ -1,7 +1,7 @@
 """Vectorised text primitives shared by the operators (numpy, inside tasks).
 
 Texts of a batch are laid end to end as UTF-32 code points.  Words and other
-runs are found with array comparisons, and every run gets a 64-bit polynomial
+runs are found with array comparisons, and every run gets a 64-bit
 hash from prefix sums, so no Python loop touches single characters.
 """
 
@@ -12,10 +12,12 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 OTHER, LETTER, NUMBER, SPACE, MARK = 0, 1, 2, 3, 4
 #: Code points of one slice of a batch; keeps a task's arrays at tens of MB.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -71,6 +73,20 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
+#: A second hash is taken modulo this prime: sums modulo 2^64 alone are equal for some regular words of two letters.
+_PRIME, _BASE = np.uint64(2**31 - 1), 1_234_567_891
+
+
+@functools.lru_cache(4)
+def _prime_powers(n: int, base: int) -> np.ndarray:
+    p = np.ones(1, np.uint64)
+    step = base
+    while len(p) <= n:
+        p = np.concatenate([p, p * np.uint64(step) % _PRIME])
+        step = step * step % int(_PRIME)
+    return p
+
+
 class RunHasher:
     """Hashes of arbitrary code point ranges of one slice."""
 
@@ -80,13 +96,18 @@ class RunHasher:
         far = cp > 0xFFFF
         if far.any():
             h[far] = mix((cp[far].astype(np.uint64) + np.uint64(1)) * _ODD)
+        self._second = np.zeros(len(cp) + 1, np.uint64)
+        np.cumsum((h >> np.uint64(33)) * _prime_powers(n, _BASE)[: len(cp)] % _PRIME, out=self._second[1:])
         h *= _powers(n, int(_ODD))[: len(cp)]
         self._sum = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum(h, out=self._sum[1:])
         self._inv = _powers(n, int(_INV))
+        self._back = _prime_powers(n, pow(_BASE, -1, int(_PRIME)))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sum[end] - self._sum[start]) * self._inv[start] + (end - start).astype(np.uint64))
+        first = (self._sum[end] - self._sum[start]) * self._inv[start] + (end - start).astype(np.uint64)
+        second = (self._second[end] - self._second[start]) % _PRIME * self._back[start] % _PRIME
+        return mix(mix(first) + second)
 
 
 def code_points(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +131,21 @@ def slices(texts: Sequence[str | None], limit: int = SLICE_CHARS) -> Iterator[tu
         yield first, held
 
 
+def parts(batch: pa.RecordBatch, column: int, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch in runs of rows of at most `limit` bytes of text, with the run's texts; a longer text stands alone. Null is empty.
+
+    Only one run is held as Python strings at a time, so a task's memory does not follow Spark's batch size.
+    """
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(size)])
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+        run = batch.slice(at, stop - at)
+        yield run, [t or "" for t in run.column(column).to_pylist()]
+        at = stop
+
+
 def words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words (runs of letters, marks and numbers).
 

@@ -1,13 +1,14 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact hash table of frequent pre-tokens (64-bit hash, id count)
+Tier one is a compact hash table of frequent pre-tokens (characters, id count)
 taken from a bounded sample of documents and broadcast; it decides only speed.
 Tier two is a cache inside each Python worker: pre-tokens that tier one lacks
 are encoded once per worker.  No pre-token is ever shuffled.
 
 Null text counts as empty (0 bytes, 0 tokens).  Repeated rows and null ids give
-one result row each; other columns of the input are ignored.  A vocabulary that
-is not plain byte-level BPE is encoded by its library, text by text.
+one result row each; other columns of the input are ignored, an empty table gives
+no rows.  A vocabulary that is not plain byte-level BPE is encoded by its
+library, text by text.
 """
 
 from __future__ import annotations
@@ -18,76 +19,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretoken, sampling
-from .text import slices
+from .text import parts
 
-#: Bounds of the broadcast table: sampled documents, entries (10 bytes each).
+#: Bounds of the broadcast table: sampled documents, entries (about 20 bytes each).
 SAMPLE_DOCS, TABLE_ENTRIES = 1500, 65_536
 
 
-def frequent(texts: list[str], path: str, entries: int = TABLE_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, id count) of the most frequent pre-tokens of some texts, sorted by hash."""
-    lookup = pretoken.Lookup(path, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for _, part in slices(texts):
-        h, start, end, _, cp, _ = pretoken.hashes(part)
-        size, _, _ = lookup(h, start, end, cp)
-        keys.append(h)
-        sizes.append(size)
-    h, first, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-    top = np.sort(np.argsort(-count, kind="stable")[:entries])
-    return h[top], np.concatenate(sizes)[first][top].astype(np.uint16)
-
-
-_lookups: dict[tuple[str, int], pretoken.Lookup] = {}
-
-
-def _lookup(path: str, keys: np.ndarray, sizes: np.ndarray) -> pretoken.Lookup:
-    """The worker's lookup; its second tier lives as long as the worker does."""
-    mark = (path, len(keys))
-    if mark not in _lookups:
-        _lookups.clear()
-        _lookups[mark] = pretoken.Lookup(path, (keys, np.zeros(len(keys), np.int64), sizes.astype(np.int64)))
-    else:
-        _lookups[mark].table = (keys, np.zeros(len(keys), np.int64), sizes.astype(np.int64))
-    return _lookups[mark]
-
-
-def count_batch(texts: list[str | None], path: str, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def count_batch(texts: list[str | None], path: str, table: pretoken.Table = pretoken.NO_TABLE) -> np.ndarray:
     """Ids of each text, as the library counts them."""
     if path.endswith(".model"):
         model = pretoken.sentence_model(path)
         return np.array([len(model.encode(t or "")) for t in texts], np.int64)
-    whole = pretoken.tokenizer(path)
     if not pretoken.is_plain_byte_bpe(path):
+        whole = pretoken.tokenizer(path)
         return np.array([len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts], np.int64)
-    lookup = _lookup(path, keys, sizes)
     out = np.zeros(len(texts), np.int64)
-    for first, part in slices(texts):
-        h, start, end, doc, cp, odd = pretoken.hashes(part)
-        odd = pretoken.must_go_whole(part, odd, path)
-        use = ~odd[doc]
-        size, _, _ = lookup(h[use], start[use], end[use], cp)
-        n = np.bincount(doc[use], size, len(part)).astype(np.int64)
-        for i in np.flatnonzero(odd):
-            n[i] = len(whole.encode(part[i], add_special_tokens=False).ids)
-        out[first : first + len(part)] = n
+    for i, n, _ in pretoken.encoded(texts, path, table, False):
+        out[i] += n
     return out
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     spark = docs.sparkSession
-    keys, sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+    frequent = pretoken.NO_TABLE
     if pretoken.is_plain_byte_bpe(path):
         some = sampling.fetch(docs, sampling.by_hash(docs, doc_id, sample_docs), doc_id, [text], 20_000)
-        keys, sizes = frequent(some[text].tolist(), path, entries)
-    table = spark.sparkContext.broadcast((keys, sizes))
+        frequent = pretoken.frequent(some[text].tolist(), path, entries, False)
+    table = spark.sparkContext.broadcast(frequent)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def count(batches):
         for b in batches:
-            n = count_batch(b.column(2).to_pylist(), path, *table.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for run, texts in parts(b, 2):
+                n = count_batch(texts, path, table.value)
+                yield pa.RecordBatch.from_arrays([run.column(0), run.column(1), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -4,8 +4,8 @@ Training (a bounded sample of labelled rows): every word, and every prefix of
 `PREFIXES` letters of it, is a token; a token counts once in each distinct
 document.  Its score is the log-odds ratio of the toxic against the other
 documents under a Dirichlet prior of `PRIOR` times the token's count in both,
-kept if it differs from 0 by `Z` standard deviations.  All other words cost
-`DRIFT`, so scores fall outside toxic passages.
+kept if it differs from 0 by `Z` standard deviations or gains `GAIN` nats of
+likelihood, and lowered to a sure bound.  All other words cost `DRIFT`, so scores fall outside toxic passages.
 
 Scoring: one linear scan finds all maximal segments of a document's words.  By
 extreme-value theory a segment of score S in n words has expectation
@@ -29,15 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling
-from .text import RunHasher, mix, shingles, slices, spans, words
+from .text import RunHasher, mix, parts, shingles, slices, spans, words
 
 PREFIXES = (4, 5, 6)
 Z, DRIFT, TOP, PRIOR = 3.3, -0.6, 8.0, 0.05
+#: Nats by which a token's likelihood gains if it is kept whatever its deviation, and of the bound of its score.
+GAIN, BOUND = 10.0, 3.0
 #: A prefix is kept if it begins so many different words and is so many times likelier in toxic documents.
 #: No word may make up more than this share of a prefix's toxic documents.
 TYPES, PURE, SHARE = 3, 30, 0.7
 #: Bounds of the training sample and of the model.
-TOXIC_DOCS, CLEAN_DOCS, TOKENS, SAMPLE_CHARS = 1200, 2000, 50_000, 20_000
+TOXIC_DOCS, CLEAN_DOCS, TOKENS, SAMPLE_CHARS = 3000, 5000, 50_000, 20_000
+#: Documents that a token needs, and buckets by which rarer tokens are left out before rows are held.
+LEAST, _BUCKETS = 4, 1 << 22
+#: Parts, by token, in which rows are held and counted.
+_SHARDS = 16
 _BITS = 1 << 18
 
 
@@ -153,10 +159,12 @@ def _distinct(*columns: np.ndarray) -> np.ndarray:
     return np.unique(total, return_index=True)[1]
 
 
-def _tokens(h: np.ndarray, d: np.ndarray, kind: np.ndarray, word: np.ndarray, toxic: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept tokens and their scores from (token, document, kind, word) rows of the documents in use."""
-    own = use[d]
-    h, d, kind, word = h[own], d[own], kind[own], word[own]
+def _tokens(h: np.ndarray, d: np.ndarray, kind: np.ndarray, word: np.ndarray, toxic: np.ndarray, held: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kept tokens, their scores and deviations from (token, document, kind, word) rows of the documents in use, which have `held` tokens each."""
+    n1, n0 = held[use & toxic].sum(), held[use & ~toxic].sum()
+    if not use.all():
+        own = use[d]
+        h, d, kind, word = h[own], d[own], kind[own], word[own]
     token, first, at = np.unique(h, return_index=True, return_inverse=True)
     kind = kind[first]
     types = np.bincount(at[_distinct(at, word)], minlength=len(token))
@@ -167,18 +175,44 @@ def _tokens(h: np.ndarray, d: np.ndarray, kind: np.ndarray, word: np.ndarray, to
     once = _distinct(at, d)
     y1 = np.bincount(at[once], toxic[d[once]], len(token))
     y0 = np.bincount(at[once], ~toxic[d[once]], len(token))
-    n1, n0 = y1.sum(), y0.sum()
     prior, mass = PRIOR * (y1 + y0), PRIOR * (n1 + n0)
     odds = lambda y, n: np.log(y + prior) - np.log(n + mass - y - prior)
     delta = odds(y1, n1) - odds(y0, n0)
     deviation = np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
     z = delta / deviation
-    keep = (np.abs(z) >= Z) & (y1 + y0 >= 4)
+    # counts too small for a normal deviation: the gain of likelihood over the share that all tokens have
+    share, base = y1 / np.maximum(y1 + y0, 1), n1 / (n1 + n0)
+    gain = np.where(share > base, (y1 + y0) * _divergence(share, base), 0.0)
+    keep = ((np.abs(z) >= Z) | (gain >= GAIN)) & (y1 + y0 >= LEAST)
     keep &= (kind == 0) | ((delta > 0) & (types >= TYPES) & (most <= SHARE * y1) & (y1 * n0 >= PURE * y0 * n1))
-    if keep.sum() > TOKENS:
-        keep &= np.abs(z) >= np.sort(np.abs(z[keep]))[-TOKENS]
-    score = np.where(delta > 0, np.clip(delta - 2 * deviation, 0.1, TOP), np.maximum(np.minimum(delta, DRIFT), -TOP))
-    return token[keep], score[keep]
+    score = np.where(delta > 0, np.clip(np.maximum(delta - 2 * deviation, _least_odds(share, y1 + y0, base)), 0.1, TOP), np.maximum(np.minimum(delta, DRIFT), -TOP))
+    return token[keep], score[keep], np.maximum(np.abs(z), np.sqrt(2 * gain))[keep]
+
+
+def _divergence(p: np.ndarray, q) -> np.ndarray:
+    """Kullback-Leibler divergence of two-valued distributions."""
+    part = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1e-300) / np.maximum(b, 1e-300)), 0.0)
+    return part(p, q) + part(1 - p, 1 - q)
+
+
+def _least_odds(share: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
+    """The least log-odds ratio (0 to `TOP`) whose likelihood is within `BOUND` nats of the best."""
+    low, high = np.zeros(len(share)), np.full(len(share), TOP)
+    for _ in range(30):
+        mid = (low + high) / 2
+        q = 1 / (1 + (1 - base) / base * np.exp(-mid))
+        far = (q < share) & (n * _divergence(share, q) > BOUND)
+        low, high = np.where(far, mid, low), np.where(far, high, mid)
+    return low
+
+
+def _kept(shards: list[list[tuple]], *masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens, the surest `TOKENS` of all shards, and their scores."""
+    found = [_tokens(*map(np.concatenate, zip(*rows, strict=True)), *masks) for rows in shards if rows]
+    token, score, z = map(np.concatenate, zip(*found, strict=True))
+    order = np.argsort(-z, kind="stable")[:TOKENS]
+    order = order[np.argsort(token[order])]
+    return token[order], score[order]
 
 
 def fit(texts: list[str], toxic: np.ndarray, alarm: float = 0.004) -> Model:
@@ -187,8 +221,9 @@ def fit(texts: list[str], toxic: np.ndarray, alarm: float = 0.004) -> Model:
     l and K are found on every second clean document with tokens of the others,
     so that they hold for documents that the tokens have not seen.
     """
-    keys, docs, kind, word = [], [], [], []
-    sketch = np.zeros(len(texts), np.uint64)
+    sketch, held = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
+    met = np.zeros(_BUCKETS, np.int32)
+    bucket = lambda h: (h & np.uint64(_BUCKETS - 1)).astype(np.int64)
     for first, part in slices(texts):
         kinds, doc, _, _ = token_hashes(part)
         s, d = shingles(kinds[0], doc, len(part), 5)
@@ -196,23 +231,30 @@ def fit(texts: list[str], toxic: np.ndarray, alarm: float = 0.004) -> Model:
         for i in range(len(part)):
             if at[i + 1] > at[i]:
                 sketch[first + i] = s[at[i] : at[i + 1]].min()
-        for i, h in enumerate(kinds):
+        for h in kinds:
             rows = np.flatnonzero(h > 0)
-            rows = rows[_distinct(h[rows], doc[rows] + first, kinds[0][rows])]
-            keys.append(h[rows])
-            docs.append((doc[rows] + first).astype(np.int32))
-            word.append(kinds[0][rows])
-            kind.append(np.full(len(rows), i, np.int8))
+            rows = rows[_distinct(h[rows], doc[rows])]
+            held[first : first + len(part)] += np.bincount(doc[rows], minlength=len(part))
+            np.add.at(met, bucket(h[rows]), 1)
+    shards: list[list[tuple]] = [[] for _ in range(_SHARDS)]
+    for first, part in slices(texts):
+        kinds, doc, _, _ = token_hashes(part)
+        for i, h in enumerate(kinds):
+            rows = np.flatnonzero((h > 0) & (met[bucket(h)] >= LEAST))
+            rows = rows[_distinct(h[rows], doc[rows], kinds[0][rows])]
+            place = (h[rows] >> np.uint64(32)) % np.uint64(_SHARDS)
+            for j in range(_SHARDS):
+                own = rows[place == j]
+                if len(own):
+                    shards[j].append((h[own], (doc[own] + first).astype(np.int32), np.full(len(own), i, np.int8), kinds[0][own]))
     use = np.zeros(len(texts), bool)
     use[_distinct(sketch, toxic)] = True
-    if not keys or not (use & toxic).any() or not (use & ~toxic).any():
+    if not any(shards) or not (use & toxic).any() or not (use & ~toxic).any():
         return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, alarm)
-    rows = tuple(map(np.concatenate, (keys, docs, kind, word)))
-    del keys, docs, kind, word
     even = np.arange(len(texts)) % 2 == 0
-    half = Model(*_tokens(*rows, toxic, use & even), 1.0, 1.0, alarm)
+    half = Model(*_kept(shards, toxic, held, use & even), 1.0, 1.0, alarm)
     half = _calibrate(half, [texts[i] for i in np.flatnonzero(use & ~even & ~toxic)])
-    return Model(*_tokens(*rows, toxic, use), half.lam, half.k, alarm)
+    return Model(*_kept(shards, toxic, held, use), half.lam, half.k, alarm)
 
 
 def _calibrate(model: Model, clean: list[str]) -> Model:
@@ -266,8 +308,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches):
         for b in batches:
-            value, found = document_scores(b.column(1).to_pylist(), shared.value)
-            nested = [[{"begin": s, "end": e, "score": v} for s, e, v in x] for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value, pa.float64()), pa.array(nested, passage)], ["doc_id", "score", "passages"])
+            for part, texts in parts(b, 1):
+                value, found = document_scores(texts, shared.value)
+                nested = [[{"begin": s, "end": e, "score": v} for s, e, v in x] for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value, pa.float64()), pa.array(nested, passage)], ["doc_id", "score", "passages"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double, passages array<struct<begin: bigint, end: bigint, score: double>>")

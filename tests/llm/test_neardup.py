@@ -99,3 +99,27 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicates(df).count() == 0
     assert nd.keep_one(df).count() == 0
+
+
+def test_long_regular_words_are_told_apart(spark):
+    morse = lambda a, b: "".join(b if bin(i).count("1") % 2 else a for i in range(1024))
+    df = spark.createDataFrame([(1, morse("a", "b")), (2, morse("b", "a")), (3, morse("a", "b"))], "doc_id long, text string")
+    assert sorted(map(tuple, nd.near_duplicates(df).collect())) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_all_planted_edits_at_the_threshold_are_found(spark):
+    # copies with replaced words, so that similarities lie on both sides of 0.8
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(60, 200))]
+        own = list(base)
+        for _ in range(rng.randint(1, len(base) // 25)):
+            own[rng.randrange(len(own))] = word()
+        rows += [" ".join(base), " ".join(own)]
+    rows = list(enumerate(rows))
+    links = [jaccard(bag(rows[i][1]), bag(rows[i + 1][1])) for i in range(0, len(rows), 2)]
+    assert sum(x >= 0.8 for x in links) > 20 and sum(x < 0.8 for x in links) > 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, nd.near_duplicates(df).collect())) == sorted(plain_classes(rows))

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -17,37 +17,77 @@ def texts(seed, n=400):
     return ODD + ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
 
+def library(some, path=PATH):
+    whole = pretoken.tokenizer(path)
+    return [whole.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
 def test_ids_equal_the_library():
     some = texts(1)
-    whole = pretoken.tokenizer(PATH)
-    want = [whole.encode(t, add_special_tokens=False).ids for t in some]
+    want = library(some)
     for entries in (0, 50, 10_000):
-        table = packing.id_table(texts(2), PATH, entries)
-        packing._lookups.clear()
-        assert [x.tolist() for x in packing.encode_batch(some, PATH, table)] == want
-        tokencount._lookups.clear()
-        assert tokencount.count_batch(some, PATH, *tokencount.frequent(texts(2), PATH, entries)).tolist() == [len(w) for w in want]
+        assert [x.tolist() for x in packing.encode_batch(some, PATH, pretoken.frequent(texts(2), PATH, entries, True))] == want
+        assert tokencount.count_batch(some, PATH, pretoken.frequent(texts(2), PATH, entries, False)).tolist() == [len(w) for w in want]
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("blind", [False, True])
+def test_words_of_one_hash_keep_their_own_ids(monkeypatch, blind):
+    # a polynomial modulo 2^64 cannot tell these words from their complements
+    some = [t for n in (1024, 2048) for t in (thue_morse(n), thue_morse(n, "b", "a"))]
+    some += [" ".join(some), f"x {some[0]} y", f"x {some[1]} y"]
+    start, end, _, cp, _ = pretoken.split(some[:2])
+    h = pretoken.RunHasher(cp)(start, end)
+    assert h[0] != h[1]
+    if blind:  # all pre-tokens of one length share a hash
+        monkeypatch.setattr(pretoken, "RunHasher", lambda cp: lambda start, end: (end - start).astype(np.uint64))
+    want = library(some)
+    assert want[0] != want[1]
+    for order in (some, some[::-1]):
+        for each in (False, True):
+            pretoken._lookups.clear()
+            groups = [[t] for t in order] if each else [order]
+            ids = [x.tolist() for g in groups for x in packing.encode_batch(g, PATH)]
+            assert ids == (want if order is some else want[::-1])
+            assert [n for g in groups for n in tokencount.count_batch(g, PATH).tolist()] == [len(x) for x in ids]
+    table = pretoken.frequent([some[0]], PATH, 10, True)
+    assert [x.tolist() for x in packing.encode_batch(some, PATH, table)] == want
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    some = ["".join(rng.choice(ALPHABET + "     abc abc") for _ in range(5000)) for _ in range(4)] + ["x" * 3000, "a b " * 900, "\U0001f642 a\u0301 b " * 300, " " * 2000 + "a b"]
+    want = library(some)
+    cut = lambda t: segments(t, 200)
+    segments = pretoken.segments
+    monkeypatch.setattr(pretoken, "segments", cut)
+    pieces, owner = cut(some)
+    assert len(pieces) > 60 and ["".join(p for p, o in zip(pieces, owner) if o == i) for i in range(len(some))] == some
+    assert [x.tolist() for x in packing.encode_batch(some, PATH)] == want
+    assert tokencount.count_batch(some, PATH).tolist() == [len(w) for w in want]
 
 
 def test_small_cache_begins_anew(monkeypatch):
     monkeypatch.setattr(pretoken, "CACHE_ENTRIES", 5)
-    monkeypatch.setattr(tokencount, "slices", lambda t: ((i, [x or ""]) for i, x in enumerate(t)))
-    tokencount._lookups.clear()
     some = texts(3, 60)
-    whole = pretoken.tokenizer(PATH)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint16)
-    assert tokencount.count_batch(some, PATH, *none).tolist() == [len(whole.encode(t, add_special_tokens=False).ids) for t in some]
+    want = library(some)
+    pretoken._lookups.clear()
+    assert [tokencount.count_batch([t], PATH)[0] for t in some] == [len(w) for w in want]
+    assert [packing.encode_batch([t], PATH)[0].tolist() for t in some] == want
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_vocabularies(name):
     path = tokenizer_path(name)
     some = ["Hello world", "", "naïve café"]
-    got = tokencount.count_batch(some, path, np.zeros(0, np.uint64), np.zeros(0, np.uint16)).tolist()
+    got = tokencount.count_batch(some, path).tolist()
     if path.endswith(".model"):
         assert got == [len(pretoken.sentence_model(path).encode(t)) for t in some]
     else:
-        assert got == [len(pretoken.tokenizer(path).encode(t, add_special_tokens=False).ids) for t in some]
+        assert got == [len(x) for x in library(some, path)]
 
 
 def test_token_counts(spark):
@@ -111,6 +151,15 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
+def test_repeated_rows_spread_over_groups(spark):
+    df = spark.range(600).selectExpr("CAST(NULL AS LONG) AS doc_id", "'' AS text")
+    got = packing.pack(df, PATH, capacity=16, group_pieces=50).groupBy("sequence_id").count().collect()
+    groups = Counter()
+    for r in got:
+        groups[r.sequence_id >> 32] += r["count"]
+    assert sum(groups.values()) == 600 and len(groups) == 12 and max(groups.values()) < 120
+
+
 def test_repeated_rows_are_packed_once_each(spark):
     df = spark.createDataFrame([(1, "a b c")] * 3, "doc_id long, text string")
     got = packing.pack(df, PATH, capacity=16).collect()
