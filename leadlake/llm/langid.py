@@ -85,6 +85,27 @@ def analyse(texts: list[str]) -> Words:
     return Words(doc, np.cumsum(fresh) - 1, np.arange(n) - head, distinct, keys, (np.concatenate(rows) & np.uint64(ROWS - 1)).astype(np.int64), np.concatenate(owner))
 
 
+def analyse_all(texts: list[str]) -> Words:
+    """analyse() slice by slice, with the distinct words of all texts."""
+    found = [analyse(part) for _, part in slices(texts)]
+    first = [at for at, _ in slices(texts)]
+    keys = np.unique(np.concatenate([w.keys for w in found] or [np.zeros(0, np.uint64)]))
+    seen = np.zeros(len(keys), bool)
+    doc, sentence, place, distinct, rows, owner, met = [], [], [], [], [], [], 0
+    for at, w in zip(first, found, strict=True):
+        own = np.searchsorted(keys, w.keys)
+        new = ~seen[own][w.owner]
+        seen[own] = True
+        doc.append(w.doc + at)
+        sentence.append(w.sentence + met)
+        met += int(w.sentence[-1]) + 1 if len(w.sentence) else 0
+        place.append(w.place)
+        distinct.append(own[w.distinct])
+        rows.append(w.rows[new])
+        owner.append(own[w.owner[new]])
+    return Words(*(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (doc, sentence, place, distinct)), keys, *(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (rows, owner)))
+
+
 def emissions(w: Words, model: Model) -> np.ndarray:
     """One row of scores for each distinct word."""
     n, k = len(w.keys), len(model.languages)
@@ -160,7 +181,7 @@ def fit(texts: list[str], language: list[str], seed: int = 7) -> Model:
     names = sorted(set(language))
     k = len(names)
     model = Model(names, np.zeros((ROWS + k, k), np.float64), np.zeros((k, k)), np.zeros(0, np.uint64), np.zeros((0, k)))
-    w = analyse(texts)
+    w = analyse_all(texts)
     if not k or not len(w.doc):
         return Model([], model.weights, model.moves, model.lexicon, model.member)
     label = np.array([names.index(x) for x in language])[w.doc]

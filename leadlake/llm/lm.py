@@ -2,8 +2,9 @@
 
 Both models share one vocabulary (every word of all documents), one order and
 one smoothing; the background model counts every document, the target model
-those of the target.  A token w after v (each document begins after a start
-mark) has the probability
+those of the target.  A document is scored by what all *other* documents say:
+its own counts are taken out first.  With the counts c that are left, a token w
+after v (each document begins after a start mark) has the probability
 
     (c(v w) + M u(w)) / (c(v) + M),   u(w) = (c(w) + 1) / (n + V)
 
@@ -11,211 +12,212 @@ with M the mean count of the model's contexts, which matches models of different
 size.  A document's score is the mean over its tokens of the target's loss less
 the background's: the lower, the more like the target.
 
-Counts are exact (words are told apart by 64-bit hashes) and stay on the
-cluster: words and bigrams are tables in the checkpoint folder that grow with the
-corpus, and each bigram's two losses are worked out once.  Scoring has two tiers.
-The commonest bigrams are broadcast and summed where the text is; they decide
-only speed.  A document's other bigrams, added up first, are joined to the table,
-where each is rare, so no key is skewed.  Lookups of words are split alike.
-
-A caller may bound the vocabulary; all words but the commonest are then one
-unknown word.  Null, empty and wordless documents have no tokens: losses and
-score are null.  Repeated rows count and score each time; bigrams that the model
-has not met are smoothed only.  Without target rows the target model is uniform.
+All counts are exact and stay on the cluster (bigrams, contexts and words are
+told apart by 62-bit hashes); what is gathered grows with the corpus:
+
+1. each task reads its documents once and writes them in shares of about
+   `SHARE_TOKENS` tokens: the share's distinct keys with their counts, and for
+   each token the places of its keys;
+2. the shares' keys are dealt by range, each range adds up its keys and answers
+   every share with the sums, in the share's own order;
+3. each share meets its answers and works out its documents' losses.
+
+A share sends a key once however often it holds it, so a range's size follows
+the distinct keys, and a frequent key costs one entry a share.
+
+Null, empty and wordless documents have no tokens: losses and score are null.
+Repeated rows count and score each time (each is another document to its copy).
+Documents that `counted` leaves out are scored and not counted.  Without target
+rows the target model is uniform.  An empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .text import mix, slices, spans, words
+from .text import mix, parts, spans, words
 
-#: Broadcast bigrams (24 bytes each) and words, the commonest; bounds of speed, not of the model.
-NEAR_PAIRS, NEAR_WORDS = 1 << 19, 1 << 16
-#: Code points of which a task adds up counts before it passes them on.
-COUNT_CHARS = 4_000_000
-UNKNOWN, START = np.uint64(0), np.uint64(1)
+#: Tokens of one share, and keys that one range adds up at once (expected).
+SHARE_TOKENS, RANGE_KEYS = 400_000, 400_000
+START = np.uint64(1)
+#: Kinds of keys, in their lowest two bits.
+PAIR, WORD, CONTEXT = 0, 1, 2
 SIDES = ("background", "target")
 
 
-@dataclass
-class Model:
-    words: DataFrame  # key, and the counts word_background, word_target, context_background, context_target
-    pairs: DataFrame  # context, word, background (count), target_loss, background_loss
-    known: np.ndarray | None  # sorted word hashes of a bounded vocabulary
-    ids: int  # V
-    total: dict[str, float]
-    mass: dict[str, float]
-
-    @property
-    def vocabulary(self) -> np.ndarray:
-        """The hashes of all words, collected."""
-        if self.known is not None:
-            return self.known
-        found = self.words.where(F.col("word_background") > 0).select("key").toPandas()["key"]
-        return np.sort(found.to_numpy(np.int64).view(np.uint64))
-
-    def loss(self, pair, context, word, side: str):
-        """Minus the logarithm of the probability, from three columns of counts."""
-        prior = (word + 1) / F.lit(self.total[side] + self.ids)
-        return -F.log((pair + F.lit(self.mass[side]) * prior) / (context + F.lit(self.mass[side])))
-
-
-def pairs(texts: list[str], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context hash, word hash, text index) of every token."""
     word, doc, *_ = words(texts)
-    if known is not None:
-        at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-        word = np.where(known[at] == word, word, UNKNOWN) if len(known) else np.zeros(len(word), np.uint64)
     context = np.empty_like(word)
     context[1:] = word[:-1]
     at = spans(doc, len(texts))
-    heads = at[:-1][np.diff(at) > 0]
-    context[heads] = START
+    context[at[:-1][np.diff(at) > 0]] = START
     return context, word, doc
 
 
-def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(mix(context) + word)
-
-
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(h).view(np.int64))
+def keys_of(context: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """The pair, word and context key of every token."""
+    kind = lambda h, k: (mix(h) & ~np.uint64(3)) | np.uint64(k)
+    return [kind(mix(context) + word, PAIR), kind(word, WORD), kind(context, CONTEXT)]
 
 
-def _count(rows: DataFrame, expand, names: list[str]) -> DataFrame:
-    """Rows of `expand(texts, target)` summed by key; each task adds up its own slices' rows before the shuffle does."""
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, which compress where numbers are small."""
+    x = np.asarray(x, np.uint64)
+    return x.astype(">u8").view(np.uint8).reshape(len(x), 8).T.tobytes()
 
-    def run(batches):
-        for b in batches:
-            target = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, part in slices(b.column(0).to_pylist(), COUNT_CHARS):
-                *keys, background, own = expand(part, target[first : first + len(part)])
-                yield pa.RecordBatch.from_arrays([*map(_signed, keys), pa.array(background, pa.int64()), pa.array(own, pa.int64())], [*names, *SIDES])
-
-    schema = ", ".join(f"{c} long" for c in [*names, *SIDES])
-    return rows.mapInArrow(run, schema).groupBy(*names).agg(*(F.sum(s).alias(s) for s in SIDES))
 
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
-def _sums(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each distinct key is first, and its counts in both models."""
-    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return first, np.bincount(at, minlength=len(first)), np.bincount(at, own, len(first)).astype(np.int64)
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Rising keys by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
-def _least(rows: DataFrame, count: str, most: int) -> int:
-    """The least count that at most `most` rows reach."""
-    held, least = 0, None
-    for r in sorted(rows.groupBy(count).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
-        held += r["rows"]
-        if held > most:
-            break
-        least = r[count]
-    return least if least is not None else (1 << 62)
 
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)
 
-def _with(rows: DataFrame, table: DataFrame, near, key: str) -> DataFrame:
-    """`rows` with the table's counts (0 if it has none); keys where `near` holds are broadcast, so the shuffle has no frequent one."""
-    common, columns = table.where(near).drop("size"), [c for c in table.columns if c not in (key, "size")]
-    here = rows.join(F.broadcast(common), key)
-    away = rows.join(F.broadcast(common.select(key)), key, "left_anti").join(table.where(~near).drop("size"), key, "left")
-    return here.unionByName(away).fillna(0, columns)
 
+def _share(held: list[tuple], place: int) -> pa.RecordBatch:
+    """One share from (context, word, document) and the documents' target and counted marks."""
+    context, word, doc = (np.concatenate([h[i] for h in held]) for i in range(3))
+    target, counted = (np.concatenate([h[i] for h in held]) for i in (3, 4))
+    every = keys_of(context, word)
+    keys, at = np.unique(np.concatenate(every), return_inverse=True)
+    own = np.tile(counted[doc], 3)
+    sums = [np.bincount(at, own, len(keys)), np.bincount(at, own & np.tile(target[doc], 3), len(keys))]
+    n, m = len(doc), len(target)
+    row = [place, packed_keys(keys), *(packed(s) for s in sums), len(keys), *(packed(at[i * n : (i + 1) * n]) for i in range(3))]
+    ids = pa.concat_arrays([h[5] for h in held])
+    docs = pa.StructArray.from_arrays([ids, pa.array(np.bincount(doc, minlength=m), pa.int64()), pa.array(target), pa.array(counted)], ["doc_id", "n_tokens", "target", "counted"])
+    lists = pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), docs)
+    return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:4]), pa.array([row[4]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[5:]), lists], ["share", "keys", *SIDES, "n_keys", "pair_at", "word_at", "context_at", "docs"])
 
-def _counted(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows of context and word with the counts of both as context and word."""
-    size = F.col("word_background") + F.col("context_background")
-    least = _least(counts.select(size.alias("size")), "size", NEAR_WORDS)
-    near = F.col("size") >= least
-    for key in ("context", "word"):
-        rows = _with(rows, counts.select(F.col("key").alias(key), size.alias("size"), f"{key}_background", f"{key}_target"), near, key)
-    return rows
 
+def shares(rows: DataFrame) -> DataFrame:
+    """Shares of (doc_id, text, target, counted, task) rows; share numbers are unique over tasks."""
+    kind = dict(rows.dtypes)["doc_id"]
 
-def train(docs: DataFrame, target, text: str = "text", vocabulary: int | None = None, buckets: int | None = None) -> Model:
-    """Counts over all documents; `target` is a boolean column that tells the target's documents.
+    def run(batches):
+        held, tokens, first, place = [], 0, 0, None
+        for b in batches:
+            if place is None and b.num_rows:
+                place = b.column(4)[0].as_py() << 32
+            for part, texts in parts(b, 1):
+                context, word, doc = pairs(texts)
+                marks = [part.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (2, 3)]
+                held.append((context, word, doc + first, *marks, part.column(0)))
+                tokens, first = tokens + len(word), first + len(texts)
+                if tokens >= SHARE_TOKENS or first >= SHARE_TOKENS:
+                    yield _share(held, place)
+                    held, tokens, first, place = [], 0, 0, place + 1
+        if held:
+            yield _share(held, place)
+
+    binary = ", ".join(f"{c} binary" for c in ("keys", *SIDES))
+    return rows.mapInArrow(run, f"share long, {binary}, n_keys long, pair_at binary, word_at binary, context_at binary, docs array<struct<doc_id: {kind}, n_tokens: bigint, target: boolean, counted: boolean>>")
+
+
+def dealt(base: DataFrame, ranges: int) -> DataFrame:
+    """(range, share, keys, background, target) of every range that a share has keys of."""
 
-    `vocabulary` bounds the words (the commonest; none: all words). `buckets` has no effect, as bigrams are counted exactly.
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                keys = unpacked_keys(b.column(1)[i].as_py())
+                sums = [unpacked(b.column(c)[i].as_py()) for c in (2, 3)]
+                own = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                cut = np.append(np.flatnonzero(np.diff(own, prepend=np.uint64(ranges))), len(keys)).tolist()
+                spans_ = list(zip(cut[:-1], cut[1:], strict=True))
+                blob = lambda f, x: pa.array([f(x[s:e]) for s, e in spans_], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([int(own[s]) for s, _ in spans_], pa.int64()), pa.array([b.column(0)[i].as_py()] * len(spans_), pa.int64()), blob(packed_keys, keys), *(blob(packed, s) for s in sums)], ["range", "share", "keys", *SIDES])
+
+    return base.select("share", "keys", *SIDES).mapInArrow(run, "range long, share long, keys binary, background binary, target binary")
+
+
+ANSWER = "range long, share long, background binary, target binary, words long, background_words long, target_words long, background_contexts long, target_contexts long"
+
+
+def _add(own: pd.DataFrame) -> pd.DataFrame:
+    """A range's sums, answered share by share; the first answer carries the range's totals."""
+    keys = [unpacked_keys(x) for x in own["keys"]]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([unpacked(x) for x in own[s]]), len(distinct)).astype(np.int64) for s in SIDES]
+    stop = np.cumsum([len(k) for k in keys])
+    kind = distinct & np.uint64(3)
+    out = own[["range", "share"]].copy()
+    for s, total in zip(SIDES, sums, strict=True):
+        out[s] = [packed(total[at[e - len(k) : e]]) for k, e in zip(keys, stop.tolist(), strict=True)]
+    first = np.arange(len(own)) == 0
+    out["words"] = first * int(((kind == WORD) & (sums[0] > 0)).sum())
+    for s, total in zip(SIDES, sums, strict=True):
+        out[f"{s}_words"] = first * int(total[kind == WORD].sum())
+    for s, total in zip(SIDES, sums, strict=True):
+        out[f"{s}_contexts"] = first * int(((kind == CONTEXT) & (total > 0)).sum())
+    return out
+
+
+def _own_counts(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in the token's own document."""
+    _, inverse, count = np.unique(doc * (int(at.max(initial=0)) + 1) + at, return_inverse=True, return_counts=True)
+    return count[inverse]
+
+
+def losses(share, sums: dict[str, np.ndarray], total: dict[str, float], mass: dict[str, float], ids: int) -> dict[str, np.ndarray]:
+    """Mean loss by side of each document of a share (nan without tokens); `sums` are the counts of the share's keys."""
+    docs = share["docs"]
+    n = np.array([d["n_tokens"] for d in docs], np.int64)
+    doc = np.repeat(np.arange(len(n)), n)
+    target, counted = (np.array([bool(d[c]) for d in docs], bool) for c in ("target", "counted"))
+    at = {c: unpacked(share[f"{c}_at"]).astype(np.int64) for c in ("pair", "word", "context")}
+    own = {c: _own_counts(doc, x) for c, x in at.items()}
+    out = {}
+    for side in SIDES:
+        mine = (counted & target if side == "target" else counted)[doc]
+        left = {c: sums[side][at[c]] - np.where(mine, own[c], 0) for c in at}
+        prior = (left["word"] + 1) / (total[side] - np.where(mine, n[doc], 0) + ids)
+        loss = -np.log((left["pair"] + mass[side] * prior) / (left["context"] + mass[side]))
+        with np.errstate(invalid="ignore"):
+            out[side] = np.bincount(doc, loss, len(n)) / np.where(n > 0, n, np.nan)
+    return out
+
+
+def score(docs: DataFrame, target, counted=None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score (their difference, per token) of every row.
+
+    `target` is a boolean column that tells the target's documents, `counted` one
+    that tells those whose counts make the models (none: all); null is false.
     """
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    known = None
-    if vocabulary is not None:
-
-        def each_word(part, own):
-            h, doc, *_ = words(part)
-            first, *n = _sums(h, own[doc])
-            return h[first], *n
-
-        counts = _count(rows, each_word, ["key"])
-        top = counts.orderBy(F.desc("background"), "key").limit(vocabulary).select("key").toPandas()["key"].to_numpy(np.int64)
-        known = np.sort(top.view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def each_pair(part, own):
-        context, word, doc = pairs(part, shared.value)
-        first, *n = _sums(pair_keys(context, word), own[doc])
-        return context[first], word[first], *n
-
-    found = written(_count(rows, each_pair, ["context", "word"]), "lm-bigrams")
-    sides = [F.col(s) for s in SIDES]
-    zero = F.lit(0).cast("long")
-    both = found.select(F.col("word").alias("key"), *(s.alias(f"word_{n}") for s, n in zip(sides, SIDES, strict=True)), *(zero.alias(f"context_{n}") for n in SIDES)).unionByName(
-        found.select(F.col("context").alias("key"), *(zero.alias(f"word_{n}") for n in SIDES), *(s.alias(f"context_{n}") for s, n in zip(sides, SIDES, strict=True)))
-    )
-    columns = both.columns[1:]
-    counts = written(both.groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)), "lm-words")
-    size = counts.agg(F.count_if(F.col("word_background") > 0).alias("words"), *(F.sum(c).alias(c) for c in columns), *(F.count_if(F.col(f"context_{s}") > 0).alias(f"n_{s}") for s in SIDES)).first()
-    total = {s: float(size[f"word_{s}"] or 0) for s in SIDES}
-    mass = {s: max(1.0, (size[f"context_{s}"] or 0) / max(1, size[f"n_{s}"])) for s in SIDES}
-    model = Model(counts, found, known, (size["words"] if known is None else len(known)) + 2, total, mass)
-    losses = (model.loss(F.col(s), F.col(f"context_{s}"), F.col(f"word_{s}"), s).alias(f"{s}_loss") for s in SIDES)
-    model.pairs = written(_counted(found, counts).select("context", "word", "background", *losses), "lm-losses")
-    return model
-
-
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and their difference, per token."""
-    common = model.pairs.where(F.col("background") >= _least(model.pairs, "background", NEAR_PAIRS)).toArrow()
-    keys = pair_keys(*(common.column(c).to_numpy().view(np.uint64) for c in ("context", "word")))
-    order = np.argsort(keys)
-    tier = keys[order], *(common.column(f"{s}_loss").to_numpy()[order] for s in SIDES)
-    shared = docs.sparkSession.sparkContext.broadcast((model.known, tier))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    true = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"), true.alias("counted"), F.spark_partition_id().alias("task"))
+    base = written(shares(rows), "lm-shares")
+    size = base.agg(F.sum("n_keys")).first()[0] or 0
+    ranges = min(1 << 31, max(1, -(-size // RANGE_KEYS)))
+    answers = written(dealt(base, ranges).groupBy("range").applyInPandas(_add, ANSWER), "lm-answers")
+    names = ANSWER.replace(" long", "").replace(" binary", "").split(", ")[4:]
+    sums = answers.agg(*(F.sum(c).alias(c) for c in names)).first().asDict()
+    total = {s: float(sums[f"{s}_words"] or 0) for s in SIDES}
+    mass = {s: max(1.0, total[s] / max(1, sums[f"{s}_contexts"] or 0)) for s in SIDES}
+    ids = (sums["words"] or 0) + 2
     kind = dict(rows.dtypes)["doc_id"]
 
-    def run(batches):
-        known, (keys, *near) = shared.value
-        for b in batches:
-            for first, part in slices(b.column(2).to_pylist(), COUNT_CHARS):
-                context, word, doc = pairs(part, known)
-                own = pair_keys(context, word)
-                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-                here = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-                sums = [np.bincount(doc[here], n[at[here]], len(part)) for n in near]
-                away = np.flatnonzero(~here)
-                away = away[np.lexsort((own[away], doc[away]))]
-                new = np.ones(len(away), bool)
-                new[1:] = (own[away][1:] != own[away][:-1]) | (doc[away][1:] != doc[away][:-1])
-                head = np.flatnonzero(new)
-                times = np.diff(np.append(head, len(away)))
-                head = away[head]
-                rest = pa.StructArray.from_arrays([_signed(context[head]), _signed(word[head]), pa.array(times, pa.int64())], ["context", "word", "times"])
-                rest = pa.ListArray.from_arrays(pa.array(spans(doc[head], len(part)), pa.int32()), rest)
-                n = pa.array(np.bincount(doc, minlength=len(part)), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), n, *(pa.array(x, pa.float64()) for x in sums), rest], ["doc_id", "row", "n_tokens", *SIDES, "rest"])
-
-    base = written(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, background double, target double, rest array<struct<context: long, word: long, times: long>>"), "lm-rows")
-    rest = base.select("row", F.inline("rest"))
-    table = model.pairs.select("context", "word", *(F.col(f"{s}_loss") for s in SIDES))
-    met = rest.join(table, ["context", "word"])
-    unmet = _counted(rest.join(table, ["context", "word"], "left_anti"), model.words)
-    unmet = unmet.select("row", "times", *(model.loss(F.lit(0), F.col(f"context_{s}"), F.col(f"word_{s}"), s).alias(f"{s}_loss") for s in SIDES))
-    further = met.select(*unmet.columns).unionByName(unmet).groupBy("row").agg(*(F.sum(F.col("times") * F.col(f"{s}_loss")).alias(f"far_{s}") for s in SIDES))
-    mean = {s: F.when(F.col("n_tokens") > 0, (F.col(s) + F.coalesce(F.col(f"far_{s}"), F.lit(0.0))) / F.col("n_tokens")) for s in SIDES}
-    return base.drop("rest").join(further, "row", "left").select("doc_id", "n_tokens", mean["target"].alias("target_loss"), mean["background"].alias("background_loss"), (mean["target"] - mean["background"]).alias("score"))
+    def finish(key: tuple, share: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        own = share.iloc[0]
+        answer = answer.sort_values("range")
+        counts = {s: np.concatenate([unpacked(x) for x in answer[s]] or [np.zeros(0, np.uint64)]).astype(np.int64) for s in SIDES}
+        loss = losses(own, counts, total, mass, ids)
+        out = pd.DataFrame({"doc_id": pd.Series([d["doc_id"] for d in own["docs"]], dtype=object), "n_tokens": [d["n_tokens"] for d in own["docs"]], "target_loss": loss["target"], "background_loss": loss["background"]})
+        out["score"] = out["target_loss"] - out["background_loss"]
+        return out
+
+    own = base.select("share", "pair_at", "word_at", "context_at", "docs").groupBy("share")
+    found = own.cogroup(answers.select("share", "range", *SIDES).groupBy("share")).applyInPandas(finish, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return found.select("doc_id", "n_tokens", *(F.nanvl(F.col(c), F.lit(None)).alias(c) for c in ("target_loss", "background_loss", "score")))

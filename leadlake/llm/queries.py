@@ -42,14 +42,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled of good quality; background: all documents."""
-    from .lm import score, train
+    from .lm import score
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
     if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         good = F.broadcast(good)
     marked = docs.join(good, "doc_id", "left")
-    return score(docs, train(marked, F.col("good")))
+    return score(marked, F.col("good"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

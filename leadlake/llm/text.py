@@ -66,7 +66,19 @@ def kinds_of(cp: np.ndarray) -> np.ndarray:
     return out
 
 
-@functools.lru_cache(4)
+#: Powers of more places than this are not kept.
+_KEPT = 1 << 19
+
+
+@functools.lru_cache(8)
+def _kept_powers(n: int, base: int, prime: bool) -> np.ndarray:
+    return _prime_powers(n, base) if prime else _powers(n, base)
+
+
+def powers(n: int, base: int, prime: bool) -> np.ndarray:
+    return _kept_powers(n, base, prime) if n <= _KEPT else _kept_powers.__wrapped__(n, base, prime)
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     p = np.full(n + 1, np.uint64(base), np.uint64)
     p[0] = 1
@@ -77,7 +89,6 @@ def _powers(n: int, base: int) -> np.ndarray:
 _PRIME, _BASE = np.uint64(2**31 - 1), 1_234_567_891
 
 
-@functools.lru_cache(4)
 def _prime_powers(n: int, base: int) -> np.ndarray:
     p = np.ones(1, np.uint64)
     step = base
@@ -97,12 +108,12 @@ class RunHasher:
         if far.any():
             h[far] = mix((cp[far].astype(np.uint64) + np.uint64(1)) * _ODD)
         self._second = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum((h >> np.uint64(33)) * _prime_powers(n, _BASE)[: len(cp)] % _PRIME, out=self._second[1:])
-        h *= _powers(n, int(_ODD))[: len(cp)]
+        np.cumsum((h >> np.uint64(33)) * powers(n, _BASE, True)[: len(cp)] % _PRIME, out=self._second[1:])
+        h *= powers(n, int(_ODD), False)[: len(cp)]
         self._sum = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum(h, out=self._sum[1:])
-        self._inv = _powers(n, int(_INV))
-        self._back = _prime_powers(n, pow(_BASE, -1, int(_PRIME)))
+        self._inv = powers(n, int(_INV), False)
+        self._back = powers(n, pow(_BASE, -1, int(_PRIME)), True)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         first = (self._sum[end] - self._sum[start]) * self._inv[start] + (end - start).astype(np.uint64)

@@ -86,72 +86,81 @@ def test_toxicity_tables(spark):
 # --- language-model scoring ----------------------------------------------------
 
 
-def test_losses_equal_a_plain_bigram_model(spark):
-    rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice(EN if i % 3 else DE) for _ in range(rng.randint(0, 12))), i % 3 == 0) for i in range(80)] + [(80, None, True), (81, "...", False)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(4)
-    v = 9
-    model = lm.train(df, df.good, vocabulary=v, buckets=1 << 20)
-    words = {i: re.findall(r"\w+", (t or "").lower()) for i, t, _ in rows}
-    total = Counter(w for ws in words.values() for w in ws)
-    from leadlake.llm.text import words as hashed
-
-    known = {int(h) for h in model.vocabulary}
-    name = {w: w if int(hashed([w])[0][0]) in known else "?" for w in total}
-    assert len({w for w in total if name[w] != "?"}) == v and min(total[w] for w in total if name[w] != "?") >= max(total[w] for w in total if name[w] == "?")
+def plain_losses(rows):
+    """Losses of each row by the counts of all other rows."""
+    words = [re.findall(r"\w+", (t or "").lower()) for _, t, *_ in rows]
+    pairs = [list(zip(["^", *w], w)) for w in words]
     loss = {}
     for side in ("target", "background"):
-        docs = [i for i, t, g in rows if t is not None and (g or side == "background")]
+        own = [(g or side == "background") and c for _, _, g, c in rows]
         big, ctx, uni = Counter(), Counter(), Counter()
-        for i in docs:
-            seq = [name[w] for w in words[i]]
-            for a, b in zip(["^", *seq], seq):
-                big[a, b] += 1
-                ctx[a] += 1
-                uni[b] += 1
-        mass = max(1.0, sum(ctx.values()) / len(ctx))
-        for i in words:
-            seq = [name[w] for w in words[i]]
-            p = [(big[a, b] + mass * (uni[b] + 1) / (sum(uni.values()) + v + 2)) / (ctx[a] + mass) for a, b in zip(["^", *seq], seq)]
-            loss[i, side] = sum(-math.log(x) for x in p) / len(p) if p else None
-    for r in lm.score(df, model).collect():
-        assert r.n_tokens == len(words[r.doc_id])
-        if r.n_tokens:
-            assert abs(r.target_loss - loss[r.doc_id, "target"]) < 1e-6 and abs(r.background_loss - loss[r.doc_id, "background"]) < 1e-6
-            assert abs(r.score - (r.target_loss - r.background_loss)) < 1e-9
-        else:
-            assert r.score is None
-    german = [r.score for r in lm.score(df, model).collect() if r.score is not None and r.doc_id % 3 == 0]
-    english = [r.score for r in lm.score(df, model).collect() if r.score is not None and r.doc_id % 3]
+        for p, o in zip(pairs, own):
+            if o:
+                big.update(p)
+                ctx.update(a for a, _ in p)
+                uni.update(b for _, b in p)
+        mass = max(1.0, sum(ctx.values()) / max(1, len(ctx)))
+        n = sum(uni.values())
+        v = len({w for ws, r in zip(words, rows) if r[3] for w in ws}) + 2
+        for i, p in enumerate(pairs):
+            one = Counter() if not own[i] else Counter(p)
+            a1, b1 = Counter(), Counter()
+            for (a, b), k in one.items():
+                a1[a] += k
+                b1[b] += k
+            m = n - sum(one.values())
+            each = [(big[a, b] - one[a, b] + mass * (uni[b] - b1[b] + 1) / (m + v)) / (ctx[a] - a1[a] + mass) for a, b in p]
+            loss[i, side] = sum(-math.log(x) for x in each) / len(each) if each else None
+    return words, loss
+
+
+def test_losses_equal_a_plain_bigram_model(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(EN if i % 3 else DE) for _ in range(rng.randint(0, 12))), i % 3 == 0, True) for i in range(80)] + [(80, None, True, True), (81, "...", False, True), (82, "the winter zebra", True, False), (83, "the unheard of", False, True), (84, "the unheard of", None, True)]
+    words, loss = plain_losses([(i, t, bool(g), c) for i, t, g, c in rows])
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, good boolean, used boolean, share string, range int").repartition(4)
+    for share, keys in ((400_000, 400_000), (40, 7)):
+        monkeypatch.setattr(lm, "SHARE_TOKENS", share)
+        monkeypatch.setattr(lm, "RANGE_KEYS", keys)
+        got = lm.score(df, df.good, df.used).collect()
+        assert sorted(r.doc_id for r in got) == list(range(85))
+        for r in got:
+            assert r.n_tokens == len(words[r.doc_id])
+            if r.n_tokens:
+                assert abs(r.target_loss - loss[r.doc_id, "target"]) < 1e-9 and abs(r.background_loss - loss[r.doc_id, "background"]) < 1e-9
+                assert abs(r.score - (r.target_loss - r.background_loss)) < 1e-12
+            else:
+                assert r.score is None and r.target_loss is None
+    german = [r.score for r in got if r.score is not None and r.doc_id % 3 == 0 and r.doc_id < 80]
+    english = [r.score for r in got if r.score is not None and r.doc_id % 3 and r.doc_id < 80]
     assert max(german) < min(english)
-    assert lm.score(df.limit(0), lm.train(df.limit(0), df.good)).count() == 0
+    assert lm.score(df.limit(0), df.good).count() == 0
+
+
+def test_repeated_rows_null_ids_and_long_texts(spark):
+    long = " ".join(f"w{i % 997}" for i in range(60_000))
+    rows = [(None, "a b c", True, True), (None, "a b c", True, True), (7, "a b c", False, True), (7, long, False, True), (8, long + " end", True, True)]
+    _, loss = plain_losses(rows)
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, good boolean")
+    got = sorted((r.n_tokens, r.background_loss, r.target_loss) for r in lm.score(df, df.good).collect())
+    want = sorted((len(re.findall(r"\w+", t)), loss[i, "background"], loss[i, "target"]) for i, (_, t, *_) in enumerate(rows))
+    assert len(got) == 5 and all(g[0] == w[0] and abs(g[1] - w[1]) < 1e-9 and abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, want))
 
 
-def test_model_grows_with_the_corpus(spark, monkeypatch):
+def test_model_grows_with_the_corpus(spark):
     # 30,000 distinct words: each bigram of one document is met once, those of the common pair often
     rows = [(i, " ".join(f"w{i * 60 + j} common pair" for j in range(60)), i % 2 == 0) for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(4)
-    model = lm.train(df, df.good)
-    assert len(model.vocabulary) == 30_002
     n, v = 90_000, 30_002 + 2
     mass = n / (30_002 + 1)  # contexts: all words and the start
-    first = -math.log((1 + mass * 2 / (n + v)) / (500 + mass))  # a word after the start
-    new = -math.log((1 + mass * 2 / (n + v)) / (29_500 + mass))  # a word after "pair"
-    common = -math.log((1 + mass * 30_001 / (n + v)) / (1 + mass))
-    pair = -math.log((30_000 + mass * 30_001 / (n + v)) / (30_000 + mass))
+    m = n - 180  # without the document itself
+    first = -math.log((mass * 1 / (m + v)) / (499 + mass))  # a word after the start
+    new = -math.log((mass * 1 / (m + v)) / (29_500 - 59 + mass))  # a word after "pair"
+    common = -math.log((mass * (30_001 - 60) / (m + v)) / mass)
+    pair = -math.log((30_000 - 60 + mass * (30_001 - 60) / (m + v)) / (30_000 - 60 + mass))
     want = (first + 59 * new + 60 * common + 60 * pair) / 180
-    got = {r.doc_id: r for r in lm.score(df, model).collect()}
-    assert len(got) == 500 and all(r.n_tokens == 180 and abs(r.background_loss - want) < 1e-9 for r in got.values())
-    assert max(r.score for r in got.values() if r.doc_id % 2 == 0) < min(r.score for r in got.values() if r.doc_id % 2)
-    # the tiers decide only speed, and texts with unmet bigrams and words are smoothed
-    monkeypatch.setattr(lm, "NEAR_PAIRS", 0)
-    monkeypatch.setattr(lm, "NEAR_WORDS", 1)
-    for r in lm.score(df, model).collect():
-        assert abs(r.background_loss - want) < 1e-9 and abs(r.target_loss - got[r.doc_id].target_loss) < 1e-9
-    other = spark.createDataFrame([(None, "pair unmet"), (None, "pair unmet")], "doc_id long, text string")
-    want = -(math.log(mass * 30_001 / (n + v) / (500 + mass)) + math.log(mass / (n + v) / (29_500 + mass))) / 2
-    found = lm.score(other, model).collect()
-    assert len(found) == 2 and all(abs(r.background_loss - want) < 1e-9 for r in found)
+    got = lm.score(df, df.good).collect()
+    assert len(got) == 500 and all(r.n_tokens == 180 and abs(r.background_loss - want) < 1e-9 for r in got)
 
 
 # --- language identification ---------------------------------------------------
