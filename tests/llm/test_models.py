@@ -119,7 +119,7 @@ def test_losses_equal_a_plain_bigram_model(spark, monkeypatch):
     rows = [(i, " ".join(rng.choice(EN if i % 3 else DE) for _ in range(rng.randint(0, 12))), i % 3 == 0, True) for i in range(80)] + [(80, None, True, True), (81, "...", False, True), (82, "the winter zebra", True, False), (83, "the unheard of", False, True), (84, "the unheard of", None, True)]
     words, loss = plain_losses([(i, t, bool(g), c) for i, t, g, c in rows])
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, good boolean, used boolean, share string, range int").repartition(4)
-    for share, keys in ((400_000, 400_000), (40, 7)):
+    for share, keys in ((1_000_000, 400_000), (40, 7)):
         monkeypatch.setattr(lm, "SHARE_TOKENS", share)
         monkeypatch.setattr(lm, "RANGE_KEYS", keys)
         got = lm.score(df, df.good, df.used).collect()
