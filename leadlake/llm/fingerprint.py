@@ -12,7 +12,8 @@ shorter part must be equal).
 
 A null text counts as empty; its fingerprint is `2::`.  Equal texts have equal
 fingerprints.  `neighbours` orders rows by id, nulls first, repeated ids by a
-hash of their text; the last row's neighbour is the first row.
+hash of their text; the last row's neighbour is the first row.  A single row is
+its own neighbour, an empty table gives no rows, further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .text import mix, slices
+from .text import mix, parts, slices
 
 LEVEL, ENDS, RUN, PAD = 2, 64, 4, 8
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -164,7 +165,7 @@ def _rows(ids: pa.Array, texts: list[str], marks: list[str], following: list[str
 
 
 OUT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-EDGE = ["last_text", "first_id", "first_hash", "first_text", "first_mark", "last_hash"]
+EDGE = ["task", "last_text", "last_hash", "first_id", "first_hash", "first_text", "first_mark"]
 
 
 def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,47 +173,50 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Rows are range-partitioned and sorted by id once; a task streams through its
     rows with the one before in hand.  The last row of each task meets the first
-    of the following task in a small second step (one row for each task).
+    of the following task in a small second step: tasks are put in order by ids
+    and hashes alone, then joined by number, so no task holds the texts of many.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "hash").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "text")
     kind = dict(rows.dtypes)["doc_id"]
     out = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    edge = f"last_text string, first_id {kind}, first_hash long, first_text string, first_mark string, last_hash long"
+    edge = f"task long, last_text string, last_hash long, first_id {kind}, first_hash long, first_text string, first_mark string"
     id_type = next(f.dataType for f in rows.schema if f.name == "doc_id")
 
     def stream(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = to_arrow_type(id_type)
+        kinds = [pa.int64(), pa.string(), pa.int64(), arrow, pa.int64(), pa.string(), pa.string()]
         names = OUT + EDGE
         first = held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, texts, hashes = b.column(0).cast(arrow), b.column(1).to_pylist(), b.column(2)
-            marks = fingerprints(texts)
-            if first is None:
-                first = (ids[0], hashes[0], texts[0], marks[0])
-            if held is not None:
-                ids, texts, marks = pa.concat_arrays([held[0], ids]), [held[1], *texts], [held[2], *marks]
-            if len(texts) > 1:
-                yield pa.RecordBatch.from_arrays([*_rows(ids[:-1], texts[:-1], marks[:-1], texts[1:], marks[1:]), *(pa.nulls(len(texts) - 1, t) for t in (pa.string(), arrow, pa.int64(), pa.string(), pa.string(), pa.int64()))], names)
-            held = (ids[-1:], texts[-1], marks[-1], hashes[-1])
+        for batch in batches:
+            for b, texts in parts(batch, 1):
+                ids, hashes = b.column(0).cast(arrow), b.column(2)
+                marks = fingerprints(texts)
+                if first is None:
+                    task = b.column(3)[0].as_py()
+                    first = (ids[0].as_py(), hashes[0].as_py(), texts[0], marks[0])
+                if held is not None:
+                    ids, texts, marks = pa.concat_arrays([held[0], ids]), [held[1], *texts], [held[2], *marks]
+                if len(texts) > 1:
+                    yield pa.RecordBatch.from_arrays([*_rows(ids[:-1], texts[:-1], marks[:-1], texts[1:], marks[1:]), *(pa.nulls(len(texts) - 1, t) for t in kinds)], names)
+                held = (ids[-1:], texts[-1], marks[-1], hashes[-1].as_py())
         if held is not None:
-            none = [pa.nulls(1, t) for t in (pa.int64(), pa.string())]
-            some = lambda v, t: pa.array([v.as_py() if isinstance(v, pa.Scalar) else v], t)
-            yield pa.RecordBatch.from_arrays([held[0], *none, some(held[2], pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), some(held[1], pa.string()), some(first[0], arrow), some(first[1], pa.int64()), some(first[2], pa.string()), some(first[3], pa.string()), some(held[3], pa.int64())], names)
+            last = [held[0], pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([held[2]], pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*last, *(pa.array([v], t) for v, t in zip((task, held[1], held[3], *first), kinds, strict=True))], names)
 
-    done = written(ordered.mapInArrow(stream, f"{out}, {edge}"), "fingerprints")
-    edges = done.where("last_text IS NOT NULL")
-    along = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash", F.col("doc_id").asc_nulls_first(), "last_hash")
-    follow = F.struct(F.col("first_text").alias("t"), F.col("first_mark").alias("m"))
-    linked = edges.select("doc_id", "last_text", "fingerprint", F.coalesce(F.lead(follow).over(along), F.first(follow).over(along)).alias("f"))
-    linked = linked.select("doc_id", "last_text", "fingerprint", F.col("f.t").alias("t"), F.col("f.m").alias("m"))
+    numbered = ordered.withColumn("task", F.spark_partition_id().cast("long"))
+    done = written(numbered.mapInArrow(stream, f"{out}, {edge}"), "fingerprints")
+    edges = done.where("task IS NOT NULL")
+    along = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash", F.col("doc_id").asc_nulls_first(), "last_hash", "task")
+    order = edges.select("task", "first_id", "first_hash", "doc_id", "last_hash").select("task", F.coalesce(F.lead("task").over(along), F.first("task").over(along)).alias("next"))
+    following = edges.select(F.col("task").alias("next"), F.col("first_text").alias("t"), F.col("first_mark").alias("m"))
+    linked = edges.select("task", "doc_id", "last_text", "fingerprint").join(order, "task").join(following, "next").select("doc_id", "last_text", "fingerprint", "t", "m")
 
     def close(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(_rows(b.column(0), *(b.column(i).to_pylist() for i in (1, 2, 3, 4))), OUT)
+        for batch in batches:
+            for b, texts in parts(batch, 1):
+                yield pa.RecordBatch.from_arrays(_rows(b.column(0), texts, *(b.column(i).to_pylist() for i in (2, 3, 4))), OUT)
 
-    return done.where("last_text IS NULL").select(*OUT).unionByName(linked.mapInArrow(close, out))
+    return done.where("task IS NULL").select(*OUT).unionByName(linked.mapInArrow(close, out))

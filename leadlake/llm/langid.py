@@ -13,7 +13,8 @@ Trained on a bounded sample of documents of each language by stochastic
 gradient; part of the training sequences join sentences of two documents, which
 teaches switches.  Null texts, and texts without a letter, are `und` with score
 0, as is everything without training rows.  Equal sums take the first language
-in alphabetical order.  Repeated rows are labelled alike.
+in alphabetical order.  Repeated rows are labelled alike.  An empty table gives no
+rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

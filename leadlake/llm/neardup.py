@@ -21,7 +21,10 @@ that share a band is lost, and none is formed without exact verification.
 
 A null text, or one without any character, is its own class.  A text without
 words is compared as one shingle, its whole self.  Rows with a null id take part;
-the class id is the least non-null id.
+the class id is the least non-null id.  Repeated rows are one class; `keep_one`
+keeps one of them.  Ties of the least id fall to the least row hash.  An empty
+table gives no rows; further columns are kept by `keep_one`, whatever their names,
+and ignored else.  Contents and rows are told apart by 128 bits.
 """
 
 from __future__ import annotations

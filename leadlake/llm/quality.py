@@ -10,7 +10,8 @@ Filters, embedding and layers are trained together with Adam on chunks of a
 bounded sample of labelled documents, the combination on whole documents that
 the first step did not see.  Null and empty texts are one blank chunk and get
 its probability.  Repeated rows are scored alike.  Without rows of both labels
-every score is the share of good rows (1 without any row).
+every score is the share of good rows (1 without any row).  An empty table gives
+no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ blocks are ranked at last by query.
 
 Vectors that are null or hold a null or non-finite component take no part; a
 missing dimension counts as 0; equal scores rank by smaller id.  Scores are
-64-bit integers.  Rows with a null id take no part; ids are taken to be unique,
+64-bit integers, so components should be under 2^25 in size with up to 2^10 of them.  Rows with a null id take no part; ids are taken to be unique,
 and a repeated candidate row is ranked each time.  Empty tables give no rows.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one block of candidates and of queries, and the least number of candidate blocks.
-CANDIDATES, QUERIES, LEAST_BLOCKS = 16_384, 2048, 48
+CANDIDATES, QUERIES, LEAST_BLOCKS = 32_768, 8192, 48
 DIMENSIONS = 8
 
 

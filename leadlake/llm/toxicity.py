@@ -15,7 +15,8 @@ p, makes the score a / (a + p), with a the rate of false alarms aimed at.
 
 Null, empty and wordless texts have no segment and the least score.  Repeated
 rows are scored alike; in training, rows of one id count once.  Without toxic
-or without clean training rows no token is kept.
+or without clean training rows no token is kept.  An empty table gives no rows;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

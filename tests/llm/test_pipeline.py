@@ -85,5 +85,35 @@ def test_packing_stage(steps):
     assert got == want
 
 
+HARD = "doc_id long, text string, lang string, source string, n_chars long, content string, task int, mix_key string, share long, deal long"
+
+
+def test_stages_on_hard_rows(spark):
+    long = " ".join(f"word{i % 211}" for i in range(60_000))
+    plain = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(6).collect()]
+    rows = [(1, plain[0]), (1, plain[0]), (None, plain[1]), (2, None), (3, ""), (4, " \n"), (5, "123 %%"), (6, long), (7, plain[2]), (8, plain[2]), (None, None)]
+    docs = spark.createDataFrame([(i, t, None if k % 2 else "en", None if k % 3 else "s", None, "c", 1, "m", 2, 3) for k, (i, t) in enumerate(rows)], HARD)
+    text = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    safe = cp.drop_toxic(spark, docs, SF)
+    assert safe.columns == docs.columns and text(safe) == Counter(rows)
+    one = cp.drop_near_duplicates(spark, docs, SF)
+    assert one.columns == docs.columns
+    assert text(one) == Counter([(1, plain[0]), (None, plain[1]), (2, None), (3, ""), (4, " \n"), (5, "123 %%"), (6, long), (7, plain[2]), (None, None)])
+    known = cp.drop_unknown_language(spark, docs, SF)
+    assert known.columns == docs.columns and not {t for _, t in text(known)} & {None, "", " \n", "123 %%"}
+    mixed = cp.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and set(text(mixed)) <= set(rows)
+    packed = cp.pack_sequences(spark, docs, SF).collect()
+    whole = pretoken.tokenizer(tokenizer_path())
+    assert sum(r.length for r in packed) == sum(len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert sum(r.start == 0 for r in packed) == len(rows)
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], HARD)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
 def test_run_applies_all_stages(spark, steps):
     assert cp.run(spark, SF).count() == steps[-1][1].count()
