@@ -54,7 +54,7 @@ def verdict(d: Dialect, name: str) -> str:
         ELSE 'valid:' END"""
 
 
-def contact_valid(d: Dialect, name: str) -> str:
+def contact_valid(d: Dialect, name: str, short_names=R.CONTACT_SHORT_NAMES) -> str:
     """The stricter test that scores and status use."""
     n = f"lower(trim(coalesce({name}, '')))"
     c = d.filter(d.split(n, "\\s+"), "w", f"NOT {d.word(d.rep('w', '\\.+$'), [t for t in R.TITLES if t not in ('lord', 'lady')])} AND NOT {d.word(d.rep('w', '^[().,]+|[().,]+$'), R.QUALIFICATIONS)}")
@@ -62,7 +62,7 @@ def contact_valid(d: Dialect, name: str) -> str:
     low = lambda x: letters(d, x)
     return f"""(length({n}) >= 3 AND NOT {d.word(n, R.INVALID_NAMES)} AND NOT {d.word(n, R.NOUN_PLACEHOLDERS)}
         AND {d.size(c)} BETWEEN 2 AND 4
-        AND NOT {d.some(c, 'w', f"length({low('w')}) <= 2 AND NOT {d.word(low('w'), R.CONTACT_SHORT_NAMES)}")}
+        AND NOT {d.some(c, 'w', f"length({low('w')}) <= 2 AND NOT {d.word(low('w'), short_names)}")}
         AND NOT {d.some(c, 'w', d.word('w', R.INVALID_NAMES))}
         AND NOT {d.holds(joined, R.INVALID_PHRASES)}
         AND {d.at(c, '1')} <> {d.at(c, '2')}
@@ -131,11 +131,15 @@ def suspect(d: Dialect, name: str, company: str, notes: str, confidence: str) ->
     w = d.split(low, "\\s+")
     ok = contact_valid(d, name)
     one = d.filter(w, "w", f"NOT {d.word(d.rep('w', '\\.$'), ['dr', 'mr', 'mrs', 'ms', 'miss', 'prof'])}")
+    ui = f"^({any_of(R.UI_STARTS)})\\b|\\b({any_of(R.UI_WORDS)})s?\\b|^({any_of(R.UI_FIRST)})\\b|\\b({any_of(R.UI_LEGAL)})\\b"
+    role = f"^({any_of(R.ROLE_STARTS)})\\b|\\b(in|at|for|of)\\s+({any_of(R.ROLE_ENDS)})$|^({any_of(R.ROLE_BODIES)})\\s+"
+    # a valid name that begins with a known first name is a person's, whatever street words it holds
+    person = f"({ok} AND coalesce({d.word(d.rep(d.at(w, '1'), "['-]"), R.FIRST_NAMES)}, false))"
     return f"""CASE
         WHEN {n} = '' THEN NULL
-        WHEN {d.word(low, R.UI_NAMES)} OR ({d.match(low, R.UI_PATTERN)} AND {d.size(w)} <= 3) THEN 'ui_artifact'
-        WHEN {d.some(w, 'w', d.word('w', R.ADDRESS_WORDS))} OR {d.match(n, '\\b[A-Z]{1,2}[0-9]{1,2}\\b')} THEN 'address_fragment'
-        WHEN {d.match(low, R.ROLE_PATTERN)} OR NOT {d.some(w, 'w', f"NOT {d.word('w', R.ROLE_WORDS)}")} THEN 'role_only_name'
+        WHEN {d.word(low, R.UI_NAMES)} OR ({d.match(low, ui)} AND {d.size(w)} <= 3) THEN 'ui_artifact'
+        WHEN NOT {person} AND ({d.some(w, 'w', d.word('w', [*R.STREET_WORDS, *R.PLACE_NAME_WORDS]))} OR {d.match(n, '\\b[A-Z]{1,2}[0-9]{1,2}\\b')}) THEN 'address_fragment'
+        WHEN {d.match(low, role)} OR NOT {d.some(w, 'w', f"NOT {d.word('w', R.ROLE_WORDS)}")} THEN 'role_only_name'
         WHEN NOT {ok} AND {vanity(d, name, company, R.ECHO_STOP)} THEN 'company_name_echo'
         WHEN ({d.match(n, '[a-z][A-Z]')} AND length({n}) > 15) OR ({d.size(w)} >= 4 AND {d.some(d.split(n, '\\s+'), 'w', f"NOT {d.match('w', '^[A-Z]')}")}) THEN 'concatenated_text'
         WHEN {d.some(notes, 'x', d.holds('lower(x)', R.SUSPECT_NOTES))} THEN 'flagged_in_notes'

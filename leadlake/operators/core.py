@@ -5,7 +5,8 @@ An operator called with DataFrames runs on Spark:
     filters.target_sector(leads=df)
 
 and `operator.sql(dialect)` gives its statement, which reads tables of the same
-names.
+names.  What a job's user chooses (terms, days, caps, towns) are keyword arguments
+of `sql`, or `options` of a call: filters.search_leads({"least": 7}, leads=df).
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ class Operator:
         self.name = f"{key.lower()}_{build.__name__}"
         OPERATORS[self.name] = self
 
-    def sql(self, d: Dialect = SPARK) -> str:
-        return self.build(d)
+    def sql(self, d: Dialect = SPARK, **options) -> str:
+        return self.build(d, **options)
 
-    def __call__(self, **tables: DataFrame) -> DataFrame:
+    def __call__(self, options: dict | None = None, **tables: DataFrame) -> DataFrame:
         missing = set(self.inputs) - set(tables)
         if missing:
             raise TypeError(f"{self.name} needs {sorted(missing)}")
@@ -40,7 +41,7 @@ class Operator:
             names[name] = f"{name}_{uuid.uuid4().hex[:8]}"
             df.createOrReplaceTempView(names[name])
         try:
-            return spark.sql("WITH " + ", ".join(f"{n} AS (SELECT * FROM {v})" for n, v in names.items()) + " " + self.sql(SPARK))
+            return spark.sql("WITH " + ", ".join(f"{n} AS (SELECT * FROM {v})" for n, v in names.items()) + " " + self.sql(SPARK, **(options or {})))
         finally:
             for v in names.values():
                 spark.catalog.dropTempView(v)

@@ -59,10 +59,11 @@ def active_officers(d):
     return "SELECT company_number, pos, name, role FROM officers WHERE resigned_on IS NULL AND role IN ('director', 'managing-director', 'corporate-director') AND length(name) > 3 AND contains(name, ' ')"
 
 
-@operator("F8", "orders")
+@operator("F8", "companies")
 def active_companies(d):
-    """Companies (orders) whose status is none of the dead ones of their source."""
-    return "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT ((o_orderpriority = '1-URGENT' AND o_orderstatus IN ('F')) OR (o_orderpriority = '2-HIGH' AND o_orderstatus IN ('F', 'P')) OR (o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'P'))"
+    """Companies whose status is none of the dead ones of their source."""
+    dead = {"registry": ["dissolved"], "search": ["dissolved", "liquidation", "converted-closed"], "places": ["CLOSED_PERMANENTLY"]}
+    return "SELECT company_key, source, status FROM companies WHERE NOT (" + " OR ".join(f"(source = {d.lit(s)} AND coalesce({d.word('status', words)}, false))" for s, words in dead.items()) + ")"
 
 
 @operator("F9", "leads")
@@ -87,9 +88,11 @@ def web_presence(d):
 
 
 @operator("F12", "leads")
-def search_leads(d):
-    """Dashboard search: category, least score, text in company, sector or location, geography."""
-    return f"SELECT {IDS}, company_name, ai_score FROM leads WHERE category = 'office' AND ai_score >= 5 AND (contains(lower(company_name), 'clinic') OR contains(lower(coalesce(sector, '')), 'mach') OR contains(lower(coalesce(location, '')), 'wok')) AND coalesce(geo_relevance, '') <> 'exclude'"
+def search_leads(d, category: str = "office", least: int = 5, company: str = "clinic", sector: str = "mach", location: str = "wok", hidden: str = "exclude"):
+    """Dashboard search: category, least score, text in company, sector or location, geography to hide."""
+    texts = {"company_name": company, "sector": sector, "location": location}
+    any_text = " OR ".join(f"contains(lower(coalesce({c}, '')), {d.lit(t.lower())})" for c, t in texts.items() if t) or "true"
+    return f"SELECT {IDS}, company_name, ai_score FROM leads WHERE category = {d.lit(category)} AND ai_score >= {least} AND ({any_text}) AND coalesce(geo_relevance, '') <> {d.lit(hidden)}"
 
 
 @operator("F13", "leads")
@@ -99,12 +102,13 @@ def hide_excluded(d):
 
 
 @operator("F14", "leads")
-def cohorts(d):
-    """Cohort A (no contact), B (low confidence) or C (guessed email) of each lead not enriched on the day nor final."""
+def cohorts(d, day: str = "2024-06-05", force: bool = False):
+    """Cohort A (no contact), B (low confidence) or C (guessed email) of each lead not enriched on the day nor final; all leads if forced."""
+    fresh = "true" if force else f"last_enriched_date <> DATE '{day}' AND NOT missing_name_final"
     name, mail = normal(d, "contact_name"), normal(d, "email")
     soc = d.holds("lower(website)", ["facebook.com", "fb.com", "instagram.com", "twitter.com"])
     tests = {"A": f"{name} IS NULL AND website IS NOT NULL AND NOT {soc}", "B": f"{name} IS NOT NULL AND confidence_score <= 3", "C": f"{mail} IS NOT NULL AND coalesce(email_guessed, false)"}
-    return " UNION ALL ".join(f"SELECT {IDS}, '{c}' AS cohort FROM leads WHERE last_enriched_date <> DATE '2024-06-05' AND NOT missing_name_final AND {t}" for c, t in tests.items())
+    return " UNION ALL ".join(f"SELECT {IDS}, '{c}' AS cohort FROM leads WHERE {fresh} AND {t}" for c, t in tests.items())
 
 
 def rescrape(d: Dialect, retry: bool) -> str:

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from ..functions import rules as R
-from ..functions.keys import blank, name_key, name_location_key, tokens, website_key
+from ..functions.keys import blank, name_key, name_location_key, website_key
 from .core import operator
 
-LEGAL = ["ltd", "limited", "llp", "plc", "inc", "group", "the", "and", "of", "uk", "co"]
-
 
 @operator("J1", "leads", "existing")
 def anti_existing(d):
@@ -37,13 +35,12 @@ def fill_principals(d):
         ON {name_key('l.company_name')} = p.k"""
 
 
-@operator("J4", "officers")
+@operator("J4", "company_codes")
 def sector_from_sic(d):
     """Sector of each company: the first of its codes, in order, that the dimension knows."""
     dim = " UNION ALL ".join(f"SELECT '{c}' AS code, '{s}' AS sector" for s, codes in R.SIC_SECTORS.items() for c in codes)
-    code = d.at(d.array(["70229", "12345", "62020", "69102", "99999", "71111", "85600"]), "1 + pos % 7")
     return f"""SELECT c.company_number, coalesce(min_by(m.sector, CASE WHEN m.sector IS NOT NULL THEN c.pos END), 'Professional Services') AS sector
-        FROM (SELECT company_number, pos, {code} AS code FROM officers) c LEFT JOIN ({dim}) m ON c.code = m.code GROUP BY c.company_number"""
+        FROM company_codes c LEFT JOIN ({dim}) m ON c.code = m.code GROUP BY c.company_number"""
 
 
 @operator("J5", "leads")
@@ -58,39 +55,79 @@ def place_tokens(d, x: str) -> str:
     return d.distinct(d.filter(d.split(f"trim({d.rep(f'lower({x})', '[^a-z0-9 ]')})", " +"), "w", f"w <> '' AND NOT {d.word('w', R.PLACE_STOP)}"))
 
 
-#: Places that a word may name and still lead to candidates; commoner words identify no company.
-COMMON = 200
+def substrings(x: str, least: int) -> str:
+    """All distinct parts of x of at least so many characters: what contains a key is found by equal keys."""
+    every = f"flatten(transform(sequence(1, length({x})), i -> transform(sequence({least}, greatest({least}, length({x}) - i + 1)), n -> substr({x}, i, n))))"
+    return f"CASE WHEN length({x}) >= {least} THEN array_distinct(filter({every}, s -> length(s) >= {least})) ELSE CAST(array() AS ARRAY<STRING>) END"
+
+
+def _lead_side(d) -> str:
+    w = d.split("lower(trim(contact_name))", "\\s+")
+    surname, town = d.at(w, d.size(w)), "lower(split_part(trim(split_part(location, ',', 1)), ' ', 1))"
+    return f"SELECT lead_id, {place_tokens(d, 'company_name')} AS cn, CASE WHEN length({town}) > 2 THEN {town} END AS town, CASE WHEN length({surname}) >= 4 THEN {surname} END AS surname FROM leads"
+
+
+def _place_side(d) -> str:
+    return f"SELECT pos, place_id, {place_tokens(d, 'display_name')} AS pn, lower(display_name) AS dn, lower(coalesce(address, '')) AS addr, coalesce({d.match('address', '(?i)\\bGU[0-9]{1,2}\\b')}, false) AS gu FROM places"
 
 
 @operator("J6", "leads", "places")
 def link_places(d):
-    """The best place of each lead: tier 1 half of the name's words, tier 2 a shared word of four letters and a plausible address, tier 3 the contact's surname in the place's name and a plausible address; first position wins inside a tier."""
-    both = d.size(d.intersect("l.cn", "p.pn"))
-    long = d.some(d.intersect("l.cn", "p.pn"), "w", "length(w) >= 4")
-    near = f"({d.match('p.address', '(?i)\\bGU[0-9]{1,2}\\b')} OR coalesce(length(l.town) > 2 AND contains(lower(p.address), l.town), false))"
-    tier = f"CASE WHEN {d.size('l.cn')} > 0 AND {both} >= 0.5 * {d.size('l.cn')} THEN 1 WHEN {long} AND {near} THEN 2 WHEN length(l.surname) >= 4 AND contains(p.dn, l.surname) AND {near} THEN 3 END"
-    lead, place = place_tokens(d, "company_name"), place_tokens(d, "display_name")
-    w = d.split("lower(trim(contact_name))", "\\s+")
-    surname = d.at(w, d.size(w))
-    return f"""SELECT lead_id, place_id, tier FROM (SELECT lead_id, place_id, tier, row_number() OVER (PARTITION BY lead_id ORDER BY tier, pos) AS n FROM (
-        SELECT l.lead_id, p.place_id, p.pos, {tier} AS tier FROM
-        (SELECT DISTINCT lk.lead_id, pk.place_id FROM (SELECT lead_id, {d.explode(lead)} AS token FROM leads UNION ALL SELECT lead_id, {surname} AS token FROM leads WHERE contact_name IS NOT NULL) lk
-            JOIN (SELECT token FROM (SELECT {d.explode(place)} AS token FROM places) a GROUP BY token HAVING count(*) <= {COMMON}) rare ON lk.token = rare.token
-            JOIN (SELECT place_id, {d.explode(place)} AS token FROM places) pk ON pk.token = lk.token) c
-        JOIN (SELECT lead_id, {lead} AS cn, lower(split_part(split_part(location, ',', 1), ' ', 1)) AS town, coalesce({surname}, '') AS surname FROM leads) l ON l.lead_id = c.lead_id
-        JOIN (SELECT place_id, pos, address, {place} AS pn, lower(display_name) AS dn FROM places) p ON p.place_id = c.place_id) t WHERE tier IS NOT NULL) r WHERE n = 1"""
+    """The best place of each lead: tier 1 half of the name's words, tier 2 a shared word of four letters and a plausible address, tier 3 the contact's surname in the place's name and a plausible address; first position wins inside a tier.
+
+    No word is left out however common it is: places are first reduced to the
+    first position of each key (word, pair of words, surname; with a plausible
+    address, also by town), so a join meets one row a key.  Names of five words
+    and more, of which three must agree, are verified on their rarest words.
+    """
+    if d.duck:  # the rule itself, over all pairs
+        near = "(p.gu OR coalesce(contains(p.addr, l.town), false))"
+        both = "len(list_intersect(l.cn, p.pn))"
+        long = "len(list_filter(list_intersect(l.cn, p.pn), lambda w: length(w) >= 4)) > 0"
+        tier = f"CASE WHEN len(l.cn) > 0 AND {both} >= 0.5 * len(l.cn) THEN 1 WHEN {near} AND {long} THEN 2 WHEN coalesce(contains(p.dn, l.surname), false) AND {near} THEN 3 END"
+        return f"""SELECT lead_id, place_id, tier FROM (SELECT lead_id, place_id, tier, row_number() OVER (PARTITION BY lead_id ORDER BY tier, pos) AS n FROM (
+            SELECT l.lead_id, p.place_id, p.pos, {tier} AS tier FROM ({_lead_side(d)}) l CROSS JOIN ({_place_side(d)}) p) t WHERE tier IS NOT NULL) r WHERE n = 1"""
+    pairs = lambda a: f"flatten(transform({a}, (x, i) -> transform(slice({a}, i + 2, size({a})), y -> concat(x, ' ', y))))"
+    return f"""SELECT lead_id, place_id, tier FROM (WITH jl AS (SELECT lead_id, array_sort(cn) AS cn, CAST(ceil(size(cn) / 2) AS INT) AS need, town, surname FROM ({_lead_side(d)}) x),
+        jp AS (SELECT pos, place_id, array_sort(pn) AS pn, dn, addr, gu FROM ({_place_side(d)}) x),
+        word_of AS (SELECT pos, addr, gu, explode(pn) AS token FROM jp),
+        town_of AS (SELECT DISTINCT a.addr, t.town FROM (SELECT addr, explode({substrings('addr', 3)}) AS s FROM (SELECT DISTINCT addr FROM jp) x) a JOIN (SELECT DISTINCT town FROM jl WHERE town IS NOT NULL) t ON a.s = t.town),
+        name_of AS (SELECT a.dn, t.surname FROM (SELECT dn, explode({substrings('dn', 4)}) AS s FROM (SELECT DISTINCT dn FROM jp) x) a JOIN (SELECT DISTINCT surname FROM jl WHERE surname IS NOT NULL) t ON a.s = t.surname),
+        first_key AS (SELECT key, min(pos) AS pos FROM (SELECT pos, explode(concat(pn, {pairs('pn')})) AS key FROM jp) x GROUP BY key),
+        few AS (SELECT l.lead_id, 1 AS tier, min(k.pos) AS pos FROM (SELECT lead_id, explode(CASE need WHEN 1 THEN cn ELSE {pairs('cn')} END) AS key FROM jl WHERE need IN (1, 2)) l JOIN first_key k ON k.key = l.key GROUP BY l.lead_id),
+        sets AS (SELECT pn, min(pos) AS pos FROM jp GROUP BY pn),
+        rare AS (SELECT lead_id, token FROM (SELECT l.lead_id, l.token, l.need, l.n, row_number() OVER (PARTITION BY l.lead_id ORDER BY coalesce(f.times, 0), l.token) AS place FROM
+            (SELECT lead_id, need, size(cn) AS n, explode(cn) AS token FROM jl WHERE need > 2) l LEFT JOIN (SELECT token, count(*) AS times FROM word_of GROUP BY token) f ON f.token = l.token) x WHERE place <= n - need + 1),
+        many AS (SELECT l.lead_id, 1 AS tier, min(p.pos) AS pos FROM (SELECT DISTINCT r.lead_id, s.pos FROM rare r JOIN (SELECT pos, explode(pn) AS token FROM sets) s ON s.token = r.token) c
+            JOIN jl l ON l.lead_id = c.lead_id JOIN sets p ON p.pos = c.pos WHERE size(array_intersect(l.cn, p.pn)) >= l.need GROUP BY l.lead_id),
+        long_word AS (SELECT lead_id, town, explode(filter(cn, w -> length(w) >= 4)) AS token FROM jl),
+        word_gu AS (SELECT token, min(pos) AS pos FROM word_of WHERE gu AND length(token) >= 4 GROUP BY token),
+        word_town AS (SELECT w.token, t.town, min(w.pos) AS pos FROM word_of w JOIN town_of t ON t.addr = w.addr WHERE length(w.token) >= 4 GROUP BY w.token, t.town),
+        shared AS (SELECT l.lead_id, 2 AS tier, min(least(g.pos, t.pos)) AS pos FROM long_word l LEFT JOIN word_gu g ON g.token = l.token LEFT JOIN word_town t ON t.token = l.token AND t.town = l.town GROUP BY l.lead_id),
+        named AS (SELECT n.surname, p.pos, p.addr, p.gu FROM name_of n JOIN jp p ON p.dn = n.dn),
+        name_gu AS (SELECT surname, min(pos) AS pos FROM named WHERE gu GROUP BY surname),
+        name_town AS (SELECT n.surname, t.town, min(n.pos) AS pos FROM named n JOIN town_of t ON t.addr = n.addr GROUP BY n.surname, t.town),
+        person AS (SELECT l.lead_id, 3 AS tier, least(g.pos, t.pos) AS pos FROM jl l LEFT JOIN name_gu g ON g.surname = l.surname LEFT JOIN name_town t ON t.surname = l.surname AND t.town = l.town),
+        best AS (SELECT lead_id, min(struct(tier, pos)) AS b FROM (SELECT * FROM few UNION ALL SELECT * FROM many UNION ALL SELECT * FROM shared UNION ALL SELECT * FROM person) u WHERE pos IS NOT NULL GROUP BY lead_id)
+        SELECT b.lead_id, p.place_id, b.b.tier AS tier FROM best b JOIN places p ON p.pos = b.b.pos) linked"""
 
 
 @operator("J7", "leads", "existing")
 def link_registry_by_name(d):
-    """The first registry title that contains the company's name without legal suffix, or lies in it; candidates share a rare token."""
-    bare = lambda x: f"trim({d.rep(f'lower({x})', '\\b(ltd|limited|llp|plc)\\b')})"
-    return f"""SELECT lead_id, number FROM (SELECT l.lead_id, e.lead_id AS number, row_number() OVER (PARTITION BY l.lead_id ORDER BY e.ingest_seq) AS n FROM
-        (SELECT DISTINCT a.lead_id, b.lead_id AS other FROM (SELECT lead_id, {d.explode(tokens(d, 'company_name', LEGAL))} AS token FROM leads) a
-            JOIN (SELECT token FROM (SELECT {d.explode(tokens(d, 'company_name', LEGAL))} AS token FROM existing) z GROUP BY token HAVING count(*) <= 50) rare ON a.token = rare.token
-            JOIN (SELECT lead_id, {d.explode(tokens(d, 'company_name', LEGAL))} AS token FROM existing) b ON a.token = b.token) c
-        JOIN leads l ON l.lead_id = c.lead_id JOIN existing e ON e.lead_id = c.other
-        WHERE contains({bare('e.company_name')}, {bare('l.company_name')}) OR contains({bare('l.company_name')}, {bare('e.company_name')})) t WHERE n = 1"""
+    """The first registry title, of a company that still trades, that contains the lead's name without its legal suffix or lies in it; empty names link to none.
+
+    Containment is found by equal parts: a title's parts that are names, and a
+    name's parts that are titles, each with the first title only.
+    """
+    clean = f"lower(trim({d.rep('company_name', '(?i)\\s*(ltd|limited|llp|plc|inc)[.]?\\s*$')}))"
+    left, right = f"SELECT lead_id, {clean} AS clean FROM leads WHERE {clean} <> ''", f"SELECT lead_id AS number, ingest_seq AS seq, lower(company_name) AS title FROM existing WHERE coalesce(company_status, '') NOT IN ('dissolved', 'liquidation') AND company_name <> ''"
+    if d.duck:  # the rule itself, over all pairs
+        return f"SELECT lead_id, number FROM (SELECT l.lead_id, e.number, row_number() OVER (PARTITION BY l.lead_id ORDER BY e.seq) AS n FROM ({left}) l JOIN ({right}) e ON contains(e.title, l.clean) OR contains(l.clean, e.title)) t WHERE n = 1"
+    return f"""SELECT lead_id, number FROM (WITH jl AS ({left}), jt AS (SELECT title, min(seq) AS seq FROM ({right}) x GROUP BY title),
+        inside AS (SELECT s, min(seq) AS seq FROM (SELECT seq, explode({substrings('title', 1)}) AS s FROM jt) x LEFT SEMI JOIN (SELECT DISTINCT clean FROM jl) c ON c.clean = x.s GROUP BY s),
+        around AS (SELECT l.clean, min(t.seq) AS seq FROM (SELECT clean, explode({substrings('clean', 1)}) AS s FROM (SELECT DISTINCT clean FROM jl) x) l JOIN jt t ON t.title = l.s GROUP BY l.clean),
+        first AS (SELECT l.lead_id, least(i.seq, a.seq) AS seq FROM jl l LEFT JOIN inside i ON i.s = l.clean LEFT JOIN around a ON a.clean = l.clean)
+        SELECT f.lead_id, e.lead_id AS number FROM first f JOIN existing e ON e.ingest_seq = f.seq) linked"""
 
 
 DIRECTOR = "role IN ('director', 'managing-director', 'corporate-director')"
@@ -103,11 +140,12 @@ def directors_for_pages(d):
         ON o.company_number = l.lead_id AND o.n = 1"""
 
 
-@operator("J9", "leads", "officers")
+@operator("J9", "leads", "officers", "controllers")
 def principal_for_lead(d):
-    """Principal by preference: active director (latest), then any active officer; leads without officers keep none."""
-    return f"""SELECT l.lead_id, o.name AS principal, o.pref FROM leads l JOIN (SELECT company_number, name, pref, row_number() OVER (PARTITION BY company_number ORDER BY pref, appointed_on DESC, pos) AS n FROM
-        (SELECT *, CASE WHEN {DIRECTOR} THEN 1 ELSE 2 END AS pref FROM officers WHERE resigned_on IS NULL) x) o ON o.company_number = l.lead_id AND o.n = 1"""
+    """Principal by preference: active director (latest), then a person with control, then any active officer; leads without either keep none."""
+    officer = f"SELECT company_number, name, CASE WHEN {DIRECTOR} THEN 1 ELSE 3 END AS pref, appointed_on, pos FROM officers WHERE resigned_on IS NULL"
+    control = "SELECT company_number, name, 2 AS pref, CAST(NULL AS DATE) AS appointed_on, pos FROM controllers WHERE ceased_on IS NULL"
+    return f"""SELECT l.lead_id, o.name AS principal, o.pref FROM leads l JOIN (SELECT company_number, name, pref, row_number() OVER (PARTITION BY company_number ORDER BY pref, appointed_on DESC, pos) AS n FROM ({officer} UNION ALL {control}) x) o ON o.company_number = l.lead_id AND o.n = 1"""
 
 
 @operator("J11", "leads")
@@ -117,19 +155,19 @@ def name_word_lists(d):
     return f"SELECT lead_id, {d.word(d.at(w, '1'), R.FIRST_NAMES)} AS known_first, NOT {d.some(w, 'w', d.word('w', R.BUSINESS_WORDS))} AS no_business_word FROM leads WHERE contact_name IS NOT NULL"
 
 
-@operator("J12", "leads", "usage")
+@operator("J12", "leads", "verdicts")
 def apply_verdicts(d):
-    """Verdict answers joined on the lead; the first by time is applied: confirm, clear or lower the confidence."""
-    kind = "CASE api WHEN 'view' THEN 'CONFIRMED' WHEN 'error' THEN 'REJECTED' WHEN 'click' THEN 'UNCERTAIN' ELSE 'NONE' END"
+    """Validation answers joined on the lead; the first by time is applied: confirm, clear, or lower the confidence by one (2 where there is none, 1 at least)."""
+    kind = "CASE WHEN contains(upper(answer), 'CONFIRMED') THEN 'CONFIRMED' WHEN contains(upper(answer), 'REJECTED') THEN 'REJECTED' ELSE 'UNCERTAIN' END"
+    asked = f"SELECT lead_id, min_by({kind}, answered_at) AS answer FROM verdicts WHERE NOT {d.starts('answer', d.lit('FOUND:'))} AND NOT {d.starts('answer', d.lit('{'))} GROUP BY lead_id"
     return f"""SELECT l.lead_id, CASE WHEN v.answer = 'REJECTED' THEN NULL ELSE l.contact_name END AS contact_name, CASE v.answer WHEN 'CONFIRMED' THEN true WHEN 'REJECTED' THEN false ELSE l.contact_verified END AS verified,
-        CASE WHEN v.answer = 'UNCERTAIN' THEN greatest(1.0, l.confidence_score - 1) ELSE l.confidence_score END AS confidence
-        FROM leads l LEFT JOIN (SELECT tokens, min_by({kind}, ts) AS answer FROM usage GROUP BY tokens) v ON v.tokens = l.ingest_seq"""
+        CASE WHEN v.answer = 'UNCERTAIN' THEN greatest(1.0, coalesce(l.confidence_score, 2) - 1) ELSE l.confidence_score END AS confidence
+        FROM leads l LEFT JOIN ({asked}) v ON v.lead_id = l.lead_id"""
 
 
-@operator("J13", "leads", "existing")
+@operator("J13", "existing", "later")
 def run_diff(d):
-    """Counts of what changed between two runs: the later one is `existing` with some contacts and emails cleared."""
-    after = "(SELECT lead_id, CASE WHEN ingest_seq % 4 = 0 THEN NULL WHEN ingest_seq % 4 = 1 THEN 'New Name' ELSE contact_name END AS contact_name, CASE WHEN ingest_seq % 3 = 0 THEN 'new@x.org' ELSE email END AS email FROM existing)"
+    """Counts of what changed between two runs over one set of leads."""
     c = lambda t, n: f"count_if({t}) AS {n}"
-    return f"""SELECT {c('b.contact_name IS NULL AND a.contact_name IS NOT NULL', 'gained_contact')}, {c('b.contact_name IS NOT NULL AND a.contact_name IS NULL', 'lost_contact')}, {c('b.contact_name <> a.contact_name', 'replaced_contact')}, {c('b.contact_name = a.contact_name', 'kept_contact')},
-        {c('b.email IS NULL AND a.email IS NOT NULL', 'gained_email')}, {c('b.email <> a.email', 'replaced_email')}, {c('a.lead_id IS NULL', 'only_before')}, {c('b.lead_id IS NULL', 'only_after')} FROM leads b FULL OUTER JOIN {after} a ON a.lead_id = b.lead_id"""
+    sides = [c(f"b.{f} IS NULL AND a.{f} IS NOT NULL", f"gained_{n}") + ", " + c(f"b.{f} IS NOT NULL AND a.{f} IS NULL", f"lost_{n}") + ", " + c(f"b.{f} <> a.{f}", f"replaced_{n}") + ", " + c(f"b.{f} = a.{f}", f"kept_{n}") for f, n in (("contact_name", "contact"), ("email", "email"))]
+    return f"""SELECT {', '.join(sides)}, {c('a.lead_id IS NULL', 'only_before')}, {c('b.lead_id IS NULL', 'only_after')} FROM existing b FULL OUTER JOIN later a ON a.lead_id = b.lead_id"""

@@ -9,11 +9,6 @@ from ..functions.keys import blank, host, normal
 from .core import operator
 
 
-def found_email(d) -> str:
-    """A newly found address of some leads, as the landed pages would give it."""
-    return f"CASE WHEN ingest_seq % 4 = 0 THEN 'new.person@' || {host(d, 'website')} WHEN ingest_seq % 4 = 1 THEN 'info@' || {host(d, 'website')} END"
-
-
 def replaced_email(d) -> str:
     """Rows with the email after a found one: a new personal address replaces the old, which becomes a guess; a shared one only replaces a guessed, bad or missing one."""
     weak = f"(email IS NULL OR coalesce(email_guessed, false) OR coalesce({d.holds('lower(email)', R.BAD_EMAILS)}, false))"
@@ -23,21 +18,29 @@ def replaced_email(d) -> str:
     return f"""SELECT lead_id, CASE WHEN {personal} AND found <> coalesce(email, '') THEN 'replaced' WHEN {personal} THEN 'kept' WHEN {shared} AND {weak} THEN 'generic_in' WHEN {shared} THEN 'stored_generic' ELSE 'none' END AS action,
         CASE WHEN {personal} OR ({shared} AND {weak}) THEN found ELSE email END AS email, CASE WHEN {personal} OR ({shared} AND {weak}) THEN false ELSE email_guessed END AS email_guessed,
         CASE WHEN {shared} AND NOT {weak} THEN found ELSE generic_email END AS generic_email,
-        CASE WHEN {personal} AND found <> coalesce(email, '') THEN {old} ELSE '' END || {d.join('personal_email_guesses', ';')} AS guesses FROM (SELECT *, {found_email(d)} AS found FROM leads) t"""
+        CASE WHEN {personal} AND found <> coalesce(email, '') THEN {old} ELSE '' END || {d.join('personal_email_guesses', ';')} AS guesses FROM (SELECT l.*, f.found FROM leads l LEFT JOIN found_emails f ON f.lead_id = l.lead_id) t"""
 
 
-@operator("U1", "leads")
+@operator("U1", "leads", "found_emails")
 def replace_email(d):
+    """The email after a found one (one a lead)."""
     return replaced_email(d)
 
 
 @operator("U3", "leads")
 def accept_contact(d):
-    """Acceptance of a found contact: domain names are rejected, vanity and suspicious ones replaced by a better team member where there is one."""
+    """Acceptance of a found contact: invalid names are rejected (a single name passes where the notes say so), domain names too, vanity and suspicious ones replaced by a better team member where there is one; with the contact and the address it lets guess."""
     site = host(d, "website")
-    fine = d.filter("contact_names", "w", f"NOT {N.vanity(d, 'w', 'company_name')} AND NOT {N.suspicious(d, 'w')} AND {N.contact_valid(d, 'w')}")
-    return f"""SELECT lead_id, CASE WHEN name IS NULL THEN 'none' WHEN {N.domain_name(d, 'name', site)} THEN 'rejected' WHEN {N.vanity(d, 'name', 'company_name')} THEN CASE WHEN better IS NULL THEN 'left' ELSE 'replaced' END
-        WHEN {N.suspicious(d, 'name')} THEN CASE WHEN better IS NULL THEN 'flagged' ELSE 'replaced' END ELSE 'accepted' END AS outcome FROM (SELECT *, {normal(d, 'contact_name')} AS name, {d.at(fine, '1')} AS better FROM leads) t"""
+    valid = lambda w: N.contact_valid(d, w)
+    fair = d.at(d.filter("contact_names", "w", f"{valid('w')} AND NOT {N.vanity(d, 'w', 'company_name')}"), "1")
+    real = d.at(d.filter("contact_names", "w", f"{valid('w')} AND NOT {N.suspicious(d, 'w')}"), "1")
+    single = d.some("refinement_notes", "x", "contains(x, 'single_name_only')")
+    outcome = f"""CASE WHEN name IS NULL THEN 'none' WHEN NOT {valid('name')} AND NOT {single} THEN 'rejected_garbage' WHEN {N.domain_name(d, 'name', site)} THEN 'rejected_domain'
+        WHEN {N.vanity(d, 'name', 'company_name')} THEN CASE WHEN fair IS NULL THEN 'left' ELSE 'vanity_replaced' END
+        WHEN {N.suspicious(d, 'name')} AND {d.size('contact_names')} > 0 THEN CASE WHEN real IS NULL THEN 'flagged' ELSE 'suspicious_replaced' END ELSE 'accepted' END"""
+    chosen = "CASE WHEN outcome IN ('accepted', 'flagged') THEN name WHEN outcome = 'vanity_replaced' THEN fair WHEN outcome = 'suspicious_replaced' THEN real END"
+    return f"""SELECT lead_id, outcome, contact, contact IS NOT NULL AND NOT single AS verified, CASE WHEN email IS NULL THEN {d.at(E.guesses(d, 'contact', 'site'), '1')} END AS guessed_email FROM (SELECT lead_id, email, site, single, outcome, {chosen} AS contact FROM (
+        SELECT lead_id, email, name, fair, real, site, single, {outcome} AS outcome FROM (SELECT *, {normal(d, 'contact_name')} AS name, {fair} AS fair, {real} AS real, {site} AS site, {single} AS single FROM leads) a) b) c"""
 
 
 @operator("U4", "leads")
@@ -75,8 +78,9 @@ def apply_place(d):
 
 
 @operator("U9", "leads")
-def count_attempt(d):
-    return "SELECT lead_id, coalesce(enrichment_attempts, 0) + 1 AS attempts, DATE '2024-07-01' AS last_enriched_date FROM leads"
+def count_attempt(d, day: str = "2024-07-01"):
+    """One more attempt, on the given day."""
+    return f"SELECT lead_id, coalesce(enrichment_attempts, 0) + 1 AS attempts, DATE '{day}' AS last_enriched_date FROM leads"
 
 
 @operator("U10", "leads")
@@ -91,17 +95,22 @@ def cleared(d, reason: str) -> str:
 
 @operator("U11", "leads")
 def clear_name(d):
-    """Names with a garbage reason are cleared and noted."""
+    """Names with a garbage reason are cleared and noted; empty ones have nothing to clear."""
     from .texts import garbage
 
-    return f"SELECT lead_id, {cleared(d, 'reason')} AS contact_name, CASE WHEN reason IS NULL THEN contact_verified ELSE false END AS verified, {d.join('refinement_notes', '; ')} || CASE WHEN reason IS NULL THEN '' ELSE '; name_cleared:' || reason END AS notes FROM (SELECT *, {garbage(d)} AS reason FROM leads) t"
+    return f"SELECT lead_id, {cleared(d, 'reason')} AS contact_name, CASE WHEN reason IS NULL THEN contact_verified ELSE false END AS verified, {d.join('refinement_notes', '; ')} || CASE WHEN reason IS NULL THEN '' ELSE '; name_cleared:' || reason END AS notes FROM (SELECT *, nullif({garbage(d)}, 'empty') AS reason FROM leads) t"
 
 
-@operator("U12", "leads", "usage")
+@operator("U12", "leads", "verdicts")
 def verdict_rules(d):
-    """Found names of verdicts are set if valid and not the company's; scores are taken over."""
-    answer = "CASE api WHEN 'signup' THEN 'FOUND: Laura Evans | Director' WHEN 'purchase' THEN 'FOUND: Clinic Room | Owner' WHEN 'view' THEN '{\"score\": 8}' ELSE 'NONE' END"
-    name = "trim(split_part(substr(v.answer, 8), '|', 1))"
-    ok = f"{d.starts('v.answer', d.lit('FOUND:'))} AND {N.contact_valid(d, name)} AND NOT {N.vanity(d, name, 'l.company_name')}"
-    return f"""SELECT l.lead_id, CASE WHEN {ok} THEN {name} ELSE l.contact_name END AS contact_name, coalesce({d.number(d.json("CASE WHEN v.answer LIKE '{%' THEN v.answer END", 'score'), 'INT')}, l.ai_score) AS ai_score
-        FROM leads l LEFT JOIN (SELECT tokens, min_by({answer}, ts) AS answer FROM usage GROUP BY tokens) v ON v.tokens = l.ingest_seq"""
+    """The first answer of each kind by time: a found name is set if valid and not the company's (its role too, unverified), a confirmed one is verified, a rejected one cleared, an uncertain one loses confidence; scores are taken over."""
+    name, role = "trim(split_part(substr(found, 7), '|', 1))", "nullif(trim(split_part(substr(found, 7), '|', 2)), '')"
+    first = lambda test: f"min_by(answer, CASE WHEN {test} THEN answered_at END)"
+    asked = f"SELECT lead_id, {first(d.starts('upper(answer)', d.lit('FOUND:')))} AS found, {first(d.starts('answer', d.lit('{')))} AS scored, {first(d.word('answer', ['CONFIRMED', 'REJECTED', 'UNCERTAIN']))} AS said FROM verdicts GROUP BY lead_id"
+    ok = f"coalesce({N.contact_valid(d, 'name')} AND NOT {N.vanity(d, 'name', 'company_name')}, false)"
+    return f"""SELECT lead_id, CASE WHEN found IS NOT NULL AND ok THEN name WHEN said = 'REJECTED' THEN NULL ELSE contact_name END AS contact_name, CASE WHEN found IS NOT NULL AND ok THEN role END AS contact_role,
+        CASE WHEN found IS NOT NULL AND ok THEN false WHEN said = 'CONFIRMED' THEN true WHEN said = 'REJECTED' THEN false ELSE contact_verified END AS verified,
+        CASE WHEN said = 'UNCERTAIN' THEN greatest(1.0, coalesce(confidence_score, 2) - 1) ELSE confidence_score END AS confidence,
+        coalesce({d.number(d.json('scored', 'score'), 'INT')}, ai_score) AS ai_score,
+        CASE WHEN found IS NULL THEN 'none' WHEN ok THEN 'found' WHEN {N.contact_valid(d, 'name')} THEN 'vanity_rejected' ELSE 'invalid_name' END AS outcome
+        FROM (SELECT *, {ok} AS ok FROM (SELECT l.*, v.found, v.scored, v.said, {name} AS name, {role} AS role FROM leads l LEFT JOIN ({asked}) v ON v.lead_id = l.lead_id) a) b"""

@@ -108,7 +108,7 @@ def js_scrape_stats(d):
 @operator("A13", "leads")
 def discovery_funnel(d):
     """Attempts to resolved, validated and graded sites by slug pattern; the cost of the calls."""
-    at = "(SELECT ingest_seq % 7 + 1 AS pattern, website IS NOT NULL AS resolved, website_verified, ai_score FROM leads)"
+    at = "(SELECT site_pattern AS pattern, website IS NOT NULL AS resolved, website_verified, ai_score FROM leads)"
     return f"""SELECT coalesce(CAST(pattern AS STRING), 'all') AS pattern, count(*) AS attempted, count_if(resolved) AS resolved, count_if(resolved AND website_verified = 'yes') AS validated, count_if(resolved AND website_verified = 'yes' AND ai_score >= 7) AS high, count_if(resolved AND website_verified = 'no') AS rejected,
         {d.even('0.019 * count_if(NOT resolved)', 3)} AS cost, {share(d, "count_if(resolved AND website_verified = 'no')", 'count_if(resolved)')} AS pct_false FROM {at} a GROUP BY GROUPING SETS ((pattern), ())"""
 
@@ -171,7 +171,7 @@ def histogram_by_key(d):
 
 @operator("K3", "leads")
 def patterns_by_hits(d):
-    return "SELECT ingest_seq % 7 + 1 AS pattern, count_if(website IS NOT NULL) AS hits FROM leads GROUP BY 1 ORDER BY hits DESC, pattern DESC"
+    return "SELECT site_pattern AS pattern, count_if(website IS NOT NULL) AS hits FROM leads GROUP BY 1 ORDER BY hits DESC, pattern DESC"
 
 
 @operator("S15", "leads")

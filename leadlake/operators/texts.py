@@ -145,13 +145,17 @@ def strip_titles(d):
     return f"SELECT lead_id, {N.without_titles(d, 'contact_name')} AS name FROM leads WHERE contact_name IS NOT NULL"
 
 
+#: First names that the last clean-up of names knows.
+SANITISE_KNOWN = list(dict.fromkeys([*R.FIRST_NAMES, *R.SANITISE_NAMES]))
+
+
 def company_person(d) -> str:
     """Name at the front of a practitioner's company (null: none): two or three capitalised words after titles and before service words, a known first name, a valid verdict."""
     seg = d.rep(d.rep(d.rep("company_name", "\\s+[-–|]\\s+.*$"), "\\s*\\([^)]*\\)\\s*$"), "\\s*&\\s+\\w+$")
     name = f"trim({d.rep(d.rep(seg, '(?i)(\\s+(' + '|'.join([*R.COMPANY_SUFFIXES, 'and', '&']) + '))+$'), '(?i)^((' + '|'.join(R.TITLES) + ')[.]?\\s+)+')})"
     w = d.split(name, "\\s+")
     plain = d.match("w", "^[A-Z][a-zA-Z'-]*$")
-    ok = f"{d.size(w)} BETWEEN 2 AND 3 AND NOT {d.some(w, 'w', f'NOT {plain}')} AND NOT {d.some(w, 'w', d.word('lower(w)', R.BUSINESS_WORDS))} AND {d.word(letters(d, d.at(w, '1')), R.FIRST_NAMES)} AND {N.verdict(d, name)} = 'valid:'"
+    ok = f"{d.size(w)} BETWEEN 2 AND 3 AND NOT {d.some(w, 'w', f'NOT {plain}')} AND NOT {d.some(w, 'w', d.word('lower(w)', R.BUSINESS_WORDS))} AND {d.word(letters(d, d.at(w, '1')), [*R.FIRST_NAMES, *R.PRACTITIONER_NAMES])} AND {N.verdict(d, name)} = 'valid:'"
     return f"CASE WHEN {ok} THEN {name} END"
 
 
@@ -166,8 +170,8 @@ def sole_trader(d) -> str:
     last = f"lower({d.at(names, n)})"
     titled = d.word(first, ["dr", "mr", "mrs", "ms", "miss", "prof"])
     core = d.filter(names, "w", f"NOT {d.word('lower(w)', ['de', 'la', 'le', 'von', 'van', 'do'])}")
-    fine = f"({N.contact_valid(d, d.join(names, ' '))} OR ({d.size(core)} >= 2 AND NOT {d.some(core, 'w', 'length(w) < 2')}) OR {d.size(d.filter(names, 'w', 'length(w) > 1'))} >= 2)"
-    ok = f"NOT {d.some(d.split('lower(trim(company_name))', ' +'), 'w', d.word('w', R.MANY_PRACTITIONERS))} AND NOT {d.some(names, 'w', d.word(low, [*R.TRADER_PLACES, *R.MANY_PRACTITIONERS]))} AND {n} BETWEEN 2 AND 4 AND ({titled} OR ({d.word(first, R.FIRST_NAMES)} AND NOT {d.word(last, [*R.TRADER_PLACES, *R.GARBAGE_WORDS])} AND {fine}))"
+    fine = f"({N.contact_valid(d, d.join(names, ' '), R.SANITISE_SHORT_NAMES)} OR ({d.size(core)} >= 2 AND NOT {d.some(core, 'w', 'length(w) < 2')}) OR {d.size(d.filter(names, 'w', 'length(w) > 1'))} >= 2)"
+    ok = f"NOT {d.some(d.split('lower(trim(company_name))', ' +'), 'w', d.word('w', R.MANY_PRACTITIONERS))} AND NOT {d.some(names, 'w', d.word(low, [*R.TRADER_PLACES, *R.MANY_PRACTITIONERS]))} AND {n} BETWEEN 2 AND 4 AND ({titled} OR ({d.word(first, SANITISE_KNOWN)} AND NOT {d.word(last, [*R.TRADER_PLACES, *R.GARBAGE_WORDS])} AND {fine}))"
     return f"CASE WHEN {ok} THEN {d.join(names, ' ')} END"
 
 
@@ -178,13 +182,14 @@ def names_from_company(d):
 
 
 def garbage(d) -> str:
+    """Why a name is garbage (null: it is not); `empty` for none."""
     n = f"lower({normal(d, 'contact_name')})"
     w = d.split(n, "\\s+")
     first = letters(d, d.at(w, "1"))
-    known = d.word(first, R.FIRST_NAMES)
+    known = d.word(first, SANITISE_KNOWN)
     alpha = letters(d, n)
     bad = d.some(w, "w", d.word("w", R.GARBAGE_WORDS))
-    return f"""CASE WHEN {n} IS NULL THEN NULL
+    return f"""CASE WHEN {n} IS NULL THEN 'empty'
         WHEN {d.word(n, R.GARBAGE_EXACT)} THEN 'exact_garbage'
         WHEN {d.word(d.at(w, '1'), R.VERB_PREFIXES)} AND {d.size(w)} >= 2 AND NOT {known} THEN 'verb_prefix'
         WHEN {bad} AND NOT {known} THEN 'garbage_word'
@@ -193,7 +198,7 @@ def garbage(d) -> str:
         WHEN length({alpha}) >= 4 AND {vowels(d, alpha)} < 0.15 * length({alpha}) THEN 'gibberish'
         WHEN {d.match('contact_name', "'s\\s")} AND {d.size(w)} > 2 THEN 'possessive_phrase'
         WHEN {d.match('contact_name', "^(I'm |I am )")} THEN 'first_person'
-        WHEN {N.contact_valid(d, 'contact_name')} OR ({d.word(first, ['dr', 'mr', 'mrs', 'ms', 'miss', 'prof'])} AND {d.size(w)} = 2) THEN NULL
+        WHEN {N.contact_valid(d, 'contact_name', R.SANITISE_SHORT_NAMES)} OR ({d.word(first, ['dr', 'mr', 'mrs', 'ms', 'miss', 'prof'])} AND {d.size(w)} = 2) THEN NULL
         WHEN NOT {known} THEN 'failed_validation'
         WHEN {d.size(w)} = 2 AND {d.word(d.at(w, '2'), R.SERVICE_SUFFIXES)} THEN 'name_plus_service' END"""
 
@@ -400,7 +405,7 @@ def validation(d, company: str, pattern: str) -> str:
 @operator("T37", "page_text", "leads")
 def validate_site(d):
     """Each lead's landed page as its site."""
-    return f"SELECT l.lead_id, p.page_id, {validation(d, 'l.company_name', 'l.pattern')} AS confidence FROM (SELECT lead_id, website, company_name, ingest_seq % 7 + 1 AS pattern FROM leads) l JOIN ({page_signs(d)}) p ON p.url = l.website"
+    return f"SELECT l.lead_id, p.page_id, {validation(d, 'l.company_name', 'l.pattern')} AS confidence FROM (SELECT lead_id, website, company_name, site_pattern AS pattern FROM leads) l JOIN ({page_signs(d)}) p ON p.url = l.website"
 
 
 def candidate_rows(d) -> str:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..functions import rules as R
-from ..functions.emails import free_mail
+from ..functions.emails import domain_match, free_mail
 from ..functions.keys import domain, host, local, name_key, normal, social
-from ..functions.names import contact_valid, domain_name, suspicious, vanity
+from ..functions.names import contact_valid, domain_name, suspect, vanity, verdict, without_titles
 from .core import operator
 
 
@@ -64,7 +64,7 @@ def rank_contacts(d):
 def rank_site_links(d):
     """The eight best navigation links of each page on its own host, stable; pages with under three are padded with usual paths."""
     link, text = "lower(href)", "lower(anchor)"
-    score = f"CASE WHEN {d.match(link, R.HIGH_LINKS)} OR {d.match(text, R.HIGH_ANCHORS)} THEN 100 WHEN {d.match(link, R.JUNK_LINKS)} OR {d.match(text, R.JUNK_ANCHORS)} THEN 5 WHEN {d.match(link, R.LOW_LINKS)} OR {d.match(text, R.LOW_ANCHORS)} THEN 15 WHEN {d.match(link, 'our-|the-')} THEN 20 ELSE 30 END"
+    score = f"CASE WHEN {d.holds(link, R.HIGH_LINKS)} OR {d.holds(text, R.HIGH_ANCHORS)} THEN 100 WHEN {d.holds(link, R.JUNK_LINKS)} OR {d.holds(text, R.JUNK_ANCHORS)} THEN 5 WHEN {d.holds(link, R.LOW_LINKS)} OR {d.holds(text, R.LOW_ANCHORS)} THEN 15 WHEN {d.match(link, 'our-|the-')} THEN 20 ELSE 30 END"
     own = f"({d.match('href', '^/[^/]')} OR lower({host(d, 'href')}) = host) AND ({d.holds(link, R.NAV_WORDS)} OR {d.holds(text, R.NAV_WORDS)}) AND NOT {d.match(link, '#|javascript:|mailto:|tel:|[.]pdf|[.]jpg|[.]png')} AND href <> '/'"
     found = f"SELECT page_id, href, min(pos) AS pos, max({score}) AS score FROM site_links WHERE {own} GROUP BY page_id, href"
     path = d.array(R.FALLBACK_PATHS[:10])
@@ -73,11 +73,14 @@ def rank_site_links(d):
     return f"SELECT page_id, href, score, place FROM (SELECT page_id, href, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS place FROM (SELECT page_id, href, min(pos) AS pos, max(score) AS score FROM (SELECT * FROM ({found}) f UNION ALL SELECT * FROM ({padded}) q) u GROUP BY page_id, href) s) t WHERE place <= 8"
 
 
-@operator("W8", "doc_emails", "documents")
+@operator("W8", "site_emails")
 def choose_site_email(d):
-    """One personal and one shared address of each document: not free mail first, then by address."""
-    kind = f"CASE WHEN {d.word(local('email'), R.GENERIC_LOCALS)} THEN 'generic' ELSE 'personal' END"
-    return f"SELECT doc_id, kind, email FROM (SELECT doc_id, kind, email, row_number() OVER (PARTITION BY doc_id, kind ORDER BY CASE WHEN {free_mail(d, 'email')} THEN 1 ELSE 0 END, lower(email), email) AS n FROM (SELECT DISTINCT doc_id, email, {kind} AS kind FROM doc_emails) e) t WHERE n = 1"
+    """One personal and one shared address of each lead's site, of those that fit its domain: the site's own host first, then other domains, then free mail; ties by address."""
+    own, mail = host(d, "website"), "lower(split_part(email, '@', 2))"
+    kind = f"CASE WHEN {d.word(local('email'), R.GENERIC_PREFIXES)} THEN 'generic' ELSE 'personal' END"
+    order = f"CASE WHEN {mail} = {own} THEN 0 WHEN NOT {free_mail(d, 'email')} OR kind = 'generic' THEN 1 ELSE 2 END"
+    fits = f"SELECT DISTINCT lead_id, website, email, {kind} AS kind FROM site_emails WHERE {domain_match(d, 'email', 'website')} IS NOT NULL"
+    return f"SELECT lead_id, kind, email FROM (SELECT lead_id, kind, email, row_number() OVER (PARTITION BY lead_id, kind ORDER BY {order}, lower(email), email) AS n FROM ({fits}) e) t WHERE n = 1"
 
 
 @operator("W9", "rich_pages")
@@ -90,19 +93,29 @@ def choose_first_email(d):
     return f"SELECT page_id, coalesce({', '.join(sources)}) AS email, CASE {rank} END AS source_rank FROM rich_pages"
 
 
+def promoted_contact(d, company: str) -> tuple[str, str, str]:
+    """The contact without titles, the first other contact whose cleaned name is valid, and the name that the company's gives."""
+    own = without_titles(d, "contact_name")
+    good = d.filter(d.map("contact_names", "w", without_titles(d, "w")), "w", f"{verdict(d, 'w')} = 'valid:'")
+    return own, d.at(good, "1"), company
+
+
 @operator("W10", "leads")
 def promote_contact(d):
-    """First valid of the contact, then the other contacts in order; else the old one, for review."""
-    good = d.filter("contact_names", "w", contact_valid(d, "w"))
-    ok = contact_valid(d, "contact_name")
-    return f"SELECT lead_id, CASE WHEN {ok} THEN contact_name ELSE coalesce({d.at(good, '1')}, contact_name) END AS contact_name, NOT {ok} AND {d.size(good)} = 0 AS name_review_needed FROM leads"
+    """The contact without titles if its verdict is valid, else the first valid of the other contacts, else the name in the company's; what stays invalid is for review."""
+    from .texts import company_person
+
+    own, other, company = promoted_contact(d, company_person(d))
+    return f"""SELECT lead_id, CASE WHEN ok THEN own ELSE coalesce(other, company, own) END AS contact_name, CASE WHEN ok OR own IS NULL THEN 'own' WHEN other IS NOT NULL THEN 'other' WHEN company IS NOT NULL THEN 'company' ELSE 'own' END AS contact_from,
+        NOT ok AND other IS NULL AND company IS NULL AND own IS NOT NULL AS name_review_needed
+        FROM (SELECT lead_id, own, other, company, coalesce({verdict(d, 'own')} = 'valid:', false) AS ok FROM (SELECT lead_id, {own} AS own, {other} AS other, {company} AS company FROM (SELECT lead_id, {normal(d, 'contact_name')} AS contact_name, contact_names, company_name FROM leads) a) b) c"""
 
 
 @operator("W11", "leads", "usage")
-def allocate_quota(d):
-    """Leads in order up to the day's cap less what is used; the rest wait."""
-    used = "(SELECT count(*) FROM usage WHERE CAST(ts AS DATE) = DATE '2024-01-02')"
-    return f"SELECT lead_id, place, place <= greatest(500 - {used}, 0) AS allowed FROM (SELECT lead_id, row_number() OVER (ORDER BY ingest_seq) AS place FROM (SELECT lead_id, ingest_seq FROM leads WHERE website IS NULL ORDER BY ingest_seq LIMIT 500) h) t"
+def allocate_quota(d, day: str = "2024-01-02", cap: int = 500):
+    """Leads without a site in order, up to the day's cap less what is used; the rest wait."""
+    used = f"(SELECT count(*) FROM usage WHERE CAST(ts AS DATE) = DATE '{day}')"
+    return f"SELECT lead_id, place, place <= greatest({cap} - {used}, 0) AS allowed FROM (SELECT lead_id, row_number() OVER (ORDER BY ingest_seq) AS place FROM (SELECT lead_id, ingest_seq FROM leads WHERE website IS NULL ORDER BY ingest_seq LIMIT {cap}) h) t"
 
 
 @operator("W12", "leads")
@@ -147,15 +160,21 @@ def contact_links(d):
     return f"SELECT page_id, href, place FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM (SELECT page_id, href, min(pos) AS pos FROM site_links WHERE {d.holds('lower(href || chr(32) || anchor)', R.CONTACT_LINKS)} GROUP BY page_id, href) s) t WHERE place <= 6"
 
 
+#: Reasons that tell a name is no person's.
+FAKE = ["ui_artifact", "address_fragment", "role_only_name", "concatenated_text", "company_name_echo"]
+
+
 @operator("U2", "leads")
 def resolve_contact(d):
-    """The best valid candidate in place of a doubtful name; a fake from an unverified source is cleared."""
+    """Doubtful names: the best valid candidate stands in (doctors first, then in order); without one, a definite fake that no trusted source gave is cleared, all others stay."""
     site = host(d, "website")
-    ok = lambda x: f"({contact_valid(d, x)} AND NOT {domain_name(d, x, site)} AND NOT {vanity(d, x, 'company_name')} AND NOT {suspicious(d, x)})"
-    good = d.filter("contact_names", "w", ok("w"))
-    return f"""SELECT lead_id, CASE WHEN fine THEN 'kept' WHEN better IS NOT NULL THEN 'replaced' WHEN NOT coalesce(contact_verified, false) THEN 'cleared' ELSE 'kept_verified' END AS action,
-        CASE WHEN fine THEN contact_name WHEN better IS NOT NULL THEN better WHEN coalesce(contact_verified, false) THEN contact_name END AS contact_name
-        FROM (SELECT lead_id, contact_name, contact_verified, {ok('contact_name')} AS fine, {d.at(good, '1')} AS better FROM leads) t"""
+    ok = f"({contact_valid(d, 'w')} AND NOT {domain_name(d, 'w', site)} AND NOT {vanity(d, 'w', 'company_name')})"
+    good = d.filter("contact_names", "w", ok)
+    doctor = d.filter("good", "w", d.match("lower(w)", "^dr[ .]"))
+    reason = suspect(d, "contact_name", "company_name", "refinement_notes", "confidence_score")
+    return f"""SELECT lead_id, action, CASE action WHEN 'replaced' THEN best WHEN 'cleared' THEN NULL ELSE contact_name END AS contact_name FROM (
+        SELECT lead_id, contact_name, best, CASE WHEN reason IS NULL THEN 'kept' WHEN best IS NOT NULL THEN 'replaced' WHEN {d.word('reason', FAKE)} THEN CASE WHEN coalesce({d.word('contact_source', R.SOURCES_OF_TRUST)}, false) THEN 'kept_verified' ELSE 'cleared' END ELSE 'kept_no_replacement' END AS action
+        FROM (SELECT lead_id, contact_name, contact_source, reason, coalesce({d.at(doctor, '1')}, {d.at('good', '1')}) AS best FROM (SELECT lead_id, contact_name, contact_source, {reason} AS reason, {good} AS good FROM leads) a) b) c"""
 
 
 @operator("J10", "leads", "page_text")

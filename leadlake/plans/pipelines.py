@@ -28,7 +28,7 @@ def refine(d):
     return refined(d)
 
 
-@operator("P2", "officers", "leads", "existing")
+@operator("P2", "officers", "leads", "existing", "company_codes")
 def sweep(d):
     """New registry companies with sector, latest director and status, less the known ones."""
     return f"""SELECT l.lead_id, s.sector, o.name AS director, {d.rep(N.person_format(d, 'coalesce(o.name, chr(32))'), '\\s+', ' ')} AS contact, CASE WHEN o.name IS NULL THEN 'missing_name' WHEN l.email IS NULL THEN 'missing_email' ELSE 'complete' END AS status
@@ -42,7 +42,7 @@ def office_enrich(d):
         FROM leads l LEFT JOIN ({joins.link_places.sql(d)}) m ON m.lead_id = l.lead_id JOIN ({texts.size_signal.sql(d)}) z ON z.lead_id = l.lead_id JOIN ({texts.geo_relevance.sql(d)}) g ON g.lead_id = l.lead_id WHERE l.category = 'office'"""
 
 
-@operator("P4", "leads", "page_text", "officers")
+@operator("P4", "leads", "page_text", "officers", "controllers")
 def waterfall_enrich(d):
     """Contact and email by source: own, then the site's page, then the registry; status, type, confidence and segment after."""
     mail = d.at(E.found(d, "text"), "1")
@@ -65,7 +65,7 @@ def surgical(d):
     return f"SELECT l.lead_id, c.cohort, l.status, l.confidence, l.attempts, l.missing_final FROM ({own}) l JOIN ({filters.cohorts.sql(d)}) c ON c.lead_id = l.lead_id"
 
 
-@operator("P7", "leads")
+@operator("P7", "leads", "found_emails")
 def cleanup(d):
     """Doubtful names and guessed emails resolved: reason, outcome and what is left."""
     return f"""SELECT l.lead_id, l.r1, l.r2, CASE WHEN l.r1 IS NULL THEN 'kept' ELSE n.action END AS name_action, CASE WHEN l.r1 IS NULL THEN l.contact_name ELSE n.contact_name END AS contact_name, CASE WHEN l.r2 IS NULL THEN l.email ELSE e.email END AS email
@@ -76,11 +76,11 @@ def cleanup(d):
 @operator("P8", "leads")
 def sanitise(d):
     """Garbage names cleared, names inferred from the company where there is none; all targets from one snapshot."""
-    return f"""SELECT g.lead_id, g.reason, CASE WHEN g.reason IS NULL THEN g.contact_name WHEN i.name IS NOT NULL THEN i.name END AS contact_name, g.reason IS NOT NULL AND i.name IS NOT NULL AS inferred
+    return f"""SELECT g.lead_id, g.reason, CASE WHEN g.reason IS NULL THEN g.contact_name ELSE i.name END AS contact_name, g.reason IS NOT NULL AND i.name IS NOT NULL AS inferred
         FROM (SELECT lead_id, contact_name, {texts.garbage(d)} AS reason FROM leads) g LEFT JOIN ({texts.names_from_company.sql(d)}) i ON i.lead_id = g.lead_id"""
 
 
-@operator("P9", "leads")
+@operator("P9", "leads", "found_emails")
 def rescrape(d):
     """Qualifying leads with their reason, the found address's fit to the site, and the email after."""
     return f"""SELECT r.lead_id, r.reason, {E.domain_match(d, 'e.email', 'l.website')} AS fit, e.email, e.action, 'email_rescrape_done' AS mark FROM (SELECT lead_id, {filters.rescrape(d, False)} AS reason FROM leads) r

@@ -78,7 +78,7 @@ def s6_append_leads(spark, sf_dir):
 
 def s7_ingest_registry_companies(spark, sf_dir):
     """Company payloads to rows."""
-    item = F.struct(F.col("lead_id").alias("company_number"), F.concat(F.lit("  "), F.col("company_name")).alias("company_name"), F.lit("active").alias("company_status"), F.array(F.lit("70229")).alias("sic_codes"), F.col("date_of_creation").cast("string").alias("date_of_creation"), F.struct(F.lit("").alias("address_line_1"), F.split_part("location", F.lit(","), F.lit(1)).alias("locality"), F.trim(F.split_part("location", F.lit(","), F.lit(2))).alias("postal_code")).alias("registered_office_address"))
+    item = F.struct(F.col("lead_id").alias("company_number"), F.concat(F.lit("  "), F.col("company_name")).alias("company_name"), F.lit("active").alias("company_status"), F.array(F.lit("70229")).alias("sic_codes"), F.col("date_of_creation").cast("string").alias("date_of_creation"), F.struct(F.lit("").alias("address_line_1"), F.concat(F.lit("Unit "), F.col("ingest_seq").cast("string")).alias("address_line_2"), F.split_part("location", F.lit(","), F.lit(1)).alias("locality"), F.lit("Surrey").alias("region"), F.trim(F.split_part("location", F.lit(","), F.lit(2))).alias("postal_code")).alias("registered_office_address"))
     raw = view(spark, sf_dir, "leads").select(F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))
     return landed.companies(raw).select("company_number", "company_name", "location", "date_of_creation")
 
@@ -145,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "s4_write_leads_csv": leads + flat,
         "s5_checkpoint_leads": leads + "SELECT lead_id, company_name, email FROM leads WHERE email IS NOT NULL",
         "s6_append_leads": leads + "SELECT lead_id, category FROM leads",
-        "s7_ingest_registry_companies": leads + "SELECT lead_id AS company_number, company_name, coalesce(concat_ws(', ', nullif(split_part(location, ',', 1), ''), nullif(trim(split_part(location, ',', 2)), '')), '') AS location, date_of_creation FROM leads",
+        "s7_ingest_registry_companies": leads + "SELECT lead_id AS company_number, company_name, concat_ws(', ', 'Unit ' || ingest_seq, nullif(split_part(location, ',', 1), ''), 'Surrey', nullif(trim(split_part(location, ',', 2)), '')) AS location, date_of_creation FROM leads",
         "s8_ingest_officers": officers + "SELECT company_number, name, role, appointed_on, resigned_on FROM officers",
         "s9_ingest_places": places + "SELECT place_id, town, display_name, '+44 1' AS phone, rating::VARCHAR || '/5' || coalesce(' (' || reviews || ' reviews)', '') AS google_rating, left(array_to_string(types, ', '), 200) AS sector FROM places",
         "s10_ingest_registry_search": leads + "SELECT lead_id AS company_number, company_name, coalesce(split_part(location, ',', 1), '') AS location, CASE WHEN ingest_seq % 2 = 0 THEN sector ELSE 'active' END AS sector FROM leads WHERE ingest_seq % 5 <> 0",

@@ -56,6 +56,9 @@ def leads(d: Dialect) -> str:
         CASE WHEN k % 7 = 3 THEN '01483 ' || lpad(CAST(k % 1000000 AS STRING), 6, '0') END AS phone,
         CASE WHEN k % 5 = 2 THEN 'pl' || CAST(k % 40 AS STRING) END AS place_id,
         k % 13 = 6 AS missing_name_final,
+        CASE k % 7 WHEN 1 THEN 'website_verified' WHEN 2 THEN 'companies_house' WHEN 4 THEN 'website' END AS contact_source,
+        CASE k % 11 WHEN 4 THEN 'dissolved' WHEN 9 THEN 'liquidation' ELSE 'active' END AS company_status,
+        CAST(k % 7 + 1 AS INT) AS site_pattern,
         {f"DATE '2016-01-01' + CAST(k * 7 % 3000 AS INT)" if d.duck else "date_add(DATE '2016-01-01', CAST(k * 7 % 3000 AS INT))"} AS date_of_creation,
         {f"DATE '2024-06-01' + CAST(k % 30 AS INT)" if d.duck else "date_add(DATE '2024-06-01', CAST(k % 30 AS INT))"} AS last_enriched_date
       FROM (SELECT c.c_custkey AS k, c.c_mktsegment, p.url, n.n_name,
@@ -75,6 +78,52 @@ def existing(d: Dialect) -> str:
     return "SELECT * FROM leads WHERE ingest_seq % 5 = 0"
 
 
+def later(d: Dialect) -> str:
+    """A later run over the known leads: some contacts lost or replaced, some addresses replaced."""
+    return """SELECT lead_id, ingest_seq, company_name, CASE WHEN ingest_seq % 4 = 0 THEN NULL WHEN ingest_seq % 4 = 1 THEN 'New Name' ELSE contact_name END AS contact_name,
+        CASE WHEN ingest_seq % 3 = 0 THEN 'new@x.org' ELSE email END AS email FROM existing"""
+
+
+def found_emails(d: Dialect) -> str:
+    """An address found later on the sites of half of the leads."""
+    return f"SELECT lead_id, CASE WHEN ingest_seq % 4 = 0 THEN 'new.person@' ELSE 'info@' END || {host(d, 'website')} AS found FROM leads WHERE ingest_seq % 4 < 2 AND website IS NOT NULL"
+
+
+def site_emails(d: Dialect) -> str:
+    """Every address that a lead's site could have shown."""
+    arrays = f"SELECT lead_id, website, {d.explode('personal_email_guesses')} AS email FROM leads UNION ALL SELECT lead_id, website, {d.explode('team_email_guesses')} AS email FROM leads"
+    return " UNION ALL ".join([*(f"SELECT lead_id, website, {c} AS email FROM leads WHERE {c} IS NOT NULL" for c in ("email", "generic_email", "principal_email_guess", "contact_email")), arrays])
+
+
+def verdicts(d: Dialect) -> str:
+    """Answers of a model about leads, by time; the lead is told by its number."""
+    answer = "CASE event_type WHEN 'view' THEN 'CONFIRMED' WHEN 'error' THEN 'REJECTED' WHEN 'click' THEN 'UNCERTAIN' WHEN 'signup' THEN 'FOUND: Laura Evans | Director' WHEN 'purchase' THEN 'FOUND: Clinic Room | Owner' ELSE '{\"score\": 8}' END"
+    return f"SELECT CAST(CAST(floor(value) AS BIGINT) AS STRING) AS lead_id, ts AS answered_at, {answer} AS answer FROM events"
+
+
+def companies(d: Dialect) -> str:
+    """Companies of three sources with their sources' words for status."""
+    return """SELECT o_orderkey AS company_key, CASE o_orderpriority WHEN '1-URGENT' THEN 'registry' WHEN '2-HIGH' THEN 'search' ELSE 'places' END AS source,
+        CASE WHEN o_orderstatus = 'O' THEN 'active' WHEN o_orderpriority = '1-URGENT' THEN CASE o_orderstatus WHEN 'F' THEN 'dissolved' ELSE 'active' END
+             WHEN o_orderpriority = '2-HIGH' THEN CASE o_orderstatus WHEN 'F' THEN 'dissolved' ELSE 'liquidation' END ELSE CASE o_orderstatus WHEN 'P' THEN 'CLOSED_PERMANENTLY' ELSE 'OPERATIONAL' END END AS status FROM orders"""
+
+
+def company_codes(d: Dialect) -> str:
+    """Industry codes of each company, in order."""
+    return f"SELECT CAST(o_custkey AS STRING) AS company_number, o_orderkey AS pos, {pick(d, ['70229', '12345', '62020', '69102', '99999', '71111', '85600'], 'o_orderkey % 7')} AS code FROM orders"
+
+
+def controllers(d: Dialect) -> str:
+    """Persons with control of a company; some have ceased to be."""
+    return """SELECT CAST(o_custkey AS STRING) AS company_number, o_orderkey AS pos, 'HOLDER-' || CAST(o_custkey % 89 AS STRING) || ', Ann' AS name,
+        CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS ceased_on FROM orders WHERE o_orderkey % 5 = 2"""
+
+
+def fetched(d: Dialect) -> str:
+    """Landed pages with the status of their fetch."""
+    return "SELECT page_id, url, html, CASE WHEN page_id % 41 = 7 THEN 403 WHEN page_id % 43 = 9 THEN 429 ELSE 200 END AS status FROM pages"
+
+
 def officers(d: Dialect) -> str:
     return """SELECT CAST(o_custkey AS STRING) AS company_number, o_orderkey AS pos,
         CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE 'SMITH-' || CAST(o_custkey % 97 AS STRING) || ', John ' || o_orderpriority END AS name,
@@ -141,6 +190,14 @@ VIEWS = {
     "leads": (leads, []),
     "leads_dup": (leads_dup, ["leads"]),
     "existing": (existing, ["leads"]),
+    "later": (later, ["existing"]),
+    "found_emails": (found_emails, ["leads"]),
+    "site_emails": (site_emails, ["leads"]),
+    "verdicts": (verdicts, []),
+    "companies": (companies, []),
+    "company_codes": (company_codes, []),
+    "controllers": (controllers, []),
+    "fetched": (fetched, []),
     "officers": (officers, []),
     "places": (places, []),
     "usage": (usage, []),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COMPANIES = "items ARRAY<STRUCT<company_number STRING, company_name STRING, company_status STRING, sic_codes ARRAY<STRING>, date_of_creation STRING, registered_office_address STRUCT<address_line_1: STRING, locality: STRING, postal_code: STRING>>>"
+COMPANIES = "items ARRAY<STRUCT<company_number STRING, company_name STRING, company_status STRING, sic_codes ARRAY<STRING>, date_of_creation STRING, registered_office_address STRUCT<address_line_1: STRING, address_line_2: STRING, locality: STRING, region: STRING, postal_code: STRING>>>"
 OFFICERS = "items ARRAY<STRUCT<name STRING, officer_role STRING, appointed_on STRING, resigned_on STRING>>"
 PLACES = "places ARRAY<STRUCT<id STRING, displayName STRING, formattedAddress STRING, websiteUri STRING, nationalPhoneNumber STRING, internationalPhoneNumber STRING, rating DOUBLE, userRatingCount INT, types ARRAY<STRING>, businessStatus STRING>>"
 SEARCH = "items ARRAY<STRUCT<title STRING, company_status STRING, company_number STRING, description STRING, snippet STRING, address STRUCT<locality: STRING, postal_code: STRING>>>"
@@ -26,7 +26,7 @@ def _squeezed(c: str):
 def companies(raw: DataFrame) -> DataFrame:
     """Registry companies; rows without a name are dropped."""
     out = items(raw, COMPANIES, "items", [])
-    place = F.concat_ws(", ", *(F.nullif(F.trim(f"registered_office_address.{p}"), F.lit("")) for p in ("address_line_1", "locality", "postal_code")))
+    place = F.concat_ws(", ", *(F.nullif(F.trim(f"registered_office_address.{p}"), F.lit("")) for p in ("address_line_1", "address_line_2", "locality", "region", "postal_code")))
     return out.select("company_number", _squeezed("company_name").alias("company_name"), "company_status", "sic_codes", F.col("date_of_creation").try_cast("date").alias("date_of_creation"), place.alias("location")).where("company_name <> ''")
 
 

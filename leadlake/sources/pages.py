@@ -9,20 +9,19 @@ from ..operators.core import operator
 
 
 def page_reason(d) -> str:
-    status = "CASE WHEN page_id % 41 = 7 THEN 403 WHEN page_id % 43 = 9 THEN 429 ELSE 200 END"
-    return f"CASE WHEN {status} IN (403, 429) THEN 'blocked_' || CAST({status} AS STRING) WHEN {d.holds('lower(html)', R.BLOCK_WORDS)} THEN 'block_word' WHEN length(html) < 1000 AND contains(lower(html), 'javascript') THEN 'challenge' WHEN length(html) < 2000 THEN 'too_small' END"
+    return f"CASE WHEN status IN (403, 429) THEN 'blocked_' || CAST(status AS STRING) WHEN {d.holds('lower(html)', R.BLOCK_WORDS)} THEN 'block_word' WHEN length(html) < 1000 AND contains(lower(html), 'javascript') THEN 'challenge' WHEN length(html) < 2000 THEN 'too_small' END"
 
 
-@operator("S12", "pages")
+@operator("S12", "fetched")
 def valid_pages(d):
     """Pages with the reason to reject them, if any."""
-    return f"SELECT page_id, url, {page_reason(d)} AS reason FROM pages"
+    return f"SELECT page_id, url, {page_reason(d)} AS reason FROM fetched"
 
 
-@operator("S13", "pages")
+@operator("S13", "fetched")
 def dead_letter(d):
     """Rejected pages as dead-letter rows."""
-    return f"SELECT company, url, reason FROM (SELECT {host(d, 'url')} AS company, url, {page_reason(d)} AS reason FROM pages) t WHERE reason IS NOT NULL"
+    return f"SELECT company, url, reason FROM (SELECT {host(d, 'url')} AS company, url, {page_reason(d)} AS reason FROM fetched) t WHERE reason IS NOT NULL"
 
 
 @operator("S11", "pages")

@@ -64,6 +64,8 @@ def test_suspects(spark):
         ("Book Now", "x", "", None, "ui_artifact"), ("High Street", "x", "", None, "address_fragment"), ("Nurse", "x", "", None, "role_only_name"), ("Acme", "Acme Ltd", "", None, "company_name_echo"),
         ("emmaJones Therapist At", "x", "", None, "concatenated_text"), ("Emma Jones", "x", "vanity_name_match", None, "flagged_in_notes"), ("Emma Jones", "x", "", "2", "low_confidence"), ("Dr Jones", "x", "", None, "title_only"),
         ("Emma Brrt", "x", "", None, "failed_validation"), ("Emma Jones", "x", "", "4", None), (None, "x", "", None, None),
+        # a valid name that begins with a known first name is a person's, whatever street words it holds
+        ("Emma Park", "x", "", None, None), ("Grace Hill", "x", "", None, None), ("David Green", "x", "", None, None), ("Sarah Lane", "x", "", None, None), ("Zelda Lane", "x", "", None, "address_fragment"), ("Emma GU7", "x", "", None, "address_fragment"),
     ]
     call = lambda d: N.suspect(d, "n", "c", d.split("t", ";"), "CAST(f AS DOUBLE)")
     assert both(spark, call, ["n", "c", "t", "f"], [r[:4] for r in rows]) == [r[4] for r in rows]
