@@ -101,14 +101,20 @@ def hide_excluded(d):
     return f"SELECT {IDS} FROM leads WHERE category = 'office' AND coalesce(geo_relevance, '') <> 'exclude'"
 
 
+def cohort_tests(d) -> dict[str, str]:
+    name, mail = normal(d, "contact_name"), normal(d, "email")
+    soc = d.holds("lower(website)", ["facebook.com", "fb.com", "instagram.com", "twitter.com"])
+    return {"A": f"{name} IS NULL AND website IS NOT NULL AND NOT {soc}", "B": f"{name} IS NOT NULL AND confidence_score <= 3", "C": f"{mail} IS NOT NULL AND coalesce(email_guessed, false)"}
+
+
+def not_fresh(day: str, force: bool) -> str:
+    return "true" if force else f"last_enriched_date <> DATE '{day}' AND NOT missing_name_final"
+
+
 @operator("F14", "leads")
 def cohorts(d, day: str = "2024-06-05", force: bool = False):
     """Cohort A (no contact), B (low confidence) or C (guessed email) of each lead not enriched on the day nor final; all leads if forced."""
-    fresh = "true" if force else f"last_enriched_date <> DATE '{day}' AND NOT missing_name_final"
-    name, mail = normal(d, "contact_name"), normal(d, "email")
-    soc = d.holds("lower(website)", ["facebook.com", "fb.com", "instagram.com", "twitter.com"])
-    tests = {"A": f"{name} IS NULL AND website IS NOT NULL AND NOT {soc}", "B": f"{name} IS NOT NULL AND confidence_score <= 3", "C": f"{mail} IS NOT NULL AND coalesce(email_guessed, false)"}
-    return " UNION ALL ".join(f"SELECT {IDS}, '{c}' AS cohort FROM leads WHERE {fresh} AND {t}" for c, t in tests.items())
+    return " UNION ALL ".join(f"SELECT {IDS}, '{c}' AS cohort FROM leads WHERE {not_fresh(day, force)} AND {t}" for c, t in cohort_tests(d).items())
 
 
 def rescrape(d: Dialect, retry: bool) -> str:

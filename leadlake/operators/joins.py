@@ -7,17 +7,22 @@ from ..functions.keys import blank, name_key, name_location_key, website_key
 from .core import operator
 
 
-@operator("J1", "leads", "existing")
-def anti_existing(d):
-    """New leads that no known lead shares a place, website or name and location with: one hash anti-join a key."""
+def unknown(d, source: str, columns: str) -> str:
+    """Rows of `source` that no known lead shares a place, website or name and location with: one hash anti-join a key."""
     web = lambda t: website_key(d, f"{t}.website")
     loc = lambda t: name_location_key(f"{t}.company_name", f"{t}.location")
-    return f"""SELECT l.lead_id, l.ingest_seq FROM leads l
+    return f"""SELECT {columns} FROM {source} l
         LEFT ANTI JOIN (SELECT {blank('e.place_id')} AS k FROM existing e WHERE {blank('e.place_id')} IS NOT NULL) a ON l.place_id = a.k
         LEFT ANTI JOIN (SELECT {web('e')} AS k FROM existing e WHERE {web('e')} IS NOT NULL) b ON {web('l')} = b.k
         LEFT ANTI JOIN (SELECT {loc('e')} AS k FROM existing e WHERE {loc('e')} IS NOT NULL) c ON {loc('l')} = c.k""".replace("LEFT ANTI", "ANTI" if d.duck else "LEFT ANTI")
 
 
+@operator("J1", "leads", "existing")
+def anti_existing(d):
+    """New leads that share no key with a known one."""
+    return unknown(d, "leads", "l.lead_id, l.ingest_seq")
+
+
 @operator("J2", "leads", "existing")
 def anti_existing_office(d):
     """Office leads not known by name, then not by website."""

@@ -6,7 +6,7 @@ from ..functions.emails import generic_prefix, has_at
 from ..functions.keys import blank, normal, social
 from ..functions.names import contact_valid, suspect
 from .core import operator
-from .filters import cohorts, guess_flag, rescrape
+from .filters import cohort_tests, not_fresh, guess_flag, rescrape
 
 HAS_NAME = "contact_name IS NOT NULL"
 
@@ -49,10 +49,12 @@ def refine_summary(d):
 
 @operator("A5", "leads")
 def office_summary(d):
-    """Totals and breakdowns by geography, status and size in rows (section, key, n)."""
-    part = lambda s, k: f"SELECT '{s}' AS section, {k} AS key, count(*) AS n FROM leads WHERE category = 'office' GROUP BY 2"
-    real = "SELECT 'total' AS section, 'real_email' AS key, count_if(email IS NOT NULL) - count_if(email IS NOT NULL AND coalesce(email_guessed, false)) AS n FROM leads WHERE category = 'office'"
-    return " UNION ALL ".join([real, part("geo", "coalesce(geo_relevance, 'unclassified')"), part("status", "coalesce(enrichment_status, 'unknown')"), part("size", "coalesce(size_signal, 'unclassified')")])
+    """Totals and breakdowns by geography, status and size in rows (section, key, n), in one pass."""
+    sections = {"geo": "coalesce(geo_relevance, 'unclassified')", "status": "coalesce(enrichment_status, 'unknown')", "size": "coalesce(size_signal, 'unclassified')", "total": "'real_email'"}
+    real = "CASE WHEN email IS NOT NULL AND NOT coalesce(email_guessed, false) THEN 1 ELSE 0 END"
+    each = ", ".join(d.tuple(section=f"'{s}'", key=k, one=real if s == "total" else "1") for s, k in sections.items())
+    rows = d.explode(("[" if d.duck else "array(") + each + ("]" if d.duck else ")"))
+    return f"SELECT x.section AS section, x.key AS key, CAST(sum(x.one) AS BIGINT) AS n FROM (SELECT {rows} AS x FROM leads WHERE category = 'office') t GROUP BY 1, 2"
 
 
 @operator("A6", "leads")
@@ -83,10 +85,10 @@ def sanitise_projection(d):
 
 
 @operator("A9", "leads")
-def dataset_stats(d):
-    """Coverage and the sizes of the cohorts."""
-    return f"""SELECT count(*) AS total, {share(d, f'count_if({normal(d, "contact_name")} IS NOT NULL)')} AS pct_contact, {share(d, 'count_if(email IS NOT NULL)')} AS pct_email, count_if(confidence_score <= 3) AS low_confidence, count_if(missing_name_final) AS final,
-        (SELECT count(*) FROM ({cohorts.sql(d)}) c WHERE cohort = 'A') AS cohort_a, (SELECT count(*) FROM ({cohorts.sql(d)}) c WHERE cohort = 'B') AS cohort_b, (SELECT count(*) FROM ({cohorts.sql(d)}) c WHERE cohort = 'C') AS cohort_c FROM leads"""
+def dataset_stats(d, day: str = "2024-06-05"):
+    """Coverage and the sizes of the cohorts, in one pass."""
+    sizes = ", ".join(f"count_if({not_fresh(day, False)} AND {t}) AS cohort_{c.lower()}" for c, t in cohort_tests(d).items())
+    return f"""SELECT count(*) AS total, {share(d, f'count_if({normal(d, "contact_name")} IS NOT NULL)')} AS pct_contact, {share(d, 'count_if(email IS NOT NULL)')} AS pct_email, count_if(confidence_score <= 3) AS low_confidence, count_if(missing_name_final) AS final, {sizes} FROM leads"""
 
 
 @operator("A10", "leads")
@@ -146,17 +148,20 @@ HOST_PARTS = 64
 
 @operator("A18", "page_text")
 def page_contact_rollup(d):
-    """Pages of one host as one record: number of pages, first address by page, first 5000 characters of the joined text."""
-    from ..functions.emails import found
+    """Pages of one host as one record: number of pages, the best address (personal, then free mail, then shared; then by page and spelling), number of different addresses, first 5000 characters of the joined text."""
+    from ..functions.emails import found, free_mail, generic
 
-    mail = d.at(found(d, "text"), "1")
+    rank = f"CASE WHEN {generic(d, 'email')} THEN 3 WHEN {free_mail(d, 'email')} THEN 2 ELSE 1 END"
+    mails = f"SELECT host, email, {rank} AS kind, min(page_id) AS page_id FROM (SELECT host, page_id, {d.explode(found(d, 'text'))} AS email FROM page_text) a GROUP BY host, email"
     if d.duck:
-        return f"SELECT host, count(*) AS pages, min_by({mail}, CASE WHEN {mail} IS NOT NULL THEN page_id END) AS email, left(string_agg(left(text, 5000), ' ' ORDER BY page_id), 5000) AS text FROM page_text GROUP BY host"
+        return f"""SELECT t.host, t.pages, m.email, coalesce(m.emails, 0) AS emails, t.text FROM (SELECT host, count(*) AS pages, left(string_agg(left(text, 5000), ' ' ORDER BY page_id), 5000) AS text FROM page_text GROUP BY host) t
+            LEFT JOIN (SELECT host, email, n AS emails FROM (SELECT host, email, row_number() OVER (PARTITION BY host ORDER BY kind, page_id, email) AS place, count(*) OVER (PARTITION BY host) AS n FROM ({mails}) x) y WHERE place = 1) m ON m.host IS NOT DISTINCT FROM t.host"""
     # a host's pages are dealt into parts, of which only the leading pages that reach the wanted length are gathered: no array grows with the host
-    return f"""SELECT host, sum(pages) AS pages, min_by(email, first_mail) AS email, left(array_join(transform(array_sort(flatten(collect_list(texts))), x -> x.t), ' '), 5000) AS text FROM (
-        SELECT host, part, count(*) AS pages, min_by(mail, CASE WHEN mail IS NOT NULL THEN page_id END) AS email, min(CASE WHEN mail IS NOT NULL THEN page_id END) AS first_mail, collect_list(CASE WHEN t IS NOT NULL AND coalesce(before, 0) < 5000 THEN struct(page_id, t) END) AS texts FROM (
+    return f"""SELECT t.host, t.pages, m.best.email AS email, coalesce(m.emails, 0) AS emails, t.text FROM (SELECT host, sum(pages) AS pages, left(array_join(transform(array_sort(flatten(collect_list(texts))), x -> x.t), ' '), 5000) AS text FROM (
+        SELECT host, part, count(*) AS pages, collect_list(CASE WHEN t IS NOT NULL AND coalesce(before, 0) < 5000 THEN struct(page_id, t) END) AS texts FROM (
         SELECT *, sum(length(t) + 1) OVER (PARTITION BY host, part ORDER BY page_id, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
-        SELECT host, page_id, pmod(xxhash64(page_id), {HOST_PARTS}) AS part, left(text, 5000) AS t, {mail} AS mail FROM page_text) a) b GROUP BY host, part) c GROUP BY host"""
+        SELECT host, page_id, pmod(xxhash64(page_id), {HOST_PARTS}) AS part, left(text, 5000) AS t FROM page_text) a) b GROUP BY host, part) c GROUP BY host) t
+        LEFT JOIN (SELECT host, min(struct(kind, page_id, email)) AS best, count(*) AS emails FROM ({mails}) x GROUP BY host) m ON m.host <=> t.host"""
 
 
 @operator("K1", "leads")

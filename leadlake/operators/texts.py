@@ -224,11 +224,12 @@ def registry_names(d):
 def geo_flags(d) -> str:
     """Signals of each lead and of its landed page; a page's signals are found once, before the join."""
     post, town = "(?i)\\bGU[0-9]{1,2}\\s?[0-9][A-Z]{2}\\b", "(?i)\\b(?:" + "|".join(R.GEO_TOWNS) + ")\\b"
-    word = lambda words: "(?i)\\b(?:" + "|".join(words) + ")\\b"
+    # a plain search first: the slower pattern only runs on texts that hold one of the words
+    word = lambda words: "((" + " OR ".join(f"contains(low, {d.lit(w)})" for w in words) + ") AND " + d.match("low", "\\b(?:" + "|".join(words) + ")\\b") + ")"
     loc, name = "coalesce(l.location, '')", "lower(l.company_name)"
     site, mail = host(d, "l.website"), "lower(split_part(l.generic_email, '@', 2))"
-    signs = {"has_text": "text <> ''", "text_post": d.match("text", post), "text_town": d.match("text", town), "x_exclude": d.match("text", word(R.EXCLUDE_TEXT)), "x_shell": d.match("text", word(R.SHELL_TEXT)), "x_dormant": d.match("text", word(R.DORMANT_TEXT)), "x_scope": d.match("text", word(R.REVIEW_TEXT))}
-    page = "SELECT url, " + ", ".join(f"{e} AS {n}" for n, e in signs.items()) + f", {d.size(d.split('text', '\\s+'))} < 50 AS thin FROM page_text"
+    signs = {"has_text": "text <> ''", "text_post": f"(contains(low, 'gu') AND {d.match('text', post)})", "text_town": word([t.lower() for t in R.GEO_TOWNS]), "x_exclude": word(R.EXCLUDE_TEXT), "x_shell": word(R.SHELL_TEXT), "x_dormant": word(R.DORMANT_TEXT), "x_scope": word(R.REVIEW_TEXT)}
+    page = "SELECT url, " + ", ".join(f"{e} AS {n}" for n, e in signs.items()) + f", {d.size(d.split('text', '\\s+'))} < 50 AS thin FROM (SELECT url, text, lower(text) AS low FROM page_text) low_text"
     flags = ", ".join(f"coalesce(p.{n}, false) AS {n}" for n in signs)
     return f"""SELECT l.lead_id, l.website IS NOT NULL AS has_site, {flags}, {d.match(loc, post)} AS loc_post, {d.match(loc, town)} AS loc_town, coalesce(p.thin, true) AS thin,
         coalesce({mail} <> {site} AND NOT {d.starts(mail, f"split_part({site}, '.', 1)")}, false) AS mismatch, {d.holds(name, R.SHELL_NAMES)} AS shell_name FROM leads l LEFT JOIN ({page}) p ON p.url = l.website"""
@@ -256,8 +257,9 @@ def size_signal(d):
     return f"SELECT l.lead_id, CASE WHEN l.size_signal IS NOT NULL AND l.website IS NOT NULL THEN l.size_signal WHEN l.website IS NULL OR {social(d, 'l.website')} THEN 'small_new' WHEN {team} THEN 'larger' WHEN l.date_of_creation < DATE '2021-03-01' THEN 'established_small' ELSE 'small_new' END AS size_signal FROM leads l LEFT JOIN (SELECT url, html FROM page_text) p ON p.url = l.website"
 
 
-def status(d) -> str:
-    ok, mail = N.contact_valid(d, "contact_name"), E.has_at("email")
+def status(d, ok: str | None = None) -> str:
+    """`ok` names a column that tells whether the contact is valid, if there is one."""
+    ok, mail = ok or N.contact_valid(d, "contact_name"), E.has_at("email")
     return f"CASE WHEN {ok} AND {mail} THEN 'complete' WHEN {ok} THEN 'missing_email' WHEN {mail} THEN 'missing_name' ELSE 'incomplete' END"
 
 
@@ -287,9 +289,10 @@ def email_types(d):
     return f"SELECT lead_id, {email_type(d)} AS email_type FROM leads"
 
 
-def confidence(d) -> str:
+def confidence(d, ok: str | None = None) -> str:
+    """`ok` names a column that tells whether the contact is valid, if there is one."""
     p = lambda t, n: f"CASE WHEN {t} THEN {n} ELSE 0 END"
-    ok = N.contact_valid(d, "contact_name")
+    ok = ok or N.contact_valid(d, "contact_name")
     first = d.rep(f"lower({d.at(N.words(d, 'coalesce(contact_name, chr(32))'), '1')})", "['-]")
     mark = lambda m: d.some("refinement_notes", "x", f"contains(x, '{m}')")
     points = [

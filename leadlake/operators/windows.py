@@ -9,15 +9,21 @@ from ..functions.names import contact_valid, domain_name, suspect, vanity, verdi
 from .core import operator
 
 
-def best(cols: str, source: str, part: str, order: str) -> str:
-    return f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS own_rank, min(ingest_seq) OVER (PARTITION BY {part}) AS first_seq FROM {source}) w WHERE own_rank = 1"
+def best(d, cols: list[str], source: str, part: str, score: str = "0") -> str:
+    """One row a part, that of the highest score and then the least ingest_seq, with the part's first ingest_seq.
+
+    An aggregate, so that each task sends one row a part however many share it.
+    """
+    if d.duck:
+        return f"SELECT {', '.join(cols)}, first_seq FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {score} DESC, ingest_seq) AS own_rank, min(ingest_seq) OVER (PARTITION BY {part}) AS first_seq FROM {source}) w WHERE own_rank = 1"
+    return f"SELECT {', '.join(f'own.{c} AS {c}' for c in cols)}, first_seq FROM (SELECT min_by({d.tuple(**{c: c for c in cols})}, struct(-({score}), ingest_seq)) AS own, min(ingest_seq) AS first_seq FROM {source} GROUP BY {part}) w"
 
 
 @operator("W1", "leads_dup")
 def dedupe_keep_enriched(d):
     """One row a name: most of email and contact, then first; at the place of the first."""
     score = "(CASE WHEN email IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN contact_name IS NOT NULL THEN 1 ELSE 0 END)"
-    return best("lead_id, first_seq, contact_name, email", "leads_dup", name_key("company_name"), f"{score} DESC, ingest_seq")
+    return best(d, ["lead_id", "contact_name", "email"], "leads_dup", name_key("company_name"), score)
 
 
 @operator("W2", "leads_dup")
@@ -25,14 +31,14 @@ def dedupe_keep_best_score(d):
     """One row a name and domain: the best score band, then first."""
     key = f"{name_key('company_name')} || coalesce('|' || nullif(lower({domain(d, 'website')}), ''), '')"
     band = "CASE WHEN ai_score >= 7 THEN 3 WHEN ai_score >= 4 THEN 2 ELSE 1 END"
-    return best("lead_id, first_seq, ai_score", "leads_dup", key, f"{band} DESC, ingest_seq")
+    return best(d, ["lead_id", "ai_score"], "leads_dup", key, band)
 
 
 @operator("W3", "leads_dup", "existing")
 def dedupe_first_wins(d):
     """First row of each name that no known lead has."""
     anti = "ANTI" if d.duck else "LEFT ANTI"
-    return best("lead_id, first_seq", f"(SELECT n.* FROM leads_dup n {anti} JOIN (SELECT {name_key('company_name')} AS k FROM existing) e ON {name_key('n.company_name')} = e.k) u", name_key("company_name"), "ingest_seq")
+    return best(d, ["lead_id"], f"(SELECT n.* FROM leads_dup n {anti} JOIN (SELECT {name_key('company_name')} AS k FROM existing) e ON {name_key('n.company_name')} = e.k) u", name_key("company_name"))
 
 
 @operator("W4", "officers")
@@ -172,8 +178,8 @@ def resolve_contact(d):
     good = d.filter("contact_names", "w", ok)
     doctor = d.filter("good", "w", d.match("lower(w)", "^dr[ .]"))
     reason = suspect(d, "contact_name", "company_name", "refinement_notes", "confidence_score")
-    return f"""SELECT lead_id, action, CASE action WHEN 'replaced' THEN best WHEN 'cleared' THEN NULL ELSE contact_name END AS contact_name FROM (
-        SELECT lead_id, contact_name, best, CASE WHEN reason IS NULL THEN 'kept' WHEN best IS NOT NULL THEN 'replaced' WHEN {d.word('reason', FAKE)} THEN CASE WHEN coalesce({d.word('contact_source', R.SOURCES_OF_TRUST)}, false) THEN 'kept_verified' ELSE 'cleared' END ELSE 'kept_no_replacement' END AS action
+    return f"""SELECT lead_id, reason, action, CASE action WHEN 'replaced' THEN best WHEN 'cleared' THEN NULL ELSE contact_name END AS contact_name FROM (
+        SELECT lead_id, reason, contact_name, best, CASE WHEN reason IS NULL THEN 'kept' WHEN best IS NOT NULL THEN 'replaced' WHEN {d.word('reason', FAKE)} THEN CASE WHEN coalesce({d.word('contact_source', R.SOURCES_OF_TRUST)}, false) THEN 'kept_verified' ELSE 'cleared' END ELSE 'kept_no_replacement' END AS action
         FROM (SELECT lead_id, contact_name, contact_source, reason, coalesce({d.at(doctor, '1')}, {d.at('good', '1')}) AS best FROM (SELECT lead_id, contact_name, contact_source, {reason} AS reason, {good} AS good FROM leads) a) b) c"""
 
 

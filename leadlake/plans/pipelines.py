@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import emails as E
 from ..functions import names as N
-from ..functions.keys import domain, facebook, host, name_key, normal, social, website_key
+from ..functions.keys import domain, facebook, host, name_key, normal, social
 from ..operators import filters, joins, merges, texts, windows
 from ..operators.core import operator
 
@@ -12,19 +12,23 @@ from ..operators.core import operator
 def refined(d) -> str:
     """Leads after the refinement rules, with whether a web presence excludes them."""
     key = f"{name_key('company_name')} || coalesce('|' || nullif(lower({domain(d, 'website')}), ''), '')"
-    good = d.filter("contact_names", "w", N.contact_valid(d, "w"))
-    name = f"CASE WHEN {d.starts(N.verdict(d, 'contact_name'), d.lit('valid'))} THEN {N.without_titles(d, 'contact_name')} ELSE coalesce({d.at(good, '1')}, contact_name) END"
-    site = host(d, "website")
-    return f"""SELECT lead_id, name, NOT {d.starts(N.verdict(d, 'name'), d.lit('valid'))} AS name_review_needed, {E.generic(d, 'email')} AS email_generic, {E.gibberish(d, 'email')} AS email_gibberish, {E.matches_contact(d, 'email', 'name')} AS email_fits,
-        coalesce(generic_email, CASE WHEN website IS NOT NULL AND NOT {social(d, 'website')} THEN 'info@' || {site} END) AS generic_email, generic_email IS NULL AND website IS NOT NULL AS fabricated,
-        {d.join(E.guesses(d, 'name', site), ';')} AS guesses, {texts.email_type(d)} AS email_type, email IS NULL AS missing_email, points, CASE WHEN points >= 7 THEN 'high' WHEN points >= 4 THEN 'medium' ELSE 'low' END AS data_score,
+    own, other, company = windows.promoted_contact(d, texts.company_person(d))
+    points = texts.data_points(d)
+    first = f"SELECT * FROM (SELECT *, {points} AS points, row_number() OVER (PARTITION BY {key} ORDER BY ({points}) DESC, ingest_seq) AS n FROM leads WHERE category = 'unit8') k WHERE n = 1"
+    if not d.duck:  # an aggregate: each task sends one row a name and domain
+        first = f"SELECT row.* FROM (SELECT max_by(struct(*), struct(points, -ingest_seq)) AS row FROM (SELECT *, {points} AS points FROM leads WHERE category = 'unit8') k GROUP BY {key}) g"
+    return f"""SELECT lead_id, name, NOT ok AND name IS NOT NULL AS name_review_needed, principal, {E.generic(d, 'email')} AS email_generic, {E.gibberish(d, 'email')} AS email_gibberish, {E.matches_contact(d, 'email', 'name')} AS email_fits,
+        coalesce(generic_email, CASE WHEN website IS NOT NULL AND NOT {social(d, 'website')} THEN 'info@' || site END) AS generic_email, generic_email IS NULL AND website IS NOT NULL AS fabricated,
+        {d.join(E.guesses(d, 'name', 'site'), ';')} AS guesses, {texts.email_type(d)} AS email_type, email IS NULL AS missing_email, points, CASE WHEN points >= 7 THEN 'high' WHEN points >= 4 THEN 'medium' ELSE 'low' END AS data_score,
         website IS NULL AND NOT {facebook(d, 'website')} AS excluded
-        FROM (SELECT *, {name} AS name, {texts.data_points(d)} AS points, row_number() OVER (PARTITION BY {key} ORDER BY ({texts.data_points(d)}) DESC, ingest_seq) AS n FROM leads WHERE category = 'unit8') t WHERE n = 1"""
+        FROM (SELECT *, coalesce({N.verdict(d, 'name')} = 'valid:', false) AS ok FROM (SELECT *, CASE WHEN fine THEN own ELSE coalesce(other, company, own) END AS name FROM (SELECT *, coalesce({N.verdict(d, 'own')} = 'valid:', false) AS fine FROM (
+        SELECT l.*, {host(d, 'l.website')} AS site, {own} AS own, {other} AS other, {company} AS company, CASE WHEN NOT {d.starts(N.verdict(d, 'p.principal_name'), d.lit('invalid'))} THEN p.principal_name END AS principal
+        FROM ({first}) l LEFT JOIN (SELECT lead_id AS own_id, nullif(principal_name, '') AS principal_name FROM ({joins.fill_principals.sql(d)}) f) p ON p.own_id = l.lead_id) a) b) c) t"""
 
 
-@operator("P1", "leads")
+@operator("P1", "leads", "existing")
 def refine(d):
-    """Deduplicated, named, typed and scored leads of one category."""
+    """Deduplicated, named, typed and scored leads of one category, with the principals that earlier runs know; doubtful principals are dropped."""
     return refined(d)
 
 
@@ -42,14 +46,27 @@ def office_enrich(d):
         FROM leads l LEFT JOIN ({joins.link_places.sql(d)}) m ON m.lead_id = l.lead_id JOIN ({texts.size_signal.sql(d)}) z ON z.lead_id = l.lead_id JOIN ({texts.geo_relevance.sql(d)}) g ON g.lead_id = l.lead_id WHERE l.category = 'office'"""
 
 
+def judged(d, source: str) -> str:
+    """Rows of `source` with whether the contact is valid, found once."""
+    return f"SELECT *, {N.contact_valid(d, 'contact_name')} AS contact_ok FROM ({source}) own_rows"
+
+
+def outcome(d) -> str:
+    """Status, type, confidence and segment, as columns over judged() rows."""
+    return f"{texts.status(d, 'contact_ok')} AS status, {texts.email_type(d)} AS email_type, {texts.confidence(d, 'contact_ok')} AS confidence, {texts.mailshot(d)} AS segment"
+
+
+SCORED = ["email_guessed", "generic_email", "contact_email", "contact_names", "personal_email_guesses", "team_email_guesses", "principal_name", "principal_email_guess", "website", "website_verified", "refinement_notes", "company_name"]
+
+
 @operator("P4", "leads", "page_text", "officers", "controllers")
 def waterfall_enrich(d):
-    """Contact and email by source: own, then the site's page, then the registry; status, type, confidence and segment after."""
-    mail = d.at(E.found(d, "text"), "1")
-    return f"""SELECT lead_id, {texts.status(d)} AS status, {texts.email_type(d)} AS email_type, {texts.confidence(d)} AS confidence, {texts.mailshot(d)} AS segment, contact_name, contact_source FROM (
-        SELECT l.lead_id, coalesce({normal(d, 'l.contact_name')}, r.principal) AS contact_name, CASE WHEN {normal(d, 'l.contact_name')} IS NOT NULL THEN 'own' WHEN r.principal IS NOT NULL THEN 'registry' END AS contact_source, coalesce(l.email, p.email) AS email,
-            l.email_guessed, l.generic_email, l.contact_email, l.contact_names, l.personal_email_guesses, l.team_email_guesses, l.principal_name, l.principal_email_guess, l.website, l.website_verified, l.refinement_notes, l.company_name
-        FROM leads l LEFT JOIN (SELECT url, {mail} AS email FROM page_text) p ON p.url = l.website LEFT JOIN (SELECT lead_id, principal FROM ({joins.principal_for_lead.sql(d)}) j) r ON r.lead_id = l.lead_id) t"""
+    """Contact and email by source: own, then the site's page, then the registry; status, type, confidence and segment after. Complete leads stay as they are."""
+    kept = ", ".join(f"l.{c}" for c in SCORED)
+    base = f"""SELECT l.lead_id, coalesce({normal(d, 'l.contact_name')}, r.principal) AS contact_name, CASE WHEN {normal(d, 'l.contact_name')} IS NOT NULL THEN 'own' WHEN r.principal IS NOT NULL THEN 'registry' END AS contact_source,
+        coalesce(l.email, p.email) AS email, CASE WHEN l.email IS NOT NULL THEN 'own' WHEN p.email IS NOT NULL THEN 'website' END AS email_source, {kept}
+        FROM leads l LEFT JOIN (SELECT url, {d.at('mails', '1')} AS email FROM (SELECT url, {E.found(d, 'text')} AS mails FROM page_text) m) p ON p.url = l.website LEFT JOIN (SELECT lead_id, principal FROM ({joins.principal_for_lead.sql(d)}) j) r ON r.lead_id = l.lead_id"""
+    return f"SELECT lead_id, {outcome(d)}, contact_name, contact_source, email_source FROM ({judged(d, base)}) t"
 
 
 @operator("P5", "leads", "page_text")
@@ -65,19 +82,25 @@ def surgical(d):
     return f"SELECT l.lead_id, c.cohort, l.status, l.confidence, l.attempts, l.missing_final FROM ({own}) l JOIN ({filters.cohorts.sql(d)}) c ON c.lead_id = l.lead_id"
 
 
-@operator("P7", "leads", "found_emails")
+@operator("P7", "leads", "found_emails", "verdicts")
 def cleanup(d):
-    """Doubtful names and guessed emails resolved: reason, outcome and what is left."""
-    return f"""SELECT l.lead_id, l.r1, l.r2, CASE WHEN l.r1 IS NULL THEN 'kept' ELSE n.action END AS name_action, CASE WHEN l.r1 IS NULL THEN l.contact_name ELSE n.contact_name END AS contact_name, CASE WHEN l.r2 IS NULL THEN l.email ELSE e.email END AS email
-        FROM (SELECT lead_id, contact_name, email, {N.suspect(d, 'contact_name', 'company_name', 'refinement_notes', 'confidence_score')} AS r1, {filters.guess_flag(d)} AS r2 FROM leads) l
-        JOIN ({windows.resolve_contact.sql(d)}) n ON n.lead_id = l.lead_id JOIN (SELECT lead_id, email FROM ({merges.replaced_email(d)}) x) e ON e.lead_id = l.lead_id WHERE l.r1 IS NOT NULL OR l.r2 IS NOT NULL"""
+    """Doubtful names and guessed emails resolved: reasons, outcomes, what is left, and its status, type, confidence and segment; a model's verdict names those that nothing else does."""
+    kept = ", ".join(f"l.{c}" for c in SCORED if c != "email_guessed")
+    base = f"""SELECT l.lead_id, n.reason AS r1, l.r2, CASE WHEN n.contact_name IS NULL AND v.outcome = 'found' THEN 'found_by_verdict' ELSE n.action END AS name_action,
+        CASE WHEN n.contact_name IS NULL AND v.outcome = 'found' THEN v.contact_name ELSE n.contact_name END AS contact_name, CASE WHEN l.r2 IS NULL THEN l.email ELSE e.email END AS email, CASE WHEN l.r2 IS NULL THEN l.email_guessed ELSE e.email_guessed END AS email_guessed, {kept}
+        FROM (SELECT *, {filters.guess_flag(d)} AS r2 FROM leads) l JOIN ({windows.resolve_contact.sql(d)}) n ON n.lead_id = l.lead_id JOIN (SELECT lead_id, email, email_guessed FROM ({merges.replaced_email(d)}) x) e ON e.lead_id = l.lead_id
+        LEFT JOIN (SELECT lead_id, outcome, contact_name FROM ({merges.verdict_rules.sql(d)}) x) v ON v.lead_id = l.lead_id WHERE n.reason IS NOT NULL OR l.r2 IS NOT NULL"""
+    return f"SELECT lead_id, r1, r2, name_action, contact_name, email, {outcome(d)}, {normal(d, 'contact_name')} IS NULL AS missing_name FROM ({judged(d, base)}) t"
 
 
-@operator("P8", "leads")
+@operator("P8", "leads", "verdicts")
 def sanitise(d):
-    """Garbage names cleared, names inferred from the company where there is none; all targets from one snapshot."""
-    return f"""SELECT g.lead_id, g.reason, CASE WHEN g.reason IS NULL THEN g.contact_name ELSE i.name END AS contact_name, g.reason IS NOT NULL AND i.name IS NOT NULL AS inferred
-        FROM (SELECT lead_id, contact_name, {texts.garbage(d)} AS reason FROM leads) g LEFT JOIN ({texts.names_from_company.sql(d)}) i ON i.lead_id = g.lead_id"""
+    """Garbage names cleared, names inferred from the company where there is none, answers applied; all targets from one snapshot. With the type and status after."""
+    kept = ", ".join(f"g.{c}" for c in SCORED)
+    named = "CASE WHEN g.reason IS NULL THEN g.contact_name ELSE i.name END"
+    base = f"""SELECT g.lead_id, g.reason, CASE WHEN v.verified = false AND v.contact_name IS NULL AND g.reason IS NULL THEN NULL ELSE {named} END AS contact_name, g.reason IS NOT NULL AND i.name IS NOT NULL AS inferred, g.email, {kept}
+        FROM (SELECT *, {texts.garbage(d)} AS reason FROM leads) g LEFT JOIN ({texts.names_from_company.sql(d)}) i ON i.lead_id = g.lead_id LEFT JOIN ({joins.apply_verdicts.sql(d)}) v ON v.lead_id = g.lead_id"""
+    return f"SELECT lead_id, reason, contact_name, inferred, {texts.status(d, 'contact_ok')} AS status, {texts.email_type(d)} AS email_type, contact_name IS NULL AS missing_name FROM ({judged(d, base)}) t"
 
 
 @operator("P9", "leads", "found_emails")
@@ -102,10 +125,8 @@ def batch_enrich(d):
 
 
 @operator("P12", "leads_dup", "existing")
-def ingest_town(d):
-    """New rows of a town less known ones, first of each name, those with email and name."""
-    web = website_key(d, "n.website")
-    anti = "ANTI" if d.duck else "LEFT ANTI"
-    return f"""SELECT lead_id FROM (SELECT lead_id, email, contact_name, row_number() OVER (PARTITION BY {name_key('company_name')} ORDER BY ingest_seq) AS n FROM
-        (SELECT n.* FROM leads_dup n {anti} JOIN (SELECT {website_key(d, 'website')} AS k FROM existing) e ON {web} = e.k WHERE split_part(n.location, ',', 1) = 'Woking') u) t WHERE n = 1 AND {E.has_at('email')} AND length(trim(coalesce(contact_name, ''))) > 2"""
-
+def ingest_town(d, town: str = "Woking"):
+    """New rows of a town that share no key with a known lead, first of each name, those with email and name; with their score band."""
+    fresh = joins.unknown(d, f"(SELECT * FROM leads_dup WHERE split_part(location, ',', 1) = {d.lit(town)})", "l.*")
+    first = windows.best(d, ["lead_id", "email", "contact_name", "ai_score"], f"({fresh}) u", name_key("company_name"))
+    return f"SELECT lead_id, CASE WHEN ai_score >= 7 THEN 'high' WHEN ai_score >= 4 THEN 'medium' ELSE 'low' END AS band FROM ({first}) b WHERE {E.has_at('email')} AND length(trim(coalesce(contact_name, ''))) > 2"

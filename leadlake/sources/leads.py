@@ -71,20 +71,24 @@ def append(leads: DataFrame, path: str) -> None:
     leads.write.mode("append").parquet(path)
 
 
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Complete versions of the table at `root`, oldest first; a version is complete once its success mark is there."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    found = fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs.Path(f"{root}/v-*/_SUCCESS"))
+    return sorted(s.getPath().getParent().getName() for s in found or [])
+
+
 def checkpoint(leads: DataFrame, root: str) -> str:
-    """Replaces the table at `root` as a whole: a new version is written, then the pointer names it. Readers never see part of one."""
-    version = f"v-{uuid.uuid4().hex}"
-    leads.write.parquet(f"{root}/{version}")
+    """Replaces the table at `root` as a whole: a new numbered version is written, and readers take the highest complete one.
+
+    Nothing is renamed or deleted, so a reader always finds a whole table, on object stores too.
+    """
     spark = leads.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{root}/current-{version}")
-    fs = spark._jvm.org.apache.hadoop.fs
-    new, pointer = fs.Path(f"{root}/current-{version}"), fs.Path(f"{root}/current")
-    system = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(pointer, True)
-    system.rename(new, pointer)
+    held = _versions(spark, root)
+    version = f"v-{int(held[-1].split('-')[1]) + 1 if held else 1:012}-{uuid.uuid4().hex}"
+    leads.write.parquet(f"{root}/{version}")
     return version
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.text(f"{root}/current").first()[0]
-    return spark.read.parquet(f"{root}/{version}")
+    return spark.read.parquet(f"{root}/{_versions(spark, root)[-1]}")
