@@ -48,6 +48,8 @@ from .text import mix, parts, words
 
 #: Tokens of one share, and keys that one range adds up at once (expected).
 SHARE_TOKENS, RANGE_KEYS = 1_000_000, 400_000
+#: Shares or ranges of one task.
+TASK_GROUPS = 8
 START = np.uint64(1)
 #: Kinds of keys, in their lowest two bits.
 PAIR, WORD = 0, 1
@@ -197,6 +199,12 @@ def dealt(base: DataFrame, ranges: int) -> DataFrame:
     return base.select("share", "words", "tokens", "docs").mapInArrow(run, f"range long, share long, keys binary, {', '.join(f'{c} binary' for c in COUNTS)}")
 
 
+def spread(rows: DataFrame, key: str, groups: int) -> DataFrame:
+    """Dealt by key over more partitions than the session's number where there are many groups, so that a task's share stays bounded at any size."""
+    wanted = -(-groups // TASK_GROUPS)
+    return rows.repartition(wanted, key) if wanted > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 TOTALS = ("words", "background_words", "target_words", "background_contexts", "target_contexts")
 ANSWER = ", ".join(["range long", "share long", *(f"{c} binary" for c in COUNTS), *(f"{c} long" for c in TOTALS)])
 
@@ -231,7 +239,7 @@ def score(docs: DataFrame, target, counted=None, doc_id: str = "doc_id", text: s
     each = base.select(F.inline("docs")).where("counted AND n_tokens > 0")
     starts = each.agg(F.count(F.lit(1)).alias("background"), F.count_if("target").alias("target")).first().asDict()
     ranges = min(1 << 31, max(1, -(-size // RANGE_KEYS)))
-    answers = written(dealt(base, ranges).groupBy("range").applyInPandas(_add, ANSWER), "lm-answers")
+    answers = written(spread(dealt(base, ranges), "range", ranges).groupBy("range").applyInPandas(_add, ANSWER), "lm-answers")
     sums = {c: n or 0 for c, n in answers.agg(*(F.sum(c).alias(c) for c in TOTALS)).first().asDict().items()}
     total = {s: float(sums[f"{s}_words"]) for s in SIDES}
     contexts = {s: sums[f"{s}_contexts"] + (starts[s] > 0) for s in SIDES}
@@ -246,6 +254,7 @@ def score(docs: DataFrame, target, counted=None, doc_id: str = "doc_id", text: s
         out["score"] = out["target_loss"] - out["background_loss"]
         return out
 
-    own = base.select("share", "words", "tokens", "docs").groupBy("share")
-    found = own.cogroup(answers.select("share", "range", *COUNTS).groupBy("share")).applyInPandas(finish, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    groups = base.count()
+    own = spread(base.select("share", "words", "tokens", "docs"), "share", groups).groupBy("share")
+    found = own.cogroup(spread(answers.select("share", "range", *COUNTS), "share", groups).groupBy("share")).applyInPandas(finish, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
     return found.select("doc_id", "n_tokens", *(F.nanvl(F.col(c), F.lit(None)).alias(c) for c in ("target_loss", "background_loss", "score")))
