@@ -66,6 +66,14 @@ def substrings(x: str, least: int) -> str:
     return f"CASE WHEN length({x}) >= {least} THEN array_distinct(filter({every}, s -> length(s) >= {least})) ELSE CAST(array() AS ARRAY<STRING>) END"
 
 
+def held_in(holder: str, x: str, keys: str, key: str, least: int) -> str:
+    """(x, key) for each key of at least so many characters that lies in x: the places in x where a key's first characters stand, then equal parts from there."""
+    places = f"SELECT {x}, explode(sequence(1, length({x}) - {least - 1})) AS i FROM {holder} WHERE length({x}) >= {least}"
+    begun = f"SELECT {x}, i FROM ({places}) g LEFT SEMI JOIN (SELECT DISTINCT left({key}, {least}) AS start FROM {keys}) b ON substr(g.{x}, g.i, {least}) = b.start"
+    parts = f"SELECT {x}, explode(transform(sequence({least}, length({x}) - i + 1), n -> substr({x}, i, n))) AS s FROM ({begun}) m"
+    return f"SELECT DISTINCT p.{x}, k.{key} FROM ({parts}) p JOIN (SELECT DISTINCT {key} FROM {keys} WHERE {key} IS NOT NULL) k ON p.s = k.{key}"
+
+
 def _lead_side(d) -> str:
     w = d.split("lower(trim(contact_name))", "\\s+")
     surname, town = d.at(w, d.size(w)), "lower(split_part(trim(split_part(location, ',', 1)), ' ', 1))"
@@ -81,9 +89,9 @@ def link_places(d):
     """The best place of each lead: tier 1 half of the name's words, tier 2 a shared word of four letters and a plausible address, tier 3 the contact's surname in the place's name and a plausible address; first position wins inside a tier.
 
     No word is left out however common it is: places are first reduced to the
-    first position of each key (word, pair of words, surname; with a plausible
-    address, also by town), so a join meets one row a key.  Names of five words
-    and more, of which three must agree, are verified on their rarest words.
+    first position of each key (up to three words, surname; with a plausible
+    address, also by town), so a join meets one row a key.  Names of seven words
+    and more, of which four must agree, are verified on their rarest words.
     """
     if d.duck:  # the rule itself, over all pairs
         near = "(p.gu OR coalesce(contains(p.addr, l.town), false))"
@@ -93,16 +101,18 @@ def link_places(d):
         return f"""SELECT lead_id, place_id, tier FROM (SELECT lead_id, place_id, tier, row_number() OVER (PARTITION BY lead_id ORDER BY tier, pos) AS n FROM (
             SELECT l.lead_id, p.place_id, p.pos, {tier} AS tier FROM ({_lead_side(d)}) l CROSS JOIN ({_place_side(d)}) p) t WHERE tier IS NOT NULL) r WHERE n = 1"""
     pairs = lambda a: f"flatten(transform({a}, (x, i) -> transform(slice({a}, i + 2, size({a})), y -> concat(x, ' ', y))))"
+    triples = lambda a: f"flatten(transform({a}, (z, j) -> transform({pairs(f'slice({a}, j + 2, size({a}))')}, y -> concat(z, ' ', y))))"
     return f"""SELECT lead_id, place_id, tier FROM (WITH jl AS (SELECT lead_id, array_sort(cn) AS cn, CAST(ceil(size(cn) / 2) AS INT) AS need, town, surname FROM ({_lead_side(d)}) x),
         jp AS (SELECT pos, place_id, array_sort(pn) AS pn, dn, addr, gu FROM ({_place_side(d)}) x),
-        word_of AS (SELECT pos, addr, gu, explode(pn) AS token FROM jp),
-        town_of AS (SELECT DISTINCT a.addr, t.town FROM (SELECT addr, explode({substrings('addr', 3)}) AS s FROM (SELECT DISTINCT addr FROM jp) x) a JOIN (SELECT DISTINCT town FROM jl WHERE town IS NOT NULL) t ON a.s = t.town),
-        name_of AS (SELECT a.dn, t.surname FROM (SELECT dn, explode({substrings('dn', 4)}) AS s FROM (SELECT DISTINCT dn FROM jp) x) a JOIN (SELECT DISTINCT surname FROM jl WHERE surname IS NOT NULL) t ON a.s = t.surname),
-        first_key AS (SELECT key, min(pos) AS pos FROM (SELECT pos, explode(concat(pn, {pairs('pn')})) AS key FROM jp) x GROUP BY key),
-        few AS (SELECT l.lead_id, 1 AS tier, min(k.pos) AS pos FROM (SELECT lead_id, explode(CASE need WHEN 1 THEN cn ELSE {pairs('cn')} END) AS key FROM jl WHERE need IN (1, 2)) l JOIN first_key k ON k.key = l.key GROUP BY l.lead_id),
-        sets AS (SELECT pn, min(pos) AS pos FROM jp GROUP BY pn),
+        word_of AS (SELECT w.pos, w.addr, w.gu, w.token FROM (SELECT pos, addr, gu, explode(pn) AS token FROM jp) w LEFT SEMI JOIN (SELECT DISTINCT explode(cn) AS token FROM jl) l ON l.token = w.token),
+        known AS (SELECT pos, array_sort(collect_set(token)) AS pn FROM word_of GROUP BY pos),
+        town_of AS ({held_in('(SELECT DISTINCT addr FROM jp)', 'addr', 'jl', 'town', 3)}),
+        name_of AS ({held_in('(SELECT DISTINCT dn FROM jp)', 'dn', 'jl', 'surname', 4)}),
+        first_key AS (SELECT key, min(pos) AS pos FROM (SELECT pos, explode(concat(pn, {pairs('pn')}, {triples('pn')})) AS key FROM known) x GROUP BY key),
+        few AS (SELECT l.lead_id, 1 AS tier, min(k.pos) AS pos FROM (SELECT lead_id, explode(CASE need WHEN 1 THEN cn WHEN 2 THEN {pairs('cn')} ELSE {triples('cn')} END) AS key FROM jl WHERE need BETWEEN 1 AND 3) l JOIN first_key k ON k.key = l.key GROUP BY l.lead_id),
+        sets AS (SELECT pn, min(pos) AS pos FROM known GROUP BY pn),
         rare AS (SELECT lead_id, token FROM (SELECT l.lead_id, l.token, l.need, l.n, row_number() OVER (PARTITION BY l.lead_id ORDER BY coalesce(f.times, 0), l.token) AS place FROM
-            (SELECT lead_id, need, size(cn) AS n, explode(cn) AS token FROM jl WHERE need > 2) l LEFT JOIN (SELECT token, count(*) AS times FROM word_of GROUP BY token) f ON f.token = l.token) x WHERE place <= n - need + 1),
+            (SELECT lead_id, need, size(cn) AS n, explode(cn) AS token FROM jl WHERE need > 3) l LEFT JOIN (SELECT token, count(*) AS times FROM word_of GROUP BY token) f ON f.token = l.token) x WHERE place <= n - need + 1),
         many AS (SELECT l.lead_id, 1 AS tier, min(p.pos) AS pos FROM (SELECT DISTINCT r.lead_id, s.pos FROM rare r JOIN (SELECT pos, explode(pn) AS token FROM sets) s ON s.token = r.token) c
             JOIN jl l ON l.lead_id = c.lead_id JOIN sets p ON p.pos = c.pos WHERE size(array_intersect(l.cn, p.pn)) >= l.need GROUP BY l.lead_id),
         long_word AS (SELECT lead_id, town, explode(filter(cn, w -> length(w) >= 4)) AS token FROM jl),
