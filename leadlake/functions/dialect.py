@@ -15,6 +15,7 @@ def quote(text: str) -> str:
 
 class Dialect:
     duck = False
+    staged = False  # whether sides that a statement reads often have been written as tables
 
     def lit(self, text: str) -> str:
         """A string literal; backslashes stay as they are."""
@@ -208,4 +209,5 @@ class Duck(Dialect):
         return f"json_extract_string({a}, {self.lit('$.' + path)})"
 
 
-SPARK, DUCK = Dialect(), Duck()
+SPARK, STAGED, DUCK = Dialect(), Dialect(), Duck()
+STAGED.staged = True

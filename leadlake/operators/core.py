@@ -14,16 +14,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.dialect import SPARK, Dialect
+from ..functions.dialect import SPARK, STAGED, Dialect
+from ..sources.store import written
 
 OPERATORS: dict[str, Operator] = {}
 
 
 class Operator:
-    def __init__(self, key: str, build: Callable[[Dialect], str], inputs: tuple[str, ...]):
-        self.key, self.build, self.inputs = key, build, inputs
+    def __init__(self, key: str, build: Callable[[Dialect], str], inputs: tuple[str, ...], sides: dict[str, Callable[[Dialect], str]]):
+        self.key, self.build, self.inputs, self.sides = key, build, inputs, sides
         self.__doc__ = build.__doc__
         self.name = f"{key.lower()}_{build.__name__}"
         OPERATORS[self.name] = self
@@ -31,6 +32,19 @@ class Operator:
     def sql(self, d: Dialect = SPARK, **options) -> str:
         return self.build(d, **options)
 
+    def run(self, spark: SparkSession, tables: str, options: dict | None = None) -> DataFrame:
+        """The statement after a WITH clause of its inputs; its sides, if it has any, are written first and read from there."""
+        names = {}
+        try:
+            for side, build in self.sides.items():
+                names[side] = f"{side}_{uuid.uuid4().hex[:8]}"
+                written(spark.sql(tables + build(SPARK)), side).createOrReplaceTempView(names[side])
+            tables = ", ".join([tables.rstrip(), *(f"{n} AS (SELECT * FROM {v})" for n, v in names.items())])
+            return spark.sql(f"{tables} {self.sql(STAGED if names else SPARK, **(options or {}))}")
+        finally:
+            for v in names.values():
+                spark.catalog.dropTempView(v)
+
     def __call__(self, options: dict | None = None, **tables: DataFrame) -> DataFrame:
         missing = set(self.inputs) - set(tables)
         if missing:
@@ -41,12 +55,12 @@ class Operator:
             names[name] = f"{name}_{uuid.uuid4().hex[:8]}"
             df.createOrReplaceTempView(names[name])
         try:
-            return spark.sql("WITH " + ", ".join(f"{n} AS (SELECT * FROM {v})" for n, v in names.items()) + " " + self.sql(SPARK, **(options or {})))
+            return self.run(spark, "WITH " + ", ".join(f"{n} AS (SELECT * FROM {v})" for n, v in names.items()) + " ", options)
         finally:
             for v in names.values():
                 spark.catalog.dropTempView(v)
 
 
-def operator(key: str, *inputs: str):
-    """Marks a builder of SQL as the operator of a row of the inventory."""
-    return lambda build: Operator(key, build, inputs)
+def operator(key: str, *inputs: str, sides: dict[str, Callable[[Dialect], str]] | None = None):
+    """Marks a builder of SQL as the operator of a row of the inventory; `sides` are statements over its inputs that it reads many times."""
+    return lambda build: Operator(key, build, inputs, sides or {})

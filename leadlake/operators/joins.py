@@ -84,7 +84,18 @@ def _place_side(d) -> str:
     return f"SELECT pos, place_id, {place_tokens(d, 'display_name')} AS pn, lower(display_name) AS dn, lower(coalesce(address, '')) AS addr, coalesce({d.match('address', '(?i)\\bGU[0-9]{1,2}\\b')}, false) AS gu FROM places"
 
 
-@operator("J6", "leads", "places")
+def _linked_leads(d) -> str:
+    return f"SELECT lead_id, array_sort(cn) AS cn, CAST(ceil(size(cn) / 2) AS INT) AS need, town, surname FROM ({_lead_side(d)}) x"
+
+
+def _linked_places(d) -> str:
+    return f"SELECT pos, place_id, array_sort(pn) AS pn, dn, addr, gu FROM ({_place_side(d)}) x"
+
+
+LINK_SIDES = {"jl": _linked_leads, "jp": _linked_places}
+
+
+@operator("J6", "leads", "places", sides=LINK_SIDES)
 def link_places(d):
     """The best place of each lead: tier 1 half of the name's words, tier 2 a shared word of four letters and a plausible address, tier 3 the contact's surname in the place's name and a plausible address; first position wins inside a tier.
 
@@ -102,8 +113,8 @@ def link_places(d):
             SELECT l.lead_id, p.place_id, p.pos, {tier} AS tier FROM ({_lead_side(d)}) l CROSS JOIN ({_place_side(d)}) p) t WHERE tier IS NOT NULL) r WHERE n = 1"""
     pairs = lambda a: f"flatten(transform({a}, (x, i) -> transform(slice({a}, i + 2, size({a})), y -> concat(x, ' ', y))))"
     triples = lambda a: f"flatten(transform({a}, (z, j) -> transform({pairs(f'slice({a}, j + 2, size({a}))')}, y -> concat(z, ' ', y))))"
-    return f"""SELECT lead_id, place_id, tier FROM (WITH jl AS (SELECT lead_id, array_sort(cn) AS cn, CAST(ceil(size(cn) / 2) AS INT) AS need, town, surname FROM ({_lead_side(d)}) x),
-        jp AS (SELECT pos, place_id, array_sort(pn) AS pn, dn, addr, gu FROM ({_place_side(d)}) x),
+    sides = "" if d.staged else "".join(f"{n} AS ({build(d)}), " for n, build in LINK_SIDES.items())
+    return f"""SELECT lead_id, place_id, tier FROM (WITH {sides}
         word_of AS (SELECT w.pos, w.addr, w.gu, w.token FROM (SELECT pos, addr, gu, explode(pn) AS token FROM jp) w LEFT SEMI JOIN (SELECT DISTINCT explode(cn) AS token FROM jl) l ON l.token = w.token),
         known AS (SELECT pos, array_sort(collect_set(token)) AS pn FROM word_of GROUP BY pos),
         town_of AS ({held_in('(SELECT DISTINCT addr FROM jp)', 'addr', 'jl', 'town', 3)}),
@@ -124,7 +135,7 @@ def link_places(d):
         name_town AS (SELECT n.surname, t.town, min(n.pos) AS pos FROM named n JOIN town_of t ON t.addr = n.addr GROUP BY n.surname, t.town),
         person AS (SELECT l.lead_id, 3 AS tier, least(g.pos, t.pos) AS pos FROM jl l LEFT JOIN name_gu g ON g.surname = l.surname LEFT JOIN name_town t ON t.surname = l.surname AND t.town = l.town),
         best AS (SELECT lead_id, min(struct(tier, pos)) AS b FROM (SELECT * FROM few UNION ALL SELECT * FROM many UNION ALL SELECT * FROM shared UNION ALL SELECT * FROM person) u WHERE pos IS NOT NULL GROUP BY lead_id)
-        SELECT b.lead_id, p.place_id, b.b.tier AS tier FROM best b JOIN places p ON p.pos = b.b.pos) linked"""
+        SELECT b.lead_id, p.place_id, b.b.tier AS tier FROM best b JOIN jp p ON p.pos = b.b.pos) linked"""
 
 
 @operator("J7", "leads", "existing")

@@ -7,6 +7,7 @@ from ..functions import names as N
 from ..functions import rules as R
 from ..functions.keys import blank, host, normal
 from .core import operator
+from .joins import LINK_SIDES, link_places
 
 
 def replaced_email(d) -> str:
@@ -67,11 +68,9 @@ def promote_email(d):
     return f"SELECT lead_id, coalesce(email, {d.at('personal_email_guesses', '1')}, generic_email) AS email, CASE WHEN email IS NULL AND {d.size('personal_email_guesses')} > 0 THEN true ELSE coalesce(email_guessed, false) END AS email_guessed FROM leads"
 
 
-@operator("U8", "leads", "places")
+@operator("U8", "leads", "places", sides=LINK_SIDES)
 def apply_place(d):
     """Website, phone and rating of the linked place; the source is tagged on hit and miss."""
-    from .joins import link_places
-
     return f"""SELECT l.lead_id, m.place_id, CASE WHEN p.rating IS NOT NULL THEN CAST({d.even('p.rating', 1)} AS STRING) || '/5' || CASE WHEN p.reviews IS NOT NULL THEN ' (' || CAST(p.reviews AS STRING) || ' reviews)' ELSE '' END END AS rating,
         {d.join(d.distinct(("list_append(l.enrichment_source, 'places_lookup')" if d.duck else "array_append(l.enrichment_source, 'places_lookup')")), ';')} AS source
         FROM leads l LEFT JOIN ({link_places.sql(d)}) m ON m.lead_id = l.lead_id LEFT JOIN places p ON p.place_id = m.place_id"""

@@ -7,6 +7,7 @@ from ..functions.keys import blank, normal, social
 from ..functions.names import contact_valid, suspect
 from .core import operator
 from .filters import cohort_tests, not_fresh, guess_flag, rescrape
+from .joins import LINK_SIDES, link_places
 
 HAS_NAME = "contact_name IS NOT NULL"
 
@@ -128,11 +129,9 @@ def batch_stats(d):
     return f"SELECT coalesce(status, 'ALL') AS status, coalesce(source, 'ALL') AS source, count(*) AS n, count_if(ai_score IS NOT NULL) AS scored FROM (SELECT coalesce(enrichment_status, 'unknown') AS status, {src} AS source, ai_score FROM leads) t GROUP BY CUBE (status, source)"
 
 
-@operator("A16", "leads", "places")
+@operator("A16", "leads", "places", sides=LINK_SIDES)
 def match_tier_counts(d):
     """Leads by the tier of their place, unmatched ones as `no_match`."""
-    from .joins import link_places
-
     return f"SELECT coalesce('tier' || CAST(m.tier AS STRING), 'no_match') AS tier, count(*) AS n FROM leads l LEFT JOIN ({link_places.sql(d)}) m ON m.lead_id = l.lead_id GROUP BY 1"
 
 

@@ -39,7 +39,7 @@ def sweep(d):
         FROM leads l JOIN ({joins.anti_existing_office.sql(d)}) n ON n.lead_id = l.lead_id LEFT JOIN ({joins.sector_from_sic.sql(d)}) s ON s.company_number = l.lead_id LEFT JOIN ({windows.latest_director.sql(d)}) o ON o.company_number = l.lead_id"""
 
 
-@operator("P3", "leads", "places", "page_text")
+@operator("P3", "leads", "places", "page_text", sides=joins.LINK_SIDES)
 def office_enrich(d):
     """Place, size, strategy and status of each office lead."""
     return f"""SELECT l.lead_id, m.place_id, z.size_signal, CASE z.size_signal WHEN 'larger' THEN 'site_team' WHEN 'established_small' THEN 'director_guess' ELSE 'generic_only' END AS strategy, g.geo, {texts.office_status(d)} AS status
@@ -110,7 +110,7 @@ def rescrape(d):
         JOIN ({merges.replaced_email(d)}) e ON e.lead_id = r.lead_id JOIN leads l ON l.lead_id = r.lead_id WHERE r.reason IN ('no_email', 'email_guessed_true', 'email_type_guessed', 'bad_pattern', 'email_in_personal_guesses', 'email_type_both')"""
 
 
-@operator("P10", "leads", "page_text", "places")
+@operator("P10", "leads", "page_text", "places", sides=joins.LINK_SIDES)
 def discover_websites(d):
     """Sites by candidate and by place, the better-validated first."""
     return f"""SELECT l.lead_id, a.url, a.confidence, m.place_id, CASE WHEN a.url IS NOT NULL THEN 'slug' WHEN m.place_id IS NOT NULL THEN 'place' ELSE 'unresolved' END AS layer FROM leads l LEFT JOIN ({windows.accept_domain.sql(d)}) a ON a.lead_id = l.lead_id

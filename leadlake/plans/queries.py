@@ -22,7 +22,7 @@ def _runner(op: Operator):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in TABLES:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(with_views(SPARK, _views(op)) + op.sql(SPARK))
+        return op.run(spark, with_views(SPARK, _views(op)))
 
     run.__name__, run.__doc__ = op.name, op.__doc__
     return run

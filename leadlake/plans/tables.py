@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import DUCK, SPARK
 from ..sources import landed
 from ..sources import leads as files
+from ..sources.store import folder
 from ..streaming import ingest
 from .views import with_views
 
 COLUMNS = ["company_name", "website", "sector", "contact_name", "email", "location", "ai_score", "category", "enrichment_source", "email_guessed", "contact_names", "refinement_notes", "confidence_score", "date_of_creation"]
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder; where that is unset (local tests), a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="leadlake-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in ("customer", "pages", "nation", "orders", "part", "events"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
