@@ -22,13 +22,29 @@ def found(d: Dialect, text: str) -> str:
     return d.filter(best, "e", f"NOT {d.holds('lower(e)', R.EMAIL_JUNK)}")
 
 
-def cleaned(d: Dialect, email: str) -> str:
-    """The address inside a raw value, lower case, cut after its last known top-level domain; null if there is none or it is junk."""
-    bare = d.rep(d.rep(email, "<[^>]+>"), "[<>\\x22\\x27\\[\\](){}]")
-    got = f"lower({d.extract(bare, '[a-zA-Z][a-zA-Z0-9._%+-]*@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,7}\\b')})"
+def _bare(d: Dialect, email: str) -> str:
+    """The first address that begins with a letter, lower case, brackets and quotes dropped; empty if there is none."""
+    bare = d.rep(email, "[<>\\x22\\x27\\[\\](){}]")
+    return f"lower({d.extract(bare, '[a-zA-Z][a-zA-Z0-9._%+-]*@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,7}\\b')})"
+
+
+def cleaned(d: Dialect, email: str, compat: bool = False) -> str:
+    """The address inside a raw value; null if there is none or it is junk. `compat` cuts its domain at the leftmost known ending, as decision D2 has it."""
+    got = _bare(d, d.rep(email, "<[^>]+>"))
+    if compat:
+        cut = d.extract(got, "^([^@]*@.*?[.](?:" + R.COMPAT_TLDS + "))", 1)
+        got = f"coalesce(nullif({cut}, ''), {got})"
     return f"CASE WHEN {got} = '' OR {d.holds(got, R.CLEAN_JUNK)} THEN NULL ELSE {got} END"
 
 
+def cleaned_strictly(d: Dialect, email: str) -> str:
+    """The address as the rendering job cleans it: limits of length, and junk by local part, host, known bad beginnings and file endings."""
+    got = _bare(d, f"trim({email})")
+    user, place = f"split_part({got}, '@', 1)", f"split_part({got}, '@', 2)"
+    junk = f"{d.word(user, R.JUNK_LOCALS)} OR {d.holds(got, R.BAD_EMAILS)} OR {d.holds(place, R.JUNK_HOSTS)} OR {d.match(got, '[.](png|jpg|gif|svg|css|js)$')}"
+    return f"CASE WHEN {got} = '' OR length({user}) > 64 OR length({got}) > 254 OR {junk} THEN NULL ELSE {got} END"
+
+
 def generic(d: Dialect, email: str) -> str:
     """Exact local part of a shared mailbox."""
     return f"({has_at(email)} AND {d.word(local(email), R.GENERIC_LOCALS)})"

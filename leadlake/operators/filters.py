@@ -145,11 +145,16 @@ def rescrape_reason(d):
     return f"SELECT {IDS}, {rescrape(d, False)} AS reason, {rescrape(d, True)} AS retry_reason FROM leads"
 
 
+def js_reason(d) -> str:
+    """Why a lead's own site, not yet rendered, should be (null: it should not)."""
+    why = f"CASE WHEN {normal(d, 'email')} IS NULL THEN 'missing' WHEN coalesce(email_guessed, false) THEN 'guessed' WHEN {d.word(local('email'), R.GENERIC_LOCALS)} THEN 'generic' END"
+    return f"CASE WHEN website IS NOT NULL AND NOT {social(d, 'website')} AND NOT {note(d, 'js_scrape_v1')} THEN {why} END"
+
+
 @operator("F16", "leads")
 def js_targets(d):
     """First 25 leads, in order, to render: own website, not yet rendered, email missing, guessed or generic."""
-    reason = f"CASE WHEN {normal(d, 'email')} IS NULL THEN 'missing' WHEN coalesce(email_guessed, false) THEN 'guessed' WHEN {d.word(local('email'), R.GENERIC_LOCALS)} THEN 'generic' END"
-    return f"SELECT * FROM (SELECT {IDS}, {reason} AS reason FROM leads WHERE website IS NOT NULL AND NOT {social(d, 'website')} AND NOT {note(d, 'js_scrape_v1')}) t WHERE reason IS NOT NULL ORDER BY ingest_seq LIMIT 25"
+    return f"SELECT * FROM (SELECT {IDS}, {js_reason(d)} AS reason FROM leads) t WHERE reason IS NOT NULL ORDER BY ingest_seq LIMIT 25"
 
 
 @operator("F17", "leads")

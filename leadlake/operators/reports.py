@@ -6,7 +6,7 @@ from ..functions.emails import generic_prefix, has_at
 from ..functions.keys import blank, normal, social
 from ..functions.names import contact_valid, suspect
 from .core import operator
-from .filters import cohort_tests, not_fresh, guess_flag, rescrape
+from .filters import cohort_tests, guess_flag, js_reason, not_fresh, note, rescrape
 from .joins import LINK_SIDES, link_places
 
 HAS_NAME = "contact_name IS NOT NULL"
@@ -79,10 +79,16 @@ def suspect_report(d):
 
 @operator("A8", "leads")
 def sanitise_projection(d):
-    """Names now, names that fail validation, and the share that would be left."""
-    bad = f"{normal(d, 'contact_name')} IS NOT NULL AND NOT {contact_valid(d, 'contact_name')}"
+    """Garbage names by reason and in all; names that would be inferred, what would be left with its share, addresses to look at, and the final counts."""
+    from .texts import garbage, sole_trader
+
     named = f"{normal(d, 'contact_name')} IS NOT NULL"
-    return f"SELECT count_if({named}) AS with_name, count_if({bad}) AS garbage, count_if({named}) - count_if({bad}) AS projected, {share(d, f'(count_if({named}) - count_if({bad}))')} AS pct FROM leads"
+    settled = d.some("refinement_notes", "x", d.holds("lower(x)", ["final_human_filter", "openai_name_validation:rejected"]))
+    rows = f"""SELECT named, CASE WHEN NOT named THEN 'no_name' ELSE coalesce(why, 'kept') END AS reason, named AND why IS NOT NULL AS bad, NOT named AND NOT settled AND guess IS NOT NULL AS inferred, guessed, verified, traced
+        FROM (SELECT {named} AS named, {garbage(d)} AS why, {sole_trader(d)} AS guess, {settled} AS settled, coalesce(email_guessed AND email IS NOT NULL AND website IS NOT NULL, false) AS guessed, coalesce(contact_verified, false) AS verified, coalesce(contact_source = 'sole_trader_inference', false) AS traced FROM leads) a"""
+    left = "(count_if(named) - count_if(bad) + count_if(inferred))"
+    return f"""SELECT CASE WHEN grouping(reason) = 1 THEN 'all' ELSE reason END AS reason, count(*) AS total, count_if(named) AS with_name, count_if(bad) AS garbage, count_if(inferred) AS inferred, {left} AS projected, {share(d, left)} AS pct, count_if(guessed) AS guessed_emails,
+        count_if(verified AND named) AS final_verified, count_if(traced) AS final_inferred, count_if(NOT named) AS final_missing FROM ({rows}) b GROUP BY GROUPING SETS ((reason), ())"""
 
 
 @operator("A9", "leads")
@@ -105,21 +111,34 @@ def rescrape_reason_counts(d):
 
 @operator("A12", "leads")
 def js_scrape_stats(d):
-    return f"SELECT coalesce(CASE WHEN email IS NULL THEN 'missing' WHEN email_guessed THEN 'guessed' WHEN {generic_prefix(d, 'email')} THEN 'generic' END, 'ok') AS reason, count(*) AS n, {share(d, 'count_if(email IS NOT NULL)')} AS pct_email FROM leads GROUP BY 1"
+    """Leads to render by reason and in all, with the share that has an address and how many have been rendered."""
+    rows = f"SELECT coalesce({js_reason(d)}, 'no_target') AS reason, {normal(d, 'email')} IS NOT NULL AS mailed, {note(d, 'js_scrape_v1')} AS done FROM leads"
+    return f"SELECT CASE WHEN grouping(reason) = 1 THEN 'all' ELSE reason END AS reason, count(*) AS n, count_if(mailed) AS with_email, {share(d, 'count_if(mailed)')} AS pct_email, count_if(done) AS done FROM ({rows}) t GROUP BY GROUPING SETS ((reason), ())"
+
 
+@operator("A13", "leads", "page_text")
+def discovery_funnel(d, price: float = 0.019):
+    """Attempts by slug pattern and in all: resolved, graded by the landed page, rejected by reason; false positives, cost of the calls for what is left, and the same projected to all leads without a site."""
+    from .texts import page_signs, validation
 
-@operator("A13", "leads")
-def discovery_funnel(d):
-    """Attempts to resolved, validated and graded sites by slug pattern; the cost of the calls."""
-    at = "(SELECT site_pattern AS pattern, website IS NOT NULL AS resolved, website_verified, ai_score FROM leads)"
-    return f"""SELECT coalesce(CAST(pattern AS STRING), 'all') AS pattern, count(*) AS attempted, count_if(resolved) AS resolved, count_if(resolved AND website_verified = 'yes') AS validated, count_if(resolved AND website_verified = 'yes' AND ai_score >= 7) AS high, count_if(resolved AND website_verified = 'no') AS rejected,
-        {d.even('0.019 * count_if(NOT resolved)', 3)} AS cost, {share(d, "count_if(resolved AND website_verified = 'no')", 'count_if(resolved)')} AS pct_false FROM {at} a GROUP BY GROUPING SETS ((pattern), ())"""
+    page = f"SELECT s.* FROM ({page_signs(d)}) s JOIN (SELECT min(page_id) AS page_id FROM page_text GROUP BY url) f ON f.page_id = s.page_id"
+    grade = f"CASE WHEN l.website IS NULL THEN 'unresolved' WHEN p.page_id IS NULL THEN 'no_page' WHEN p.parked THEN 'parked' ELSE {validation(d, 'l.company_name', 'l.site_pattern')} END"
+    rows = f"SELECT l.site_pattern AS pattern, {grade} AS grade FROM leads l LEFT JOIN ({page}) p ON p.url = l.website"
+    n = lambda *of: f"count_if({d.word('grade', of)})"
+    bad, good, left = n("no_page", "parked", "reject"), n("high", "medium"), f"(count(*) - {n('high', 'medium', 'low')})"
+    return f"""SELECT CASE WHEN grouping(pattern) = 1 THEN 'all' ELSE CAST(pattern AS STRING) END AS pattern, count(*) AS attempted, count_if(grade <> 'unresolved') AS resolved, {n('high', 'medium', 'low')} AS validated, {n('high')} AS high, {n('medium')} AS medium, {n('low')} AS low,
+        {n('reject')} AS no_name_match, {n('parked')} AS parked, {n('no_page')} AS get_failed, {share(d, bad, "count_if(grade <> 'unresolved')")} AS pct_false, {left} AS calls, {d.even(f'{price} * {left}', 3)} AS cost,
+        CAST(floor(1.0 * {n('unresolved')} * {good} / greatest(count(*), 1)) AS BIGINT) AS projected_sites, {d.even(f'{price} * ({n("unresolved")} - floor(1.0 * {n("unresolved")} * {n("high", "medium", "low")} / greatest(count(*), 1)))', 3)} AS projected_cost FROM ({rows}) a GROUP BY GROUPING SETS ((pattern), ())"""
 
 
 @operator("A14", "leads")
-def discovery_layers(d):
-    """Unresolved companies incorporated since 2022 by sector, the eight largest."""
-    return "SELECT sector, count(*) AS n FROM leads WHERE website IS NULL AND date_of_creation >= DATE '2022-01-01' GROUP BY sector ORDER BY n DESC, sector LIMIT 8"
+def discovery_layers(d, price: float = 0.019, since: str = "2022-01-01"):
+    """Both layers of discovery with attempts, hits, rate and cost, then the eight sectors with most unresolved companies and how many of those are new."""
+    rows = f"SELECT coalesce(sector, 'unknown') AS sector, website IS NOT NULL AS found, {d.has('enrichment_source', d.lit('places_lookup'))} AS asked, coalesce(date_of_creation >= DATE '{since}', false) AS fresh FROM leads"
+    row = lambda key, tried, hits, price: f"SELECT 'layer' AS part, '{key}' AS name, {tried} AS attempted, {hits} AS hits, {share(d, hits, tried)} AS pct, {d.even(f'{price} * {tried}', 3)} AS cost FROM ({rows}) r"
+    layers = [row("inference", "count(*)", "count_if(found AND NOT asked)", 0), row("places", "count_if(asked OR NOT found)", "count_if(found AND asked)", price)]
+    sectors = f"SELECT sector, count(*) AS n, count_if(fresh) AS fresh FROM ({rows}) r WHERE NOT found GROUP BY sector ORDER BY n DESC, sector LIMIT 8"
+    return " UNION ALL ".join([*layers, f"SELECT 'sector' AS part, sector AS name, n AS attempted, fresh AS hits, {share(d, 'fresh', 'n')} AS pct, CAST(NULL AS DOUBLE) AS cost FROM ({sectors}) s"])
 
 
 @operator("A15", "leads")

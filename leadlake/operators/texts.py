@@ -9,18 +9,18 @@ from ..functions.keys import blank, domain, host, lead_key, letters, local, name
 from .core import operator
 
 
-@operator("T1", "documents")
+@operator("T1", "mailed_documents")
 def extract_emails(d):
-    """First address of each document and how many it has."""
-    f = E.found(d, "text")
-    return f"SELECT doc_id, {d.size(f)} AS n, {d.at(f, '1')} AS email FROM documents WHERE contains(text, '@')"
+    """Every address of each document by its position, from 0."""
+    rows = f"SELECT doc_id, {E.found(d, 'text')} AS found FROM mailed_documents WHERE contains(text, '@')"
+    each = "CAST(generate_subscripts(found, 1) - 1 AS INT) AS pos, unnest(found) AS email" if d.duck else "posexplode(found) AS (pos, email)"
+    return f"SELECT doc_id, {each} FROM ({rows}) f"
 
 
-@operator("T2", "documents", "doc_emails")
-def clean_emails(d):
-    """Accepted and rejected addresses of the documents, by outcome and kind."""
-    c = E.cleaned(d, "email")
-    return f"SELECT CASE WHEN {c} IS NULL THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS n, count(DISTINCT {c}) AS distinct_emails FROM doc_emails GROUP BY 1"
+@operator("T2", "doc_emails")
+def clean_emails(d, compat: bool = False):
+    """Each address of a document as both jobs clean it (null: rejected); `compat` cuts the domain at its leftmost known ending."""
+    return f"SELECT doc_id, email AS raw, {E.cleaned(d, 'email', compat)} AS email, {E.cleaned_strictly(d, 'email')} AS strict_email FROM doc_emails"
 
 
 def decoded(d, code: str) -> str:
@@ -478,8 +478,26 @@ def team_page_signal(d):
     return f"SELECT page_id, {d.match('html', paths)} OR {d.match('text', '(?i)meet the team|our team|our people')} AS signal FROM page_text"
 
 
-@operator("T45", "leads", "page_text")
-def llm_requests(d):
-    """Request rows for an external scorer: context lines and the first 1500 characters of the page."""
-    return f"SELECT l.lead_id, 'Company: ' || l.company_name || chr(10) || 'Sector: ' || coalesce(l.sector, '') || chr(10) || 'Contact: ' || coalesce({blank('l.contact_name')}, '') || chr(10) || left(coalesce(p.text, ''), 1500) AS prompt FROM leads l LEFT JOIN (SELECT url, text FROM page_text) p ON p.url = l.website"
+REQUESTS = ("people", "name", "name_on_page", "contact", "extract", "score")
+
 
+@operator("T45", "leads", "page_text")
+def llm_requests(d, kinds=REQUESTS):
+    """Request rows for an external scorer, one a lead and kind: context lines, then the beginning of the site's text as long as the kind takes."""
+    line = lambda label, x, none="": f"'{label}: ' || coalesce(CAST({x} AS STRING), '{none}')"
+    name, text = blank("l.contact_name"), "coalesce(p.text, '')"
+    company, sector, site = line("Company", "l.company_name"), line("Sector", blank("l.sector"), "wellness/health"), line("Website", "l.website", "N/A")
+    contact, score = line("Contact", name), line("Confidence", "l.confidence_score")
+    lines = {
+        "people": [company, sector, line("Website", "l.website"), f"left({text}, 2000)", "'Who owns, founded or leads this? FOUND: name | role, or NONE: reason'"],
+        "name": [contact, company, sector, "'Is the contact a person? CONFIRMED, REJECTED or UNCERTAIN'"],
+        "name_on_page": [company, contact, site, sector, f"left({text}, 1500)", "'Is the contact a person? REAL: reason, or FALSE: what it is'"],
+        "contact": [company, contact, line("Email", "l.email", "None"), site, score, "'Is this the person to approach? YES or NO, and a reason'"],
+        "extract": [company, f"left({text}, 2000)", "'Name of the owner and address, as JSON with name and email'"],
+        "score": [company, f"left({line('Description', 'l.sector')}, 313)", line("Location", "l.location"), site],
+    }
+    needs = {"name": f"{name} IS NOT NULL", "name_on_page": f"{name} IS NOT NULL", "contact": f"{name} IS NOT NULL", "people": f"{text} <> ''", "extract": f"{text} <> ''"}
+    made = [f"CASE WHEN {needs.get(k, 'true')} THEN {d.tuple(kind=d.lit(k), prompt=' || chr(10) || '.join(lines[k]))} END" for k in kinds]
+    array = ("[" if d.duck else "array(") + ", ".join(made) + ("]" if d.duck else ")")
+    rows = f"SELECT l.lead_id, {d.explode(array)} AS r FROM leads l LEFT JOIN (SELECT url, text FROM page_text) p ON p.url = l.website"
+    return f"SELECT lead_id, r.kind AS kind, r.prompt AS prompt FROM ({rows}) q WHERE r IS NOT NULL"
