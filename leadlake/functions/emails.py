@@ -87,11 +87,11 @@ def guesses(d: Dialect, name: str, site: str) -> str:
     return f"CASE WHEN {d.size(w)} >= 2 AND {a} <> '' AND {b} <> '' AND contains({site}, '.') THEN {good} ELSE {d.text_array()} END"
 
 
-def domain_match(d: Dialect, email: str, url: str) -> str:
-    """Why an address fits a site (null: it doesn't)."""
+def domain_match(d: Dialect, email: str, url: str, compat: bool = False) -> str:
+    """Why an address fits a site (null: it doesn't). `compat` compares the last two labels only, as decision D3 has it."""
     e, s = f"lower(trim(split_part({email}, '@', 2)))", host(d, url)
     # registrable domain: three labels under a second-level registry, else two
-    reg = lambda x: d.extract(x, "[^.]+\\.(?:(?:co|org|ac|gov|nhs|me|ltd|plc)\\.[a-z]{2}|[^.]+)$")
+    reg = (lambda x: d.extract(x, "[^.]+\\.[^.]+$")) if compat else lambda x: d.extract(x, "[^.]+\\.(?:(?:co|org|ac|gov|nhs|me|ltd|plc)\\.[a-z]{2}|[^.]+)$")
     core = lambda x: d.rep(f"split_part({x}, '.', 1)", "[-_]")
     brand = lambda x: d.rep(core(x), any_of(sorted(R.BRAND_STEMS, key=len, reverse=True)))
     inside = lambda a, b: f"(length({a}) >= 4 AND length({b}) >= 4 AND (contains({a}, {b}) OR contains({b}, {a})))"

@@ -97,8 +97,8 @@ def reconcile_guesses(d):
 
 
 @operator("T12", "leads")
-def email_domain_match(d):
-    return f"SELECT lead_id, {E.domain_match(d, 'email', 'website')} AS reason FROM leads"
+def email_domain_match(d, compat: bool = False):
+    return f"SELECT lead_id, {E.domain_match(d, 'email', 'website', compat)} AS reason FROM leads"
 
 
 @operator("T13", "leads")
@@ -289,8 +289,8 @@ def email_types(d):
     return f"SELECT lead_id, {email_type(d)} AS email_type FROM leads"
 
 
-def confidence(d, ok: str | None = None) -> str:
-    """`ok` names a column that tells whether the contact is valid, if there is one."""
+def confidence(d, ok: str | None = None, compat: bool = False) -> str:
+    """`ok` names a column that tells whether the contact is valid, if there is one. `compat` takes only `true` for a verified site, as decision D14 has it."""
     p = lambda t, n: f"CASE WHEN {t} THEN {n} ELSE 0 END"
     ok = ok or N.contact_valid(d, "contact_name")
     first = d.rep(f"lower({d.at(N.words(d, 'coalesce(contact_name, chr(32))'), '1')})", "['-]")
@@ -298,7 +298,7 @@ def confidence(d, ok: str | None = None) -> str:
     points = [
         p(ok, 1), p(f"{ok} AND {d.word(first, R.FIRST_NAMES)}", 0.5), p(f"{ok} AND {d.match('lower(contact_name)', '^(dr|prof)[ .]')}", 0.5),
         f"CASE WHEN {E.has_at('email')} AND NOT {E.generic_prefix(d, 'email')} THEN 1 WHEN generic_email IS NOT NULL THEN 0.5 ELSE 0 END",
-        "CASE WHEN website IS NOT NULL AND website_verified IN ('yes', 'true') THEN 1 WHEN website IS NOT NULL THEN 0.5 ELSE 0 END",
+        f"CASE WHEN website IS NOT NULL AND {d.word('website_verified', ['true'] if compat else ['yes', 'true'])} THEN 1 WHEN website IS NOT NULL THEN 0.5 ELSE 0 END",
         p(f"{d.size('contact_names')} > 1", 0.5), p("principal_name IS NOT NULL", 0.5), p(f"{d.size('personal_email_guesses')} > 0", 0.5),
         p(f"{mark('possible_placeholder_name')} AND NOT {mark('suspicious_name_replaced')}", -1), p(mark("single_name_only"), -0.5),
     ]
@@ -306,8 +306,8 @@ def confidence(d, ok: str | None = None) -> str:
 
 
 @operator("T28", "leads")
-def confidence_score(d):
-    return f"SELECT lead_id, {confidence(d)} AS confidence FROM leads"
+def confidence_score(d, compat: bool = False):
+    return f"SELECT lead_id, {confidence(d, compat=compat)} AS confidence FROM leads"
 
 
 def mailshot(d) -> str:
@@ -365,16 +365,25 @@ def sector_from_types(d):
     return f"SELECT place_id, {type_sector(d, R.TYPE_SECTORS, 'Professional Services')} AS sector, {type_sector(d, R.WELLNESS_SECTORS, 'Health & Wellness')} AS wellness_sector FROM places"
 
 
+def meta(d, name: str) -> str:
+    """Content of the page's first meta tag of the name or property; empty if there is none."""
+    tag = d.extract("html", f"(?is)<meta[^>]*(?:name|property)\\s*=\\s*[\\x22\\x27]{name}[\\x22\\x27][^>]*>")
+    return " || ".join(d.extract(tag, f"(?is)content\\s*=\\s*{q}([^{q}]*){q}", 1) for q in ("\\x22", "\\x27"))
+
+
 @operator("T34", "page_text")
 def sector_text(d):
-    """Sector of each page by its text, title and first heading."""
+    """Sector of each page by its text, both descriptions and first two main headings."""
     from .windows import sector_points
 
+    heads = d.rep(d.join(d.slice(d.extract_all("html", "(?is)<h1[^>]*>(.*?)</h1>", 1), "1", "2"), " "), "<[^>]*>", " ")
+    whole = f"lower(text || ' ' || {meta(d, 'description')} || ' ' || {meta(d, 'og:description')} || ' ' || {heads})"
+
     points = sector_points(d, "t")
     cols = ", ".join(f"{p} AS p{i}" for i, (_, p) in enumerate(points))
     top = "greatest(" + ", ".join(f"p{i}" for i in range(len(points))) + ")"
     pick = " ".join(f"WHEN p{i} = {top} THEN {d.lit(n)}" for i, (n, _) in enumerate(points))
-    return f"SELECT page_id, CASE WHEN {top} = 0 THEN 'General Wellness' {pick} END AS sector FROM (SELECT page_id, {cols} FROM (SELECT page_id, lower(text || ' ' || title || ' ' || h1) AS t FROM page_text) a) b"
+    return f"SELECT page_id, CASE WHEN {top} = 0 THEN 'General Wellness' {pick} END AS sector FROM (SELECT page_id, {cols} FROM (SELECT page_id, {whole} AS t FROM page_text) a) b"
 
 
 @operator("T36", "page_text")

@@ -81,6 +81,19 @@ def test_cleaned_emails(spark):
     assert both(spark, lambda d: E.cleaned(d, "e"), ["e"], [r[:1] for r in rows]) == [r[1] for r in rows]
 
 
+def test_cleaned_as_published(spark):
+    rows = [("x@a.org.uk", "x@a.org"), ("x@mail.medical.com", "x@mail.me"), ("x@b.comcall", "x@b.com"), ("x@b.zz", "x@b.zz")]
+    assert both(spark, lambda d: E.cleaned(d, "e", compat=True), ["e"], [r[:1] for r in rows]) == [r[1] for r in rows]
+    assert both(spark, lambda d: E.cleaned(d, "e"), ["e"], [("x@a.org.uk",), ("x@mail.medical.com",)]) == ["x@a.org.uk", "x@mail.medical.com"]
+
+
+def test_strictly_cleaned_emails(spark):
+    rows = [
+        (" Emma@Site.co.uk ", "emma@site.co.uk"), ("noreply@a.com", None), ("emma@sentry.io", None), ("who.we@a.com", None), ("logo@a.svg", None), ("a" * 65 + "@b.com", None), ("a@" + "b" * 250 + ".com", None), ("sentry.fan@a.com", "sentry.fan@a.com"), (None, None),
+    ]
+    assert both(spark, lambda d: E.cleaned_strictly(d, "e"), ["e"], [r[:1] for r in rows]) == [r[1] for r in rows]
+
+
 def test_email_kinds(spark):
     rows = [("info@a.com", True, True), ("salesman@a.com", False, True), ("emma@a.com", False, False), (None, False, False)]
     assert both(spark, lambda d: E.generic(d, "e"), ["e"], [r[:1] for r in rows]) == [r[1] for r in rows]
@@ -104,6 +117,20 @@ def test_domain_match(spark):
     assert both(spark, lambda d: E.domain_match(d, "e", "u"), ["e", "u"], [r[:2] for r in rows]) == [r[2] for r in rows]
 
 
+def test_domain_match_by_two_labels(spark):
+    assert both(spark, lambda d: E.domain_match(d, "e", "u", compat=True), ["e", "u"], [("a@y.co.uk", "http://x.co.uk")]) == ["registrable"]
+
+
+def test_descriptions_and_headings(spark):
+    from leadlake.operators.texts import meta, sector_text
+
+    rows = [("<meta name=\"description\" content=\"It's yoga\">", "It's yoga"), ("<meta content='yoga' name='description'>", "yoga"), ("<meta property=\"og:description\" content=\"x\">", ""), ("", "")]
+    assert both(spark, lambda d: meta(d, "description"), ["html"], [r[:1] for r in rows]) == [r[1] for r in rows]
+    pages = [(1, "", "yoga studio"), (2, "<meta property='og:description' content='yoga studio'>", ""), (3, "<h1>a</h1><h1><b>Yoga</b> studio</h1>", ""), (4, "<h1>a</h1><h1>b</h1><h1>yoga studio</h1>", "")]
+    got = {r.page_id: r.sector for r in sector_text(page_text=spark.createDataFrame(pages, "page_id long, html string, text string")).collect()}
+    assert got[1] == got[2] == got[3] != got[4] == "General Wellness"
+
+
 @pytest.mark.parametrize(("url", "key", "host"), [("https://www.A.com/", "a.com", "a.com"), ("http://x.org:80/p?q", "x.org:80/p?q", "x.org"), ("www.b.com#t", "b.com#t", "b.com"), ("", None, "")])
 def test_keys(spark, url, key, host):
     assert both(spark, lambda d: K.website_key(d, "u"), ["u"], [(url,)]) == [key]
