@@ -452,11 +452,19 @@ def name_overlap(d):
     return f"SELECT lead_id, {d.even(f'1.0 * {both} / greatest({d.size(a)}, 1)', 4)} AS overlap, {both} < 0.5 * {d.size(b)} AS differ FROM leads"
 
 
-@operator("T40", "leads")
+def place_location(d, address: str, town: str) -> str:
+    """The parts of an address around the first that names a known town, else its last three; the town where there is no address."""
+    parts = d.map(d.split(address, ","), "x", "trim(x)")
+    size, at = d.size(parts), d.first(parts, "x", d.holds("lower(x)", [t.lower() for t in R.PLACE_TOWNS]))
+    around = d.slice(parts, f"greatest({at} - 1, 1)", f"{at} + 2 - greatest({at} - 1, 1)")
+    return f"CASE WHEN coalesce({address}, '') = '' THEN {town} WHEN {at} <= {size} THEN {d.join(around, ', ')} WHEN {size} >= 2 THEN {d.join(d.slice(parts, f'greatest({size} - 2, 1)', '3'), ', ')} ELSE {address} END"
+
+
+@operator("T40", "leads", "places")
 def location_text(d):
-    """Location by its parts: town, then postcode, joined where present."""
+    """Locations of leads, by the parts that are present, and of places, by the parts around a known town."""
     town, code = "nullif(trim(split_part(location, ',', 1)), '')", "nullif(trim(split_part(location, ',', 2)), '')"
-    return f"SELECT lead_id, concat_ws(', ', {town}, {code}) AS location FROM leads"
+    return f"SELECT 'lead' AS kind, lead_id AS id, concat_ws(', ', {town}, {code}) AS location FROM leads UNION ALL SELECT 'place' AS kind, place_id AS id, {place_location(d, 'address', 'town')} AS location FROM places"
 
 
 @operator("T41", "leads")

@@ -121,6 +121,13 @@ def test_domain_match_by_two_labels(spark):
     assert both(spark, lambda d: E.domain_match(d, "e", "u", compat=True), ["e", "u"], [("a@y.co.uk", "http://x.co.uk")]) == ["registrable"]
 
 
+def test_place_locations(spark):
+    from leadlake.operators.texts import place_location
+
+    rows = [("1 High St, Godalming , GU7 1AA, UK", "1 High St, Godalming, GU7 1AA"), ("Woking", "Woking"), ("Woking, UK, x", "Woking, UK"), ("a, b, c, d", "b, c, d"), ("a, b", "a, b"), ("lone", "lone"), ("", "T"), (None, "T")]
+    assert both(spark, lambda d: place_location(d, "a", "'T'"), ["a"], [r[:1] for r in rows]) == [r[1] for r in rows]
+
+
 def test_descriptions_and_headings(spark):
     from leadlake.operators.texts import meta, sector_text
 
