@@ -121,6 +121,16 @@ def test_domain_match_by_two_labels(spark):
     assert both(spark, lambda d: E.domain_match(d, "e", "u", compat=True), ["e", "u"], [("a@y.co.uk", "http://x.co.uk")]) == ["registrable"]
 
 
+def test_likeness_of_names(spark):
+    from leadlake.operators.texts import like_name
+
+    rows = [
+        ("Emma Jones", True), ("Dr. Emma Jones BSc", True), ("Emma", False), ("Dr Emma", False), ("emma Jones", False), ("Emma Clinic", False), ("Zorg Brrt", False), ("Emma Brrt", True), ("EMMA JONES", True), ("ZORA JONES", False), ("Zora Jones", True),
+        ("Zora O'Brien-Hall", True), ("Zora J Jones", True), ("Emma Jones2", False), ("Emma Jones and Sons of Woking", False), ("E J", False), (None, False),
+    ]
+    assert both(spark, lambda d: like_name(d, "n"), ["n"], [r[:1] for r in rows]) == [r[1] for r in rows]
+
+
 def test_place_locations(spark):
     from leadlake.operators.texts import place_location
 
