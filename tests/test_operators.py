@@ -2,7 +2,8 @@
 
 import random
 
-from leadlake.operators import filters, joins, merges, texts, windows
+from leadlake.functions.rules import PARKED
+from leadlake.operators import filters, joins, merges, reports, texts, windows
 
 LEAD = "lead_id string, ingest_seq long, company_name string, website string, contact_name string, contact_names array<string>, email string, location string, contact_verified boolean, contact_source string, company_status string, refinement_notes array<string>, confidence_score double, personal_email_guesses array<string>"
 
@@ -146,3 +147,23 @@ def test_options_of_a_search(spark):
     assert column(filters.search_leads({"company": "Gym", "least": 6}, leads=own), "lead_id") == ["0"]
     assert column(filters.search_leads({"company": "", "sector": "", "location": ""}, leads=own), "lead_id") == ["0", "1"]
     assert column(filters.search_leads({"least": 7, "company": ""}, leads=own), "lead_id") == []
+
+
+def test_discovery_funnel(spark):
+    sites = [("u1", 1), ("u2", 1), ("u3", 1), (None, 1), ("u5", 2)]
+    leads = spark.createDataFrame([("Acme Therapy Ltd", s, p) for s, p in sites], "company_name string, website string, site_pattern int")
+    long = "acme therapy in guildford " + "word " * 120
+    pages = spark.createDataFrame([(1, "u1", long), (2, "u2", f"acme {PARKED[0]} " + long), (5, "u5", "word " * 120)], "page_id long, url string, text string")
+    got = {r.pattern: r for r in reports.discovery_funnel(leads=leads, page_text=pages).collect()}
+    assert set(got) == {"all", "1", "2"}
+    r = got["all"]
+    assert (r.attempted, r.resolved, r.validated, r.high, r.medium, r.low) == (5, 4, 1, 1, 0, 0)
+    assert (r.no_name_match, r.parked, r.get_failed, r.pct_false) == (1, 1, 1, 75.0)
+    assert (r.calls, r.cost, r.projected_sites, r.projected_cost) == (4, 0.076, 0, 0.019)
+    assert (got["2"].attempted, got["2"].no_name_match) == (1, 1)
+
+
+def test_addresses_by_position(spark):
+    docs = spark.createDataFrame([(1, "a@b.com then c@d.org"), (2, "none"), (3, None), (4, "x@sentry.io @")], "doc_id long, text string")
+    got = [tuple(r) for r in texts.extract_emails(mailed_documents=docs).orderBy("doc_id", "pos").collect()]
+    assert got == [(1, 0, "a@b.com"), (1, 1, "c@d.org")]
