@@ -99,6 +99,61 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a tenth of the documents, by a hash of the id, repeat from some place on."""
+    from .runs import periodic_runs
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    row = F.col("row")
+
+    def repeated(words):
+        a = F.pmod(row["g"], F.size(words))
+        p = F.lit(1) + F.floor((F.size(words) - a) / (F.lit(3) + row["g"] % 8))
+        each = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
+        return F.when(F.size(words) > 0, F.array_join(each, " "))
+
+    # the words stand as a lambda's variable, so that they are split once
+    words = F.filter(F.split(row["text"], r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(row["h"] % 10 == 0, F.get(F.transform(F.array(words), repeated), F.lit(0))).otherwise(row["text"])
+    docs = docs.select("doc_id", F.struct("text", h.alias("h"), g.alias("g")).alias("row")).select("doc_id", text.alias("text"))
+    found = periodic_runs(docs)
+    kind = "struct<start:long,length:long,period:long>"
+    best = F.aggregate("runs", F.lit(None).cast(kind), lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(read(spark, sf_dir, "documents")).drop("k")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC files of both versions, converted to WARC, read back."""
+    from .store import place
+    from .warc import convert, read_warc, write_arc
+
+    arc, warc = place(spark, "arc"), place(spark, "warc")
+    write_arc(read(spark, sf_dir, "pages"), arc)
+    convert(spark, arc, warc)
+    back = read_warc(spark, warc).where("record_type IN ('response', 'revisit')")
+    return back.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").cast("long").alias("refers_to"))
+
+
+#: Base32 of SHA-1: each five hexadecimal digits are four characters.
+OP13_SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    h AS (SELECT page_id, payload, octet_length(encode(payload)) AS n, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS least,
+                 row_number() OVER (PARTITION BY payload ORDER BY page_id) AS nth FROM p)
+    SELECT page_id, n::BIGINT AS payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+           CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN least END AS refers_to FROM h"""
+
+
 OP9_SQL = """
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -120,10 +175,13 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_topk_search": op9_topk_search,
         "op10_mixing": op10_mixing,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_phrase_mining": op12_phrase_mining,
+        "op13_warc": op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from .mixing import sql
+    from . import mixing, phrases
 
-    return {"op9_topk_search": OP9_SQL, "op10_mixing": sql()}
+    return {"op9_topk_search": OP9_SQL, "op10_mixing": mixing.sql(), "op12_phrase_mining": phrases.sql(), "op13_warc": OP13_SQL}

@@ -22,18 +22,23 @@ def folder(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The same rows, read back from Parquet in the shared folder; one folder for each value of the columns `by`."""
+    path = place(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
-def erase(*tables: DataFrame) -> None:
-    """Delete tables of written() that nothing reads any more: all that came from them has been written itself."""
+def erase(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables of written(), or one folder of theirs, that nothing reads any more: all that came from them has been written itself."""
     for df in tables:
         jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path = jvm.org.apache.hadoop.fs.Path(f"{df.stored_at}/{part}")
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
