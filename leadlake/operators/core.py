@@ -61,6 +61,28 @@ class Operator:
                 spark.catalog.dropTempView(v)
 
 
+class Job(Operator):
+    """An operator of several steps: a function of DataFrames.  `plain` states its rule as one SQL text, for comparison; None if SQL can't."""
+
+    def __init__(self, key: str, build: Callable[..., DataFrame], inputs: tuple[str, ...], plain: Callable[..., str] | None):
+        super().__init__(key, build, inputs, {})
+        self.plain = plain
+
+    def sql(self, d: Dialect = SPARK, **options) -> str | None:
+        return self.plain(d, **options) if self.plain else None
+
+    def run(self, spark: SparkSession, tables: str, options: dict | None = None) -> DataFrame:
+        return self.build(**{n: spark.sql(f"{tables} SELECT * FROM {n}") for n in self.inputs}, **(options or {}))
+
+    def __call__(self, options: dict | None = None, **tables: DataFrame) -> DataFrame:
+        return self.build(**tables, **(options or {}))
+
+
+def job(key: str, *inputs: str, plain: Callable[..., str] | None = None):
+    """Marks a function of DataFrames as the operator of a row of the inventory."""
+    return lambda build: Job(key, build, inputs, plain)
+
+
 def operator(key: str, *inputs: str, sides: dict[str, Callable[[Dialect], str]] | None = None):
     """Marks a builder of SQL as the operator of a row of the inventory; `sides` are statements over its inputs that it reads many times."""
     return lambda build: Operator(key, build, inputs, sides or {})

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions import emails as E
 from ..functions import names as N
+from ..functions.dialect import quote
 from ..functions.keys import domain, facebook, host, name_key, normal, social
-from ..operators import filters, joins, merges, texts, windows
-from ..operators.core import operator
+from ..operators import arrival, filters, joins, merges, texts, windows
+from ..operators.core import job, operator
 
 
 def refined(d) -> str:
@@ -124,9 +128,26 @@ def batch_enrich(d):
     return f"SELECT status, count(*) AS n FROM (SELECT {texts.status(d)} AS status FROM ({kept}) l WHERE contact_name IS NULL OR email IS NULL) t GROUP BY status"
 
 
-@operator("P12", "leads_dup", "existing")
-def ingest_town(d, town: str = "Woking"):
-    """New rows of a town that share no key with a known lead, first of each name, those with email and name; with their score band."""
-    fresh = joins.unknown(d, f"(SELECT * FROM leads_dup WHERE split_part(location, ',', 1) = {d.lit(town)})", "l.*")
-    first = windows.best(d, ["lead_id", "email", "contact_name", "ai_score"], f"({fresh}) u", name_key("company_name"))
-    return f"SELECT lead_id, CASE WHEN ai_score >= 7 THEN 'high' WHEN ai_score >= 4 THEN 'medium' ELSE 'low' END AS band FROM ({first}) b WHERE {E.has_at('email')} AND length(trim(coalesce(contact_name, ''))) > 2"
+def _town(town: str) -> str:
+    return f"split_part(location, ',', 1) = {quote(town)}"
+
+
+def _validated(d, source: str) -> str:
+    """Rows with an address and a name, with their score band."""
+    return f"SELECT lead_id, CASE WHEN ai_score >= 7 THEN 'high' WHEN ai_score >= 4 THEN 'medium' ELSE 'low' END AS band FROM {source} WHERE {E.has_at('email')} AND length(trim(coalesce(contact_name, ''))) > 2"
+
+
+def _town_sql(d, town: str = "Woking") -> str:
+    fresh = joins.unknown(d, f"(SELECT * FROM leads_dup WHERE {_town(town)})", "l.*")
+    return _validated(d, f"(SELECT * FROM leads_dup WHERE ingest_seq IN (SELECT ingest_seq FROM ({arrival.arrivals_sql(f'({fresh}) f')}) k)) t")
+
+
+@job("P12", "leads_dup", "existing", plain=_town_sql)
+def ingest_town(leads_dup: DataFrame, existing: DataFrame, town: str = "Woking") -> DataFrame:
+    """New rows of a town in order of arrival: none that shares a place, website or name and location with a known lead or an earlier new row; of those, the ones with email and name, with their score band."""
+    own = {k: F.expr(v) for k, v in arrival.lead_keys().items()}
+    rows = leads_dup.where(_town(town))
+    seen = arrival.exploded(existing.select(*(e.alias(k) for k, e in own.items())), list(own)).distinct()
+    kept = arrival.first_arrivals(rows.select("ingest_seq", *(e.alias(k) for k, e in own.items())), list(own), "ingest_seq", seen)
+    stay = rows.join(kept, "ingest_seq", "left_semi")
+    return stay.where(f"{E.has_at('email')} AND length(trim(coalesce(contact_name, ''))) > 2").select("lead_id", F.expr("CASE WHEN ai_score >= 7 THEN 'high' WHEN ai_score >= 4 THEN 'medium' ELSE 'low' END").alias("band"))

@@ -33,4 +33,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(DUCK, _views(op)) + op.sql(DUCK) for name, op in OPERATORS.items()}
+    texts = {name: op.sql(DUCK) for name, op in OPERATORS.items()}
+    return {name: with_views(DUCK, _views(OPERATORS[name])) + text for name, text in texts.items() if text}

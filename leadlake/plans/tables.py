@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import DUCK, SPARK
+from ..operators.arrival import arrivals_sql
 from ..sources import landed
 from ..sources import leads as files
 from ..sources.store import folder
@@ -99,9 +100,9 @@ def s10_ingest_registry_search(spark, sf_dir):
 
 
 def x1_incremental_ingest(spark, sf_dir):
-    """Leads arriving as files, appended less the known ones."""
+    """Leads arriving as files, appended if they share no key with an earlier one that was."""
     base = folder(spark, "stream")
-    view(spark, sf_dir, "leads_dup").select("lead_id", "ingest_seq", "company_name", "website", "location", "email").write.parquet(f"{base}/in")
+    view(spark, sf_dir, "leads_dup").select("lead_id", "ingest_seq", "company_name", "website", "location", "place_id", "email").write.parquet(f"{base}/in")
     stream = ingest.files(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema)
     ingest.incremental_ingest(stream, f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("lead_id", "ingest_seq", F.expr("lower(trim(company_name))").alias("name"))
@@ -137,6 +138,6 @@ def oracle_sql() -> dict[str, str]:
         "s8_ingest_officers": officers + "SELECT company_number, name, role, appointed_on, resigned_on FROM officers",
         "s9_ingest_places": places + "SELECT place_id, town, display_name, '+44 1' AS phone, rating::VARCHAR || '/5' || coalesce(' (' || reviews || ' reviews)', '') AS google_rating, left(array_to_string(types, ', '), 200) AS sector FROM places",
         "s10_ingest_registry_search": leads + "SELECT lead_id AS company_number, company_name, coalesce(split_part(location, ',', 1), '') AS location, CASE WHEN ingest_seq % 2 = 0 THEN sector ELSE 'active' END AS sector FROM leads WHERE ingest_seq % 5 <> 0",
-        "x1_incremental_ingest": with_views(DUCK, ["leads_dup"]) + "SELECT arg_min(lead_id, ingest_seq) AS lead_id, min(ingest_seq) AS ingest_seq, lower(trim(company_name)) AS name FROM leads_dup GROUP BY lower(trim(company_name))",
+        "x1_incremental_ingest": with_views(DUCK, ["leads_dup"]) + f"SELECT lead_id, ingest_seq, lower(trim(company_name)) AS name FROM leads_dup WHERE ingest_seq IN (SELECT ingest_seq FROM ({arrivals_sql('leads_dup')}) k)",
         "x2_incremental_dedupe": officers + "SELECT DISTINCT company_number FROM officers",
     }

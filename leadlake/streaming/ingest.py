@@ -5,39 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dialect import SPARK
-from ..functions.keys import name_key, name_location_key, website_key
+from ..operators.arrival import exploded, first_arrivals, lead_keys
+from ..sources.store import written
 
+#: Buckets of the keys of known leads; a batch reads those that its own keys fall into.
+BUCKETS = 64
 
-def files(spark: SparkSession, folder: str, schema, glob: str = "*.parquet") -> DataFrame:
-    """A file stream over a folder of Parquet files."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
 
+def files(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", at_once: int | None = None) -> DataFrame:
+    """A file stream over a folder of Parquet files, `at_once` files a batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    return (reader.option("maxFilesPerTrigger", at_once) if at_once else reader).parquet(folder)
 
-def _keys(leads: DataFrame) -> DataFrame:
-    own = {"own_name": name_key("company_name"), "own_site": website_key(SPARK, "website"), "own_place": name_location_key("company_name", "location")}
-    return leads.withColumns({k: F.expr(v) for k, v in own.items()})
 
+def _there(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
 
-def new_leads(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of a batch that no known row shares a name, site or place with, first of each name by ingest_seq."""
-    rows, seen = _keys(batch), _keys(known)
-    for key in ("own_name", "own_site", "own_place"):
-        rows = rows.join(seen.select(key).where(F.col(key).isNotNull() & (F.col(key) != "")).distinct(), key, "left_anti")
-    first = rows.groupBy("own_name").agg(F.min_by(F.struct(*batch.columns), "ingest_seq").alias("own_row"))
-    return first.select("own_row.*")
 
+def incremental_ingest(stream: DataFrame, table: str, checkpoint: str, trigger: dict | None = None, order: str = "ingest_seq", buckets: int = BUCKETS):
+    """Appends to the Parquet table the rows that share no place, website or name and location with an earlier row that was appended.
 
-def incremental_ingest(stream: DataFrame, table: str, checkpoint: str, trigger: dict | None = None):
-    """Appends the new leads of each micro-batch to the Parquet table; a batch that is run again replaces what it wrote."""
-    spark = stream.sparkSession
+    The keys of the appended rows are a state of their own beside the table
+    (`<table>-keys`, by bucket and batch): a batch reads the buckets that its own
+    keys fall into, never the table.  Inside a batch rows count in the order of
+    `order`; so the outcome is that of one row after another, wherever batches are
+    cut, if batches arrive in that order.  A batch that is run again replaces what
+    it wrote.  Missing columns count as null; an empty batch writes nothing.
+    """
+    spark, keys = stream.sparkSession, f"{table}-keys"
+    own = {k: F.expr(v) for k, v in lead_keys().items()}
+    bucket = F.pmod(F.xxhash64("kind", "key"), F.lit(buckets)).cast("int")
+
+    def save(df: DataFrame, path: str, *by: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
     def write(batch: DataFrame, number: int) -> None:
-        parts = spark._jvm.org.apache.hadoop.fs.Path(table)
-        there = parts.getFileSystem(spark._jsc.hadoopConfiguration()).exists(parts)
-        known = spark.read.parquet(table).where(F.col("batch") != number) if there else spark.createDataFrame([], batch.schema)
-        fresh = new_leads(batch, known.select(*batch.columns)).withColumn("batch", F.lit(number))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        absent = [F.lit(None).cast("string").alias(c) for c in ("place_id", "website", "company_name", "location") if c not in batch.columns]
+        rows = written(batch.select("*", *absent).select(*batch.columns, *(e.alias(k) for k, e in own.items())), "batch")
+        asked = exploded(rows, list(own)).distinct().withColumn("bucket", bucket)
+        seen = None
+        if _there(spark, keys):
+            touched = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most `buckets` numbers
+            state = spark.read.schema("kind int, key string, bucket int, batch long").parquet(keys)
+            state = state.where(F.col("bucket").isin(touched) & (F.col("batch") != number))
+            seen = state.join(asked, ["bucket", "kind", "key"], "left_semi").select("kind", "key")
+        kept = rows.join(first_arrivals(rows, list(own), order, seen), order, "left_semi")
+        save(exploded(kept, list(own)).withColumn("bucket", bucket).withColumn("batch", F.lit(number).cast("long")), keys, "bucket", "batch")
+        save(kept.select(*batch.columns).withColumn("batch", F.lit(number)), table, "batch")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
