@@ -55,6 +55,10 @@ class Dialect:
         """Element i from 1; null past the end."""
         return f"try_element_at({a}, CAST({i} AS INT))"
 
+    def let(self, a: str, var: str, value: str) -> str:
+        """`value`, in which `var` stands for a that is worked out once."""
+        return self.at(self.map(self.wrap(a), var, value), "1")
+
     def has(self, a: str, x: str) -> str:
         return f"array_contains({a}, {x})"
 
@@ -95,6 +99,10 @@ class Dialect:
     def text_array(self) -> str:
         return "CAST(array() AS ARRAY<STRING>)"
 
+    def wrap(self, a: str) -> str:
+        """An array of one value."""
+        return f"array({a})"
+
     def first(self, a: str, var: str, test: str) -> str:
         """Place of the first element that passes; one past the end if none does."""
         return f"coalesce(nullif(CAST(array_position({self.map(a, var, f'CASE WHEN {test} THEN 1 ELSE 0 END')}, 1) AS INT), 0), {self.size(a)} + 1)"
@@ -193,6 +201,9 @@ class Duck(Dialect):
     def text_array(self):
         return "[]::VARCHAR[]"
 
+    def wrap(self, a):
+        return f"[{a}]"
+
     def first(self, a, var, test):
         return f"coalesce(nullif(list_position({self.map(a, var, f'CASE WHEN {test} THEN 1 ELSE 0 END')}, 1), 0), len({a}) + 1)"
 

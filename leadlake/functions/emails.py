@@ -78,13 +78,14 @@ def matches_contact(d: Dialect, email: str, name: str) -> str:
 def guesses(d: Dialect, name: str, site: str) -> str:
     """Eight address patterns of a contact, in order; none without two words and a dotted domain."""
     w = d.split(f"lower(trim({name}))", "\\s+")
-    a, b = letters(d, d.at(w, "1")), letters(d, d.at(w, d.size(w)))
-    at = f"'@' || {site}"
-    i, j = f"left({a}, 1)", f"left({b}, 1)"
-    forms = [f"{a} || '.' || {b}", f"{i} || '.' || {b}", a, b, f"{a} || '_' || {b}", f"{a} || {b}", f"{a} || {j}", f"{i} || {j}"]
-    made = ("[" if d.duck else "array(") + ", ".join(f"{f} || {at}" for f in forms) + ("]" if d.duck else ")")
+    parts = d.tuple(n=d.size("x"), a=letters(d, d.at("x", "1")), b=letters(d, d.at("x", d.size("x"))))
+    # words, then their letters, are bound once as lambda variables
+    pair = d.map(d.wrap(w), "x", parts)
+    i, j = "left(y.a, 1)", "left(y.b, 1)"
+    forms = ["y.a || '.' || y.b", f"{i} || '.' || y.b", "y.a", "y.b", "y.a || '_' || y.b", "y.a || y.b", f"y.a || {j}", f"{i} || {j}"]
+    made = ("[" if d.duck else "array(") + ", ".join(f"{f} || '@' || {site}" for f in forms) + ("]" if d.duck else ")")
     good = d.filter(made, "g", d.match("g", "^[a-z][a-z0-9._%+-]*@[a-z0-9.-]+\\.[a-z]{2,7}$"))
-    return f"CASE WHEN {d.size(w)} >= 2 AND {a} <> '' AND {b} <> '' AND contains({site}, '.') THEN {good} ELSE {d.text_array()} END"
+    return d.at(d.map(pair, "y", f"CASE WHEN y.n >= 2 AND y.a <> '' AND y.b <> '' AND contains({site}, '.') THEN {good} ELSE {d.text_array()} END"), "1")
 
 
 def domain_match(d: Dialect, email: str, url: str, compat: bool = False) -> str:

@@ -23,8 +23,7 @@ def words(d: Dialect, name: str) -> str:
 def verdict(d: Dialect, name: str) -> str:
     """`verdict:rule` of a name: the first rule that speaks."""
     n = f"coalesce({name}, '')"
-    w = words(d, n)
-    c = core(d, w)
+    w, c = "all_words", "core_words"
     joined = d.join(c, " ")
     alpha = d.rep(n, "[^a-zA-Z]")
     stripped = lambda x: d.rep(d.rep(f"lower({x})", "\\.+$"), "['s]+$")
@@ -34,7 +33,7 @@ def verdict(d: Dialect, name: str) -> str:
     lead = lambda x: f"({d.match(low(x), prefix + '[a-z]*[bcdfghjklmnpqrstvwxz]{4}')} AND {d.match(low(x), prefix + '[bcdfghjklmnpqrstvwxz]{4}')})"
     plain = lambda x: f"(NOT {d.match(low(x), prefix + '..')} AND {d.match(low(x), '^[bcdfghjklmnpqrstvwxz]{4}')})"
     triple = any_of(ch * 3 for ch in "abcdefghijklmnopqrstuvwxyz")
-    return f"""CASE
+    rules = f"""CASE
         WHEN length(trim({n})) < 2 THEN 'invalid:short'
         WHEN {d.word(f'lower(trim({n}))', R.PLACEHOLDERS)} THEN 'invalid:placeholder'
         WHEN {d.size(w)} < 2 THEN 'invalid:one_word'
@@ -52,15 +51,17 @@ def verdict(d: Dialect, name: str) -> str:
         WHEN {d.some(c, 'w', d.match(low('w'), any_of(R.BIGRAMS) + '|' + any_of(R.TRIGRAMS)))} THEN 'review:odd_letters'
         WHEN {d.match(f'lower({alpha})', triple)} THEN 'review:triple_letter'
         ELSE 'valid:' END"""
+    return d.let(words(d, n), w, d.let(core(d, w), c, rules))
 
 
 def contact_valid(d: Dialect, name: str, short_names=R.CONTACT_SHORT_NAMES) -> str:
     """The stricter test that scores and status use."""
     n = f"lower(trim(coalesce({name}, '')))"
-    c = d.filter(d.split(n, "\\s+"), "w", f"NOT {d.word(d.rep('w', '\\.+$'), [t for t in R.TITLES if t not in ('lord', 'lady')])} AND NOT {d.word(d.rep('w', '^[().,]+|[().,]+$'), R.QUALIFICATIONS)}")
+    kept = d.filter(d.split(n, "\\s+"), "w", f"NOT {d.word(d.rep('w', '\\.+$'), [t for t in R.TITLES if t not in ('lord', 'lady')])} AND NOT {d.word(d.rep('w', '^[().,]+|[().,]+$'), R.QUALIFICATIONS)}")
+    c = "kept_words"
     joined = d.join(c, " ")
     low = lambda x: letters(d, x)
-    return f"""(length({n}) >= 3 AND NOT {d.word(n, R.INVALID_NAMES)} AND NOT {d.word(n, R.NOUN_PLACEHOLDERS)}
+    rules = f"""(length({n}) >= 3 AND NOT {d.word(n, R.INVALID_NAMES)} AND NOT {d.word(n, R.NOUN_PLACEHOLDERS)}
         AND {d.size(c)} BETWEEN 2 AND 4
         AND NOT {d.some(c, 'w', f"length({low('w')}) <= 2 AND NOT {d.word(low('w'), short_names)}")}
         AND NOT {d.some(c, 'w', d.word('w', R.INVALID_NAMES))}
@@ -71,6 +72,7 @@ def contact_valid(d: Dialect, name: str, short_names=R.CONTACT_SHORT_NAMES) -> s
         AND NOT {d.match(joined, "'s\\s+\\w")}
         AND NOT {d.some(c, 'w', f"length({low('w')}) >= 3 AND {vowels(d, low('w'))} = 0")}
         AND NOT {d.match(letters(d, joined), '[^aeiouy]{5,}')})"""
+    return d.let(kept, c, rules)
 
 
 def suspicious(d: Dialect, name: str, first_names=R.FIRST_NAMES) -> str:

@@ -87,12 +87,28 @@ def web_presence(d):
     return f"SELECT {IDS}, {out} AS excluded, CASE WHEN {out} THEN 'no_web_presence' END AS excluded_reason, CASE WHEN {out} THEN 1.0 ELSE CAST(confidence_score AS DOUBLE) END AS confidence, CASE WHEN {out} THEN 'do_not_email' END AS mailshot FROM leads"
 
 
+def _search_text(category: str | None = "office", least: int | None = 5, search: str = "wok", geo: str = "local_review") -> str:
+    """The rule as plain text for comparison, without the library's spellings."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    tests = [f"category = {quoted(category)}"] if category else []
+    tests += [f"ai_score >= {least}"] if least is not None else []
+    tests += [f"strpos(lower(concat_ws(chr(10), company_name, sector, location)), {quoted(search.lower())}) > 0"] if search else []
+    tests += ["(geo_relevance IS NULL OR geo_relevance <> 'exclude')"] if geo == "local_review" else [f"geo_relevance = {quoted(geo)}"] if geo else []
+    return f"SELECT {IDS}, company_name, ai_score FROM leads WHERE {' AND '.join(tests) or 'true'}"
+
+
 @operator("F12", "leads")
-def search_leads(d, category: str = "office", least: int = 5, company: str = "clinic", sector: str = "mach", location: str = "wok", hidden: str = "exclude"):
-    """Dashboard search: category, least score, text in company, sector or location, geography to hide."""
-    texts = {"company_name": company, "sector": sector, "location": location}
-    any_text = " OR ".join(f"contains(lower(coalesce({c}, '')), {d.lit(t.lower())})" for c, t in texts.items() if t) or "true"
-    return f"SELECT {IDS}, company_name, ai_score FROM leads WHERE category = {d.lit(category)} AND ai_score >= {least} AND ({any_text}) AND coalesce(geo_relevance, '') <> {d.lit(hidden)}"
+def search_leads(d, category: str | None = "office", least: int | None = 5, search: str = "wok", geo: str = "local_review"):
+    """Dashboard search: one text looked for in company, sector and location; category, least score and geography only where they are given.
+
+    `geo` is a relevance, or `local_review` for all that are not excluded.  A lead
+    without score has none to compare and goes where a least score is asked.
+    """
+    if d.duck:
+        return _search_text(category, least, search, geo)
+    hits = " OR ".join(f"contains(lower(coalesce({c}, '')), {d.lit(search.lower())})" for c in ("company_name", "sector", "location"))
+    tests = [f"category = {d.lit(category)}" if category else "", f"ai_score >= {least}" if least is not None else "", f"({hits})" if search else "", "coalesce(geo_relevance, '') <> 'exclude'" if geo == "local_review" else f"geo_relevance = {d.lit(geo)}" if geo else ""]
+    return f"SELECT {IDS}, company_name, ai_score FROM leads WHERE {' AND '.join(t for t in tests if t) or 'true'}"
 
 
 @operator("F13", "leads")
@@ -108,12 +124,25 @@ def cohort_tests(d) -> dict[str, str]:
 
 
 def not_fresh(day: str, force: bool) -> str:
-    return "true" if force else f"last_enriched_date <> DATE '{day}' AND NOT missing_name_final"
+    """Not enriched on the day (unless forced) and not given up; never enriched and never judged leads count as neither."""
+    fresh = "true" if force else f"coalesce(last_enriched_date <> DATE '{day}', true)"
+    return f"{fresh} AND NOT coalesce(missing_name_final, false)"
+
+
+def _cohort_text(day: str, force: bool) -> str:
+    """The rule as plain text for comparison."""
+    absent = lambda c: f"({c} IS NULL OR lower(trim({c})) IN ('', 'nan', 'none'))"
+    return f"""SELECT lead_id, ingest_seq, unnest(list_filter([CASE WHEN no_name AND site <> '' AND NOT regexp_matches(site, 'facebook[.]com|fb[.]com|instagram[.]com|twitter[.]com') THEN 'A' END,
+            CASE WHEN NOT no_name AND confidence_score <= 3 THEN 'B' END, CASE WHEN NOT no_mail AND email_guessed IS TRUE THEN 'C' END], lambda x: x IS NOT NULL)) AS cohort
+        FROM (SELECT *, {absent('contact_name')} AS no_name, {absent('email')} AS no_mail, lower(coalesce(website, '')) AS site FROM leads
+            WHERE missing_name_final IS DISTINCT FROM true AND ({str(force).lower()} OR last_enriched_date IS DISTINCT FROM DATE '{day}')) t"""
 
 
 @operator("F14", "leads")
 def cohorts(d, day: str = "2024-06-05", force: bool = False):
-    """Cohort A (no contact), B (low confidence) or C (guessed email) of each lead not enriched on the day nor final; all leads if forced."""
+    """Cohort A (no contact), B (low confidence) or C (guessed email) of each lead that has not been given up nor, unless forced, enriched on the day."""
+    if d.duck:
+        return _cohort_text(day, force)
     return " UNION ALL ".join(f"SELECT {IDS}, '{c}' AS cohort FROM leads WHERE {not_fresh(day, force)} AND {t}" for c, t in cohort_tests(d).items())
 
 
@@ -152,9 +181,9 @@ def js_reason(d) -> str:
 
 
 @operator("F16", "leads")
-def js_targets(d):
-    """First 25 leads, in order, to render: own website, not yet rendered, email missing, guessed or generic."""
-    return f"SELECT * FROM (SELECT {IDS}, {js_reason(d)} AS reason FROM leads) t WHERE reason IS NOT NULL ORDER BY ingest_seq LIMIT 25"
+def js_targets(d, most: int = 25):
+    """First leads, in order, to render: own website, not yet rendered, email missing, guessed or generic."""
+    return f"SELECT * FROM (SELECT {IDS}, {js_reason(d)} AS reason FROM leads) t WHERE reason IS NOT NULL ORDER BY ingest_seq LIMIT {most}"
 
 
 @operator("F17", "leads")
@@ -178,10 +207,10 @@ def registry_targets(d):
 
 
 @operator("F21", "leads", "existing")
-def discovery_sample(d):
-    """First 100 leads without website whose name no earlier sample holds."""
+def discovery_sample(d, most: int = 100):
+    """First leads without website whose name no earlier sample holds."""
     return f"""SELECT l.lead_id, l.ingest_seq FROM leads l LEFT JOIN (SELECT DISTINCT {name_key('company_name')} AS seen FROM existing) e ON {name_key('l.company_name')} = e.seen
-        WHERE e.seen IS NULL AND l.website IS NULL AND NOT {d.has('l.enrichment_source', d.lit('website_discovery'))} ORDER BY l.ingest_seq LIMIT 100"""
+        WHERE e.seen IS NULL AND l.website IS NULL AND NOT {d.has('l.enrichment_source', d.lit('website_discovery'))} ORDER BY l.ingest_seq LIMIT {most}"""
 
 
 @operator("F22", "leads")
@@ -211,8 +240,8 @@ def guessed_email(d):
 
 @operator("F26", "leads")
 def unreachable(d):
-    """Leads given up on: two attempts and still no contact."""
-    gone = f"enrichment_attempts >= 2 AND {normal(d, 'contact_name')} IS NULL"
+    """Leads given up on: two attempts and still no contact; unknown attempts are none."""
+    gone = f"coalesce(enrichment_attempts, 0) >= 2 AND {normal(d, 'contact_name')} IS NULL"
     return f"SELECT {IDS}, {gone} AS missing_final, CASE WHEN {gone} THEN 'missing_name_final' ELSE enrichment_status END AS status FROM leads"
 
 

@@ -44,11 +44,11 @@ def accept_contact(d):
         SELECT lead_id, email, name, fair, real, site, single, {outcome} AS outcome FROM (SELECT *, {normal(d, 'contact_name')} AS name, {fair} AS fair, {real} AS real, {site} AS site, {single} AS single FROM leads) a) b) c"""
 
 
-@operator("U4", "leads")
+@operator("U4", "leads", "later")
 def longer_list(d):
-    """A list is only replaced if it is empty or the new one is strictly longer."""
-    new = d.slice("contact_names", "1", "2")
-    return f"SELECT lead_id, {d.join(f'CASE WHEN {d.size(new)} > {d.size("personal_email_guesses")} THEN {new} ELSE personal_email_guesses END', ';')} AS kept FROM leads"
+    """Contacts and guesses of a later run replace a lead's own only if its list is empty or theirs is strictly longer; null lists are empty."""
+    kept = lambda c: d.join(f"CASE WHEN coalesce({d.size(f'n.{c}')}, 0) > coalesce({d.size(f'l.{c}')}, 0) THEN n.{c} ELSE coalesce(l.{c}, {d.text_array()}) END", "; ")
+    return f"SELECT l.lead_id, {kept('contact_names')} AS contact_names, {kept('personal_email_guesses')} AS guesses FROM leads l LEFT JOIN later n ON n.lead_id = l.lead_id"
 
 
 @operator("U5", "leads")
@@ -56,10 +56,11 @@ def backfill_principal(d):
     return f"SELECT lead_id, coalesce({normal(d, 'contact_name')}, principal_name) AS contact_name, coalesce(email, principal_email_guess) AS email, email IS NULL AND principal_email_guess IS NOT NULL AS email_guessed FROM leads"
 
 
-@operator("U6", "leads", "existing")
+@operator("U6", "leads", "later")
 def fill_if_empty(d):
-    """Missing phone, shared address and sector from the earlier run's row."""
-    return f"SELECT l.lead_id, coalesce({blank('l.phone')}, e.phone) AS phone, coalesce({blank('l.generic_email')}, e.generic_email) AS generic_email, coalesce({blank('l.sector')}, e.sector) AS sector FROM leads l LEFT JOIN existing e ON e.lead_id = l.lead_id"
+    """Missing phone, shared address, profile, number of employees and sector from a later run's row; blanks are missing."""
+    filled = ", ".join(f"coalesce({blank(f'l.{c}')}, {blank(f'n.{c}')}) AS {c}" for c in ("phone", "generic_email", "linkedin", "employee_count", "sector"))
+    return f"SELECT l.lead_id, {filled} FROM leads l LEFT JOIN later n ON n.lead_id = l.lead_id"
 
 
 @operator("U7", "leads")

@@ -80,12 +80,17 @@ def email_guesses(d):
     return f"SELECT lead_id, CAST(p + 1 AS BIGINT) AS place, email FROM (SELECT lead_id, posexplode({g}) AS (p, email) FROM leads) t"
 
 
+def team_of(d, contact: str, site: str) -> str:
+    """`name: address` of each further contact that is not doubtful, as an array."""
+    name = N.without_titles(d, "w")
+    ok = d.filter("contact_names", "w", f"lower(w) <> lower(coalesce({contact}, '')) AND NOT {d.starts(N.verdict(d, 'w'), d.lit('invalid'))} AND {d.size(E.guesses(d, name, site))} > 0")
+    return d.map(ok, "w", name + " || ': ' || " + d.at(E.guesses(d, name, site), "1"))
+
+
 @operator("T10", "leads")
 def team_guesses(d):
     """`name: address` of each valid further contact."""
-    site = host(d, "website")
-    ok = d.filter("contact_names", "w", f"lower(w) <> lower(coalesce(contact_name, '')) AND NOT {d.starts(N.verdict(d, 'w'), d.lit('invalid'))} AND {d.size(E.guesses(d, N.without_titles(d, 'w'), site))} > 0")
-    return f"SELECT lead_id, {d.join(d.map(ok, 'w', N.without_titles(d, 'w') + " || ': ' || " + d.at(E.guesses(d, N.without_titles(d, 'w'), site), '1')), ' | ')} AS guesses FROM leads WHERE website IS NOT NULL"
+    return f"SELECT lead_id, {d.join(team_of(d, 'contact_name', host(d, 'website')), ' | ')} AS guesses FROM leads WHERE website IS NOT NULL"
 
 
 @operator("T11", "leads")
@@ -160,11 +165,12 @@ SANITISE_KNOWN = list(dict.fromkeys([*R.FIRST_NAMES, *R.SANITISE_NAMES]))
 def company_person(d) -> str:
     """Name at the front of a practitioner's company (null: none): two or three capitalised words after titles and before service words, a known first name, a valid verdict."""
     seg = d.rep(d.rep(d.rep("company_name", "\\s+[-–|]\\s+.*$"), "\\s*\\([^)]*\\)\\s*$"), "\\s*&\\s+\\w+$")
-    name = f"trim({d.rep(d.rep(seg, '(?i)(\\s+(' + '|'.join([*R.COMPANY_SUFFIXES, 'and', '&']) + '))+$'), '(?i)^((' + '|'.join(R.TITLES) + ')[.]?\\s+)+')})"
+    whole = f"trim({d.rep(d.rep(seg, '(?i)(\\s+(' + '|'.join([*R.COMPANY_SUFFIXES, 'and', '&']) + '))+$'), '(?i)^((' + '|'.join(R.TITLES) + ')[.]?\\s+)+')})"
+    name = "front"
     w = d.split(name, "\\s+")
     plain = d.match("w", "^[A-Z][a-zA-Z'-]*$")
     ok = f"{d.size(w)} BETWEEN 2 AND 3 AND NOT {d.some(w, 'w', f'NOT {plain}')} AND NOT {d.some(w, 'w', d.word('lower(w)', R.BUSINESS_WORDS))} AND {d.word(letters(d, d.at(w, '1')), [*R.FIRST_NAMES, *R.PRACTITIONER_NAMES])} AND {N.verdict(d, name)} = 'valid:'"
-    return f"CASE WHEN {ok} THEN {name} END"
+    return d.let(whole, name, f"CASE WHEN {ok} THEN {name} END")
 
 
 def sole_trader(d) -> str:

@@ -5,18 +5,26 @@ from __future__ import annotations
 from ..functions import rules as R
 from ..functions.emails import domain_match, free_mail
 from ..functions.keys import domain, host, local, name_key, normal, social
-from ..functions.names import contact_valid, domain_name, suspect, vanity, verdict, without_titles
+from ..functions.names import contact_valid, domain_name, suspect, suspicious, vanity, verdict, without_titles
 from .core import operator
 
 
-def best(d, cols: list[str], source: str, part: str, score: str = "0") -> str:
-    """One row a part, that of the highest score and then the least ingest_seq, with the part's first ingest_seq.
+#: Places by which a score stands above ingest_seq in one number.
+ABOVE = 1 << 56
 
-    An aggregate, so that each task sends one row a part however many share it.
+
+def best(d, cols: list[str], source: str, part: str, score: str = "0", rows: str | None = None) -> str:
+    """One row a part, that of the highest score (0 to 9) and then the least ingest_seq, with the part's first ingest_seq.
+
+    Score and ingest_seq are packed into one number, so that the aggregate keeps
+    fixed-width values, hashes, and sends one row a part and task; the rows are
+    fetched by their ingest_seq, which must tell them apart and be under 2^56, from
+    `rows` if what is fetched needs nothing of the source.
     """
     if d.duck:
-        return f"SELECT {', '.join(cols)}, first_seq FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {score} DESC, ingest_seq) AS own_rank, min(ingest_seq) OVER (PARTITION BY {part}) AS first_seq FROM {source}) w WHERE own_rank = 1"
-    return f"SELECT {', '.join(f'own.{c} AS {c}' for c in cols)}, first_seq FROM (SELECT min_by({d.tuple(**{c: c for c in cols})}, struct(-({score}), ingest_seq)) AS own, min(ingest_seq) AS first_seq FROM {source} GROUP BY {part}) w"
+        return f"SELECT {', '.join(cols)}, first_seq FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {score} DESC, ingest_seq) AS own_rank, min(ingest_seq) OVER (PARTITION BY {part}) AS first_seq FROM {source} own) w WHERE own_rank = 1"
+    first = f"SELECT min((9 - ({score})) * {ABOVE} + ingest_seq) % {ABOVE} AS own_seq, min(ingest_seq) AS first_seq FROM {source} own GROUP BY {part}"
+    return f"SELECT {', '.join(f'own.{c}' for c in cols)}, first_seq FROM {rows or source} own JOIN ({first}) w ON own_seq = own.ingest_seq"
 
 
 @operator("W1", "leads_dup")
@@ -26,19 +34,28 @@ def dedupe_keep_enriched(d):
     return best(d, ["lead_id", "contact_name", "email"], "leads_dup", name_key("company_name"), score)
 
 
+def banded(d, rows: str) -> str:
+    """Rows with the band (3, 2 or 1) of the points of their data."""
+    from .texts import data_points
+
+    return f"(SELECT *, CASE WHEN points >= 7 THEN 3 WHEN points >= 4 THEN 2 ELSE 1 END AS band FROM (SELECT *, {data_points(d)} AS points FROM {rows}) p)"
+
+
+def name_domain_key(d) -> str:
+    return f"{name_key('company_name')} || coalesce('|' || nullif(lower({domain(d, 'website')}), ''), '')"
+
+
 @operator("W2", "leads_dup")
 def dedupe_keep_best_score(d):
-    """One row a name and domain: the best score band, then first."""
-    key = f"{name_key('company_name')} || coalesce('|' || nullif(lower({domain(d, 'website')}), ''), '')"
-    band = "CASE WHEN ai_score >= 7 THEN 3 WHEN ai_score >= 4 THEN 2 ELSE 1 END"
-    return best(d, ["lead_id", "ai_score"], "leads_dup", key, band)
+    """One row a name and domain: the best band of data points, then first."""
+    return best(d, ["lead_id", "ai_score"], banded(d, "leads_dup"), name_domain_key(d), "band", "leads_dup")
 
 
 @operator("W3", "leads_dup", "existing")
 def dedupe_first_wins(d):
     """First row of each name that no known lead has."""
     anti = "ANTI" if d.duck else "LEFT ANTI"
-    return best(d, ["lead_id"], f"(SELECT n.* FROM leads_dup n {anti} JOIN (SELECT {name_key('company_name')} AS k FROM existing) e ON {name_key('n.company_name')} = e.k) u", name_key("company_name"))
+    return best(d, ["lead_id"], f"(SELECT n.* FROM leads_dup n {anti} JOIN (SELECT {name_key('company_name')} AS k FROM existing) e ON {name_key('n.company_name')} = e.k)", name_key("company_name"))
 
 
 @operator("W4", "officers")
@@ -67,8 +84,8 @@ def rank_contacts(d):
 
 
 @operator("W7", "site_links", "pages")
-def rank_site_links(d):
-    """The eight best navigation links of each page on its own host, stable; pages with under three are padded with usual paths."""
+def rank_site_links(d, most: int = 8):
+    """The (eight) best navigation links of each page on its own host, stable; pages with under three are padded with usual paths."""
     link, text = "lower(href)", "lower(anchor)"
     score = f"CASE WHEN {d.holds(link, R.HIGH_LINKS)} OR {d.holds(text, R.HIGH_ANCHORS)} THEN 100 WHEN {d.holds(link, R.JUNK_LINKS)} OR {d.holds(text, R.JUNK_ANCHORS)} THEN 5 WHEN {d.holds(link, R.LOW_LINKS)} OR {d.holds(text, R.LOW_ANCHORS)} THEN 15 WHEN {d.match(link, 'our-|the-')} THEN 20 ELSE 30 END"
     own = f"({d.match('href', '^/[^/]')} OR lower({host(d, 'href')}) = host) AND ({d.holds(link, R.NAV_WORDS)} OR {d.holds(text, R.NAV_WORDS)}) AND NOT {d.match(link, '#|javascript:|mailto:|tel:|[.]pdf|[.]jpg|[.]png')} AND href <> '/'"
@@ -76,7 +93,7 @@ def rank_site_links(d):
     path = d.array(R.FALLBACK_PATHS[:10])
     few = f"SELECT p.page_id FROM pages p LEFT JOIN ({found}) f ON f.page_id = p.page_id GROUP BY p.page_id HAVING count(f.href) < 3"
     padded = f"SELECT page_id, {d.at(path, 'i')} AS href, CAST(1000 + i AS BIGINT) AS pos, 0 AS score FROM (SELECT page_id, {d.explode(d.sequence('1', '10'))} AS i FROM ({few}) g) x"
-    return f"SELECT page_id, href, score, place FROM (SELECT page_id, href, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS place FROM (SELECT page_id, href, min(pos) AS pos, max(score) AS score FROM (SELECT * FROM ({found}) f UNION ALL SELECT * FROM ({padded}) q) u GROUP BY page_id, href) s) t WHERE place <= 8"
+    return f"SELECT page_id, href, score, place FROM (SELECT page_id, href, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS place FROM (SELECT page_id, href, min(pos) AS pos, max(score) AS score FROM (SELECT * FROM ({found}) f UNION ALL SELECT * FROM ({padded}) q) u GROUP BY page_id, href) s) t WHERE place <= {most}"
 
 
 @operator("W8", "site_emails")
@@ -125,8 +142,9 @@ def allocate_quota(d, day: str = "2024-01-02", cap: int = 500):
 
 
 @operator("W12", "leads")
-def sample_head(d):
-    return f"SELECT lead_id, ingest_seq FROM leads WHERE {normal(d, 'contact_name')} IS NULL ORDER BY ingest_seq LIMIT 20"
+def sample_head(d, most: int = 20):
+    """The first leads without a contact, for a trial run."""
+    return f"SELECT lead_id, ingest_seq FROM leads WHERE {normal(d, 'contact_name')} IS NULL ORDER BY ingest_seq LIMIT {most}"
 
 
 def sector_points(d, text: str) -> list[tuple[str, str]]:
@@ -154,33 +172,58 @@ def best_sector(d):
 
 
 @operator("W14", "site_links")
-def cta_links(d):
-    """First three distinct call-to-action links of each page on its own host."""
+def cta_links(d, most: int = 3):
+    """First (three) distinct call-to-action links of each page on its own host."""
     own = f"({d.holds('lower(anchor)', R.CTA_ANCHORS)} OR {d.holds('lower(href)', R.CTA_LINKS)}) AND NOT {d.match('lower(href)', '^#|^javascript:|mailto:|tel:|[.]pdf|[.]jpg|[.]png')} AND ({d.match('href', '^/')} OR lower({host(d, 'href')}) = host)"
-    return f"SELECT page_id, href, place FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM (SELECT page_id, href, min(pos) AS pos FROM site_links WHERE {own} GROUP BY page_id, href) s) t WHERE place <= 3"
+    return f"SELECT page_id, href, place FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM (SELECT page_id, href, min(pos) AS pos FROM site_links WHERE {own} GROUP BY page_id, href) s) t WHERE place <= {most}"
 
 
 @operator("W15", "site_links")
-def contact_links(d):
-    """First six distinct links of each page whose target or text names a contact page."""
-    return f"SELECT page_id, href, place FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM (SELECT page_id, href, min(pos) AS pos FROM site_links WHERE {d.holds('lower(href || chr(32) || anchor)', R.CONTACT_LINKS)} GROUP BY page_id, href) s) t WHERE place <= 6"
+def contact_links(d, most: int = 6):
+    """First (six) distinct links of each page whose target or text names a contact page."""
+    return f"SELECT page_id, href, place FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM (SELECT page_id, href, min(pos) AS pos FROM site_links WHERE {d.holds('lower(href || chr(32) || anchor)', R.CONTACT_LINKS)} GROUP BY page_id, href) s) t WHERE place <= {most}"
 
 
 #: Reasons that tell a name is no person's.
 FAKE = ["ui_artifact", "address_fragment", "role_only_name", "concatenated_text", "company_name_echo"]
 
 
+#: Rank of a role by the words in it; the first that holds.
+ROLE_RANKS = [["owner", "founder"], ["director", "managing"], ["principal", "lead"], ["senior", "head"], ["doctor", "dr", "surgeon", "consultant"], ["therapist", "practitioner", "clinician"]]
+
+
+def _name_of(d, w: str) -> str:
+    return f"trim({d.rep(w, '(\\s+[-–|]\\s|,|\\s*[(]).*$')})"
+
+
+def _rank_of(d, w: str) -> str:
+    """1 to 6 by the role behind the name, 5 for a doctor's title, else 7."""
+    role = f"lower(substr({w}, length({_name_of(d, w)}) + 1))"
+    ranks = [d.holds(role, words) for words in ROLE_RANKS]
+    ranks[4] = f"({ranks[4]} OR {d.match(f'lower({w})', '^dr[ .]')})"
+    return "CASE " + " ".join(f"WHEN {r} THEN {i}" for i, r in enumerate(ranks, 1)) + " ELSE 7 END"
+
+
 @operator("U2", "leads")
-def resolve_contact(d):
-    """Doubtful names: the best valid candidate stands in (doctors first, then in order); without one, a definite fake that no trusted source gave is cleared, all others stay."""
+def resolve_contact(d, main: str | None = None):
+    """Doubtful names: the best valid candidate stands in, by the role behind its name in six ranks, then in order; without one, a definite fake that no trusted source gave is cleared, all others stay.
+
+    The other contacts are the site's team.  `main` names a column with the page's
+    main contact, which comes before them and must not look made up either.  Gives
+    all valid candidates in their order too.
+    """
     site = host(d, "website")
-    ok = f"({contact_valid(d, 'w')} AND NOT {domain_name(d, 'w', site)} AND NOT {vanity(d, 'w', 'company_name')})"
-    good = d.filter("contact_names", "w", ok)
-    doctor = d.filter("good", "w", d.match("lower(w)", "^dr[ .]"))
+    name = _name_of(d, "w")
+    ok = f"({contact_valid(d, name)} AND NOT {domain_name(d, name, site)} AND NOT {vanity(d, name, 'company_name')})"
+    one = f"[{main}]" if d.duck else f"array({main})"
+    first = f"CASE WHEN {suspicious(d, _name_of(d, main))} THEN contact_names ELSE {one} || contact_names END" if main else "contact_names"
+    good = d.filter("offered", "w", ok)
+    ordered = " || ".join(d.map(d.filter("good", "w", f"({_rank_of(d, 'w')}) = {i}"), "w", name) for i in range(1, 8))
     reason = suspect(d, "contact_name", "company_name", "refinement_notes", "confidence_score")
-    return f"""SELECT lead_id, reason, action, CASE action WHEN 'replaced' THEN best WHEN 'cleared' THEN NULL ELSE contact_name END AS contact_name FROM (
-        SELECT lead_id, reason, contact_name, best, CASE WHEN reason IS NULL THEN 'kept' WHEN best IS NOT NULL THEN 'replaced' WHEN {d.word('reason', FAKE)} THEN CASE WHEN coalesce({d.word('contact_source', R.SOURCES_OF_TRUST)}, false) THEN 'kept_verified' ELSE 'cleared' END ELSE 'kept_no_replacement' END AS action
-        FROM (SELECT lead_id, contact_name, contact_source, reason, coalesce({d.at(doctor, '1')}, {d.at('good', '1')}) AS best FROM (SELECT lead_id, contact_name, contact_source, {reason} AS reason, {good} AS good FROM leads) a) b) c"""
+    return f"""SELECT lead_id, reason, action, CASE action WHEN 'replaced' THEN best WHEN 'cleared' THEN NULL ELSE contact_name END AS contact_name, CASE WHEN action = 'replaced' THEN {d.join('ranked', '; ')} END AS candidates FROM (
+        SELECT lead_id, reason, contact_name, best, ranked, CASE WHEN reason IS NULL THEN 'kept' WHEN best IS NOT NULL THEN 'replaced' WHEN {d.word('reason', FAKE)} THEN CASE WHEN coalesce({d.word('contact_source', R.SOURCES_OF_TRUST)}, false) THEN 'kept_verified' ELSE 'cleared' END ELSE 'kept_no_replacement' END AS action
+        FROM (SELECT lead_id, contact_name, contact_source, reason, ranked, {d.at('ranked', '1')} AS best FROM (SELECT lead_id, contact_name, contact_source, reason, {ordered} AS ranked FROM (
+        SELECT lead_id, contact_name, contact_source, {reason} AS reason, {good} AS good FROM (SELECT *, {first} AS offered FROM leads) z) y) a) b) c"""
 
 
 @operator("J10", "leads", "page_text")

@@ -8,34 +8,52 @@ from pyspark.sql import functions as F
 from ..functions import emails as E
 from ..functions import names as N
 from ..functions.dialect import quote
-from ..functions.keys import domain, facebook, host, name_key, normal, social
+from ..functions.keys import blank, facebook, host, normal, social
 from ..operators import arrival, filters, joins, merges, texts, windows
 from ..operators.core import job, operator
 
 
 def refined(d) -> str:
-    """Leads after the refinement rules, with whether a web presence excludes them."""
-    key = f"{name_key('company_name')} || coalesce('|' || nullif(lower({domain(d, 'website')}), ''), '')"
+    """Leads of one category after the refinement rules, one sub-select a rule, each rule's columns bound before the next reads them."""
     own, other, company = windows.promoted_contact(d, texts.company_person(d))
-    points = texts.data_points(d)
-    first = f"SELECT * FROM (SELECT *, {points} AS points, row_number() OVER (PARTITION BY {key} ORDER BY ({points}) DESC, ingest_seq) AS n FROM leads WHERE category = 'unit8') k WHERE n = 1"
-    if not d.duck:  # an aggregate: each task sends one row a name and domain
-        first = f"SELECT row.* FROM (SELECT max_by(struct(*), struct(points, -ingest_seq)) AS row FROM (SELECT *, {points} AS points FROM leads WHERE category = 'unit8') k GROUP BY {key}) g"
-    return f"""SELECT lead_id, name, NOT ok AND name IS NOT NULL AS name_review_needed, principal, {E.generic(d, 'email')} AS email_generic, {E.gibberish(d, 'email')} AS email_gibberish, {E.matches_contact(d, 'email', 'name')} AS email_fits,
-        coalesce(generic_email, CASE WHEN website IS NOT NULL AND NOT {social(d, 'website')} THEN 'info@' || site END) AS generic_email, generic_email IS NULL AND website IS NOT NULL AS fabricated,
-        {d.join(E.guesses(d, 'name', 'site'), ';')} AS guesses, {texts.email_type(d)} AS email_type, email IS NULL AS missing_email, points, CASE WHEN points >= 7 THEN 'high' WHEN points >= 4 THEN 'medium' ELSE 'low' END AS data_score,
-        website IS NULL AND NOT {facebook(d, 'website')} AS excluded
-        FROM (SELECT *, coalesce({N.verdict(d, 'name')} = 'valid:', false) AS ok FROM (SELECT *, CASE WHEN fine THEN own ELSE coalesce(other, company, own) END AS name FROM (SELECT *, coalesce({N.verdict(d, 'own')} = 'valid:', false) AS fine FROM (
-        SELECT l.*, {host(d, 'l.website')} AS site, {own} AS own, {other} AS other, {company} AS company, CASE WHEN NOT {d.starts(N.verdict(d, 'p.principal_name'), d.lit('invalid'))} THEN p.principal_name END AS principal
-        FROM ({first}) l LEFT JOIN (SELECT lead_id AS own_id, nullif(principal_name, '') AS principal_name FROM ({joins.fill_principals.sql(d)}) f) p ON p.own_id = l.lead_id) a) b) c) t"""
+    cols = "lead_id, contact_name, email, generic_email, website_verified, personal_email_guesses, team_email_guesses, principal_name, principal_guess, phone, ai_score, contact_email, refinement_notes, email_type, missing_email, name_review_needed, facebook_url"
+    first = windows.best(d, ["*"], windows.banded(d, "(SELECT * FROM leads WHERE category = 'unit8')"), windows.name_domain_key(d), "band", "leads")
+    page = d.filter("enrichment_source", "x", facebook(d, "x"))
+    listed = lambda a: f"{d.size(a)} > 0"
+    note = lambda test, text: f"CASE WHEN {test} THEN {d.wrap(text)} ELSE {d.text_array()} END"
+    web = f"""SELECT k.*, website IS NOT NULL AND trim(website) <> '' AND NOT {social(d, 'website')} AS real_site, CASE WHEN {facebook(d, 'website')} THEN website WHEN {listed(page)} THEN {d.at(page, '1')} END AS facebook_url FROM ({first}) k"""
+    principal = f"""SELECT w.*, CASE WHEN real_site THEN {host(d, 'website')} ELSE '' END AS site, CASE WHEN real_site THEN 'yes' WHEN facebook_url IS NOT NULL THEN 'facebook' ELSE 'no' END AS verified,
+        CASE WHEN NOT bad THEN known END AS principal, CASE WHEN NOT bad THEN guess END AS principal_mail FROM (SELECT w.*, p.known, p.guess, coalesce({d.starts(N.verdict(d, 'p.known'), d.lit('invalid'))}, true) AND p.known IS NOT NULL AS bad
+            FROM ({web}) w LEFT JOIN (SELECT lead_id AS own_id, nullif(principal_name, '') AS known, nullif(principal_guess, '') AS guess FROM ({joins.fill_principals.sql(d)}) f) p ON p.own_id = w.lead_id) w"""
+    named = f"SELECT n.*, split_part({N.verdict(d, 'own')}, ':', 1) AS own_verdict FROM (SELECT r.*, {own} AS own, {other} AS other, {company} AS company FROM ({principal}) r) n"
+    chosen = f"""SELECT c.*, CASE WHEN own_verdict = 'valid' THEN own ELSE coalesce(other, company, own) END AS contact, CASE WHEN own IS NULL OR own = '' THEN CASE WHEN coalesce(other, company) IS NULL THEN 'none' ELSE 'valid' END WHEN other IS NULL AND company IS NULL THEN own_verdict ELSE 'valid' END AS validity,
+        {E.generic(d, 'email')} AS shared, {E.gibberish(d, 'email')} AS odd, own_verdict <> 'valid' AND other IS NULL AND company IS NOT NULL AS from_company FROM ({named}) c"""
+    mailed = f"""SELECT m.*, CASE WHEN NOT coalesce(shared, false) AND NOT coalesce(odd, false) THEN email END AS kept_email, coalesce({blank('generic_email')}, CASE WHEN site <> '' THEN 'info@' || site END, CASE WHEN shared THEN email END) AS generic,
+        {E.has_at('email')} AND NOT coalesce(shared, false) AND NOT coalesce(odd, false) AND contact IS NOT NULL AND NOT {E.matches_contact(d, 'email', 'contact')} AS strange, {E.guesses(d, 'contact', 'site')} AS made,
+        {texts.team_of(d, 'contact', 'site')} AS team FROM ({chosen}) m"""
+    guessed = f"""SELECT g.*, CASE WHEN validity IN ('valid', 'review') AND {listed('made')} THEN made ELSE personal_email_guesses END AS personal, CASE WHEN {listed('contact_names')} AND site <> '' THEN team ELSE team_email_guesses END AS team_list,
+        coalesce(lower(trim(contact)) = lower(trim(principal)), false) AS one_person FROM ({mailed}) g"""
+    settled = f"""SELECT t.*, CASE WHEN one_person AND NOT {listed('personal')} AND principal_mail IS NOT NULL THEN {d.wrap('principal_mail')} ELSE personal END AS guesses, CASE WHEN NOT one_person THEN principal_mail END AS principal_left FROM ({guessed}) t"""
+    typed = f"""SELECT lead_id, contact AS contact_name, kept_email AS email, generic AS generic_email, verified AS website_verified, guesses AS personal_email_guesses, team_list AS team_email_guesses, principal AS principal_name, principal_left AS principal_guess, phone, ai_score, kept_email AS contact_email, facebook_url,
+        refinement_notes || {note('from_company', "'contact_from_company_name:' || contact")} || {note('odd AND NOT shared', "'gibberish_email_cleared:' || email")} || {note('strange', "'email_contact_mismatch:' || email")} AS refinement_notes,
+        CASE WHEN {E.has_at('kept_email')} THEN CASE WHEN generic IS NOT NULL THEN 'both' ELSE 'personal' END WHEN generic IS NOT NULL THEN CASE WHEN {listed('guesses')} THEN 'both' ELSE 'generic' END WHEN {listed('guesses')} THEN 'personal' END AS email_type,
+        kept_email IS NULL AND generic IS NULL AND NOT {listed('guesses')} AND principal_left IS NULL AND NOT {listed('team_list')} AS missing_email, validity IN ('review', 'invalid') OR strange AS name_review_needed FROM ({settled}) f"""
+    points = f"SELECT {cols}, website_verified = 'no' AS excluded, {texts.data_points(d)} AS points FROM ({typed}) y"
+    return f"""SELECT lead_id, contact_name, name_review_needed, website_verified, facebook_url, principal_name, principal_guess, contact_email, generic_email, {d.join('personal_email_guesses', ' | ')} AS personal_guesses, {d.join('team_email_guesses', ' | ')} AS team_guesses, email_type, missing_email, points,
+        CASE WHEN points >= 7 THEN 'high' WHEN points >= 4 THEN 'medium' ELSE 'low' END AS data_score, excluded, CASE WHEN excluded THEN 'no website and no Facebook page' END AS excluded_reason, {d.join(f"refinement_notes || {note('excluded', d.lit('excluded:no_web_no_fb'))}", '; ')} AS notes FROM ({points}) z"""
 
 
 @operator("P1", "leads", "existing")
 def refine(d):
-    """Deduplicated, named, typed and scored leads of one category, with the principals that earlier runs know; doubtful principals are dropped."""
+    """Leads of one category: deduplicated by the band of their unrefined data, then web presence, known principals (doubtful ones dropped), contact, addresses (shared ones moved, made-up ones cleared, strange ones noted), guesses, type, missing address and score of the refined data; those without web presence are excluded."""
     return refined(d)
 
 
+def outputs(leads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables that refine() is for: enriched leads, and excluded ones."""
+    return leads.where("NOT excluded").drop("excluded", "excluded_reason"), leads.where("excluded")
+
+
 @operator("P2", "officers", "leads", "existing", "company_codes")
 def sweep(d):
     """New registry companies with sector, latest director and status, less the known ones."""

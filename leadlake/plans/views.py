@@ -46,7 +46,7 @@ def leads(d: Dialect) -> str:
         CASE WHEN k % 16 = 5 THEN 'c.' || CAST(k AS STRING) || '@' || {site} END AS contact_email,
         CASE k % 6 WHEN 0 THEN 'guessed' WHEN 1 THEN 'both' WHEN 2 THEN 'personal' WHEN 3 THEN 'generic' END AS email_type,
         CASE k % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'facebook' WHEN 2 THEN 'no' END AS website_verified,
-        CAST(k % 4 AS INT) AS enrichment_attempts,
+        CASE WHEN k % 19 <> 5 THEN CAST(k % 4 AS INT) END AS enrichment_attempts,
         CASE WHEN k % 5 = 4 THEN NULL ELSE CAST(1 + k % 5 AS DOUBLE) END AS confidence_score,
         CASE WHEN k % 3 = 2 THEN {arr(note(0), note(3))} ELSE {d.text_array()} END AS refinement_notes,
         CASE WHEN k % 6 = 3 THEN {arr("'registry'", "'places_lookup'")} WHEN k % 6 = 4 THEN {arr("'website_team_heading'")} ELSE {d.text_array()} END AS enrichment_source,
@@ -55,23 +55,29 @@ def leads(d: Dialect) -> str:
         CASE k % 9 WHEN 0 THEN 'larger' WHEN 4 THEN 'small_new' END AS size_signal,
         CASE WHEN k % 7 = 3 THEN '01483 ' || lpad(CAST(k % 1000000 AS STRING), 6, '0') END AS phone,
         CASE WHEN k % 5 = 2 THEN 'pl' || CAST(k % 40 AS STRING) END AS place_id,
-        k % 13 = 6 AS missing_name_final,
+        CASE WHEN k % 17 <> 3 THEN k % 13 = 6 END AS missing_name_final,
+        CASE WHEN k % 8 = 5 THEN 'https://linkedin.com/in/p' || CAST(k AS STRING) END AS linkedin,
+        CASE WHEN k % 9 = 4 THEN CAST(1 + k % 50 AS STRING) END AS employee_count,
         CASE k % 7 WHEN 1 THEN 'website_verified' WHEN 2 THEN 'companies_house' WHEN 4 THEN 'website' END AS contact_source,
         CASE k % 11 WHEN 4 THEN 'dissolved' WHEN 9 THEN 'liquidation' ELSE 'active' END AS company_status,
         CAST(k % 7 + 1 AS INT) AS site_pattern,
         {f"DATE '2016-01-01' + CAST(k * 7 % 3000 AS INT)" if d.duck else "date_add(DATE '2016-01-01', CAST(k * 7 % 3000 AS INT))"} AS date_of_creation,
-        {f"DATE '2024-06-01' + CAST(k % 30 AS INT)" if d.duck else "date_add(DATE '2024-06-01', CAST(k % 30 AS INT))"} AS last_enriched_date
+        CASE WHEN k % 11 <> 2 THEN {f"DATE '2024-06-01' + CAST(k % 30 AS INT)" if d.duck else "date_add(DATE '2024-06-01', CAST(k % 30 AS INT))"} END AS last_enriched_date
       FROM (SELECT c.c_custkey AS k, c.c_mktsegment, p.url, n.n_name,
           {pick(d, COMPANY, f'c.c_custkey % {len(COMPANY)}')} || ' ' || {pick(d, SUFFIX, slot('c.c_custkey', 9, len(SUFFIX)))} || CASE WHEN c.c_custkey % 3 = 0 THEN '' ELSE ' ' || CAST(c.c_custkey AS STRING) END AS company_name,
-          CASE WHEN c.c_custkey % 10 = 3 THEN NULL WHEN c.c_custkey % 10 = 1 THEN 'https://www.facebook.com/p' || CAST(c.c_custkey AS STRING) ELSE p.url END AS website
+          CASE WHEN c.c_custkey % 10 = 3 THEN NULL WHEN c.c_custkey % 40 = 21 THEN 'https://www.instagram.com/p' || CAST(c.c_custkey AS STRING) WHEN c.c_custkey % 10 = 1 THEN 'https://www.facebook.com/p' || CAST(c.c_custkey AS STRING) ELSE p.url END AS website
         FROM (SELECT *, c_custkey % (SELECT count(*) FROM pages) AS page_no FROM customer) c
         JOIN pages p ON p.page_id = c.page_no JOIN nation n ON n.n_nationkey = c.c_nationkey) b"""
 
 
+DUP = "location, contact_name, email, place_id, ai_score, confidence_score, website_verified, contact_email, generic_email, principal_name, personal_email_guesses, phone"
+
+
 def leads_dup(d: Dialect) -> str:
     """leads with later copies of a third of them: other case and spaces, some without email."""
-    return """SELECT lead_id, ingest_seq, company_name, website, location, contact_name, email, place_id, ai_score, confidence_score FROM leads
-      UNION ALL SELECT lead_id || 'x', ingest_seq + 100000000, '  ' || upper(company_name), website, location, coalesce(contact_name, 'Late Name'), CASE WHEN ingest_seq % 2 = 0 THEN email END, place_id, ai_score, confidence_score FROM leads WHERE ingest_seq % 3 = 1"""
+    late = DUP.replace("contact_name", "coalesce(contact_name, 'Late Name')", 1).replace(" email,", " CASE WHEN ingest_seq % 2 = 0 THEN email END,", 1)
+    return f"""SELECT lead_id, ingest_seq, company_name, website, {DUP} FROM leads
+      UNION ALL SELECT lead_id || 'x', ingest_seq + 100000000, '  ' || upper(company_name), website, {late} FROM leads WHERE ingest_seq % 3 = 1"""
 
 
 def existing(d: Dialect) -> str:
@@ -79,9 +85,13 @@ def existing(d: Dialect) -> str:
 
 
 def later(d: Dialect) -> str:
-    """A later run over the known leads: some contacts lost or replaced, some addresses replaced."""
-    return """SELECT lead_id, ingest_seq, company_name, CASE WHEN ingest_seq % 4 = 0 THEN NULL WHEN ingest_seq % 4 = 1 THEN 'New Name' ELSE contact_name END AS contact_name,
-        CASE WHEN ingest_seq % 3 = 0 THEN 'new@x.org' ELSE email END AS email FROM existing"""
+    """A later run over the known leads: some contacts lost or replaced, some addresses replaced, other lists and details found."""
+    found = d.slice(d.array(["Ann Lee", "Jane Doe", "Bo Li"]), "1", "ingest_seq % 4")
+    guessed = d.slice(d.array(["a@x.org", "b@x.org", "c@x.org"]), "1", "CAST(floor(ingest_seq / 5) AS BIGINT) % 4")
+    return f"""SELECT lead_id, ingest_seq, company_name, CASE WHEN ingest_seq % 4 = 0 THEN NULL WHEN ingest_seq % 4 = 1 THEN 'New Name' ELSE contact_name END AS contact_name,
+        CASE WHEN ingest_seq % 3 = 0 THEN 'new@x.org' ELSE email END AS email,
+        {found} AS contact_names, {guessed} AS personal_email_guesses, CASE WHEN ingest_seq % 4 < 2 THEN '01999 ' || CAST(ingest_seq AS STRING) END AS phone, CASE WHEN ingest_seq % 3 = 1 THEN 'later@' || 'x.org' END AS generic_email,
+        CASE WHEN ingest_seq % 7 = 2 THEN 'https://linkedin.com/in/later' END AS linkedin, CASE WHEN ingest_seq % 4 = 3 THEN '12' END AS employee_count, 'LATER' AS sector FROM existing"""
 
 
 def found_emails(d: Dialect) -> str:

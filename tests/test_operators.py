@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from leadlake.functions.rules import PARKED
 from leadlake.operators import filters, joins, merges, reports, texts, windows
 
@@ -141,12 +143,121 @@ def test_answers_by_kind(spark):
     assert got == [("Emma Jones", True, 3.0, 1, "none"), (None, False, 3.0, 1, "none"), ("Emma Jones", None, 1.0, 1, "none"), ("Laura Evans", False, 1.0, 1, "found"), ("Emma Jones", None, 3.0, 1, "invalid_name"), ("Emma Jones", None, 3.0, 1, "invalid_name"), ("Emma Jones", None, 3.0, 8, "none"), ("Emma Jones", None, 3.0, 1, "none")]
 
 
-def test_options_of_a_search(spark):
-    own = leads(spark, dict(company_name="Zed Gym"), dict(company_name="Zed Clinic")).selectExpr("*", "'office' AS category", "6 AS ai_score", "'x' AS sector", "CAST(NULL AS STRING) AS geo_relevance")
-    assert column(filters.search_leads(leads=own), "lead_id") == ["1"]
-    assert column(filters.search_leads({"company": "Gym", "least": 6}, leads=own), "lead_id") == ["0"]
-    assert column(filters.search_leads({"company": "", "sector": "", "location": ""}, leads=own), "lead_id") == ["0", "1"]
-    assert column(filters.search_leads({"least": 7, "company": ""}, leads=own), "lead_id") == []
+def test_search_by_one_text_and_what_is_given(spark):
+    rows = [(6, "local", "Mach", "office"), (6, "exclude", None, "office"), (None, None, "x", "unit8"), (3, "review", "x", "office")]
+    own = leads(spark, *(dict(company_name=n, location=p) for n, p in (("Zed Gym", "Woking"), ("Woking Clinic", None), ("Zed", "Woking, GU1"), ("Wok", None))))
+    own = own.join(spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "lead_id string, ai_score int, geo_relevance string, sector string, category string"), "lead_id")
+    found = lambda **o: column(filters.search_leads(o, leads=own), "lead_id")
+    assert found() == ["0"]
+    assert found(geo="") == ["0", "1"]
+    assert found(search="mach", geo="") == ["0"]
+    assert found(category=None, least=None) == ["0", "2", "3"]
+    assert found(category=None, least=None, search="", geo="") == ["0", "1", "2", "3"]
+    assert found(category=None, least=None, search="", geo="exclude") == ["1"]
+    assert found(category=None, least=0, geo="") == ["0", "1", "3"]
+    assert found(search="gym woking", geo="") == []
+
+
+def test_cohorts_of_leads_never_enriched_or_given_up(spark):
+    own = leads(spark, dict(), dict(), dict(), dict(contact_name="Emma Jones", confidence_score=2.0, email="a@b.org"), dict(website="https://instagram.com/x", contact_name="nan"))
+    more = [(None, None, False), ("2024-06-05", False, None), (None, True, None), ("2024-06-04", None, True), (None, None, None)]
+    own = own.join(spark.createDataFrame([(str(i), *r) for i, r in enumerate(more)], "lead_id string, day string, missing_name_final boolean, email_guessed boolean").selectExpr("lead_id", "CAST(day AS DATE) AS last_enriched_date", "missing_name_final", "email_guessed"), "lead_id")
+    found = lambda **o: sorted((r.lead_id, r.cohort) for r in filters.cohorts(o, leads=own).collect())
+    assert found() == [("0", "A"), ("3", "B"), ("3", "C")]
+    assert found(force=True) == [("0", "A"), ("1", "A"), ("3", "B"), ("3", "C")]
+
+
+def test_unknown_attempts_are_none(spark):
+    own = leads(spark, dict(), dict(), dict(contact_name="Emma Jones")).withColumn("enrichment_status", F.lit("x")).join(spark.createDataFrame([("0", None), ("1", 2), ("2", 5)], "lead_id string, enrichment_attempts int"), "lead_id")
+    assert column(filters.unreachable(leads=own), "missing_final", "status") == [(False, "x"), (True, "missing_name_final"), (False, "x")]
+
+
+DUP = "lead_id string, ingest_seq long, company_name string, website string, website_verified string, contact_name string, email string, contact_email string, generic_email string, principal_name string, personal_email_guesses array<string>, phone string, ai_score int"
+
+
+def test_survivors_by_band_of_data_points(spark):
+    full = ("yes", "Emma Jones", "emma@acme.org", None, "info@acme.org", "Ruth Evans", ["a@b.org"], "1", None)
+    bare, some = (None, None, None, None, None, None, [], None, 8), ("yes", "Emma Jones", None, None, None, None, [], None, None)
+    rows = [("Acme", "acme.org", bare), (" acme", "https://acme.org", full), ("Zed", "zed.org", some), ("ZED", "zed.org", ("yes", "Emma Jones", None, None, None, "Ruth Evans", [], None, None)), ("Zed", None, bare), ("Solo", None, bare)]
+    dup = spark.createDataFrame([(str(i), i, n, w, *r) for i, (n, w, r) in enumerate(rows)], DUP)
+    got = {r.lead_id: r.first_seq for r in windows.dedupe_keep_best_score(leads_dup=dup).collect()}
+    # the full row beats the bare one with the better model score; of two of one band (4 and 5 points) the first stays
+    assert got == {"1": 0, "2": 2, "4": 4, "5": 5}
+    plan = windows.dedupe_keep_best_score(leads_dup=dup)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_candidates_by_role(spark):
+    rows = [
+        dict(contact_name="Book Now", contact_names=["Helen Brown - Therapist", "Laura Evans, Managing Director", "Ruth Taylor (Owner)"]),
+        dict(contact_name="Book Now", contact_names=["Helen Brown", "Dr Ruth Evans", "Laura Taylor | Head of care"]),
+        dict(contact_name="Book Now", contact_names=["Ann Taylor"], location="Laura Evans"),
+        dict(contact_name="Book Now", contact_names=["Ann Taylor"], location="Xqanu Jones"),  # looks made up
+        dict(contact_name="Book Now", contact_names=[], location="Xqanu Jones"),
+    ]
+    own = leads(spark, *rows).withColumnRenamed("location", "found_contact")
+    got = column(windows.resolve_contact({"main": "found_contact"}, leads=own), "action", "contact_name", "candidates")
+    assert got == [
+        ("replaced", "Ruth Taylor", "Ruth Taylor; Laura Evans; Helen Brown"), ("replaced", "Laura Taylor", "Laura Taylor; Dr Ruth Evans; Helen Brown"),
+        ("replaced", "Laura Evans", "Laura Evans; Ann Taylor"), ("replaced", "Ann Taylor", "Ann Taylor"), ("cleared", None, None),
+    ]
+    assert column(windows.resolve_contact(leads=own), "contact_name")[2:] == ["Ann Taylor", "Ann Taylor", None]
+
+
+REFINE = DUP + ", contact_names array<string>, team_email_guesses array<string>, enrichment_source array<string>, refinement_notes array<string>, principal_email_guess string, category string"
+
+
+def refined(spark, *rows, known=()):
+    from leadlake.plans import pipelines
+
+    base = dict(company_name="Acme", website="https://acme.org", website_verified=None, contact_name=None, email=None, contact_email=None, generic_email=None, principal_name=None, personal_email_guesses=[], phone=None, ai_score=None, contact_names=[], team_email_guesses=[], enrichment_source=[], refinement_notes=[], principal_email_guess=None, category="unit8")
+    names = [f.split()[0] for f in REFINE.split(", ")]
+    table = lambda rs: spark.createDataFrame([tuple({"lead_id": str(i), "ingest_seq": i, **base, "company_name": f"Acme {i}", **r}[n] for n in names) for i, r in enumerate(rs)], REFINE)
+    return {r.lead_id: r for r in pipelines.refine(leads=table(rows), existing=table(known)).collect()}
+
+
+def test_refinement_of_addresses_and_web_presence(spark):
+    got = refined(
+        spark,
+        dict(email="info@acme.org", contact_name="Emma Jones"),
+        dict(email="xkqz@acme.org", contact_name="Emma Jones"),
+        dict(email="laura.evans@acme.org", contact_name="Emma Jones"),
+        dict(website="https://instagram.com/acme", email="info@acme.org"),
+        dict(website="https://facebook.com/acme"),
+        dict(website=None, enrichment_source=["https://www.facebook.com/x"], email="emma@gmail.com", generic_email="team@acme.org"),
+        dict(contact_name="Emma Jones", contact_names=["Emma Jones", "Laura Evans", "Woking Clinic"]),
+        dict(category="office"),
+    )
+    assert set(got) == set("0123456")
+    r = got["0"]
+    # the shared address leaves `email`; the site's own `info@` takes the empty shared field
+    assert (r.contact_email, r.generic_email, r.email_type, r.personal_guesses.split(" | ")[0]) == (None, "info@acme.org", "both", "emma.jones@acme.org")
+    assert (got["1"].contact_email, got["1"].notes) == (None, "gibberish_email_cleared:xkqz@acme.org")
+    assert (got["2"].contact_email, got["2"].name_review_needed, got["2"].notes, got["2"].email_type) == ("laura.evans@acme.org", True, "email_contact_mismatch:laura.evans@acme.org", "both")
+    r = got["3"]
+    assert (r.excluded, r.website_verified, r.generic_email, r.notes, r.missing_email) == (True, "no", "info@acme.org", "excluded:no_web_no_fb", False)
+    assert (got["4"].excluded, got["4"].website_verified, got["4"].missing_email, got["4"].points) == (False, "facebook", True, 1)
+    assert (got["5"].excluded, got["5"].facebook_url, got["5"].email_type, got["5"].points) == (False, "https://www.facebook.com/x", "both", 3)
+    assert (got["6"].team_guesses, got["6"].data_score) == ("Laura Evans: laura.evans@acme.org", "medium")
+    assert got["6"].points == 2 + 2 + 1 + 1  # site, contact, shared address, guesses
+
+
+def test_refinement_of_principals_and_survivors(spark):
+    known = [dict(company_name="acme 0", principal_name="Emma Jones", principal_email_guess="e@acme.org"), dict(company_name="acme 1", principal_name="Woking Clinic", principal_email_guess="b@acme.org"), dict(company_name="ACME 2", principal_name="Ruth Evans", principal_email_guess="r@acme.org")]
+    got = refined(spark, dict(contact_name="Emma Jones"), dict(), dict(website="https://facebook.com/a", contact_name="Ruth Evans"), dict(company_name="Same", phone="1"), dict(company_name=" same ", phone="2"), known=known)
+    assert (got["0"].principal_name, got["0"].principal_guess) == ("Emma Jones", None)  # one person with guesses of their own
+    assert (got["1"].principal_name, got["1"].principal_guess) == (None, None)
+    assert (got["2"].principal_name, got["2"].principal_guess, got["2"].personal_guesses) == ("Ruth Evans", None, "r@acme.org")
+    assert set(got) == {"0", "1", "2", "3"}
+
+
+def test_lists_and_details_of_a_later_run(spark):
+    fields = ["phone", "generic_email", "linkedin", "employee_count", "sector"]
+    schema = "lead_id string, contact_names array<string>, personal_email_guesses array<string>, " + ", ".join(f"{f} string" for f in fields)
+    own = spark.createDataFrame([("0", ["A"], [], "1", " ", None, None, "s"), ("1", ["A"], ["g"], *[None] * 5), ("2", None, None, *[None] * 5)], schema)
+    later = spark.createDataFrame([("0", ["B"], ["h"], "2", "i@j", "l", "9", "t"), ("1", ["B", "C"], ["h"], None, "", "l", None, "t")], schema)
+    assert column(merges.longer_list(leads=own, later=later), "contact_names", "guesses") == [("A", "h"), ("B; C", "g"), ("", "")]
+    assert column(merges.fill_if_empty(leads=own, later=later), *fields) == [("1", "i@j", "l", "9", "s"), (None, None, "l", None, "t"), (None,) * 5]
 
 
 def test_discovery_funnel(spark):
