@@ -60,18 +60,28 @@ def place_tokens(d, x: str) -> str:
     return d.distinct(d.filter(d.split(f"trim({d.rep(f'lower({x})', '[^a-z0-9 ]')})", " +"), "w", f"w <> '' AND NOT {d.word('w', R.PLACE_STOP)}"))
 
 
-def substrings(x: str, least: int) -> str:
-    """All distinct parts of x of at least so many characters: what contains a key is found by equal keys."""
-    every = f"flatten(transform(sequence(1, length({x})), i -> transform(sequence({least}, greatest({least}, length({x}) - i + 1)), n -> substr({x}, i, n))))"
-    return f"CASE WHEN length({x}) >= {least} THEN array_distinct(filter({every}, s -> length(s) >= {least})) ELSE CAST(array() AS ARRAY<STRING>) END"
+#: Lengths of the parts by which keys are looked up; a key uses the longest that fits into it.
+GRAMS = (16, 8, 4, 2, 1)
 
 
-def held_in(holder: str, x: str, keys: str, key: str, least: int) -> str:
-    """(x, key) for each key of at least so many characters that lies in x: the places in x where a key's first characters stand, then equal parts from there."""
-    places = f"SELECT {x}, explode(sequence(1, length({x}) - {least - 1})) AS i FROM {holder} WHERE length({x}) >= {least}"
-    begun = f"SELECT {x}, i FROM ({places}) g LEFT SEMI JOIN (SELECT DISTINCT left({key}, {least}) AS start FROM {keys}) b ON substr(g.{x}, g.i, {least}) = b.start"
-    parts = f"SELECT {x}, explode(transform(sequence({least}, length({x}) - i + 1), n -> substr({x}, i, n))) AS s FROM ({begun}) m"
-    return f"SELECT DISTINCT p.{x}, k.{key} FROM ({parts}) p JOIN (SELECT DISTINCT {key} FROM {keys} WHERE {key} IS NOT NULL) k ON p.s = k.{key}"
+def held_in(holder: str, x: str, keys: str, key: str) -> str:
+    """(x, key) for each non-empty key that lies in x.
+
+    Each key stands in an index under its rarest part of one of the lengths of
+    `GRAMS`, rarest among the holders' parts; holders are probed with their parts
+    at all places, and what meets is compared as a whole.  The work follows the
+    holders' length (five parts a place), not its square.
+    """
+    sizes = f"array({', '.join(map(str, GRAMS))})"
+    own = "CASE " + " ".join(f"WHEN length({key}) >= {n} THEN {n}" for n in GRAMS) + " END"
+    parts = lambda of, n: f"flatten(transform(sequence(1, length({of})), i -> transform(filter({n}, n -> i + n - 1 <= length({of})), n -> struct(i AS at, substr({of}, i, n) AS gram))))"
+    return f"""SELECT DISTINCT {x}, {key} FROM (WITH
+        key_parts AS (SELECT {key}, p.at, p.gram FROM (SELECT {key}, explode({parts(key, f'array({own})')}) AS p FROM (SELECT DISTINCT {key} FROM {keys} WHERE {key} <> '') k) e),
+        holder_parts AS (SELECT h.{x}, h.p.at AS at, h.p.gram AS gram FROM (SELECT {x}, explode({parts(x, sizes)}) AS p FROM (SELECT DISTINCT {x} FROM {holder} WHERE {x} <> '') d) h LEFT SEMI JOIN (SELECT DISTINCT gram FROM key_parts) g ON g.gram = h.p.gram),
+        times AS (SELECT gram, count(*) AS n FROM holder_parts GROUP BY gram),
+        rarest AS (SELECT {key}, min(struct(n, at, gram)) AS r, count(*) AS met FROM (SELECT k.{key}, k.at, k.gram, t.n FROM key_parts k JOIN times t ON t.gram = k.gram) m GROUP BY {key}),
+        whole AS (SELECT {key}, r.at AS at, r.gram AS gram FROM rarest WHERE met = length({key}) - length(r.gram) + 1)
+        SELECT h.{x}, w.{key} FROM holder_parts h JOIN whole w ON w.gram = h.gram AND substr(h.{x}, h.at - w.at + 1, length(w.{key})) = w.{key} WHERE h.at >= w.at) held"""
 
 
 def _lead_side(d) -> str:
@@ -117,8 +127,8 @@ def link_places(d):
     return f"""SELECT lead_id, place_id, tier FROM (WITH {sides}
         word_of AS (SELECT w.pos, w.addr, w.gu, w.token FROM (SELECT pos, addr, gu, explode(pn) AS token FROM jp) w LEFT SEMI JOIN (SELECT DISTINCT explode(cn) AS token FROM jl) l ON l.token = w.token),
         known AS (SELECT pos, array_sort(collect_set(token)) AS pn FROM word_of GROUP BY pos),
-        town_of AS ({held_in('(SELECT DISTINCT addr FROM jp)', 'addr', 'jl', 'town', 3)}),
-        name_of AS ({held_in('(SELECT DISTINCT dn FROM jp)', 'dn', 'jl', 'surname', 4)}),
+        town_of AS ({held_in('jp', 'addr', 'jl', 'town')}),
+        name_of AS ({held_in('jp', 'dn', 'jl', 'surname')}),
         first_key AS (SELECT key, min(pos) AS pos FROM (SELECT pos, explode(concat(pn, {pairs('pn')}, {triples('pn')})) AS key FROM known) x GROUP BY key),
         few AS (SELECT l.lead_id, 1 AS tier, min(k.pos) AS pos FROM (SELECT lead_id, explode(CASE need WHEN 1 THEN cn WHEN 2 THEN {pairs('cn')} ELSE {triples('cn')} END) AS key FROM jl WHERE need BETWEEN 1 AND 3) l JOIN first_key k ON k.key = l.key GROUP BY l.lead_id),
         sets AS (SELECT pn, min(pos) AS pos FROM known GROUP BY pn),
@@ -142,16 +152,17 @@ def link_places(d):
 def link_registry_by_name(d):
     """The first registry title, of a company that still trades, that contains the lead's name without its legal suffix or lies in it; empty names link to none.
 
-    Containment is found by equal parts: a title's parts that are names, and a
-    name's parts that are titles, each with the first title only.
+    Containment goes through an index of rare parts, both ways, between distinct
+    names and distinct titles, of which the first row stands for all.
     """
     clean = f"lower(trim({d.rep('company_name', '(?i)\\s*(ltd|limited|llp|plc|inc)[.]?\\s*$')}))"
     left, right = f"SELECT lead_id, {clean} AS clean FROM leads WHERE {clean} <> ''", f"SELECT lead_id AS number, ingest_seq AS seq, lower(company_name) AS title FROM existing WHERE coalesce(company_status, '') NOT IN ('dissolved', 'liquidation') AND company_name <> ''"
     if d.duck:  # the rule itself, over all pairs
         return f"SELECT lead_id, number FROM (SELECT l.lead_id, e.number, row_number() OVER (PARTITION BY l.lead_id ORDER BY e.seq) AS n FROM ({left}) l JOIN ({right}) e ON contains(e.title, l.clean) OR contains(l.clean, e.title)) t WHERE n = 1"
     return f"""SELECT lead_id, number FROM (WITH jl AS ({left}), jt AS (SELECT title, min(seq) AS seq FROM ({right}) x GROUP BY title),
-        inside AS (SELECT s, min(seq) AS seq FROM (SELECT seq, explode({substrings('title', 1)}) AS s FROM jt) x LEFT SEMI JOIN (SELECT DISTINCT clean FROM jl) c ON c.clean = x.s GROUP BY s),
-        around AS (SELECT l.clean, min(t.seq) AS seq FROM (SELECT clean, explode({substrings('clean', 1)}) AS s FROM (SELECT DISTINCT clean FROM jl) x) l JOIN jt t ON t.title = l.s GROUP BY l.clean),
+        jc AS (SELECT DISTINCT clean FROM jl),
+        inside AS (SELECT h.clean AS s, min(t.seq) AS seq FROM ({held_in('jt', 'title', 'jc', 'clean')}) h JOIN jt t ON t.title = h.title GROUP BY h.clean),
+        around AS (SELECT h.clean, min(t.seq) AS seq FROM ({held_in('jc', 'clean', 'jt', 'title')}) h JOIN jt t ON t.title = h.title GROUP BY h.clean),
         first AS (SELECT l.lead_id, least(i.seq, a.seq) AS seq FROM jl l LEFT JOIN inside i ON i.s = l.clean LEFT JOIN around a ON a.clean = l.clean)
         SELECT f.lead_id, e.lead_id AS number FROM first f JOIN existing e ON e.ingest_seq = f.seq) linked"""
 

@@ -135,6 +135,20 @@ def test_registry_titles_contain_names_or_lie_in_them(spark):
     assert got == {str(i): n for i, (_, n) in enumerate(rows) if n}
 
 
+def test_containment_equals_all_pairs_and_takes_long_titles(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("ab ü") for _ in range(n)).strip() or "a"
+    titles = [text(rng.choice([1, 3, 6, 20, 40])) for _ in range(60)] + ["x" * 10_000 + "acme hold" + "yz" * 300, "the acme holdings of the whole long street"]
+    names = [text(rng.choice([1, 2, 4, 9, 17, 33])) for _ in range(80)] + ["acme hold", "x" * 10_000, "qq the acme holdings of the whole long street qq", "acme holx"]
+    got = {r.lead_id: int(r.number) for r in joins.link_registry_by_name(leads=leads(spark, *(dict(company_name=n) for n in names)), existing=leads(spark, *(dict(company_name=t) for t in titles))).collect()}
+    want = {}
+    for i, n in enumerate(names):
+        found = [j for j, t in enumerate(titles) if n.strip() and (n.strip() in t or t in n.strip())]
+        if found:
+            want[str(i)] = found[0]
+    assert got == want
+
+
 def test_answers_by_kind(spark):
     answers = [("0", 2, "REJECTED"), ("0", 1, "CONFIRMED"), ("1", 1, "REJECTED"), ("2", 1, "UNCERTAIN"), ("3", 1, "FOUND: Laura Evans | Director"), ("4", 1, "FOUND: Acme Therapy"), ("5", 1, "FOUND: Book"), ("6", 1, '{"score": 8}')]
     verdicts = spark.createDataFrame(answers, "lead_id string, answered_at int, answer string")
