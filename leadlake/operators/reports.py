@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+
+from ..functions.dialect import SPARK
 from ..functions.emails import generic_prefix, has_at
 from ..functions.keys import blank, normal, social
 from ..functions.names import contact_valid, suspect
-from .core import operator
+from ..sources.store import folder
+from .core import job, operator
 from .filters import cohort_tests, guess_flag, js_reason, not_fresh, note, rescrape
 from .joins import LINK_SIDES, link_places
 
@@ -155,9 +160,9 @@ def match_tier_counts(d):
 
 
 @operator("A17", "usage")
-def usage_ledger(d):
-    """Calls, tokens and cost by day and interface."""
-    return f"SELECT api, CAST(ts AS DATE) AS usage_date, sum(calls) AS calls, sum(tokens) AS tokens, {d.even('CASE WHEN api = ' + d.lit('view') + ' THEN CAST(sum(tokens) AS DOUBLE) / 1000 * CAST(0.00015 AS DOUBLE) ELSE CAST(sum(calls) AS DOUBLE) * CAST(0.019 AS DOUBLE) END', 6)} AS cost FROM usage GROUP BY api, CAST(ts AS DATE)"
+def usage_ledger(d, by_tokens: str = "view", token_price: float = 0.00015, call_price: float = 0.019):
+    """Calls, tokens and cost by day and interface; the interface `by_tokens` is paid by thousands of tokens, all others by calls."""
+    return f"SELECT api, CAST(ts AS DATE) AS usage_date, sum(calls) AS calls, sum(tokens) AS tokens, {d.even(f'CASE WHEN api = {d.lit(by_tokens)} THEN CAST(sum(tokens) AS DOUBLE) / 1000 * CAST({token_price:f} AS DOUBLE) ELSE CAST(sum(calls) AS DOUBLE) * CAST({call_price:f} AS DOUBLE) END', 6)} AS cost FROM usage GROUP BY api, CAST(ts AS DATE)"
 
 
 #: Parts into which the pages of a host are dealt.
@@ -197,9 +202,23 @@ def patterns_by_hits(d):
     return "SELECT site_pattern AS pattern, count_if(website IS NOT NULL) AS hits FROM leads GROUP BY 1 ORDER BY hits DESC, pattern DESC"
 
 
-@operator("S15", "leads")
-def run_metrics(d):
-    """One row for each counter of a run."""
-    one = lambda n, e: f"SELECT 'cleanup' AS job, '{n}' AS metric, CAST({e} AS DOUBLE) AS value FROM leads"
-    return " UNION ALL ".join([one("leads", "count(*)"), one("flagged", f"count_if({suspect_reason(d)} IS NOT NULL)"), one("guessed", f"count_if({guess_flag(d)} IS NOT NULL)"), one("social", f"count_if({social(d, 'website')})"), one("with_at", f"count_if({has_at('email')})"), one("blank_names", f"count_if({blank('contact_name')} IS NULL)")])
+def counters(d) -> dict[str, str]:
+    """The counters of a clean-up run, as aggregates over its leads."""
+    return {"leads": "count(*)", "flagged": f"count_if({suspect_reason(d)} IS NOT NULL)", "guessed": f"count_if({guess_flag(d)} IS NOT NULL)", "social": f"count_if({social(d, 'website')})", "with_at": f"count_if({has_at('email')})", "blank_names": f"count_if({blank('contact_name')} IS NULL)"}
+
+
+def _metrics_sql(d) -> str:
+    return " UNION ALL ".join(f"SELECT 'cleanup' AS job, '{n}' AS metric, CAST({e} AS DOUBLE) AS value FROM leads" for n, e in counters(d).items())
+
+
+def observed(rows: DataFrame, path: str, name: str, wanted: dict[str, str]) -> DataFrame:
+    """Write rows as Parquet and give what was counted on the way, one row a counter (job, metric, value): no scan but the write's own."""
+    seen = Observation(name)
+    rows.observe(seen, *(F.expr(e).cast("double").alias(n) for n, e in wanted.items())).write.mode("append").parquet(path)
+    return rows.sparkSession.createDataFrame([(name, n, seen.get[n]) for n in wanted], "job string, metric string, value double")
+
 
+@job("S15", "leads", plain=_metrics_sql)
+def run_metrics(leads: DataFrame, path: str | None = None, name: str = "cleanup") -> DataFrame:
+    """One row for each counter of a run, taken while the run's leads are written (to `path`, else to a new folder)."""
+    return observed(leads, path or folder(leads.sparkSession, "run"), name, counters(SPARK))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions.keys import name_key, tokens
-from .core import operator
+from .core import job, operator
 from .filters import guess_flag
+from .numbering import numbered
 from .reports import suspect_reason
 from .windows import contacts
 
@@ -15,10 +19,15 @@ def union_categories(d):
     return "SELECT lead_id, 'unit8' AS category FROM leads WHERE category = 'unit8' UNION ALL SELECT lead_id, 'office' AS category FROM leads WHERE category = 'office'"
 
 
-@operator("O2", "leads", "existing")
-def union_existing_new(d):
-    """Known leads, then new ones, in order."""
-    return "SELECT lead_id, part, row_number() OVER (PARTITION BY part ORDER BY ingest_seq) AS seq FROM (SELECT lead_id, ingest_seq, 0 AS part FROM existing UNION ALL SELECT lead_id, ingest_seq, 1 AS part FROM leads WHERE ingest_seq % 5 <> 0) t"
+def _union_sql(d) -> str:
+    return "SELECT lead_id, part, row_number() OVER (ORDER BY part, ingest_seq) AS seq FROM (SELECT lead_id, ingest_seq, 0 AS part FROM existing UNION ALL SELECT lead_id, ingest_seq, 1 AS part FROM newcomers) t"
+
+
+@job("O2", "existing", "newcomers", plain=_union_sql)
+def union_existing_new(existing: DataFrame, newcomers: DataFrame) -> DataFrame:
+    """Known leads, then new ones, each in order, with their place among all from 1."""
+    part = lambda rows, n: rows.select("lead_id", "ingest_seq", F.lit(n).alias("part"))
+    return numbered(part(existing, 0).unionByName(part(newcomers, 1)), ["part", "ingest_seq"]).select("lead_id", "part", "seq")
 
 
 @operator("O3", "leads")

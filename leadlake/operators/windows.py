@@ -134,13 +134,6 @@ def promote_contact(d):
         FROM (SELECT lead_id, own, other, company, coalesce({verdict(d, 'own')} = 'valid:', false) AS ok FROM (SELECT lead_id, {own} AS own, {other} AS other, {company} AS company FROM (SELECT lead_id, {normal(d, 'contact_name')} AS contact_name, contact_names, company_name FROM leads) a) b) c"""
 
 
-@operator("W11", "leads", "usage")
-def allocate_quota(d, day: str = "2024-01-02", cap: int = 500):
-    """Leads without a site in order, up to the day's cap less what is used; the rest wait."""
-    used = f"(SELECT count(*) FROM usage WHERE CAST(ts AS DATE) = DATE '{day}')"
-    return f"SELECT lead_id, place, place <= greatest({cap} - {used}, 0) AS allowed FROM (SELECT lead_id, row_number() OVER (ORDER BY ingest_seq) AS place FROM (SELECT lead_id, ingest_seq FROM leads WHERE website IS NULL ORDER BY ingest_seq LIMIT {cap}) h) t"
-
-
 @operator("W12", "leads")
 def sample_head(d, most: int = 20):
     """The first leads without a contact, for a trial run."""

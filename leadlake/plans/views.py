@@ -84,6 +84,15 @@ def existing(d: Dialect) -> str:
     return "SELECT * FROM leads WHERE ingest_seq % 5 = 0"
 
 
+def newcomers(d: Dialect) -> str:
+    return "SELECT * FROM leads WHERE ingest_seq % 5 <> 0"
+
+
+def requests(d: Dialect) -> str:
+    """Calls that leads without a site wait for, with their layer and price in millionths of a dollar."""
+    return "SELECT lead_id, ingest_seq, CASE ingest_seq % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'model' ELSE 'places' END AS layer, CASE ingest_seq % 4 WHEN 0 THEN 0 WHEN 1 THEN 225 + ingest_seq % 100 ELSE 19000 END AS micros FROM leads WHERE website IS NULL OR ingest_seq % 6 = 0"
+
+
 def later(d: Dialect) -> str:
     """A later run over the known leads: some contacts lost or replaced, some addresses replaced, other lists and details found."""
     found = d.slice(d.array(["Ann Lee", "Jane Doe", "Bo Li"]), "1", "ingest_seq % 4")
@@ -205,6 +214,8 @@ VIEWS = {
     "leads": (leads, []),
     "leads_dup": (leads_dup, ["leads"]),
     "existing": (existing, ["leads"]),
+    "newcomers": (newcomers, ["leads"]),
+    "requests": (requests, ["leads"]),
     "later": (later, ["existing"]),
     "found_emails": (found_emails, ["leads"]),
     "site_emails": (site_emails, ["leads"]),
