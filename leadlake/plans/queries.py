@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.dialect import DUCK, SPARK
 from ..operators import filters, joins, merges, quotas, reports, sets, texts, windows  # noqa: F401
 from ..operators.core import OPERATORS, Operator
-from ..sources import pages  # noqa: F401
+from ..sources import pages, structure  # noqa: F401
 from . import pipelines  # noqa: F401
 from .views import VIEWS, with_views
 

@@ -185,6 +185,44 @@ def rich_pages(d: Dialect) -> str:
         WHEN 2 THEN '<script type="application/ld+json">{{"@type":"Organization","contactPoint":{{"email":"' || {mail} || '"}}}}</script>' ELSE '<img alt="mail ' || {mail} || '">' END AS html FROM pages"""
 
 
+def _with(d: Dialect, cases: list[str], by: str = "page_id") -> str:
+    """The pages' markup with one of the endings, by remainder, before the body's end or at the end."""
+    return f"html || CASE {by} % {len(cases)} " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)) + " END"
+
+
+def linked_pages(d: Dialect) -> str:
+    """Pages with linked data of several shapes, some of it broken, and addresses in footers and contact blocks."""
+    mail = f"'m' || CAST(page_id AS STRING) || '@' || {host(d, 'url')}"
+    data = lambda body: "'<script type=\"application/ld+json\">" + body.replace("@@", f"' || {mail} || '") + "</script>'"
+    cases = [data('{"email":"mailto:@@"}'), data('{"@graph":[{"@type":"x"},{"contactPoint":[{"email":"@@"},{"email":"a.@@"}]}]}'), data('[{"contactPoint":"@@"}, 7]'), data('{"email":"@@"'), data('{"a":{"b":[[{"c":{"email":"@@"}}]]},"email":["@@"]}'), f"'<footer><p>write to ' || {mail} || '</p></footer>'", f"'<div id=\"contact-us\"><a href=\"mailto:' || {mail} || '?subject=x\">mail</a>'"]
+    return f"SELECT page_id, {_with(d, cases)} AS html FROM pages"
+
+
+def person_pages(d: Dialect) -> str:
+    """Pages that show people in several ways, by remainder."""
+    name = f"{pick(d, FIRST, slot('page_id', 3, len(FIRST)))} || ' ' || {pick(d, LAST, slot('page_id', 5, len(LAST)))}"
+    cases = [
+        f"'<div class=\"team\"><h3>' || {name} || '</h3><p>Director</p></div>'",
+        f"'<h2>' || {name} || '</h2><p>lead therapist</p><h2>Laura Evans</h2><p>Owner</p><h2>Helen Taylor</h2><p>Osteopath</p>'",
+        f"'<meta name=\"author\" content=\"' || {name} || '\">'",
+        f"'<script type=\"application/ld+json\">{{\"founder\":{{\"name\":\"' || {name} || '\",\"jobTitle\":\"Owner\"}}}}</script>'",
+        f"'<p>Our clinic was founded by ' || {name} || ' in May.</p><img alt=\"' || {name} || '\">'",
+    ]
+    return f"SELECT page_id, {_with(d, cases)} AS html FROM pages"
+
+
+def listing_pages(d: Dialect) -> str:
+    """Pages of three kinds of listing, with entries made of the pages' links."""
+    item = "replace(url, '/', ' ')"
+    entry = [
+        f"'<li class=\"type-company\"><a href=\"/c/' || CAST(page_id AS STRING) || '\">' || {item} || '</a><p>1 High St</p><span class=\"meta\">' || CASE WHEN page_id % 7 = 0 THEN 'Dissolved' ELSE 'Active' END || '</span></li>'",
+        f"'<div class=\"businessCapsule\"><h2>' || {item} || '</h2><span class=\"address\">2 Low Rd</span><a class=\"businessCapsule--callToAction\" href=\"' || url || '\">go</a><p class=\"businessCapsule--description\">text</p></div>'",
+        f"'<div class=\"g\"><a href=\"' || url || '\"><h3>' || {item} || ' - Home</h3></a><div class=\"VwiC3b\">snippet</div></div>'",
+    ]
+    kind = "CASE page_id % 3 WHEN 0 THEN 'registry' WHEN 1 THEN 'directory' ELSE 'search' END"
+    return f"SELECT page_id, {kind} AS kind, {_with(d, entry)} AS html FROM pages"
+
+
 def site_links(d: Dialect) -> str:
     """Anchors of each page in order; some targets are renamed to navigation pages by their place."""
     own = lambda href, pos: f"CASE ({pos}) % 4 WHEN 1 THEN '/about-' || replace({href}, '/', '') WHEN 2 THEN '/contact' ELSE {href} END"
@@ -229,6 +267,9 @@ VIEWS = {
     "usage": (usage, []),
     "page_text": (page_text, []),
     "rich_pages": (rich_pages, []),
+    "linked_pages": (linked_pages, []),
+    "person_pages": (person_pages, []),
+    "listing_pages": (listing_pages, []),
     "site_links": (site_links, []),
     "mailed_documents": (mailed_documents, []),
     "doc_emails": (doc_emails, ["mailed_documents"]),
