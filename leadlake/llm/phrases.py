@@ -28,13 +28,15 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import erase, written
-from .text import RunHasher, mix, parts
+from .text import mix, parts
 
 LONGEST, THRESHOLD, MOST, SHARDS = 5, 100, 2000, 3
 #: Slots of the broadcast table of phrases that have reached the threshold (one byte each).
@@ -47,21 +49,50 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(b" \t")] = _BLANK
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = _BREAK
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: A phrase, the scan it began with, its count so far and in the last scan; closed once every shard is counted.
-STATE = "lang string, phrase string, length int, began int, hash long, total long, fresh long, closed boolean"
+#: A phrase and the scan it began with; its count so far, and in the last scan.
+KEYS = ["lang", "phrase", "length", "began", "hash"]
+STATE = "lang string, phrase string, length int, began int, hash long, total long, fresh long"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes of all texts; start, end, piece and text of every word."""
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased words of all texts, each with one blank behind it, as bytes; the length, piece and text of each word."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    whole = b"\n".join(raw).translate(_LOWER)
-    kind = _KIND[np.frombuffer(whole, np.uint8)]
-    edge = np.diff(np.concatenate([[0], (kind == _WORD).astype(np.int8), [0]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    piece = np.cumsum(kind == _BREAK, dtype=np.int32)[start]
+    whole = np.frombuffer(b"\n".join([*raw, b""]).translate(_LOWER), np.uint8)
+    kind = _KIND[whole]
+    inside = kind == _WORD
+    after = np.zeros(len(whole), bool)  # the place behind each word
+    after[1:] = inside[:-1] & ~inside[1:]
+    start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        start = np.concatenate([[0], start])
+    joined = np.where(after, np.uint8(32), whole)[inside | after]
+    first = np.zeros(len(start) + 1, np.int64)  # whether a piece begins with a word
+    np.add.at(first, np.searchsorted(start, np.flatnonzero(kind == _BREAK)), 1)
     begin = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
-    return whole, start, end, piece, np.searchsorted(begin, start, side="right") - 1
+    return joined, np.flatnonzero(after) - start, np.cumsum(first)[:-1], np.searchsorted(begin, start, side="right") - 1
+
+
+def hashes(joined: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of parts of the bytes, eight bytes at a time."""
+    out = mix(size.astype(np.uint64) * _STEP)
+    padded = np.concatenate([joined, np.zeros(8, np.uint8)])
+    live, at = np.arange(len(start)), 0
+    while len(live := live[size[live] > at]):
+        chunk = padded[(start[live] + at)[:, None] + np.arange(8)].view("<u8").ravel()
+        rest = np.minimum(size[live] - at, 8).astype(np.uint64)
+        chunk &= ~np.uint64(0) >> (np.uint64(64) - rest * np.uint64(8))
+        out[live] = mix((out[live] ^ chunk) * _STEP + np.uint64(1))
+        at += 8
+    return out
+
+
+def _phrases(joined: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The parts of the joined words from `start` to `end` as strings."""
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    data = joined[np.repeat(start - offsets[:-1], end - start) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def slot(phrase: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -70,25 +101,27 @@ def slot(phrase: np.ndarray, slots: int = SLOTS) -> np.ndarray:
 
 
 def scan(texts: list[str], langs: list[str], reached: np.ndarray, now: int, shards: int, longest: int) -> list[tuple]:
-    """(length, begin, phrase hash, count, first word, last word) arrays by length of what scan number `now` counts, and the words."""
-    whole, start, end, piece, text = words(texts)
-    found = []
-    if not len(start):
-        return found
+    """What scan number `now` counts, a tuple of arrays for each length: (length, begin, phrase hash, count, first word, language); before them, the joined words, their starts and ends, and the languages' names."""
+    joined, size, piece, text = words(texts)
+    if not len(size):
+        return []
     names = {name: i for i, name in enumerate(dict.fromkeys(langs))}
-    cp, at = np.frombuffer("\n".join(names).encode("utf-8", "surrogatepass"), np.uint8), np.cumsum([0] + [len(x.encode("utf-8", "surrogatepass")) + 1 for x in names])
-    salt = RunHasher(cp.astype(np.uint32))(at[:-1], at[1:] - 1)
     lang = np.fromiter(map(names.__getitem__, langs), np.int64, len(langs))[text]
-    word = RunHasher(np.frombuffer(whole, np.uint8).astype(np.uint32))(start, end)
-    place = np.arange(len(start))
+    spelt = [n.encode("utf-8", "surrogatepass") for n in names]
+    length = np.fromiter(map(len, spelt), np.int64, len(spelt))
+    salt = hashes(np.frombuffer(b"".join(spelt), np.uint8), np.cumsum(length) - length, length)
+    start = np.cumsum(size + 1) - size - 1
+    word = hashes(joined, start, size)
+    place = np.arange(len(size))
     phrase = mix(word * _STEP + salt[lang])
-    began = np.zeros(len(start), np.int64)
+    began = np.zeros(len(size), np.int64)
+    found: list[tuple] = [(joined, start, start + size, list(names))]
     for k in range(1, longest + 1):
         counted = np.flatnonzero((began <= now) & (now < began + shards))
         if len(counted):
             key, first, n = np.unique(phrase[counted], return_index=True, return_counts=True)
             first = counted[first]
-            found.append((k, began[first], key, n, place[first], place[first] + k - 1, lang[place[first]]))
+            found.append((k, began[first], key, n, place[first], lang[place[first]]))
         if k == longest:
             break
         # both subphrases must have reached the threshold: those at neighbouring places, inside one piece
@@ -99,7 +132,7 @@ def scan(texts: list[str], langs: list[str], reached: np.ndarray, now: int, shar
         place, phrase = place[next_], mix(phrase[next_] * _STEP + word[place[next_] + k])
         if not len(place):
             break
-    return [(whole, start, end, list(names)), *found]
+    return found
 
 
 def counts(docs: DataFrame, reached: np.ndarray, now: int, shards: int, longest: int) -> DataFrame:
@@ -110,12 +143,12 @@ def counts(docs: DataFrame, reached: np.ndarray, now: int, shards: int, longest:
         for batch in batches:
             for b, texts in parts(batch, 1, SLICE_BYTES):
                 got = scan(texts, b.column(0).to_pylist(), table.value, now, shards, longest)
-                for k, began, key, n, first, last, lang in got[1:]:
-                    whole, start, end, names = got[0]
-                    spans = zip(start[first].tolist(), end[last].tolist(), strict=True)
-                    phrase = [whole[s:e] for s, e in spans] if k == 1 else [b" ".join(whole[s:e].split()) for s, e in spans]
+                if len(got) < 2:
+                    continue
+                joined, start, end, names = got[0]
+                for k, began, key, n, first, lang in got[1:]:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names, pa.string()).take(pa.array(lang)), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.full(len(key), k, np.int32)), pa.array(began.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(n)],
+                        [pa.array(names, pa.string()).take(pa.array(lang)), _phrases(joined, start[first], end[first + k - 1]), pa.array(np.full(len(key), k, np.int32)), pa.array(began.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(n)],
                         ["lang", "phrase", "length", "began", "hash", "n"],
                     )
 
@@ -132,27 +165,25 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST
     now, last = 0, -1
     while now <= last + shards and now < NEVER:
         new = counts(dealt.where(F.col("shard") == now % shards).select("lang", "text"), reached, now, shards, longest).withColumn("old", F.lit(0).cast("long"))
-        held = going.where("NOT closed").select("lang", "phrase", "length", "began", "hash", F.lit(0).cast("long").alias("n"), F.col("total").alias("old"))
-        summed = new.unionByName(held).groupBy("lang", "phrase").agg(F.first("length").alias("length"), F.first("began").alias("began"), F.first("hash").alias("hash"), F.sum(F.col("n") + F.col("old")).alias("total"), F.sum("n").alias("fresh"))
-        summed = summed.withColumn("closed", F.col("began") + shards - 1 == now).where(~F.col("closed") | (F.col("total") >= threshold) | (F.col("length") == 1))
-        going = written(summed, "phrases", "closed")
-        whole.append(going)
+        held = going.where(F.col("began") + shards > now).select(*KEYS, F.lit(0).cast("long").alias("n"), F.col("total").alias("old"))
+        state = written(new.unionByName(held).groupBy(*KEYS).agg(F.sum(F.col("n") + F.col("old")).alias("total"), F.sum("n").alias("fresh")), "phrases")
+        if now:
+            erase(going)
+        going = state
         # at most one number a slot comes to the driver
-        crossed = going.where((F.col("total") >= threshold) & (F.col("total") - F.col("fresh") < threshold) & (F.col("length") < longest))
+        crossed = state.where((F.col("total") >= threshold) & (F.col("total") - F.col("fresh") < threshold) & (F.col("length") < longest))
         fresh = crossed.select(F.shiftrightunsigned("hash", 65 - slots.bit_length()).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
         if len(fresh):
             last = now
             reached[fresh] = np.minimum(reached[fresh], now)
-        if now:
-            erase(whole[now - 1], part="closed=false")
+        if now >= shards - 1:  # what began `shards` scans ago has been counted in every shard
+            done = state.where((F.col("began") + shards - 1 == now) & ((F.col("total") >= threshold) | (F.col("length") == 1)))
+            whole.append(written(done.select("lang", "phrase", "length", F.col("total").alias("a")), "counted"))
         now += 1
-    erase(dealt)
-    done = whole[0].where("closed")
-    for state in whole[1:]:
-        done = done.unionByName(state.where("closed"))
-    found = done.where(F.col("total") >= threshold).select("lang", "phrase", "length", F.col("total").alias("a"))
-    # each word's count is closed by the scan that ends the first cycle
-    return written(found, "frequent"), whole[min(shards, now) - 1].where("closed AND length = 1").groupBy("lang").agg(F.sum("total").alias("n"))
+    erase(going, dealt)
+    found = reduce(DataFrame.union, whole).where(F.col("a") >= threshold)
+    # each word's count is complete with the first cycle
+    return found, whole[0].where("length = 1").groupBy("lang").agg(F.sum("a").alias("n"))
 
 
 def cuts(found: DataFrame, longest: int = LONGEST) -> DataFrame:
