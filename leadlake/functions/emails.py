@@ -75,6 +75,10 @@ def matches_contact(d: Dialect, email: str, name: str) -> str:
     return f"coalesce(NOT {has_at(email)} OR coalesce({name}, '') = '' OR {d.word(f'''lower(split_part({email}, '@', 2))''', R.FREE_MAIL)} OR {d.size(segments)} < 2 OR {d.size(parts)} = 0 OR {hit} OR {initial}, true)"
 
 
+#: What a guessed address looks like.
+GUESS = "^[a-z][a-z0-9._%+-]*@[a-z0-9.-]+\\.[a-z]{2,7}$"
+
+
 def guesses(d: Dialect, name: str, site: str) -> str:
     """Eight address patterns of a contact, in order; none without two words and a dotted domain."""
     w = d.split(f"lower(trim({name}))", "\\s+")
@@ -84,7 +88,7 @@ def guesses(d: Dialect, name: str, site: str) -> str:
     i, j = "left(y.a, 1)", "left(y.b, 1)"
     forms = ["y.a || '.' || y.b", f"{i} || '.' || y.b", "y.a", "y.b", "y.a || '_' || y.b", "y.a || y.b", f"y.a || {j}", f"{i} || {j}"]
     made = ("[" if d.duck else "array(") + ", ".join(f"{f} || '@' || {site}" for f in forms) + ("]" if d.duck else ")")
-    good = d.filter(made, "g", d.match("g", "^[a-z][a-z0-9._%+-]*@[a-z0-9.-]+\\.[a-z]{2,7}$"))
+    good = d.filter(made, "g", d.match("g", GUESS))
     return d.at(d.map(pair, "y", f"CASE WHEN y.n >= 2 AND y.a <> '' AND y.b <> '' AND contains({site}, '.') THEN {good} ELSE {d.text_array()} END"), "1")
 
 

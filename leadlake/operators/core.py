@@ -61,6 +61,19 @@ class Operator:
                 spark.catalog.dropTempView(v)
 
 
+def query(text: str, **tables: DataFrame) -> DataFrame:
+    """The statement over DataFrames, by name."""
+    spark = next(iter(tables.values())).sparkSession
+    names = {name: f"{name}_{uuid.uuid4().hex[:8]}" for name in tables}
+    for name, view in names.items():
+        tables[name].createOrReplaceTempView(view)
+    try:
+        return spark.sql("WITH " + ", ".join(f"{n} AS (SELECT * FROM {v})" for n, v in names.items()) + f" SELECT * FROM ({text}) q")
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
+
+
 class Job(Operator):
     """An operator of several steps: a function of DataFrames.  `plain` states its rule as one SQL text, for comparison; None if SQL can't."""
 

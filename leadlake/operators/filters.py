@@ -246,7 +246,13 @@ def unreachable(d):
 
 
 @operator("F27", "leads")
-def llm_targets(d):
-    """Requests by kind: sanitise (low confidence, not from the registry) and waterfall (contact or email missing)."""
-    return f"""SELECT {IDS}, 'sanitise' AS kind FROM leads WHERE confidence_score <= 3 AND NOT {d.has('enrichment_source', d.lit('registry'))} AND {normal(d, 'contact_name')} IS NOT NULL
-        UNION ALL SELECT {IDS}, 'waterfall' AS kind FROM leads WHERE ({normal(d, 'contact_name')} IS NULL OR {normal(d, 'email')} IS NULL) AND enrichment_attempts < 3"""
+def llm_targets(d, most_calls: int = 3):
+    """Requests by kind: cleanup (a name was removed, none is left, and there is a site), sanitise (a name that is no garbage and has low confidence without the registry behind it, or fails the contact test), waterfall (contact or email missing, and calls left)."""
+    from ..functions.names import contact_valid
+    from .texts import garbage
+
+    name = normal(d, "contact_name")
+    doubtful = f"(coalesce(confidence_score <= 3 AND coalesce(contact_source, '') <> 'companies_house', false) OR NOT coalesce({contact_valid(d, 'contact_name')}, false))"
+    return f"""SELECT {IDS}, 'cleanup' AS kind FROM leads WHERE {name} IS NULL AND {blank('website')} IS NOT NULL AND {note(d, 'cleanup_fake_removed', 'no_named_individual_found')}
+        UNION ALL SELECT {IDS}, 'sanitise' AS kind FROM leads WHERE {name} IS NOT NULL AND ({garbage(d)}) IS NULL AND {doubtful}
+        UNION ALL SELECT {IDS}, 'waterfall' AS kind FROM leads WHERE ({name} IS NULL OR {normal(d, 'email')} IS NULL) AND coalesce(enrichment_attempts, 0) < {most_calls}"""

@@ -196,7 +196,7 @@ def name_word_lists(d):
 def apply_verdicts(d):
     """Validation answers joined on the lead; the first by time is applied: confirm, clear, or lower the confidence by one (2 where there is none, 1 at least)."""
     kind = "CASE WHEN contains(upper(answer), 'CONFIRMED') THEN 'CONFIRMED' WHEN contains(upper(answer), 'REJECTED') THEN 'REJECTED' ELSE 'UNCERTAIN' END"
-    asked = f"SELECT lead_id, min_by({kind}, answered_at) AS answer FROM verdicts WHERE NOT {d.starts('answer', d.lit('FOUND:'))} AND NOT {d.starts('answer', d.lit('{'))} GROUP BY lead_id"
+    asked = f"SELECT lead_id, min_by({kind}, answered_at) AS answer FROM verdicts WHERE NOT {d.starts('answer', d.lit('FOUND:'))} AND NOT {d.starts('answer', d.lit('{'))} AND NOT {d.starts('upper(answer)', d.lit('FALSE'))} AND NOT {d.starts('upper(answer)', d.lit('REAL'))} GROUP BY lead_id"
     return f"""SELECT l.lead_id, CASE WHEN v.answer = 'REJECTED' THEN NULL ELSE l.contact_name END AS contact_name, CASE v.answer WHEN 'CONFIRMED' THEN true WHEN 'REJECTED' THEN false ELSE l.contact_verified END AS verified,
         CASE WHEN v.answer = 'UNCERTAIN' THEN greatest(1.0, coalesce(l.confidence_score, 2) - 1) ELSE l.confidence_score END AS confidence
         FROM leads l LEFT JOIN ({asked}) v ON v.lead_id = l.lead_id"""

@@ -71,8 +71,10 @@ def promote_email(d):
 
 @operator("U8", "leads", "places", sides=LINK_SIDES)
 def apply_place(d):
-    """Website, phone and rating of the linked place; the source is tagged on hit and miss."""
-    return f"""SELECT l.lead_id, m.place_id, CASE WHEN p.rating IS NOT NULL THEN CAST({d.even('p.rating', 1)} AS STRING) || '/5' || CASE WHEN p.reviews IS NOT NULL THEN ' (' || CAST(p.reviews AS STRING) || ' reviews)' ELSE '' END END AS rating,
+    """Website of the linked place; only when it has one, the phone if the lead has none, and the rating. The source is tagged on hit and miss."""
+    came = blank("p.website")
+    rating = f"CAST({d.even('p.rating', 1)} AS STRING) || '/5' || CASE WHEN p.reviews IS NOT NULL THEN ' (' || CAST(p.reviews AS STRING) || ' reviews)' ELSE '' END"
+    return f"""SELECT l.lead_id, m.place_id, coalesce({came}, l.website) AS website, CASE WHEN {came} IS NOT NULL THEN coalesce({blank('l.phone')}, p.phone) ELSE l.phone END AS phone, CASE WHEN {came} IS NOT NULL AND p.rating IS NOT NULL THEN {rating} END AS rating,
         {d.join(d.distinct(("list_append(l.enrichment_source, 'places_lookup')" if d.duck else "array_append(l.enrichment_source, 'places_lookup')")), ';')} AS source
         FROM leads l LEFT JOIN ({link_places.sql(d)}) m ON m.lead_id = l.lead_id LEFT JOIN places p ON p.place_id = m.place_id"""
 
@@ -103,14 +105,24 @@ def clear_name(d):
 
 @operator("U12", "leads", "verdicts")
 def verdict_rules(d):
-    """The first answer of each kind by time: a found name is set if valid and not the company's (its role too, unverified), a confirmed one is verified, a rejected one cleared, an uncertain one loses confidence; scores are taken over."""
+    """The first answer of each kind by time.
+
+    A found name is set if valid and not the company's (its role too, unverified);
+    a confirmed one is verified, a rejected one cleared, an uncertain one loses
+    confidence; an answer to a check for false names clears the name if it begins
+    with FALSE and verifies it else; of a score, the number, the reason, a sector of
+    over three letters and, for wellness leads, the tag are taken over.
+    """
     name, role = "trim(split_part(substr(found, 7), '|', 1))", "nullif(trim(split_part(substr(found, 7), '|', 2)), '')"
     first = lambda test: f"min_by(answer, CASE WHEN {test} THEN answered_at END)"
-    asked = f"SELECT lead_id, {first(d.starts('upper(answer)', d.lit('FOUND:')))} AS found, {first(d.starts('answer', d.lit('{')))} AS scored, {first(d.word('answer', ['CONFIRMED', 'REJECTED', 'UNCERTAIN']))} AS said FROM verdicts GROUP BY lead_id"
+    checks = " OR ".join(d.starts("upper(answer)", d.lit(w)) for w in ("FALSE", "REAL"))
+    asked = f"SELECT lead_id, {first(d.starts('upper(answer)', d.lit('FOUND:')))} AS found, {first(d.starts('answer', d.lit('{')))} AS scored, {first(d.word('answer', ['CONFIRMED', 'REJECTED', 'UNCERTAIN']))} AS said, {first(checks)} AS checked FROM verdicts GROUP BY lead_id"
     ok = f"coalesce({N.contact_valid(d, 'name')} AND NOT {N.vanity(d, 'name', 'company_name')}, false)"
-    return f"""SELECT lead_id, CASE WHEN found IS NOT NULL AND ok THEN name WHEN said = 'REJECTED' THEN NULL ELSE contact_name END AS contact_name, CASE WHEN found IS NOT NULL AND ok THEN role END AS contact_role,
-        CASE WHEN found IS NOT NULL AND ok THEN false WHEN said = 'CONFIRMED' THEN true WHEN said = 'REJECTED' THEN false ELSE contact_verified END AS verified,
+    false = f"coalesce({d.starts('upper(checked)', d.lit('FALSE'))}, false)"
+    text = lambda field: f"nullif(trim({d.json('scored', field)}), '')"
+    return f"""SELECT lead_id, CASE WHEN named THEN name WHEN said = 'REJECTED' OR {false} THEN NULL ELSE contact_name END AS contact_name, CASE WHEN named THEN role END AS contact_role,
+        CASE WHEN named THEN false WHEN {false} THEN NULL WHEN said = 'CONFIRMED' OR checked IS NOT NULL THEN true WHEN said = 'REJECTED' THEN false ELSE contact_verified END AS verified,
         CASE WHEN said = 'UNCERTAIN' THEN greatest(1.0, coalesce(confidence_score, 2) - 1) ELSE confidence_score END AS confidence,
-        coalesce({d.number(d.json('scored', 'score'), 'INT')}, ai_score) AS ai_score,
+        coalesce(nullif({d.number(d.json('scored', 'score'), 'INT')}, 0), ai_score) AS ai_score, {text('reason')} AS ai_reason, CASE WHEN length({text('sector')}) > 3 THEN {text('sector')} END AS ai_sector, CASE WHEN category = 'unit8' THEN {text('tag')} END AS tag,
         CASE WHEN found IS NULL THEN 'none' WHEN ok THEN 'found' WHEN {N.contact_valid(d, 'name')} THEN 'vanity_rejected' ELSE 'invalid_name' END AS outcome
-        FROM (SELECT *, {ok} AS ok FROM (SELECT l.*, v.found, v.scored, v.said, {name} AS name, {role} AS role FROM leads l LEFT JOIN ({asked}) v ON v.lead_id = l.lead_id) a) b"""
+        FROM (SELECT *, found IS NOT NULL AND ok AS named FROM (SELECT *, {ok} AS ok FROM (SELECT l.*, v.found, v.scored, v.said, v.checked, {name} AS name, {role} AS role FROM leads l LEFT JOIN ({asked}) v ON v.lead_id = l.lead_id) a) b) c"""

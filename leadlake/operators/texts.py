@@ -73,8 +73,11 @@ def email_contact_mismatch(d):
 
 @operator("T9", "leads")
 def email_guesses(d):
-    """Guessed addresses of each contact in pattern order."""
-    g = E.guesses(d, "contact_name", host(d, "website"))
+    """Guessed addresses of each contact in pattern order, a known one (an address that is not guessed) first; each once."""
+    known = f"lower(trim(CASE WHEN NOT coalesce(email_guessed, false) AND {E.has_at('email')} THEN email END))"
+    made = E.guesses(d, "contact_name", host(d, "website"))
+    first = f"CASE WHEN {d.match(known, E.GUESS)} THEN {d.wrap(known)} ELSE {d.text_array()} END"
+    g = f"CASE WHEN {d.size(made)} > 0 THEN {d.distinct(f'({first} || {made})')} ELSE {d.text_array()} END"
     if d.duck:
         return f"SELECT lead_id, unnest(range(1, len(g) + 1)) AS place, unnest(g) AS email FROM (SELECT lead_id, {g} AS g FROM leads) t"
     return f"SELECT lead_id, CAST(p + 1 AS BIGINT) AS place, email FROM (SELECT lead_id, posexplode({g}) AS (p, email) FROM leads) t"
@@ -178,7 +181,7 @@ def sole_trader(d) -> str:
     cn = d.rep(d.rep(d.rep("trim(company_name)", "\\s*[-–—]\\s*.+$"), "\\s*\\(.+\\)$"), ",\\s*.+$")
     w = d.split(cn, "\\s+")
     low = d.rep("lower(w)", "[.,]+$")
-    stop = f"({d.word(low, R.TRADER_STOPS)} OR (NOT {d.match('w', '^[A-Z]')} AND NOT {d.word(low, ['de', 'la', 'le', 'von', 'van', 'mc', 'mac'])}))"
+    stop = f"({d.word(low, [*R.SERVICE_SUFFIXES, *R.TRADER_QUALIFICATIONS, *R.TRADER_JOINS, *R.TRADER_OTHER_WORDS])} OR (NOT {d.match('w', '^[A-Z]')} AND NOT {d.word(low, ['de', 'la', 'le', 'von', 'van', 'mc', 'mac'])}))"
     names = d.slice(w, "1", f"{d.first(w, 'w', stop)} - 1")
     first, n = letters(d, d.at(names, "1")), d.size(names)
     last = f"lower({d.at(names, n)})"

@@ -10,7 +10,7 @@ FIRST = ["Emma", "John", "Sarah", "Zlxqr", "Helen", "Mark", "Ed", "Priya", "Tom"
 LAST = ["Jones", "Brown", "O'Brien", "Ng", "Mcstrzk", "Patel", "Clinic", "Smith-Hall", "Taylor", "Wright", "Xu", "Bbbone", "Evans"]
 COMPANY = ["Acme Therapy", "Woking Dental Practice", "Emma Jones Counselling", "Harbour Holdings", "Surrey Law", "Green Digital Agency", "Hill Physio & Co", "Sarah Brown - Osteopath", "Farnham Yoga Studio"]
 SUFFIX = ["Ltd", "Limited", "LLP", "Group", "Clinic"]
-NOTES = ["possible_placeholder_name", "email_rescrape_done", "single_name_only", "geo:old", "email_replaced_from_website:a->b", "rescrape_v4", "checked"]
+NOTES = ["possible_placeholder_name", "email_rescrape_done", "single_name_only", "geo:old", "email_replaced_from_website:a->b", "rescrape_v4", "checked", "no_named_individual_found"]
 
 
 def pick(d: Dialect, items, index: str) -> str:
@@ -116,7 +116,7 @@ def site_emails(d: Dialect) -> str:
 
 def verdicts(d: Dialect) -> str:
     """Answers of a model about leads, by time; the lead is told by its number."""
-    answer = "CASE event_type WHEN 'view' THEN 'CONFIRMED' WHEN 'error' THEN 'REJECTED' WHEN 'click' THEN 'UNCERTAIN' WHEN 'signup' THEN 'FOUND: Laura Evans | Director' WHEN 'purchase' THEN 'FOUND: Clinic Room | Owner' ELSE '{\"score\": 8}' END"
+    answer = "CASE event_type WHEN 'view' THEN 'CONFIRMED' WHEN 'error' THEN 'REJECTED' WHEN 'click' THEN 'UNCERTAIN' WHEN 'signup' THEN 'FOUND: Laura Evans | Director' WHEN 'purchase' THEN CASE CAST(floor(value) AS BIGINT) % 3 WHEN 0 THEN 'FOUND: Clinic Room | Owner' WHEN 1 THEN 'FALSE - a product' ELSE 'REAL' END ELSE '{\"score\": 8, \"reason\": \"near\", \"sector\": \"Yoga\", \"tag\": \"studio\"}' END"
     return f"SELECT CAST(CAST(floor(value) AS BIGINT) AS STRING) AS lead_id, ts AS answered_at, {answer} AS answer FROM events"
 
 
@@ -155,6 +155,7 @@ def places(d: Dialect) -> str:
         {d.split("lower(p_type) || CASE p_partkey % 6 WHEN 0 THEN ' barber_shop' WHEN 1 THEN ' spa health' WHEN 2 THEN ' lawyer' WHEN 3 THEN ' gym' WHEN 4 THEN ' restaurant' ELSE ' doctor' END", ' ')} AS types,
         CASE WHEN p_size % 5 = 0 THEN 'CLOSED_PERMANENTLY' WHEN p_size % 5 < 4 THEN 'OPERATIONAL' END AS status,
         CAST(p_size % 50 AS DOUBLE) / 10 AS rating, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS reviews,
+        CASE WHEN p_partkey % 3 < 2 THEN 'https://place' || CAST(p_partkey AS STRING) || '.org' END AS website, CASE WHEN p_partkey % 5 < 3 THEN '01000 ' || CAST(p_partkey AS STRING) END AS phone,
         {pick(d, SEARCH_TOWNS, f'p_partkey % {len(SEARCH_TOWNS)}')} AS town,
         {pick(d, SEARCH_TOWNS, f'p_partkey % {len(SEARCH_TOWNS)}')} || CASE WHEN p_partkey % 4 = 0 THEN ', GU7 2AB' ELSE '' END AS address FROM part"""
 

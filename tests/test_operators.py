@@ -150,11 +150,29 @@ def test_containment_equals_all_pairs_and_takes_long_titles(spark):
 
 
 def test_answers_by_kind(spark):
-    answers = [("0", 2, "REJECTED"), ("0", 1, "CONFIRMED"), ("1", 1, "REJECTED"), ("2", 1, "UNCERTAIN"), ("3", 1, "FOUND: Laura Evans | Director"), ("4", 1, "FOUND: Acme Therapy"), ("5", 1, "FOUND: Book"), ("6", 1, '{"score": 8}')]
+    answers = [("0", 2, "REJECTED"), ("0", 1, "CONFIRMED"), ("1", 1, "REJECTED"), ("2", 1, "UNCERTAIN"), ("3", 1, "FOUND: Laura Evans | Director"), ("4", 1, "FOUND: Acme Therapy"), ("5", 1, "FOUND: Book"), ("6", 1, '{"score": 8}'), ("8", 1, "False: a product"), ("9", 1, "REAL person"), ("10", 1, '{"score": 0, "reason": "near", "sector": "spa", "tag": "studio"}'), ("11", 1, '{"sector": "Yoga", "tag": "studio"}'), ("12", 1, "{broken")]
     verdicts = spark.createDataFrame(answers, "lead_id string, answered_at int, answer string")
-    own = leads(spark, *[dict(contact_name="Emma Jones", confidence_score=c) for c in (3.0, 3.0, None, 1.0, 3.0, 3.0, 3.0, 3.0)]).selectExpr("*", "1 AS ai_score")
-    got = column(merges.verdict_rules(leads=own, verdicts=verdicts), "contact_name", "verified", "confidence", "ai_score", "outcome")
-    assert got == [("Emma Jones", True, 3.0, 1, "none"), (None, False, 3.0, 1, "none"), ("Emma Jones", None, 1.0, 1, "none"), ("Laura Evans", False, 1.0, 1, "found"), ("Emma Jones", None, 3.0, 1, "invalid_name"), ("Emma Jones", None, 3.0, 1, "invalid_name"), ("Emma Jones", None, 3.0, 8, "none"), ("Emma Jones", None, 3.0, 1, "none")]
+    own = leads(spark, *[dict(contact_name="Emma Jones", confidence_score=c) for c in (3.0, 3.0, None, 1.0, *[3.0] * 9)]).selectExpr("*", "1 AS ai_score", "CASE WHEN lead_id = '11' THEN 'office' ELSE 'unit8' END AS category")
+    out = merges.verdict_rules(leads=own, verdicts=verdicts)
+    got = column(out, "contact_name", "verified", "confidence", "ai_score", "outcome")
+    emma = ("Emma Jones", None, 3.0, 1, "none")
+    assert got == [
+        ("Emma Jones", True, 3.0, 1, "none"), (None, False, 3.0, 1, "none"), ("Emma Jones", None, 1.0, 1, "none"), ("Laura Evans", False, 1.0, 1, "found"), ("Emma Jones", None, 3.0, 1, "invalid_name"), ("Emma Jones", None, 3.0, 1, "invalid_name"), ("Emma Jones", None, 3.0, 8, "none"), emma,
+        (None, None, 3.0, 1, "none"), ("Emma Jones", True, 3.0, 1, "none"), emma, emma, emma,
+    ]
+    assert column(out, "ai_reason", "ai_sector", "tag")[10:] == [("near", None, "studio"), (None, "Yoga", None), (None, None, None)]
+
+
+def test_known_addresses_come_first(spark):
+    rows = [("info@acme.org", False), ("emma@acme.org", None), ("emma@acme.org", True), (None, None), ("1@x", False)]
+    own = leads(spark, *(dict(contact_name="Emma Jones", email=m) for m, _ in rows)).join(spark.createDataFrame([(str(i), g) for i, (_, g) in enumerate(rows)], "lead_id string, email_guessed boolean"), "lead_id")
+    got = {}
+    for r in texts.email_guesses(leads=own).orderBy("place").collect():
+        got.setdefault(r.lead_id, []).append(r.email)
+    plain = ["emma.jones", "e.jones", "emma", "jones", "emma_jones", "emmajones", "emmaj", "ej"]
+    at = lambda *x: [f"{n}@acme.org" for n in x]
+    assert got["0"] == at("info", *plain) and got["1"] == at("emma", *(p for p in plain if p != "emma"))
+    assert got["2"] == got["3"] == got["4"] == at(*plain)
 
 
 def test_search_by_one_text_and_what_is_given(spark):
