@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK
-from ..functions.keys import blank, name_location_key, website_key
+from ..functions.keys import blank, name_key, name_location_key, website_key
 from ..sources.store import erase, written
 
 #: Undecided rows up to which one task decides them all (three short keys each).
@@ -30,6 +30,11 @@ def lead_keys(d=SPARK) -> dict[str, str]:
     return {"own_place": blank("place_id"), "own_site": website_key(d, "website"), "own_name": name_location_key("company_name", "location")}
 
 
+def ingest_keys(d=SPARK) -> dict[str, str]:
+    """Those of incremental ingestion: place, website, and the name alone."""
+    return lead_keys(d) | {"own_name": f"nullif({name_key('company_name')}, '')"}
+
+
 def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
     seen: set = set()
     kept = []
@@ -85,11 +90,11 @@ def first_arrivals(rows: DataFrame, keys: list[str], order: str, seen: DataFrame
     return out.withColumnRenamed("seq", order)
 
 
-def arrivals_sql(source: str, order: str = "ingest_seq") -> str:
+def arrivals_sql(source: str, order: str = "ingest_seq", keys=lead_keys) -> str:
     """The sequential rule for DuckDB: one row after another, with the list of keys of those that stay. Gives `order` of the rows of `source` that stay."""
     from ..functions.dialect import DUCK
 
-    own = ", ".join(f"'{i}' || {k}" for i, k in enumerate(lead_keys(DUCK).values()))
+    own = ", ".join(f"'{i}' || {k}" for i, k in enumerate(keys(DUCK).values()))
     return f"""WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY {order}) AS i, {order} AS seq, list_filter(list_transform([{own}], lambda x: hash(x)), lambda x, n: [{own}][n] IS NOT NULL) AS ks FROM {source}),
         w AS (SELECT 0::BIGINT AS i, []::UBIGINT[] AS seen, NULL::BIGINT AS seq, false AS kept
               UNION ALL SELECT o.i, CASE WHEN list_has_any(w.seen, o.ks) THEN w.seen ELSE list_concat(w.seen, o.ks) END, o.seq, NOT list_has_any(w.seen, o.ks) FROM w JOIN o ON o.i = w.i + 1)

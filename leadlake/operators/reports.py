@@ -165,28 +165,6 @@ def usage_ledger(d, by_tokens: str = "view", token_price: float = 0.00015, call_
     return f"SELECT api, CAST(ts AS DATE) AS usage_date, sum(calls) AS calls, sum(tokens) AS tokens, {d.even(f'CASE WHEN api = {d.lit(by_tokens)} THEN CAST(sum(tokens) AS DOUBLE) / 1000 * CAST({token_price:f} AS DOUBLE) ELSE CAST(sum(calls) AS DOUBLE) * CAST({call_price:f} AS DOUBLE) END', 6)} AS cost FROM usage GROUP BY api, CAST(ts AS DATE)"
 
 
-#: Parts into which the pages of a host are dealt.
-HOST_PARTS = 64
-
-
-@operator("A18", "page_text")
-def page_contact_rollup(d):
-    """Pages of one host as one record: number of pages, the best address (personal, then free mail, then shared; then by page and spelling), number of different addresses, first 5000 characters of the joined text."""
-    from ..functions.emails import found, free_mail, generic
-
-    rank = f"CASE WHEN {generic(d, 'email')} THEN 3 WHEN {free_mail(d, 'email')} THEN 2 ELSE 1 END"
-    mails = f"SELECT host, email, {rank} AS kind, min(page_id) AS page_id FROM (SELECT host, page_id, {d.explode(found(d, 'text'))} AS email FROM page_text) a GROUP BY host, email"
-    if d.duck:
-        return f"""SELECT t.host, t.pages, m.email, coalesce(m.emails, 0) AS emails, t.text FROM (SELECT host, count(*) AS pages, left(string_agg(left(text, 5000), ' ' ORDER BY page_id), 5000) AS text FROM page_text GROUP BY host) t
-            LEFT JOIN (SELECT host, email, n AS emails FROM (SELECT host, email, row_number() OVER (PARTITION BY host ORDER BY kind, page_id, email) AS place, count(*) OVER (PARTITION BY host) AS n FROM ({mails}) x) y WHERE place = 1) m ON m.host IS NOT DISTINCT FROM t.host"""
-    # a host's pages are dealt into parts, of which only the leading pages that reach the wanted length are gathered: no array grows with the host
-    return f"""SELECT t.host, t.pages, m.best.email AS email, coalesce(m.emails, 0) AS emails, t.text FROM (SELECT host, sum(pages) AS pages, left(array_join(transform(array_sort(flatten(collect_list(texts))), x -> x.t), ' '), 5000) AS text FROM (
-        SELECT host, part, count(*) AS pages, collect_list(CASE WHEN t IS NOT NULL AND coalesce(before, 0) < 5000 THEN struct(page_id, t) END) AS texts FROM (
-        SELECT *, sum(length(t) + 1) OVER (PARTITION BY host, part ORDER BY page_id, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
-        SELECT host, page_id, pmod(xxhash64(page_id), {HOST_PARTS}) AS part, left(text, 5000) AS t FROM page_text) a) b GROUP BY host, part) c GROUP BY host) t
-        LEFT JOIN (SELECT host, min(struct(kind, page_id, email)) AS best, count(*) AS emails FROM ({mails}) x GROUP BY host) m ON m.host <=> t.host"""
-
-
 @operator("K1", "leads")
 def histogram_by_count(d):
     return "SELECT sector AS key, count(*) AS n FROM leads GROUP BY sector ORDER BY n DESC, key"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
-from ..operators import filters, joins, merges, quotas, reports, sets, texts, windows  # noqa: F401
+from ..operators import filters, joins, merges, quotas, reports, rollup, sets, texts, windows  # noqa: F401
 from ..operators.core import OPERATORS, Operator
 from ..sources import pages, structure  # noqa: F401
-from . import pipelines  # noqa: F401
+from . import pipelines, waterfall  # noqa: F401
 from .views import VIEWS, with_views
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import DUCK, SPARK
-from ..operators.arrival import arrivals_sql
+from ..operators.arrival import arrivals_sql, ingest_keys
 from ..sources import landed
 from ..sources import leads as files
 from ..sources.store import folder
@@ -138,6 +138,6 @@ def oracle_sql() -> dict[str, str]:
         "s8_ingest_officers": officers + "SELECT company_number, name, role, appointed_on, resigned_on FROM officers",
         "s9_ingest_places": places + "SELECT place_id, town, display_name, '+44 1' AS phone, rating::VARCHAR || '/5' || coalesce(' (' || reviews || ' reviews)', '') AS google_rating, left(array_to_string(types, ', '), 200) AS sector FROM places",
         "s10_ingest_registry_search": leads + "SELECT lead_id AS company_number, company_name, coalesce(split_part(location, ',', 1), '') AS location, CASE WHEN ingest_seq % 2 = 0 THEN sector ELSE 'active' END AS sector FROM leads WHERE ingest_seq % 5 <> 0",
-        "x1_incremental_ingest": with_views(DUCK, ["leads_dup"]) + f"SELECT lead_id, ingest_seq, lower(trim(company_name)) AS name FROM leads_dup WHERE ingest_seq IN (SELECT ingest_seq FROM ({arrivals_sql('leads_dup')}) k)",
+        "x1_incremental_ingest": with_views(DUCK, ["leads_dup"]) + f"SELECT lead_id, ingest_seq, lower(trim(company_name)) AS name FROM leads_dup WHERE ingest_seq IN (SELECT ingest_seq FROM ({arrivals_sql('leads_dup', keys=ingest_keys)}) k)",
         "x2_incremental_dedupe": officers + "SELECT DISTINCT company_number FROM officers",
     }

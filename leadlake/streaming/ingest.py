@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.arrival import exploded, first_arrivals, lead_keys
+from ..operators.arrival import exploded, first_arrivals, ingest_keys
 from ..sources.store import written
 
 #: Buckets of the keys of known leads; a batch reads those that its own keys fall into.
@@ -23,9 +23,11 @@ def _there(spark: SparkSession, path: str) -> bool:
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
 
 
-def incremental_ingest(stream: DataFrame, table: str, checkpoint: str, trigger: dict | None = None, order: str = "ingest_seq", buckets: int = BUCKETS):
-    """Appends to the Parquet table the rows that share no place, website or name and location with an earlier row that was appended.
+def incremental_ingest(stream: DataFrame, table: str, checkpoint: str, trigger: dict | None = None, order: str = "ingest_seq", buckets: int = BUCKETS, same: dict[str, str] | None = None):
+    """Appends to the Parquet table the rows that share no key with an earlier row that was appended.
 
+    `same` names the keys and their SQL; without it they are those of
+    `ingest_keys`: place, website and name.
     The keys of the appended rows are a state of their own beside the table
     (`<table>-keys`, by bucket and batch): a batch reads the buckets that its own
     keys fall into, never the table.  Inside a batch rows count in the order of
@@ -34,7 +36,7 @@ def incremental_ingest(stream: DataFrame, table: str, checkpoint: str, trigger:
     it wrote.  Missing columns count as null; an empty batch writes nothing.
     """
     spark, keys = stream.sparkSession, f"{table}-keys"
-    own = {k: F.expr(v) for k, v in lead_keys().items()}
+    own = {k: F.expr(v) for k, v in (same or ingest_keys()).items()}
     bucket = F.pmod(F.xxhash64("kind", "key"), F.lit(buckets)).cast("int")
 
     def save(df: DataFrame, path: str, *by: str) -> None:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from leadlake.operators.arrival import first_arrivals
+from leadlake.operators.arrival import first_arrivals, lead_keys
 from leadlake.plans import pipelines
 from leadlake.streaming import ingest
 
@@ -96,12 +96,12 @@ def test_stream_is_the_loop_wherever_batches_are_cut(spark, tmp_path, at_once):
         os.rename(f"{path}/{part}", f"{tmp_path}/in/{i}.parquet")
         os.utime(f"{tmp_path}/in/{i}.parquet", (1_000_000 + i, 1_000_000 + i))
     stream = lambda: ingest.files(spark, f"{base}/in", spark.createDataFrame([], LEAD).schema, "[0-9].parquet", at_once)
-    ingest.incremental_ingest(stream(), f"{base}/out", f"{base}/state", buckets=4).awaitTermination()
+    ingest.incremental_ingest(stream(), f"{base}/out", f"{base}/state", buckets=4, same=lead_keys()).awaitTermination()
     read = lambda: sorted(r.ingest_seq for r in spark.read.parquet(f"{base}/out").collect())
     assert read() == loop(map(keys, rows))
     # a further file after a restart, all of whose rows are known
     spark.createDataFrame([(f"n{r[0]}", r[1] + 1000, *r[2:]) for r in rows if any(keys(r)[1:])], LEAD).coalesce(1).write.parquet(f"{tmp_path}/more")
     part = next(f for f in os.listdir(f"{tmp_path}/more") if f.endswith(".parquet"))
     os.rename(f"{tmp_path}/more/{part}", f"{tmp_path}/in/9.parquet")
-    ingest.incremental_ingest(stream(), f"{base}/out", f"{base}/state", buckets=4).awaitTermination()
+    ingest.incremental_ingest(stream(), f"{base}/out", f"{base}/state", buckets=4, same=lead_keys()).awaitTermination()
     assert read() == loop(list(map(keys, rows)) + [(r[1] + 1000, *keys(r)[1:]) for r in rows if any(keys(r)[1:])])

@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from leadlake.operators import filters, joins, reports, windows
+from leadlake.operators import filters, joins, reports, rollup, windows
 from leadlake.plans import queries, tables
 from leadlake.sources import leads as files
 from leadlake.streaming import ingest
@@ -113,14 +113,18 @@ def test_entry_works_without_the_optional_part(tmp_path):
 def test_a_large_host_is_gathered_in_bounded_parts(spark, duck):
     pages = spark.range(1500).selectExpr("'big' AS host", "id AS page_id", "concat(repeat(concat(chr(97 + id % 26), ' '), 3000), if(id = 17, ' jo@acme.co.uk', '')) AS text")
     few = spark.createDataFrame([("a", 2, "b"), ("a", 1, "x@y.org a"), ("a", 3, None), ("a", 4, ""), (None, 5, "n"), ("b", 6, None)], "host string, page_id long, text string")
-    got = {r.host: r for r in reports.page_contact_rollup(page_text=pages.unionByName(few)).collect()}
+    got = {r.host: r for r in rollup.page_contact_rollup(page_text=pages.unionByName(few)).collect()}
     assert (got["big"].pages, got["big"].text, got["big"].email) == (1500, "a " * 2500, "jo@acme.co.uk")
     assert (got["a"].pages, got["a"].text, got["a"].email) == (4, "x@y.org a b ", "x@y.org") and got[None].text == "n" and got["b"].pages == 1
-    # the gathered texts of a part stop where they reach the wanted length
-    inner = reports.page_contact_rollup.sql()
-    inner = inner[inner.index("SELECT host, part, count(*)") : inner.index(") c GROUP BY host")]
-    pages.createOrReplaceTempView("page_text")
-    assert max(r.n for r in spark.sql(f"SELECT size(texts) AS n FROM ({inner})").collect()) == 1
+    # merged in levels, from a few leading pages a task
+    many = pages.unionByName(few.where("text IS NOT NULL")).repartition(9)
+    want = {r.host: r.text for r in rollup.first_text(many).collect()}
+    assert want == {h: r.text for h, r in got.items() if h != "b"} == {r.host: r.text for r in rollup.first_text(many, fan=2).collect()}
+    assert rollup.leading([(3, "c" * 9), (1, "a"), (2, "b" * 5)], 6) == [(1, "a"), (2, "b" * 5)]
+    assert rollup.page_contact_rollup(page_text=few.limit(0)).count() == 0
+    named = spark.createDataFrame([("h", i, f"{n}, Director and {n}, Owner") for i, n in enumerate(["Emma Jones", "Book", "Laura Evans", "Emma Jones"])], "host string, page_id long, text string")
+    assert rollup.page_contact_rollup(page_text=named).first().contacts == "Emma Jones; Laura Evans"
+    assert rollup.page_contact_rollup({"most_contacts": 1}, page_text=named).first().contacts == "Emma Jones"
     for name in ("a18_page_contact_rollup", "s8_ingest_officers"):
         found = (queries.queries() | tables.queries())[name](spark, SF)
         want = duck.sql((queries.oracle_sql() | tables.oracle_sql())[name])
