@@ -96,19 +96,19 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     if not len(up):
         return []
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    held: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    held: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, the last one before it of a smaller sum before
     for i in up.tolist():
         start, end, left, right = i, i + 1, float(total[i]), float(total[i + 1])
         while True:
             j = len(held) - 1
             while j >= 0 and held[j][2] >= left:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= right:
-                held.append((start, end, left, right))
+                held.append((start, end, left, right, j))
                 break
             start, left = held[j][0], held[j][2]
             del held[j:]
-    return [(s, e, r - lf) for s, e, lf, r in held]
+    return [(s, e, r - lf) for s, e, lf, r, _ in held]
 
 
 def p_value(scores: list[float], n: int, model: Model) -> float:
