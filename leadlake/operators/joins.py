@@ -185,11 +185,19 @@ def principal_for_lead(d):
     return f"""SELECT l.lead_id, o.name AS principal, o.pref FROM leads l JOIN (SELECT company_number, name, pref, row_number() OVER (PARTITION BY company_number ORDER BY pref, appointed_on DESC, pos) AS n FROM ({officer} UNION ALL {control}) x) o ON o.company_number = l.lead_id AND o.n = 1"""
 
 
-@operator("J11", "leads")
+@operator("J11", "leads", "first_names", "business_words")
 def name_word_lists(d):
-    """Names with a known first name (semi) and names without any business word (anti)."""
-    w = d.split("lower(trim(contact_name))", "\\s+")
-    return f"SELECT lead_id, {d.word(d.at(w, '1'), R.FIRST_NAMES)} AS known_first, NOT {d.some(w, 'w', d.word('w', R.BUSINESS_WORDS))} AS no_business_word FROM leads WHERE contact_name IS NOT NULL"
+    """Whether a name begins with a known first name (a semi join of its first word) and holds no business word (an anti join of all its words).
+
+    The lists are tables of one column `word`, handed in by the caller; Spark
+    broadcasts them by their size or shuffles.  Null names have no row.
+    """
+    words = d.split("lower(trim(contact_name))", "\\s+")
+    each = f"SELECT lead_id, {d.explode(d.distinct(words))} AS word FROM leads WHERE contact_name IS NOT NULL"
+    semi = "SEMI" if d.duck else "LEFT SEMI"
+    first = f"SELECT w.lead_id FROM (SELECT lead_id, {d.at(words, '1')} AS word FROM leads) w {semi} JOIN first_names n ON n.word = w.word"
+    business = f"SELECT DISTINCT w.lead_id FROM ({each}) w {semi} JOIN business_words b ON b.word = w.word"
+    return f"SELECT l.lead_id, f.lead_id IS NOT NULL AS known_first, b.lead_id IS NULL AS no_business_word FROM leads l LEFT JOIN ({first}) f ON f.lead_id = l.lead_id LEFT JOIN ({business}) b ON b.lead_id = l.lead_id WHERE l.contact_name IS NOT NULL"
 
 
 @operator("J12", "leads", "verdicts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.dialect import Dialect
 from ..functions.keys import host
-from ..functions.rules import SEARCH_TOWNS
+from ..functions.rules import BUSINESS_WORDS, FIRST_NAMES, SEARCH_TOWNS
 
 FIRST = ["Emma", "John", "Sarah", "Zlxqr", "Helen", "Mark", "Ed", "Priya", "Tom", "Wlada", "Ann-Marie"]
 LAST = ["Jones", "Brown", "O'Brien", "Ng", "Mcstrzk", "Patel", "Clinic", "Smith-Hall", "Taylor", "Wright", "Xu", "Bbbone", "Evans"]
@@ -84,6 +84,14 @@ def existing(d: Dialect) -> str:
     return "SELECT * FROM leads WHERE ingest_seq % 5 = 0"
 
 
+def first_names(d: Dialect) -> str:
+    return f"SELECT {d.explode(d.array(FIRST_NAMES))} AS word"
+
+
+def business_words(d: Dialect) -> str:
+    return f"SELECT {d.explode(d.array(BUSINESS_WORDS))} AS word"
+
+
 def newcomers(d: Dialect) -> str:
     return "SELECT * FROM leads WHERE ingest_seq % 5 <> 0"
 
@@ -253,6 +261,8 @@ VIEWS = {
     "leads": (leads, []),
     "leads_dup": (leads_dup, ["leads"]),
     "existing": (existing, ["leads"]),
+    "first_names": (first_names, []),
+    "business_words": (business_words, []),
     "newcomers": (newcomers, ["leads"]),
     "requests": (requests, ["leads"]),
     "later": (later, ["existing"]),

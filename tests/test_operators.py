@@ -163,6 +163,17 @@ def test_answers_by_kind(spark):
     assert column(out, "ai_reason", "ai_sector", "tag")[10:] == [("near", None, "studio"), (None, "Yoga", None), (None, None, None)]
 
 
+def test_word_lists_are_the_callers(spark):
+    own = leads(spark, dict(contact_name="Emma Jones"), dict(contact_name="Zed Yoga"), dict(contact_name=" zed  Smith"), dict(), dict(contact_name=""))
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    found = lambda first, business: column(joins.name_word_lists(leads=own, first_names=first, business_words=business), "lead_id", "known_first", "no_business_word")
+    assert found(words("emma"), words("yoga", "clinic")) == [("0", True, True), ("1", False, False), ("2", False, True), ("4", False, True)]
+    assert found(words("zed"), words("smith", "jones")) == [("0", False, False), ("1", True, True), ("2", True, False), ("4", False, True)]
+    assert found(words(), words()) == [("0", False, True), ("1", False, True), ("2", False, True), ("4", False, True)]
+    plan = joins.name_word_lists(leads=own, first_names=words("a"), business_words=words("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2
+
+
 def test_known_addresses_come_first(spark):
     rows = [("info@acme.org", False), ("emma@acme.org", None), ("emma@acme.org", True), (None, None), ("1@x", False)]
     own = leads(spark, *(dict(contact_name="Emma Jones", email=m) for m, _ in rows)).join(spark.createDataFrame([(str(i), g) for i, (_, g) in enumerate(rows)], "lead_id string, email_guessed boolean"), "lead_id")
