@@ -64,19 +64,20 @@ def place_tokens(d, x: str) -> str:
 GRAMS = (16, 8, 4, 2, 1)
 
 
-def held_in(holder: str, x: str, keys: str, key: str) -> str:
-    """(x, key) for each non-empty key that lies in x.
+def held_in(holder: str, x: str, keys: str, key: str, least: int = 1) -> str:
+    """(x, key) for each non-empty key, of at least so many characters, that lies in x.
 
     Each key stands in an index under its rarest part of one of the lengths of
     `GRAMS`, rarest among the holders' parts; holders are probed with their parts
     at all places, and what meets is compared as a whole.  The work follows the
     holders' length (five parts a place), not its square.
     """
-    sizes = f"array({', '.join(map(str, GRAMS))})"
-    own = "CASE " + " ".join(f"WHEN length({key}) >= {n} THEN {n}" for n in GRAMS) + " END"
+    used = [n for n in GRAMS if n >= max(m for m in GRAMS if m <= least)]
+    sizes = f"array({', '.join(map(str, used))})"
+    own = "CASE " + " ".join(f"WHEN length({key}) >= {n} THEN {n}" for n in used) + " END"
     parts = lambda of, n: f"flatten(transform(sequence(1, length({of})), i -> transform(filter({n}, n -> i + n - 1 <= length({of})), n -> struct(i AS at, substr({of}, i, n) AS gram))))"
     return f"""SELECT DISTINCT {x}, {key} FROM (WITH
-        key_parts AS (SELECT {key}, p.at, p.gram FROM (SELECT {key}, explode({parts(key, f'array({own})')}) AS p FROM (SELECT DISTINCT {key} FROM {keys} WHERE {key} <> '') k) e),
+        key_parts AS (SELECT {key}, p.at, p.gram FROM (SELECT {key}, explode({parts(key, f'array({own})')}) AS p FROM (SELECT DISTINCT {key} FROM {keys} WHERE length({key}) >= {least}) k) e),
         holder_parts AS (SELECT h.{x}, h.p.at AS at, h.p.gram AS gram FROM (SELECT {x}, explode({parts(x, sizes)}) AS p FROM (SELECT DISTINCT {x} FROM {holder} WHERE {x} <> '') d) h LEFT SEMI JOIN (SELECT DISTINCT gram FROM key_parts) g ON g.gram = h.p.gram),
         times AS (SELECT gram, count(*) AS n FROM holder_parts GROUP BY gram),
         rarest AS (SELECT {key}, min(struct(n, at, gram)) AS r, count(*) AS met FROM (SELECT k.{key}, k.at, k.gram, t.n FROM key_parts k JOIN times t ON t.gram = k.gram) m GROUP BY {key}),
@@ -127,8 +128,8 @@ def link_places(d):
     return f"""SELECT lead_id, place_id, tier FROM (WITH {sides}
         word_of AS (SELECT w.pos, w.addr, w.gu, w.token FROM (SELECT pos, addr, gu, explode(pn) AS token FROM jp) w LEFT SEMI JOIN (SELECT DISTINCT explode(cn) AS token FROM jl) l ON l.token = w.token),
         known AS (SELECT pos, array_sort(collect_set(token)) AS pn FROM word_of GROUP BY pos),
-        town_of AS ({held_in('jp', 'addr', 'jl', 'town')}),
-        name_of AS ({held_in('jp', 'dn', 'jl', 'surname')}),
+        town_of AS ({held_in('jp', 'addr', 'jl', 'town', 3)}),
+        name_of AS ({held_in('jp', 'dn', 'jl', 'surname', 4)}),
         first_key AS (SELECT key, min(pos) AS pos FROM (SELECT pos, explode(concat(pn, {pairs('pn')}, {triples('pn')})) AS key FROM known) x GROUP BY key),
         few AS (SELECT l.lead_id, 1 AS tier, min(k.pos) AS pos FROM (SELECT lead_id, explode(CASE need WHEN 1 THEN cn WHEN 2 THEN {pairs('cn')} ELSE {triples('cn')} END) AS key FROM jl WHERE need BETWEEN 1 AND 3) l JOIN first_key k ON k.key = l.key GROUP BY l.lead_id),
         sets AS (SELECT pn, min(pos) AS pos FROM known GROUP BY pn),
