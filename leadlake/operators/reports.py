@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK
 from ..functions.emails import generic_prefix, has_at
-from ..functions.keys import blank, normal, social
+from ..functions.keys import blank, facebook, normal, social
 from ..functions.names import contact_valid, suspect
 from ..sources.store import folder
 from .core import job, operator
@@ -40,11 +40,11 @@ def email_type_histogram(d):
 
 @operator("A3", "leads")
 def refinement_stats(d):
-    """Counts over leads with a web presence, and how many have none."""
+    """Counts over leads with a web presence (a site of their own or a Facebook page), and how many have none."""
     c = lambda t, n: f"count_if(web AND {t}) AS {n}"
     return f"""SELECT count_if(web) AS enriched, count_if(NOT web) AS excluded, {c('email_type = ' + d.lit('personal'), 'personal')}, {c('email_type = ' + d.lit('both'), 'both')}, {c('email_type = ' + d.lit('generic'), 'generic')}, {c('email IS NULL', 'missing_email')},
         {c('contact_name IS NULL', 'missing_name')}, {c('principal_name IS NOT NULL', 'principals')}, {c("website_verified = 'yes'", 'site_yes')}, {c("website_verified = 'facebook'", 'site_facebook')}, {c(d.size('contact_names') + ' > 1', 'multiple')}, {c(d.size('team_email_guesses') + ' > 0', 'team')}, {c('ai_score >= 7', 'ai_high')}
-        FROM (SELECT *, website IS NOT NULL AS web FROM leads) t"""
+        FROM (SELECT *, {blank('website')} IS NOT NULL AND NOT {social(d, 'website')} OR {facebook(d, 'website')} AS web FROM leads) t"""
 
 
 @operator("A4", "leads")
@@ -55,10 +55,11 @@ def refine_summary(d):
 
 @operator("A5", "leads")
 def office_summary(d):
-    """Totals and breakdowns by geography, status and size in rows (section, key, n), in one pass."""
-    sections = {"geo": "coalesce(geo_relevance, 'unclassified')", "status": "coalesce(enrichment_status, 'unknown')", "size": "coalesce(size_signal, 'unclassified')", "total": "'real_email'"}
-    real = "CASE WHEN email IS NOT NULL AND NOT coalesce(email_guessed, false) THEN 1 ELSE 0 END"
-    each = ", ".join(d.tuple(section=f"'{s}'", key=k, one=real if s == "total" else "1") for s, k in sections.items())
+    """Totals (real addresses are those less the guessed ones) and breakdowns by geography, status and size in rows (section, key, n), in one pass."""
+    sections = {"geo": "coalesce(geo_relevance, 'unclassified')", "status": "coalesce(enrichment_status, 'unknown')", "size": "coalesce(size_signal, 'unclassified')"}
+    one = lambda test: f"CASE WHEN {test} THEN 1 ELSE 0 END"
+    totals = {"leads": "1", "with_email": one("email IS NOT NULL"), "guessed": one("coalesce(email_guessed, false)"), "real_email": f"{one('email IS NOT NULL')} - {one('coalesce(email_guessed, false)')}"}
+    each = ", ".join([*(d.tuple(section=f"'{s}'", key=k, one="1") for s, k in sections.items()), *(d.tuple(section="'total'", key=f"'{k}'", one=v) for k, v in totals.items())])
     rows = d.explode(("[" if d.duck else "array(") + each + ("]" if d.duck else ")"))
     return f"SELECT x.section AS section, x.key AS key, CAST(sum(x.one) AS BIGINT) AS n FROM (SELECT {rows} AS x FROM leads WHERE category = 'office') t GROUP BY 1, 2"
 

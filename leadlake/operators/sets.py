@@ -42,10 +42,15 @@ def merge_contacts(d):
     return f"SELECT company, name FROM (SELECT {name_key('l.company_name')} AS company, c.name, row_number() OVER (PARTITION BY {name_key('l.company_name')}, lower(c.name) ORDER BY l.ingest_seq, c.pos) AS n FROM leads l JOIN {contacts(d)} c ON c.lead_id = l.lead_id) t WHERE n = 1"
 
 
-@operator("O5", "doc_emails", "documents")
+@operator("O5", "rich_pages")
 def merge_emails(d):
-    """Distinct addresses of each document over all extractors."""
-    return "SELECT doc_id, lower(email) AS email FROM doc_emails UNION SELECT doc_id, lower(email) AS email FROM doc_emails WHERE contains(email, '.')"
+    """Distinct addresses of each host over all its pages and extractors (markup, mail links, linked data), with how many extractors gave each and its first page."""
+    from ..functions.emails import cleaned, found
+
+    mail = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,7}"
+    sources = {"markup": found(d, "html"), "link": d.extract_all("html", f'(?i)href="mailto:({mail})', 1), "linked": d.extract_all("html", f'(?i)"email"\\s*:\\s*"(?:mailto:)?({mail})', 1)}
+    rows = " UNION ALL ".join(f"SELECT host, page_id, '{name}' AS extractor, {d.explode(of)} AS raw FROM rich_pages" for name, of in sources.items())
+    return f"SELECT host, email, count(DISTINCT extractor) AS extractors, min(page_id) AS first_page FROM (SELECT host, page_id, extractor, {cleaned(d, 'lower(raw)')} AS email FROM ({rows}) a) b WHERE email IS NOT NULL GROUP BY host, email"
 
 
 @operator("O6", "leads")

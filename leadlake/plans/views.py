@@ -96,6 +96,15 @@ def newcomers(d: Dialect) -> str:
     return "SELECT * FROM leads WHERE ingest_seq % 5 <> 0"
 
 
+def fallback_leads(d: Dialect) -> str:
+    return "SELECT * FROM leads WHERE ingest_seq % 5 = 0"
+
+
+def source_runs(d: Dialect) -> str:
+    """Runs of the sources of leads, and whether each failed."""
+    return "SELECT CASE event_type WHEN 'view' THEN 'directory' WHEN 'click' THEN 'search' ELSE 'places' END AS source, ts AS ended_at, event_type = 'view' AND value > 99 AS failed FROM events"
+
+
 def requests(d: Dialect) -> str:
     """Calls that leads without a site wait for, with their layer and price in millionths of a dollar."""
     return "SELECT lead_id, ingest_seq, CASE ingest_seq % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'model' ELSE 'places' END AS layer, CASE ingest_seq % 4 WHEN 0 THEN 0 WHEN 1 THEN 225 + ingest_seq % 100 ELSE 19000 END AS micros FROM leads WHERE website IS NULL OR ingest_seq % 6 = 0"
@@ -264,6 +273,8 @@ VIEWS = {
     "first_names": (first_names, []),
     "business_words": (business_words, []),
     "newcomers": (newcomers, ["leads"]),
+    "fallback_leads": (fallback_leads, ["leads"]),
+    "source_runs": (source_runs, []),
     "requests": (requests, ["leads"]),
     "later": (later, ["existing"]),
     "found_emails": (found_emails, ["leads"]),

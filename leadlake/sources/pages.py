@@ -38,11 +38,12 @@ def listing_blocks(d):
         WHERE name <> '' AND link <> '' AND NOT {d.match('lower(link)', 'google|youtube|facebook|twitter')} AND NOT {d.match('lower(name)', 'dissolved|liquidation')}) t WHERE place <= 5"""
 
 
-@operator("S14", "leads", "existing")
-def merge_sources(d):
-    """Sources in priority order; the fallback only counts if the primary one gave nothing."""
-    return """SELECT lead_id, source_rank FROM (SELECT lead_id, 1 AS source_rank FROM leads WHERE category = 'unit8' UNION ALL SELECT lead_id, 2 AS source_rank FROM leads WHERE category = 'office'
-        UNION ALL SELECT lead_id, 3 AS source_rank FROM existing WHERE (SELECT count(*) FROM leads WHERE category = 'unit8') = 0) t"""
+@operator("S14", "leads", "newcomers", "fallback_leads", "source_runs")
+def merge_sources(d, primary: str = "directory"):
+    """Sources in their priority, each lead once, by the first source that has it; the fallback only if a run of the primary source failed."""
+    rows = f"""SELECT lead_id, 1 AS source_rank FROM leads WHERE category = 'unit8' UNION ALL SELECT lead_id, 2 AS source_rank FROM newcomers
+        UNION ALL SELECT lead_id, 3 AS source_rank FROM fallback_leads WHERE (SELECT coalesce(max(CASE WHEN failed THEN 1 ELSE 0 END), 0) FROM source_runs WHERE source = {d.lit(primary)}) = 1"""
+    return f"SELECT lead_id, min(source_rank) AS source_rank FROM ({rows}) t GROUP BY lead_id"
 
 
 @operator("S16", "leads")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from leadlake.functions.rules import PARKED
-from leadlake.operators import filters, joins, merges, reports, texts, windows
+from leadlake.operators import filters, joins, merges, reports, sets, texts, windows
 
 LEAD = "lead_id string, ingest_seq long, company_name string, website string, contact_name string, contact_names array<string>, email string, location string, contact_verified boolean, contact_source string, company_status string, refinement_notes array<string>, confidence_score double, personal_email_guesses array<string>"
 
@@ -174,6 +174,24 @@ def test_word_lists_are_the_callers(spark):
     assert plan.count("LeftSemi") == 2
 
 
+def test_sources_by_priority_and_fallback(spark):
+    from leadlake.sources import pages
+
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "lead_id string")
+    own = spark.createDataFrame([("1", "unit8"), ("2", "office"), ("3", "unit8")], "lead_id string, category string")
+    runs = lambda *x: spark.createDataFrame(list(x), "source string, failed boolean")
+    found = lambda r: {x.lead_id: x.source_rank for x in pages.merge_sources(leads=own, newcomers=ids("3", "4"), fallback_leads=ids("1", "9"), source_runs=r).collect()}
+    assert found(runs(("directory", False), ("search", True), ("directory", None))) == found(runs()) == {"1": 1, "3": 1, "4": 2}
+    assert found(runs(("directory", False), ("directory", True))) == {"1": 1, "3": 1, "4": 2, "9": 3}
+
+
+def test_addresses_over_extractors_and_pages(spark):
+    html = ['x <a href="mailto:A@b.org?s=1">w</a>', '<script type="application/ld+json">{"email": "mailto:a@b.org"}</script>', "<p>c@b.org", "<p>none", None]
+    pages = spark.createDataFrame([(i, "b.org" if i < 3 else "z.org", h) for i, h in enumerate(html)], "page_id long, host string, html string")
+    got = sorted(tuple(r) for r in sets.merge_emails(rich_pages=pages).collect())
+    assert got == [("b.org", "a@b.org", 3, 0), ("b.org", "c@b.org", 1, 2)]
+
+
 def test_known_addresses_come_first(spark):
     rows = [("info@acme.org", False), ("emma@acme.org", None), ("emma@acme.org", True), (None, None), ("1@x", False)]
     own = leads(spark, *(dict(contact_name="Emma Jones", email=m) for m, _ in rows)).join(spark.createDataFrame([(str(i), g) for i, (_, g) in enumerate(rows)], "lead_id string, email_guessed boolean"), "lead_id")
