@@ -10,8 +10,10 @@ blocks are ranked at last by query.
 
 Vectors that are null or hold a null or non-finite component take no part; a
 missing dimension counts as 0; equal scores rank by smaller id.  Scores are
-64-bit integers, so components should be under 2^25 in size with up to 2^10 of them.  Rows with a null id take no part; ids are taken to be unique,
-and a repeated candidate row is ranked each time.  Empty tables give no rows.
+64-bit integers, so components should be under 2^25 in size with up to 2^10 of
+them.  Rows with a null id take no part.  A repeated query id counts once, with one
+of its rows; a repeated candidate row is ranked each time.  Empty tables give no
+rows.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def best(query: np.ndarray, columns: np.ndarray, rest: np.ndarray, ids: np.ndarr
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query, but for the candidate with the query's own id."""
     shape = lambda df: df.where(F.col(vec_id).isNotNull() & usable(vector)).select(F.col(vec_id).cast("long").alias("id"), integers(vector, scale).alias("v"))
-    ours, theirs = shape(queries), shape(candidates)
+    ours, theirs = shape(queries).dropDuplicates(["id"]), shape(candidates)
     n, m = queries.count(), candidates.count()
     blocks, parts = max(LEAST_BLOCKS, -(-m // CANDIDATES)), max(1, -(-n // QUERIES))
     deal = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")

@@ -30,6 +30,13 @@ def test_top_k_few_and_none(spark):
     assert topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_repeated_queries_count_once(spark):
+    df = spark.createDataFrame([(100, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.0, -1.0])], "vec_id long, embedding array<float>")
+    asked = df.where("vec_id = 100")
+    got = sorted((r.rank, r.vec_id) for r in topk.top_k(asked.unionByName(asked), df).collect())
+    assert got == [(1, 1), (2, 1), (3, 2)]
+
+
 def poisson(u, mean):
     p = c = math.exp(-mean)
     k = 0
