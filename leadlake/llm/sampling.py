@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +38,13 @@ def fetch(docs: DataFrame, ids: DataFrame, doc_id: str, columns: list[str], most
 def remainder(doc_id, n: int):
     """crc32 of the id as text modulo n (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+def release() -> None:
+    """Give memory that training has freed back to the system; allocators keep it otherwise, and a driver that trains several models adds it up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
