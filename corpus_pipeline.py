@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leadlake.llm import filters, langid, mixing, neardup, packing, toxicity
 from leadlake.llm.queries import read, tokenizer_path
-from leadlake.llm.sampling import remainder
+from leadlake.llm.sampling import release, remainder
 from leadlake.llm.store import written
 
 #: No SQL expresses the trained stages.
@@ -23,12 +23,14 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5; null and empty texts stay, repeated rows are judged alike."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 5) == 0)
+    release()
     return filters.not_toxic(docs, model)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which one known language has at least two fifths; null, empty and letterless texts go, repeated rows are judged alike."""
     model = langid.train(docs, F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
+    release()
     return filters.in_a_language(docs, model)
 
 
@@ -44,7 +46,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens; null text is empty, each repeated row is packed."""
-    return packing.pack(docs, tokenizer_path())
+    packed = packing.pack(docs, tokenizer_path())
+    release()
+    return packed
 
 
 STAGES = [
