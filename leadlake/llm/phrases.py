@@ -11,7 +11,8 @@ is exact and it leaves the scans; they end when nothing is being counted.
 Which subphrases have reached the threshold, and after which scan, is broadcast
 as a table of fixed size (`SLOTS` bytes) in which a phrase's hash picks a slot
 and the first entry stays.  It only decides where counting begins: phrases that
-share a slot may begin too early, and still go through exactly one full cycle.
+share a slot may begin too early, but never before both subphrases have begun, and
+still go through exactly one full cycle.
 So counts do not depend on it.  Phrases themselves are told apart by their
 characters; inside one slice of text, words by 64-bit hashes.
 
@@ -128,7 +129,9 @@ def scan(texts: list[str], langs: list[str], reached: np.ndarray, now: int, shar
         since = reached[slot(phrase, len(reached))]
         able = np.flatnonzero(since != NEVER)
         next_ = able[:-1][(place[able[1:]] == place[able[:-1]] + 1) & (piece[np.minimum(place[able[:-1]] + k, len(piece) - 1)] == piece[place[able[:-1]]])]
-        began = 1 + np.maximum(since[next_], since[next_ + 1]).astype(np.int64)
+        # and it can be met only once they are themselves: words that share no slot may have been later than their phrase's slot
+        ready = np.maximum(began, 1 + since.astype(np.int64))
+        began = np.maximum(ready[next_], ready[next_ + 1])
         place, phrase = place[next_], mix(phrase[next_] * _STEP + word[place[next_] + k])
         if not len(place):
             break

@@ -60,6 +60,13 @@ def test_counts_do_not_depend_on_the_table_of_reached_phrases(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows, 10, 4)
 
 
+@pytest.mark.parametrize("slots", [64, 1024])
+def test_a_phrase_whose_parts_share_slots_is_not_begun_before_its_words_are(spark, slots):
+    rows = some_rows(3, 400)
+    got = phrases.collocations(frame(spark, rows), 10, 5, 2000, 3, slots=slots).drop("k")
+    assert sorted(map(tuple, got.collect())) == brute(rows, 10, 5)
+
+
 def test_empty_table_and_table_without_frequent_phrases(spark):
     df = frame(spark, [("en", "a b c"), ("en", "a b")])
     assert phrases.collocations(df, 100).count() == 0
