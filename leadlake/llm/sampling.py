@@ -6,7 +6,7 @@ import ctypes
 import gc
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Excerpts by which a long text stands in a sample.
@@ -40,9 +40,11 @@ def remainder(doc_id, n: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def release() -> None:
-    """Give memory that training has freed back to the system; allocators keep it otherwise, and a driver that trains several models adds it up."""
+def release(spark: SparkSession | None = None) -> None:
+    """Give memory that training has freed back to the system; allocators keep it otherwise, and a driver that trains several models adds it up. With a session, its JVM does so too: a full collection shrinks the heap."""
     gc.collect()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

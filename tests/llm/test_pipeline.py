@@ -117,3 +117,26 @@ def test_stages_on_an_empty_table(spark):
 
 def test_run_applies_all_stages(spark, steps):
     assert cp.run(spark, SF).count() == steps[-1][1].count()
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_begin_by_giving_back_memory_of_the_driver(spark, monkeypatch, name, stage):
+    class GivenBack(Exception):
+        pass
+
+    def release(session=None):
+        assert session is spark
+        raise GivenBack
+
+    monkeypatch.setattr(cp, "release", release)
+    with pytest.raises(GivenBack):
+        stage(spark, None, None)
+
+
+def test_giving_back_memory_shrinks_the_heap_of_the_jvm(spark):
+    from leadlake.llm.sampling import release
+
+    count = lambda: sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+    before = count()
+    release(spark)
+    assert count() > before
