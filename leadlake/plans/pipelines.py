@@ -94,7 +94,11 @@ def waterfall_enrich(d):
 @operator("P5", "leads", "page_text")
 def fast_path(d):
     """Only the landed home page, and only for leads whose director's name is valid."""
-    return f"SELECT l.lead_id, {d.at(E.found(d, 'p.text'), '1')} AS email, {d.size(d.split('p.text', '\\s+'))} AS words FROM leads l JOIN (SELECT url, text FROM page_text) p ON p.url = l.website WHERE {N.contact_valid(d, 'l.principal_name')}"
+    if d.duck:
+        return f"SELECT l.lead_id, {d.at(E.found(d, 'p.text'), '1')} AS email, {d.size(d.split('p.text', '\\s+'))} AS words FROM leads l JOIN (SELECT url, text FROM page_text) p ON p.url = l.website WHERE {N.contact_valid(d, 'l.principal_name')}"
+    # a page is searched once, not for each of its leads, and only what was found is joined
+    page = f"SELECT url, {d.at('mails', '1')} AS email, words FROM (SELECT url, {E.found(d, 'text')} AS mails, {d.size(d.split('text', '\\s+'))} AS words FROM page_text) m"
+    return f"SELECT l.lead_id, p.email, p.words FROM leads l JOIN ({page}) p ON p.url = l.website WHERE {N.contact_valid(d, 'l.principal_name')}"
 
 
 @operator("P6", "leads", "page_text")
