@@ -74,6 +74,7 @@ def linked(scripts: DataFrame) -> DataFrame:
     level by level until nothing is nested any more.
     """
     level = scripts.select("page_id", "pos", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("owner"), F.try_parse_json("text").alias("value")).where("value IS NOT NULL")
+    level = written(level, "nodes")
     levels = [level]
     while True:
         inside = F.expr("schema_of_variant(value)")
@@ -105,16 +106,19 @@ def people(table: DataFrame, most_deep: int = 8, first_sections: int = 3) -> Dat
     test.  A team of headings counts from three on; image, sentence and card give
     `most_deep` a page together.
     """
+    table = written(table, "scanned")  # pages are scanned once, however many sources read them
     here = Window.partitionBy("page_id").orderBy("pos")
-    after, before = here.rowsBetween(1, Window.unboundedFollowing), here.rowsBetween(Window.unboundedPreceding, -1)
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    # what follows, nearest last: a frame that grows, where one up to the end would be read anew for each row
+    after = Window.partitionBy("page_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     beside = Window.partitionBy("page_id", "parent").orderBy("pos")
     among = lambda *tags: F.when(F.col("tag").isin(*tags), F.col("text"))
     own = table.where("tag <> '#text'").join(table.select("page_id", F.col("pos").alias("parent"), F.col("text").alias("around")), ["page_id", "parent"], "left")
     own = own.withColumns(
         {
-            "next": F.first(among("p", "span", "div", "em", "small", "li"), True).over(after),
-            "next_name": F.first(among("h2", "h3", "h4", "strong", "b", "p"), True).over(after),
-            "next_any": F.first(among("p", "span", "div", "h2", "h3", "h4", "h5"), True).over(after),
+            "next": F.last(among("p", "span", "div", "em", "small", "li"), True).over(after),
+            "next_name": F.last(among("h2", "h3", "h4", "strong", "b", "p"), True).over(after),
+            "next_any": F.last(among("p", "span", "div", "h2", "h3", "h4", "h5"), True).over(after),
             "last_any": F.last(among("p", "span", "div", "h2", "h3", "h4"), True).over(before),
             "sibling": F.lead("text").over(beside),
         }
@@ -214,14 +218,14 @@ def block_emails(linked_pages: DataFrame) -> DataFrame:
     block = F.expr("zones['contact'] IS NOT NULL")
     is_mail = F.expr("tag = 'a' AND lower(attrs['href']) LIKE 'mailto:%'")
     shown = F.expr("concat_ws(' ', transform(filter(map_entries(attrs), x -> x.key IN ('alt', 'title', 'content', 'aria-label') OR startswith(x.key, 'data-')), x -> x.value))")
-    rows = [
-        table.where(is_mail & ~block).select("page_id", "pos", F.lit(1).alias("source_rank"), F.array(link).alias("found")),
-        table.where(is_mail & block).select("page_id", "pos", F.lit(2).alias("source_rank"), F.array(link).alias("found")),
-        table.where((F.col("tag") == "#text") & block).select("page_id", "pos", F.lit(2).alias("source_rank"), mails("text").alias("found")),
-        table.where(F.col("tag") != "#text").withColumn("shown", shown).where("contains(shown, '@')").select("page_id", "pos", F.lit(3).alias("source_rank"), mails("shown").alias("found")),
-        table.where((F.col("tag") == "#text") & ~block).select("page_id", "pos", F.lit(4).alias("source_rank"), mails("text").alias("found")),
-    ]
-    each = reduce(DataFrame.unionByName, rows).select("page_id", "pos", "source_rank", F.explode("found").alias("raw"))
+    # one pass: each element gives what it shows by its kind, so that pages are scanned once
+    given = lambda rank, found: F.transform(found, lambda x: F.struct(rank.alias("source_rank"), x.alias("raw")))
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<source_rank: INT, raw: STRING>>)")
+    is_text = F.col("tag") == "#text"
+    links = F.when(is_mail, given(F.when(block, 2).otherwise(1), F.array(link))).otherwise(none)
+    shows = F.when(is_text, given(F.when(block, 2).otherwise(4), mails("text"))).when(F.contains("shown", F.lit("@")), given(F.lit(3), mails("shown"))).otherwise(none)
+    each = table.withColumn("shown", F.when(~is_text, shown)).where(is_mail | (is_text & F.contains("text", F.lit("@"))) | F.contains("shown", F.lit("@")))
+    each = each.select("page_id", "pos", F.explode(F.concat(links, shows)).alias("one")).select("page_id", "pos", "one.source_rank", "one.raw")
     each = each.withColumn("email", F.expr(E.cleaned(SPARK, "lower(raw)"))).where(F.expr(f"email IS NOT NULL AND NOT {SPARK.word("split_part(email, '@', 1)", R.JUNK_LOCALS)}"))
     return each.groupBy("page_id", "email").agg(F.min(F.struct("source_rank", "pos")).alias("f")).select("page_id", "email", "f.source_rank", "f.pos")
 
@@ -259,7 +263,7 @@ def listings(pages: DataFrame, layout: Layout, most: int = 5) -> DataFrame:
     results, links that are not absolute or lead to search engines and networks.
     """
     zones = {f"block{i}": z for i, z in enumerate(layout.blocks)}
-    table = elements(pages, zones)
+    table = written(elements(pages, zones), "scanned")
     # the first kind of block that a page has
     names = list(zones)
     kind = table.groupBy("page_id").agg(*(F.max(F.expr(f"zones['{n}'] IS NOT NULL")).alias(n) for n in names))
