@@ -15,11 +15,20 @@ def has_at(email: str) -> str:
 def found(d: Dialect, text: str) -> str:
     """Addresses of a text in order: known top-level domains; two to four letters only if there is none of those. Junk is dropped."""
     # a letter or dot after the domain disqualifies it: the text is marked after each candidate, so no look-ahead is needed
-    padded = f"{d.rep(text, '[^a-zA-Z0-9._%+@-]+', '  ')} || ' '"
-    known = d.extract_all(padded, "(?i)([a-z0-9._%+-]+@[a-z0-9.-]+\\.(" + R.KNOWN_TLDS + "))[^a-z.]", 1)
-    loose = d.extract_all(padded, "([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,4})[^a-zA-Z]", 1)
-    best = f"CASE WHEN {d.size(known)} > 0 THEN {known} ELSE {loose} END"
-    return d.filter(best, "e", f"NOT {d.holds('lower(e)', R.EMAIL_JUNK)}")
+    pad = lambda x: f"{d.rep(x, '[^a-zA-Z0-9._%+@-]+', '  ')} || ' '"
+    ends = "(" + R.KNOWN_TLDS + "))[^a-z.]"
+    junk = f"NOT {d.holds('lower(e)', R.EMAIL_JUNK)}"
+    if d.duck:
+        known = d.extract_all(pad(text), "(?i)([a-z0-9._%+-]+@[a-z0-9.-]+\\." + ends, 1)
+        loose = d.extract_all(pad(text), "([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,4})[^a-zA-Z]", 1)
+        return d.filter(f"CASE WHEN {d.size(known)} > 0 THEN {known} ELSE {loose} END", "e", junk)
+    # whether an address fits does not depend on where in a run of its characters it begins: each run is tried once, where it
+    # begins or the last match ended, so the search stays linear on long runs; what both searches read is worked out once
+    once = "(?:\\G|(?<![a-zA-Z0-9._%+-]))"
+    known = d.extract_all("padded_text", f"(?i){once}([a-z0-9._%+-]++@[a-z0-9.-]+\\.{ends}", 1)
+    loose = d.extract_all("padded_text", f"{once}([a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,4}})[^a-zA-Z]", 1)
+    best = d.let(known, "known_mails", f"CASE WHEN {d.size('known_mails')} > 0 THEN known_mails ELSE {loose} END")
+    return f"CASE WHEN NOT contains({text}, '@') THEN {d.text_array()} ELSE {d.filter(d.let(pad(text), 'padded_text', best), 'e', junk)} END"
 
 
 def _bare(d: Dialect, email: str) -> str:
