@@ -33,13 +33,13 @@ class Operator:
         return self.build(d, **options)
 
     def run(self, spark: SparkSession, tables: str, options: dict | None = None) -> DataFrame:
-        """The statement after a WITH clause of its inputs; its sides, if it has any, are written first and read from there."""
+        """The statement after a WITH clause of its inputs; its sides, if it has any, are written first, in order, and read from there."""
         names = {}
         try:
             for side, build in self.sides.items():
                 names[side] = f"{side}_{uuid.uuid4().hex[:8]}"
-                written(spark.sql(tables + build(SPARK)), side).createOrReplaceTempView(names[side])
-            tables = ", ".join([tables.rstrip(), *(f"{n} AS (SELECT * FROM {v})" for n, v in names.items())])
+                written(spark.sql(f"{tables} {build(SPARK)}"), side).createOrReplaceTempView(names[side])
+                tables = f"{tables.rstrip()}, {side} AS (SELECT * FROM {names[side]})"  # the next side may read it
             return spark.sql(f"{tables} {self.sql(STAGED if names else SPARK, **(options or {}))}")
         finally:
             for v in names.values():

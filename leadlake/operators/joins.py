@@ -103,7 +103,23 @@ def _linked_places(d) -> str:
     return f"SELECT pos, place_id, array_sort(pn) AS pn, dn, addr, gu FROM ({_place_side(d)}) x"
 
 
-LINK_SIDES = {"jl": _linked_leads, "jp": _linked_places}
+def _place_words(d) -> str:
+    """The first position of each word of places' names, by address and whether it is plausible. A surname has no blank, so it lies in a name where it lies in a word."""
+    each = d.explode(d.distinct(d.split("dn", "\\s+")))
+    return f"SELECT word, addr, gu, min(pos) AS pos FROM (SELECT pos, addr, gu, {each} AS word FROM jp) y WHERE length(word) >= 4 GROUP BY word, addr, gu"
+
+
+def _known_words(d) -> str:
+    """Words of places that leads have too."""
+    return "SELECT w.pos, w.addr, w.gu, w.token FROM (SELECT pos, addr, gu, explode(pn) AS token FROM jp) w LEFT SEMI JOIN (SELECT DISTINCT explode(cn) AS token FROM jl) l ON l.token = w.token"
+
+
+def _known_sets(d) -> str:
+    """The first position of each set of such words."""
+    return "SELECT pn, min(pos) AS pos FROM (SELECT pos, array_sort(collect_set(token)) AS pn FROM jk GROUP BY pos) k GROUP BY pn"
+
+
+LINK_SIDES = {"jl": _linked_leads, "jp": _linked_places, "jw": _place_words, "jk": _known_words, "sets": _known_sets}
 
 
 @operator("J6", "leads", "places", sides=LINK_SIDES)
@@ -126,22 +142,19 @@ def link_places(d):
     triples = lambda a: f"flatten(transform({a}, (z, j) -> transform({pairs(f'slice({a}, j + 2, size({a}))')}, y -> concat(z, ' ', y))))"
     sides = "" if d.staged else "".join(f"{n} AS ({build(d)}), " for n, build in LINK_SIDES.items())
     return f"""SELECT lead_id, place_id, tier FROM (WITH {sides}
-        word_of AS (SELECT w.pos, w.addr, w.gu, w.token FROM (SELECT pos, addr, gu, explode(pn) AS token FROM jp) w LEFT SEMI JOIN (SELECT DISTINCT explode(cn) AS token FROM jl) l ON l.token = w.token),
-        known AS (SELECT pos, array_sort(collect_set(token)) AS pn FROM word_of GROUP BY pos),
         town_of AS ({held_in('jp', 'addr', 'jl', 'town', 3)}),
-        name_of AS ({held_in('jp', 'dn', 'jl', 'surname', 4)}),
-        first_key AS (SELECT key, min(pos) AS pos FROM (SELECT pos, explode(concat(pn, {pairs('pn')}, {triples('pn')})) AS key FROM known) x GROUP BY key),
+        name_of AS ({held_in('jw', 'word', 'jl', 'surname', 4)}),
+        first_key AS (SELECT key, min(pos) AS pos FROM (SELECT pos, explode(concat(pn, {pairs('pn')}, {triples('pn')})) AS key FROM sets) x GROUP BY key),
         few AS (SELECT l.lead_id, 1 AS tier, min(k.pos) AS pos FROM (SELECT lead_id, explode(CASE need WHEN 1 THEN cn WHEN 2 THEN {pairs('cn')} ELSE {triples('cn')} END) AS key FROM jl WHERE need BETWEEN 1 AND 3) l JOIN first_key k ON k.key = l.key GROUP BY l.lead_id),
-        sets AS (SELECT pn, min(pos) AS pos FROM known GROUP BY pn),
         rare AS (SELECT lead_id, token FROM (SELECT l.lead_id, l.token, l.need, l.n, row_number() OVER (PARTITION BY l.lead_id ORDER BY coalesce(f.times, 0), l.token) AS place FROM
-            (SELECT lead_id, need, size(cn) AS n, explode(cn) AS token FROM jl WHERE need > 3) l LEFT JOIN (SELECT token, count(*) AS times FROM word_of GROUP BY token) f ON f.token = l.token) x WHERE place <= n - need + 1),
+            (SELECT lead_id, need, size(cn) AS n, explode(cn) AS token FROM jl WHERE need > 3) l LEFT JOIN (SELECT token, count(*) AS times FROM jk GROUP BY token) f ON f.token = l.token) x WHERE place <= n - need + 1),
         many AS (SELECT l.lead_id, 1 AS tier, min(p.pos) AS pos FROM (SELECT DISTINCT r.lead_id, s.pos FROM rare r JOIN (SELECT pos, explode(pn) AS token FROM sets) s ON s.token = r.token) c
             JOIN jl l ON l.lead_id = c.lead_id JOIN sets p ON p.pos = c.pos WHERE size(array_intersect(l.cn, p.pn)) >= l.need GROUP BY l.lead_id),
         long_word AS (SELECT lead_id, town, explode(filter(cn, w -> length(w) >= 4)) AS token FROM jl),
-        word_gu AS (SELECT token, min(pos) AS pos FROM word_of WHERE gu AND length(token) >= 4 GROUP BY token),
-        word_town AS (SELECT w.token, t.town, min(w.pos) AS pos FROM word_of w JOIN town_of t ON t.addr = w.addr WHERE length(w.token) >= 4 GROUP BY w.token, t.town),
+        word_gu AS (SELECT token, min(pos) AS pos FROM jk WHERE gu AND length(token) >= 4 GROUP BY token),
+        word_town AS (SELECT w.token, t.town, min(w.pos) AS pos FROM jk w JOIN town_of t ON t.addr = w.addr WHERE length(w.token) >= 4 GROUP BY w.token, t.town),
         shared AS (SELECT l.lead_id, 2 AS tier, min(least(g.pos, t.pos)) AS pos FROM long_word l LEFT JOIN word_gu g ON g.token = l.token LEFT JOIN word_town t ON t.token = l.token AND t.town = l.town GROUP BY l.lead_id),
-        named AS (SELECT n.surname, p.pos, p.addr, p.gu FROM name_of n JOIN jp p ON p.dn = n.dn),
+        named AS (SELECT n.surname, w.addr, w.gu, min(w.pos) AS pos FROM name_of n JOIN jw w ON w.word = n.word GROUP BY n.surname, w.addr, w.gu),
         name_gu AS (SELECT surname, min(pos) AS pos FROM named WHERE gu GROUP BY surname),
         name_town AS (SELECT n.surname, t.town, min(n.pos) AS pos FROM named n JOIN town_of t ON t.addr = n.addr GROUP BY n.surname, t.town),
         person AS (SELECT l.lead_id, 3 AS tier, least(g.pos, t.pos) AS pos FROM jl l LEFT JOIN name_gu g ON g.surname = l.surname LEFT JOIN name_town t ON t.surname = l.surname AND t.town = l.town),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leadlake.functions import emails as E
 from leadlake.functions import rules as R
 from leadlake.functions.dialect import SPARK
+from leadlake.operators import core, joins
 from leadlake.plans import pipelines
 from leadlake.sources import structure
 
@@ -70,3 +71,23 @@ def test_a_page_is_searched_before_it_meets_its_leads(spark):
     assert sorted(map(tuple, df.collect())) == [("1", "me@site.org", 4), ("2", "me@site.org", 4), ("3", None, 2)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan[: plan.index("Join")]
+
+
+def test_surnames_are_looked_up_in_words_of_places_each_once(spark):
+    sides = []
+    kept = core.written
+
+    def written(df, name):
+        sides.append((name, kept(df, name)))
+        return sides[-1][1]
+
+    leads = spark.createDataFrame([("1", "Acme", "Emma Jones", "Woking, GU1"), ("2", "Zed", "Al O'Brien-Ng", "Hill, GU2")], "lead_id string, company_name string, contact_name string, location string")
+    places = spark.createDataFrame([(i, f"p{i}", f"The {n} House", "GU7 2AB") for i, n in enumerate(["Jonesy", "Joneses", "Jonesy", "Mr.O'Brien-Ngs"] * 5)], "pos long, place_id string, display_name string, address string")
+    core.written = written
+    try:
+        df = joins.link_places(leads=leads, places=places)
+        assert sorted(map(tuple, df.collect())) == [("1", "p0", 3), ("2", "p3", 3)]
+    finally:
+        core.written = kept
+    words = dict(sides)["jw"]
+    assert sorted((r.word, r.pos) for r in words.collect()) == [("house", 0), ("joneses", 1), ("jonesy", 0), ("mr.o'brien-ngs", 3)]
