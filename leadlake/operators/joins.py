@@ -96,11 +96,11 @@ def _place_side(d) -> str:
 
 
 def _linked_leads(d) -> str:
-    return f"SELECT lead_id, array_sort(cn) AS cn, CAST(ceil(size(cn) / 2) AS INT) AS need, town, surname FROM ({_lead_side(d)}) x"
+    return f"SELECT lead_id, sort_array(cn) AS cn, CAST(ceil(size(cn) / 2) AS INT) AS need, town, surname FROM ({_lead_side(d)}) x"
 
 
 def _linked_places(d) -> str:
-    return f"SELECT pos, place_id, array_sort(pn) AS pn, dn, addr, gu FROM ({_place_side(d)}) x"
+    return f"SELECT pos, place_id, sort_array(pn) AS pn, dn, addr, gu FROM ({_place_side(d)}) x"
 
 
 def _place_words(d) -> str:
@@ -116,7 +116,7 @@ def _known_words(d) -> str:
 
 def _known_sets(d) -> str:
     """The first position of each set of such words."""
-    return "SELECT pn, min(pos) AS pos FROM (SELECT pos, array_sort(collect_set(token)) AS pn FROM jk GROUP BY pos) k GROUP BY pn"
+    return "SELECT pn, min(pos) AS pos FROM (SELECT pos, sort_array(collect_set(token)) AS pn FROM jk GROUP BY pos) k GROUP BY pn"
 
 
 LINK_SIDES = {"jl": _linked_leads, "jp": _linked_places, "jw": _place_words, "jk": _known_words, "sets": _known_sets}

@@ -238,24 +238,47 @@ def registry_names(d):
     return f"SELECT pos, {full} AS name, {d.rep(full, '^(\\S+)\\s.*\\s(\\S+)$', '$1 $2')} AS short_name FROM officers"
 
 
-def geo_flags(d) -> str:
+def spelled(d, words) -> str:
+    """Whether `low` holds one of the words, whole. The letters that words begin with are asked for first, and their first letters met once."""
+    if d.duck:  # a plain search first: the slower pattern only runs on texts that hold one of the words
+        return "((" + " OR ".join(f"contains(low, {d.lit(w)})" for w in words) + ") AND " + d.match("low", "\\b(?:" + "|".join(words) + ")\\b") + ")"
+    heads = "".join("[" + "".join(sorted({w[i] for w in words} - {"-"})) + "-]" for i in range(3))
+    by = {c: "|".join(w[1:] for w in words if w[0] == c) for c in dict.fromkeys(w[0] for w in words)}
+    return d.match("low", f"(?={heads})\\b(?:" + "|".join(f"{c}(?:{rest})" for c, rest in by.items()) + ")\\b")
+
+
+POST = "(?i)\\bGU[0-9]{1,2}\\s?[0-9][A-Z]{2}\\b"
+
+
+def geo_signs(d) -> dict[str, str]:
+    """Signals of a page by its `text` and `low`, the same in lower case; all but the first three read `rare`, whether it holds any of their words."""
+    lists = {"x_exclude": R.EXCLUDE_TEXT, "x_shell": R.SHELL_TEXT, "x_dormant": R.DORMANT_TEXT, "x_scope": R.REVIEW_TEXT}
+    first = {"has_text": "text <> ''", "text_post": f"(contains(low, 'gu') AND {d.match('text', POST)})", "text_town": spelled(d, [t.lower() for t in R.GEO_TOWNS])}
+    return first | {n: spelled(d, words) if d.duck else f"(rare AND {spelled(d, words)})" for n, words in lists.items()}
+
+
+def geo_page(d, source: str = "page_text", also: str = "") -> str:
+    """Signals of each page, with the columns `also`."""
+    signs = "SELECT url, " + also + ", ".join(f"{e} AS {n}" for n, e in geo_signs(d).items())
+    if d.duck:
+        return signs + f", {d.size(d.split('text', '\\s+'))} < 50 AS thin FROM (SELECT url, text, lower(text) AS low FROM {source}) low_text"
+    kept = "SELECT *, " + spelled(d, R.EXCLUDE_TEXT + R.SHELL_TEXT + R.DORMANT_TEXT + R.REVIEW_TEXT) + f" AS rare FROM (SELECT *, lower(text) AS low FROM {source}) low_text"
+    return signs + f", NOT {d.match('text', '^(?:\\S*+\\s++){49}')} AS thin FROM ({kept}) t"  # under 50 words
+
+
+def geo_flags(d, page: str | None = None) -> str:
     """Signals of each lead and of its landed page; a page's signals are found once, before the join."""
-    post, town = "(?i)\\bGU[0-9]{1,2}\\s?[0-9][A-Z]{2}\\b", "(?i)\\b(?:" + "|".join(R.GEO_TOWNS) + ")\\b"
-    # a plain search first: the slower pattern only runs on texts that hold one of the words
-    word = lambda words: "((" + " OR ".join(f"contains(low, {d.lit(w)})" for w in words) + ") AND " + d.match("low", "\\b(?:" + "|".join(words) + ")\\b") + ")"
+    town = "(?i)\\b(?:" + "|".join(R.GEO_TOWNS) + ")\\b"
     loc, name = "coalesce(l.location, '')", "lower(l.company_name)"
     site, mail = host(d, "l.website"), "lower(split_part(l.generic_email, '@', 2))"
-    signs = {"has_text": "text <> ''", "text_post": f"(contains(low, 'gu') AND {d.match('text', post)})", "text_town": word([t.lower() for t in R.GEO_TOWNS]), "x_exclude": word(R.EXCLUDE_TEXT), "x_shell": word(R.SHELL_TEXT), "x_dormant": word(R.DORMANT_TEXT), "x_scope": word(R.REVIEW_TEXT)}
-    page = "SELECT url, " + ", ".join(f"{e} AS {n}" for n, e in signs.items()) + f", {d.size(d.split('text', '\\s+'))} < 50 AS thin FROM (SELECT url, text, lower(text) AS low FROM page_text) low_text"
-    flags = ", ".join(f"coalesce(p.{n}, false) AS {n}" for n in signs)
-    return f"""SELECT l.lead_id, l.website IS NOT NULL AS has_site, {flags}, {d.match(loc, post)} AS loc_post, {d.match(loc, town)} AS loc_town, coalesce(p.thin, true) AS thin,
-        coalesce({mail} <> {site} AND NOT {d.starts(mail, f"split_part({site}, '.', 1)")}, false) AS mismatch, {d.holds(name, R.SHELL_NAMES)} AS shell_name FROM leads l LEFT JOIN ({page}) p ON p.url = l.website"""
+    flags = ", ".join(f"coalesce(p.{n}, false) AS {n}" for n in geo_signs(d))
+    return f"""SELECT l.lead_id, l.website IS NOT NULL AS has_site, {flags}, {d.match(loc, POST)} AS loc_post, {d.match(loc, town)} AS loc_town, coalesce(p.thin, true) AS thin,
+        coalesce({mail} <> {site} AND NOT {d.starts(mail, f"split_part({site}, '.', 1)")}, false) AS mismatch, {d.holds(name, R.SHELL_NAMES)} AS shell_name FROM leads l LEFT JOIN ({page or geo_page(d)}) p ON p.url = l.website"""
 
 
-@operator("T24", "leads", "page_text")
-def geo_relevance(d):
-    """Local, review or exclude, with the reasons in order."""
-    flags = f"SELECT *, loc_post OR loc_town OR text_post OR text_town AS is_local FROM ({geo_flags(d)}) f"
+def geo_of(d, page: str | None = None) -> str:
+    """geo_relevance(), with the pages' signals as geo_page() gives them."""
+    flags = f"SELECT *, loc_post OR loc_town OR text_post OR text_town AS is_local FROM ({geo_flags(d, page)}) f"
     reasons = [
         ("loc_post", "gu_postcode_in_address"), ("text_post", "gu_postcode_on_website"), ("text_town", "surrey_location_on_website"), ("x_exclude", "exclude_keywords"), ("x_shell", "shell_or_holding_company"),
         ("x_dormant", "dormant_or_parked_website"), ("has_text AND x_scope AND NOT is_local", "national_or_international_scope"), ("has_text AND thin AND NOT is_local", "very_thin_website_content"), ("has_site AND NOT has_text", "no_website_content_available"),
@@ -267,11 +290,27 @@ def geo_relevance(d):
     return f"""SELECT lead_id, CASE WHEN x_exclude OR x_shell OR (shell_name AND NOT has_text) THEN 'exclude' WHEN ({review}) AND (NOT is_local OR {strong}) THEN 'review' WHEN is_local THEN 'local' ELSE 'review' END AS geo, {d.rep(text, '; $')} AS reasons FROM ({flags}) g"""
 
 
+@operator("T24", "leads", "page_text")
+def geo_relevance(d):
+    """Local, review or exclude, with the reasons in order."""
+    return geo_of(d)
+
+
+def team_page(d, html: str = "html") -> str:
+    """Whether a page tells of a team."""
+    return d.match(f"coalesce({html}, '')", "(?i)href=\"[^\"]*(/team|/people|/our-team|/about-us/team|/meet-the-team|/staff|/about/team)[^\"]*\"|our team|meet the team|our people")
+
+
+def size_of(d, page: str | None = None) -> str:
+    """size_signal(), with the pages' `team` as `page` gives it; a page is searched once, not for each of its leads."""
+    team, page = (team_page(d, "p.html"), "SELECT url, html FROM page_text") if d.duck else ("coalesce(p.team, false)", page or f"SELECT url, {team_page(d)} AS team FROM page_text")
+    return f"SELECT l.lead_id, CASE WHEN l.size_signal IS NOT NULL AND l.website IS NOT NULL THEN l.size_signal WHEN l.website IS NULL OR {social(d, 'l.website')} THEN 'small_new' WHEN {team} THEN 'larger' WHEN l.date_of_creation < DATE '2021-03-01' THEN 'established_small' ELSE 'small_new' END AS size_signal FROM leads l LEFT JOIN ({page}) p ON p.url = l.website"
+
+
 @operator("T25", "leads", "page_text")
 def size_signal(d):
     """Known size, else no own site, a team page, or the year of creation."""
-    team = d.match("coalesce(p.html, '')", "(?i)href=\"[^\"]*(/team|/people|/our-team|/about-us/team|/meet-the-team|/staff|/about/team)[^\"]*\"|our team|meet the team|our people")
-    return f"SELECT l.lead_id, CASE WHEN l.size_signal IS NOT NULL AND l.website IS NOT NULL THEN l.size_signal WHEN l.website IS NULL OR {social(d, 'l.website')} THEN 'small_new' WHEN {team} THEN 'larger' WHEN l.date_of_creation < DATE '2021-03-01' THEN 'established_small' ELSE 'small_new' END AS size_signal FROM leads l LEFT JOIN (SELECT url, html FROM page_text) p ON p.url = l.website"
+    return size_of(d)
 
 
 def status(d, ok: str | None = None) -> str:

@@ -61,11 +61,36 @@ def sweep(d):
         FROM leads l JOIN ({joins.anti_existing_office.sql(d)}) n ON n.lead_id = l.lead_id LEFT JOIN ({joins.sector_from_sic.sql(d)}) s ON s.company_number = l.lead_id LEFT JOIN ({windows.latest_director.sql(d)}) o ON o.company_number = l.lead_id"""
 
 
-@operator("P3", "leads", "places", "page_text", sides=joins.LINK_SIDES)
+def _own(d) -> str:
+    """All rows of the leads that are offices."""
+    return "SELECT lead_id, company_name, contact_name, location, category, email, contact_email, generic_email, email_guessed, website, size_signal, date_of_creation FROM leads WHERE lead_id IN (SELECT lead_id FROM leads WHERE category = 'office')"
+
+
+def _own_pages(d) -> str:
+    """Signals of the pages that are sites of such leads."""
+    return texts.geo_page(d, "(SELECT url, html, text FROM page_text WHERE url IN (SELECT website FROM own))", f"{texts.team_page(d)} AS team, ")
+
+
+def _of_own(sql: str) -> str:
+    """The statement with these leads as its leads."""
+    return f"SELECT * FROM (WITH leads AS (SELECT * FROM own) {sql}) of_own"
+
+
+OFFICE_SIDES = {"own": _own, "own_pages": _own_pages} | {n: lambda d, build=build: _of_own(build(d)) for n, build in joins.LINK_SIDES.items()}
+
+
+@operator("P3", "leads", "places", "page_text", sides=OFFICE_SIDES)
 def office_enrich(d):
-    """Place, size, strategy and status of each office lead."""
-    return f"""SELECT l.lead_id, m.place_id, z.size_signal, CASE z.size_signal WHEN 'larger' THEN 'site_team' WHEN 'established_small' THEN 'director_guess' ELSE 'generic_only' END AS strategy, g.geo, {texts.office_status(d)} AS status
-        FROM leads l LEFT JOIN ({joins.link_places.sql(d)}) m ON m.lead_id = l.lead_id JOIN ({texts.size_signal.sql(d)}) z ON z.lead_id = l.lead_id JOIN ({texts.geo_relevance.sql(d)}) g ON g.lead_id = l.lead_id WHERE l.category = 'office'"""
+    """Place, size, strategy and status of each office lead. Only offices are linked, and only their pages searched, each once."""
+    size, geo, link, own = texts.size_signal.sql(d), texts.geo_relevance.sql(d), joins.link_places.sql(d), "leads"
+    if not d.duck:
+        link, own = _of_own(link), "own"
+        size, geo = _of_own(texts.size_of(d, "SELECT url, team FROM own_pages")), _of_own(texts.geo_of(d, "SELECT * FROM own_pages"))
+    text = f"""SELECT l.lead_id, m.place_id, z.size_signal, CASE z.size_signal WHEN 'larger' THEN 'site_team' WHEN 'established_small' THEN 'director_guess' ELSE 'generic_only' END AS strategy, g.geo, {texts.office_status(d)} AS status
+        FROM {own} l LEFT JOIN ({link}) m ON m.lead_id = l.lead_id JOIN ({size}) z ON z.lead_id = l.lead_id JOIN ({geo}) g ON g.lead_id = l.lead_id WHERE l.category = 'office'"""
+    if d.duck or d.staged:
+        return text
+    return f"SELECT * FROM (WITH own AS ({_own(d)}), own_pages AS ({_own_pages(d)}) {text}) offices"
 
 
 def judged(d, source: str) -> str:

@@ -189,7 +189,7 @@ def page_text(d: Dialect) -> str:
     x = d.rep(d.rep(x, "(?s)<!--.*?-->", " "), "<[^>]*>", " ")
     for a, b in (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = f"replace({x}, {d.lit(a)}, {d.lit(b)})"
-    return f"""SELECT page_id, url, {host(d, 'url')} AS host, html, trim({d.rep(x, '\\s+', ' ')}) || CASE page_id % 3 WHEN 0 THEN ' Therapy, dental and yoga in Surrey. Meet the team: Helen Jones, Director.' ELSE '' END AS text,
+    return f"""SELECT page_id, url, {host(d, 'url')} AS host, html, trim({d.squeeze(x)}) || CASE page_id % 3 WHEN 0 THEN ' Therapy, dental and yoga in Surrey. Meet the team: Helen Jones, Director.' ELSE '' END AS text,
         trim({d.rep(d.extract('html', '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ')}) AS title,
         trim({d.rep(d.extract('html', '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>|\\s+', ' ')}) AS h1 FROM pages"""
 
